@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op1_chat_formatting": "chat_format",
     "op5_exact_dedup": "exact_dedup",
+    "op6_substring_dedup": "substring_dedup",
+    "op7_quality_rules": "quality_rules",
     "op10_mixing": "mixing",
 }
 
