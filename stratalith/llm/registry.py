@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> module; each module has a function of that name, and NAME_SQL where SQL can express it.
 MODULES = {
     "op1_chat_formatting": "chat_format",
+    "op2_quality_classifier": "quality_classifier",
     "op5_exact_dedup": "exact_dedup",
     "op6_substring_dedup": "substring_dedup",
     "op7_quality_rules": "quality_rules",
