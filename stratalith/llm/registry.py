@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_chat_formatting": "chat_format",
     "op2_quality_classifier": "quality_classifier",
+    "op3_minhash_near_dedup": "near_dedup",
     "op4_sentencepiece": "sentencepiece_codec",
     "op5_exact_dedup": "exact_dedup",
     "op6_substring_dedup": "substring_dedup",
