@@ -13,6 +13,7 @@ MODULES = {
     "op5_exact_dedup": "exact_dedup",
     "op6_substring_dedup": "substring_dedup",
     "op7_quality_rules": "quality_rules",
+    "op8_token_binary": "token_binary",
     "op9_toxicity": "toxicity",
     "op10_mixing": "mixing",
 }

@@ -22,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import renamed
-from .tokens import Chunk, as_bytes, slices, span_hashes
+from .tokens import as_bytes, slices
+from .word_ids import WordIds
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-#: Distinct words whose ids a worker remembers between chunks; beyond that it starts anew.
-REMEMBERED = 2_000_000
 
 
 def default_model() -> str:
@@ -180,65 +179,28 @@ class Pieces:
         return b"".join([joined[i] for i in ids])
 
 
-class Encoder:
-    """Encodes chunks of texts; remembers the ids of the words it has met, as sorted hashes beside spans of one array."""
+class Encoder(WordIds):
+    """Encodes chunks of texts word by word. A word: some blanks and what follows, or a newline, which no piece holds, alone."""
 
     def __init__(self, pieces: Pieces):
+        super().__init__()
         self.pieces = pieces
-        self.forget()
+        self.prefix = b" " if pieces.prefix else b""
 
-    def forget(self):
-        self.hashes, self.at, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
+    def prepared(self, text: bytes) -> bytes:
+        return self.prefix + text.replace(MARK.encode(), b" ") if text else b""
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Encode the words of new hashes (sorted)."""
-        order = sorted(range(len(words)), key=words.__getitem__)
-        found: list = [None] * len(words)
-        for k, ids in zip(order, self.pieces.encode_sorted([words[k] for k in order]), strict=True):
-            found[k] = ids
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(size.sum()))
-        where = np.searchsorted(self.hashes, hashes)
-        at = len(self.flat) + np.cumsum(size) - size
-        self.hashes, self.at, self.size = np.insert(self.hashes, where, hashes), np.insert(self.at, where, at), np.insert(self.size, where, size)
-        self.flat = np.concatenate([self.flat, flat])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many are each text's."""
-        prefix = b" " if self.pieces.prefix else b""
-        mark = MARK.encode()
-        texts = [prefix + t.replace(mark, b" ") if t else b"" for t in texts]
-        raw = b"".join(texts)
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        buf = np.frombuffer(raw, dtype=np.uint8)
-        if not len(buf):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
-        # A word: some blanks and what follows, or a newline, which no piece holds, alone.
-        new = np.zeros(len(buf), dtype=bool)
+    def begins(self, buf: np.ndarray) -> np.ndarray:
         blank, line = buf == 0x20, buf == 0x0A
-        new[0] = True
-        new[1:] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
-        ends = np.cumsum(sizes)
-        new[ends[:-1][ends[:-1] < len(buf)]] = True
-        starts = np.flatnonzero(new)
-        stops = np.append(starts[1:], len(buf))
-        h = span_hashes(buf, starts, stops)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
-            self.forget()
-        place = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), dtype=bool)
-        new[place < len(self.hashes)] = self.hashes[place[place < len(self.hashes)]] != distinct[place < len(self.hashes)]
-        if new.any():
-            some = first[new]
-            self.learn(distinct[new], [raw[i:j].decode().replace(" ", MARK) for i, j in zip(starts[some].tolist(), stops[some].tolist(), strict=True)])
-            place = np.searchsorted(self.hashes, distinct)
-        place = place[inverse]
-        each = self.size[place]
-        ids = self.flat[np.arange(int(each.sum())) + np.repeat(self.at[place] - (np.cumsum(each) - each), each)]
-        doc = np.searchsorted(ends, starts, "right")
-        return ids, np.bincount(doc, weights=each, minlength=len(texts)).astype(np.int64)
+        return (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
+
+    def tokenised(self, words: list[bytes]) -> list[list[int]]:
+        marked = [w.decode().replace(" ", MARK) for w in words]
+        order = sorted(range(len(marked)), key=marked.__getitem__)
+        found: list = [None] * len(marked)
+        for k, ids in zip(order, self.pieces.encode_sorted([marked[k] for k in order]), strict=True):
+            found[k] = ids
+        return found
 
 
 _encoders: dict[int, Encoder] = {}
