@@ -60,12 +60,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were; rows repeated with one id become one.
 
-    Rows without an id stay as they are.
+    An id goes when none of its rows stays. Rows without an id stay as they are.
     """
-    found = exact_duplicates(docs, id_col, text_col, keep)
-    kept = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept_id")).distinct()
-    with_id = docs.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
-    return with_id.join(kept, with_id[f"`{id_col}`"] == kept["__kept_id"], "left_semi").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    found = exact_duplicates(docs, id_col, text_col, keep).where(F.col(id_col).isNotNull())
+    ids = staged(found.groupBy(F.col(id_col).alias("__dedup_id")).agg(F.max("kept").alias("__dedup_kept"), F.count(F.lit(1)).alias("__dedup_n")), "exact-ids")
+    here = docs[f"`{id_col}`"] == F.col("__dedup_id")
+    stays = docs.join(ids.where("NOT __dedup_kept").select("__dedup_id"), here, "left_anti")
+    again = ids.where("__dedup_n > 1").select("__dedup_id")
+    if again.isEmpty():
+        return stays
+    here = stays[f"`{id_col}`"] == F.col("__dedup_id")
+    return stays.join(again, here, "left_anti").unionByName(stays.join(again, here, "left_semi").dropDuplicates([id_col]))
 
 
 def op5_exact_dedup(spark, sf_dir):
