@@ -202,16 +202,25 @@ def _suspicion(x: Inputs, toxic: np.ndarray) -> np.ndarray:
     doc, word = pairs // max(n_words, 1), pairs % max(n_words, 1)
     sizes = np.diff(np.concatenate((x.char_cuts, [len(x.char_rows)])))
 
-    def odds(doc, row, rows):
-        seen = np.unique(doc * np.int64(rows) + row)
-        bad = toxic[seen // rows]
-        p, q = (np.bincount(seen[k] % rows, minlength=rows) for k in (bad, ~bad))
-        return np.log((p + 0.5) / (toxic.sum() + 1)) - np.log((q + 0.5) / (n - toxic.sum() + 1))
-
-    times = sizes[word]
-    at = np.arange(int(times.sum())) - np.repeat(np.concatenate(([0], np.cumsum(times)))[:-1] - x.char_cuts[word], times)
-    grams = odds(np.repeat(doc, times), x.char_rows[at], CHAR_ROWS)
-    by_word = odds(doc, word, max(n_words, 1)) + 2 * np.add.reduceat(grams[x.char_rows], x.char_cuts) / sizes if n_words else np.zeros(0)
+    def odds(rows_of, rows):
+        """Log odds of each row; a few texts' (text, row) pairs at a time."""
+        counts = np.zeros((2, rows), dtype=np.int64)
+        for begin in range(0, n, 100):
+            i, j = np.searchsorted(doc, [begin, begin + 100])
+            seen = np.unique(rows_of(doc[i:j], word[i:j]))
+            bad = toxic[seen // rows]
+            counts += [np.bincount(seen[k] % rows, minlength=rows) for k in (bad, ~bad)]
+        return np.log((counts[0] + 0.5) / (toxic.sum() + 1)) - np.log((counts[1] + 0.5) / (n - toxic.sum() + 1))
+
+    def grams_of(doc, word):
+        times = sizes[word]
+        at = np.arange(int(times.sum())) - np.repeat(np.concatenate(([0], np.cumsum(times)))[:-1] - x.char_cuts[word], times)
+        return np.repeat(doc, times) * np.int64(CHAR_ROWS) + x.char_rows[at]
+
+    if not n_words:
+        return np.full(len(x.windows), -9.0)
+    grams = odds(grams_of, CHAR_ROWS)
+    by_word = odds(lambda doc, word: doc * np.int64(n_words) + word, n_words) + 2 * np.add.reduceat(grams[x.char_rows], x.char_cuts) / sizes
     return np.append(by_word, -9.0)[x.windows].max(1)
 
 
