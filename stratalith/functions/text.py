@@ -124,7 +124,7 @@ def pos_class(lemma: Column, tag: Column) -> Column:
 
 def tag_features(tag: Column, aorists: tuple = ("aor",)) -> Column:
     """Array of the counted features of a tag: five keys with their values, formations folded, and Finite for a person."""
-    parts = F.filter(F.transform(F.split(F.coalesce(tag, F.lit("")), ","), F.trim), lambda p: F.contains(p, F.lit("=")))
+    parts = F.filter(F.transform(F.split(F.coalesce(tag, F.lit("")), ","), lambda p: F.trim(p)), lambda p: F.contains(p, F.lit("=")))
 
     def feature(p):
         key, value = F.substring_index(p, "=", 1), F.substring(p, F.instr(p, "=") + 1, F.length(p))

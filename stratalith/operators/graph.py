@@ -281,7 +281,7 @@ def nearest_graph(vectors: DataFrame, k: int = 15) -> DataFrame:
 
 
 def fiedler(pairs: DataFrame, weight: str = "affinity", max_nodes: int = 4000) -> DataFrame:
-    """grp-free seriation: node, fiedler (second eigenvector of the normalised Laplacian), signed so that the least node is not positive.
+    """node, fiedler (second eigenvector of the normalised Laplacian), signed so that the least node is not positive.
 
     One dense matrix in one task; more than ``max_nodes`` nodes are an error.
     """
@@ -301,4 +301,4 @@ def fiedler(pairs: DataFrame, weight: str = "affinity", max_nodes: int = 4000) -
         f = vectors[:, 1] * d
         return pd.DataFrame({"node": names, "fiedler": f if f[0] <= 0 else -f})
 
-    return pairs.select("a", "b", F.col(weight).cast("double").alias("w")).groupBy(F.lit(0)).applyInPandas(run, f"node {kind}, fiedler double")
+    return pairs.select("a", "b", F.col(weight).cast("double").alias("w")).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, f"node {kind}, fiedler double")

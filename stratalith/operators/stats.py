@@ -28,10 +28,9 @@ def average_ranks(rows: DataFrame, by: list[str], value: str, out: str = "rank")
     """Rows with the rank of their value in its group, ties sharing the mean rank. Ranks are counted over distinct values."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__r", F.sum("__n").over(w) - (F.col("__n") - 1) / 2).drop("__n")
-    cond = [rows[b].eqNullSafe(ranked[b]) for b in by] + [rows[value] == ranked["__v"]]
-    joined = rows.join(ranked, cond, "left")
-    return joined.select(*[rows[c] for c in rows.columns], F.col("__r").alias(out))
+    ranked = counts.select(*[F.col(b).alias(f"__by_{b}") for b in by], "__v", (F.sum("__n").over(w) - (F.col("__n") - 1) / 2).alias(out))
+    cond = [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by] + [F.col(value) == F.col("__v")]
+    return rows.join(ranked, cond, "left").drop("__v", *[f"__by_{b}" for b in by])
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
