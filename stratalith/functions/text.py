@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
 #: Letters of the transliteration alphabet, and the apostrophe.
@@ -84,13 +85,13 @@ def word_lengths(text: Column, edges: str = EDGES) -> Column:
     return F.struct(F.aggregate(kept, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("chars"), F.size(kept).cast("long").alias("words"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Lower case without combining marks (NFD)."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn").lower())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def deaccented(text: pd.Series) -> pd.Series:
     """Without combining marks (NFKD), case kept."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))

@@ -7,6 +7,7 @@ import statistics
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def interval(nb: Column, na: Column) -> Column:
@@ -60,13 +61,13 @@ def order_of(x_lo: Column, x_hi: Column, y_lo: Column, y_hi: Column) -> Column:
     return F.when(x_hi < y_lo, "x_older").when(y_hi < x_lo, "y_older")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     n = statistics.NormalDist()
     return z.map(lambda v: None if pd.isna(v) else n.cdf(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     n = statistics.NormalDist()
     return p.map(lambda v: None if pd.isna(v) or not 0 < v < 1 else n.inv_cdf(v))

@@ -47,9 +47,9 @@ def matched_segments(matches: DataFrame) -> DataFrame:
     sides = []
     for side, ids, texts in ((0, "root_segnr", "root_segtext"), (1, "par_segnr", "par_segtext")):
         n = F.least(F.size(ids), F.size(texts))
-        zipped = F.slice(F.arrays_zip(F.col(ids).alias("id"), F.col(texts).alias("text")), F.lit(1), F.greatest(n, F.lit(0)))
+        zipped = F.slice(F.zip_with(ids, texts, lambda i, t: F.struct(i.alias("id"), t.alias("text"))), F.lit(1), F.greatest(n, F.lit(0)))
         rows = matches.where(n > 0).select("file", F.lit(side).alias("side"), F.posexplode(zipped).alias("pos", "s"))
-        sides.append(rows.select(text_id(F.col("s")[ids]).alias("text"), line_no(F.col("s")[ids]).alias("line"), F.col("s")[texts].alias("seg_text"), "file", "side", "pos"))
+        sides.append(rows.select(text_id(F.col("s.id")).alias("text"), line_no(F.col("s.id")).alias("line"), F.col("s.text").alias("seg_text"), "file", "side", "pos"))
     return sides[0].unionByName(sides[1])
 
 
