@@ -102,7 +102,7 @@ class _Counts:
         ids = np.sort(ids, axis=1)
         self.flat = (ids + (np.arange(lanes, dtype=np.int64)[:, None] << 20)).ravel()
         starts = self.prior.below[ids] + COUNT_WEIGHT * np.arange(self.seen)
-        place = np.arange(self.seen)[None, :]
+        place = np.arange(self.seen, dtype=np.int32)[None, :]
         new = np.ones((lanes, self.seen), dtype=bool)
         new[:, 1:] = ids[:, 1:] != ids[:, :-1]
         last = np.roll(new, -1, axis=1)
@@ -180,13 +180,12 @@ def encode(ids: np.ndarray, n_ids: int, block: int = BLOCK) -> bytes:
             used[at] += 1
             low[at], span[at] = (a << np.uint64(16)) & _MASK, b << np.uint64(16)
 
-    fresh = FIRST_COUNT
-    begin, until = 0, min(fresh, block)
+    begin, until = 0, FIRST_COUNT
     steps = int(sizes[0])
     while begin < steps:
-        width = min(until, steps) - begin
-        if begin:
+        if begin and begin & (begin - 1) == 0:
             counts.take(sheet[:, :begin])
+        width = min(until, steps, begin + 2 * FIRST_COUNT) - begin  # a few steps' intervals at a time
         part = sheet[:, begin : begin + width]
         starts, widths = (x.reshape(lanes, width) for x in counts.of(part.ravel(), np.repeat(np.arange(lanes), width)))
         for t in range(width):
@@ -199,7 +198,8 @@ def encode(ids: np.ndarray, n_ids: int, block: int = BLOCK) -> bytes:
                 miss = np.flatnonzero(~hit)
                 narrow(miss, starts[miss, t], widths[miss, t], counts.total)
             contexts.learn(now)
-        begin, until = until, 2 * until
+        begin += width
+        until = 2 * until if begin == until else until
     for shift in (32, 16, 0):
         out[all_lanes, used] = (low >> np.uint64(shift)).astype(np.uint16)
         used += 1

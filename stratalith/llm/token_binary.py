@@ -107,7 +107,7 @@ def _writer(spec: str, end_id: int, segment_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 21) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 20) -> None:
     """Write the token ids of ``docs``, by ascending id (null first; rows of one id by text), an end id after each.
 
     Null text is empty. An empty table writes an empty one; other columns are ignored. ``segment_ids`` is about what
