@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import renamed
+from .tokens import released
 
 BOS = "<s>"
 #: Opening and closing control strings by role.
@@ -149,7 +150,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """
     rows = renamed(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_parts(part_chars), PART_SCHEMA)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(released(_parts(part_chars)), PART_SCHEMA)
 
 
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -187,7 +188,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the rendered text says when it is parsed, and of what its loss mask covers."""
-    return formatted.select("conv_id", "part", "text", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(_digests, DIGEST_SCHEMA)
+    return formatted.select("conv_id", "part", "text", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(released(_digests), DIGEST_SCHEMA)
 
 
 PROBE = "</s>[INST] ok [/INST]"

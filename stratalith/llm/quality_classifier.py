@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import FEATURES, lines_of
 from .storage import renamed
-from .tokens import as_bytes, slices
+from .tokens import released, text_chunks
 
 GRAMS, SOURCES, LANGS, LENGTHS = 1024, 256, 64, 24
 TEXT_SIZE, META_SIZE = GRAMS + len(FEATURES) + 1, SOURCES + LANGS + LENGTHS
@@ -158,11 +158,10 @@ COLUMNS = ("id", "text", "lang", "source", "n_chars")
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = as_bytes(batch.column("text"))
-        for part in slices(map(len, texts)):
-            xt = text_view(texts[part])
-            xm = meta_view(*(batch.column(c).to_pylist()[part] for c in ("lang", "source", "n_chars")))
-            yield pa.record_batch({"id": pa.array(batch.column("id").to_pylist()[part], pa.int64()), "label": pa.array(batch.column("label").to_pylist()[part], pa.int32()), "xt": pa.array([r.astype("<f2").tobytes() for r in xt], pa.binary()), "xm": pa.array([np.packbits(r > 0).tobytes() for r in xm], pa.binary())})
+        for part, texts in text_chunks(batch.column("text")):
+            xt = text_view(texts)
+            xm = meta_view(*(batch.column(c)[part].to_pylist() for c in ("lang", "source", "n_chars")))
+            yield pa.record_batch({"id": batch.column("id")[part], "label": batch.column("label")[part], "xt": pa.array([r.astype("<f2").tobytes() for r in xt], pa.binary()), "xm": pa.array([np.packbits(r > 0).tobytes() for r in xm], pa.binary())})
 
 
 def _rows(docs: DataFrame, id_col, text_col, lang_col, source_col, n_chars_col) -> DataFrame:
@@ -180,7 +179,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     others = rows.select("id").where("id IS NOT NULL").join(known.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(max_unlabelled).withColumn("label", F.lit(None).cast("int"))
     wanted = rows.join(F.broadcast(chosen.unionByName(others)), "id")
-    got = wanted.mapInArrow(_features, "id long, label int, xt binary, xm binary").collect()
+    got = wanted.mapInArrow(released(_features), "id long, label int, xt binary, xm binary").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.xt))
     xt = np.frombuffer(b"".join(r.xt for r in got), dtype="<f2").astype(np.float32).reshape(len(got), TEXT_SIZE)
     xm = np.unpackbits(np.frombuffer(b"".join(r.xm for r in got), dtype=np.uint8)).astype(np.float32).reshape(len(got), META_SIZE)
@@ -194,14 +193,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def _scorer(model: CoTrained | None, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            ids, langs, sources, n_chars = (batch.column(c).to_pylist() for c in ("id", "lang", "source", "n_chars"))
-            for part in slices(map(len, texts)):
+            for part, texts in text_chunks(batch.column("text")):
                 if model is None:
-                    a = b = p = np.ones(len(ids[part]))
+                    a = b = p = np.ones(len(texts))
                 else:
-                    a, b, p = (v.astype(np.float64) for v in model.probability(text_view(texts[part]), meta_view(langs[part], sources[part], n_chars[part])))
-                yield pa.record_batch({"id": pa.array(ids[part], pa.int64()), "text_score": a, "meta_score": b, "score": p, "kept": p >= threshold})
+                    meta = meta_view(*(batch.column(c)[part].to_pylist() for c in ("lang", "source", "n_chars")))
+                    a, b, p = (v.astype(np.float64) for v in model.probability(text_view(texts), meta))
+                yield pa.record_batch({"id": batch.column("id")[part], "text_score": a, "meta_score": b, "score": p, "kept": p >= threshold})
 
     return run
 
@@ -213,7 +211,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_i
     model (no labels to learn from) every score is 1. An empty table gives no rows; other columns are ignored.
     """
     rows = _rows(docs, id_col, text_col, lang_col, source_col, n_chars_col)
-    return rows.mapInArrow(_scorer(model, threshold), "id long, text_score double, meta_score double, score double, kept boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(_scorer(model, threshold)), "id long, text_score double, meta_score double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
@@ -232,7 +230,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
             kept = [v for out in judge([own]) for v in out.column("kept").to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op2_quality_classifier(spark, sf_dir):

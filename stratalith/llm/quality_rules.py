@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import renamed
-from .tokens import U64, Chunk, as_bytes, mixed, slices, span_hashes, windows, within
+from .tokens import U64, Chunk, as_bytes, mixed, released, span_hashes, text_chunks, windows, within
 
 SYMBOLS = b"#*$%&|<>"
 #: Byte classes: 0 blank, 1 lower, 2 upper, 3 digit, 4 symbol, 5 other ASCII, 6 first byte beyond ASCII, 7 continuation byte.
@@ -205,7 +205,7 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     half = max_labelled // 2
     chosen = known.where("good = 0").orderBy(F.xxhash64("id"), "id").limit(half).unionByName(known.where("good = 1").orderBy(F.xxhash64("id"), "id").limit(half))
     rows = renamed(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("good", "text")
-    got = rows.mapInArrow(_line_features, "good int, x binary").collect()
+    got = rows.mapInArrow(released(_line_features), "good int, x binary").collect()
     sequences = []
     for r in got:
         x = np.frombuffer(r.x, dtype="<f4").reshape(-1, len(FEATURES)).astype(float)
@@ -222,16 +222,16 @@ LINE_COLUMNS = "id long, n_words long, word_chars long, n_symbols long, n_dup_li
 def _judge(crf: LineCRF, least_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = as_bytes(batch.column("text")), batch.column("id")
-            for part in slices(map(len, texts)):
-                f = lines_of(texts[part])
+            ids = batch.column("id")
+            for part, texts in text_chunks(batch.column("text")):
+                f = lines_of(texts)
                 content = crf.decode(f.doc, f.x)
                 n = len(f.n_words)
                 share = np.bincount(f.doc, weights=f.words * content, minlength=n) / np.maximum(f.n_words, 1)
                 failed = (f.n_words < 20) | (100 * f.n_repeat_words > 30 * f.n_words)
                 yield pa.record_batch(
                     {
-                        "id": ids[part.start : part.start + n] if part.stop is None else ids[part],
+                        "id": ids[part],
                         "n_words": f.n_words,
                         "word_chars": f.word_chars,
                         "n_symbols": f.n_symbols,
@@ -254,7 +254,7 @@ def quality_rules(docs: DataFrame, crf: LineCRF, id_col: str = "doc_id", text_co
     an empty table gives no rows; other columns are ignored.
     """
     rows = renamed(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(_judge(crf, least_share), LINE_COLUMNS).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(_judge(crf, least_share)), LINE_COLUMNS).withColumnRenamed("id", id_col)
 
 
 def op7_quality_rules(spark, sf_dir):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import renamed
-from .tokens import as_bytes, slices
+from .tokens import released, text_chunks
 from .word_ids import WordIds
 
 MARK = "▁"
@@ -64,7 +64,7 @@ class Pieces:
             for char in reversed(p):
                 node = node.setdefault(char, {})
             node[""] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left id * 2**24 + right id
         self.least = min(self.scores) - 10.0
         self.encoded = [p.encode() for p in self.texts]
 
@@ -102,11 +102,11 @@ class Pieces:
         return out
 
     def pair(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 24 | b)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.texts[a] + self.texts[b]) == [a, b]
+            known = self.pairs[a << 24 | b] = self.merged(self.texts[a] + self.texts[b]) == [a, b]
         return known
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
@@ -143,7 +143,7 @@ class Pieces:
                     else:
                         left = last[i]
                         if left >= 0:
-                            fits = pairs.get((left, k))
+                            fits = pairs.get(left << 24 | k)
                             if fits is None:
                                 fits = self.pair(left, k)
                             if not fits:
@@ -225,17 +225,13 @@ def encoded(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            at = 0
-            for part in slices(map(len, texts)):
-                some = texts[part]
+            for part, some in text_chunks(batch.column("text")):
                 ids, n = encoder.encode(some)
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                yield pa.record_batch({"id": batch.column("id").slice(at, len(some)), "n_tokens": n, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))})
-                at += len(some)
+                yield pa.record_batch({"id": batch.column("id")[part], "n_tokens": n, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))})
 
     rows = renamed(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(run, "id long, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decoded(tokens: DataFrame, model_file: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -249,7 +245,7 @@ def decoded(tokens: DataFrame, model_file: str | None = None, id_col: str = "doc
             yield pa.record_batch({"id": batch.column("id"), "text": pa.array([pieces.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())})
 
     rows = renamed(tokens, id=id_col, ids=ids_col).select(F.col("id").cast("long").alias("id"), "ids")
-    return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,27 +256,23 @@ def round_trip(docs: DataFrame, model_file: str | None = None, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for batch in batches:
-            texts, rows = as_bytes(batch.column("text")), batch.column("id")
-            at = 0
-            for part in slices(map(len, texts)):
-                some = texts[part]
+            for part, some in text_chunks(batch.column("text")):
                 ids, n = encoder.encode(some)
                 cuts = np.concatenate(([0], np.cumsum(n))).tolist()
                 raw, listed = ids.astype("<u4").tobytes(), ids.tolist()
                 back = [encoder.pieces.decode(listed[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
                 yield pa.record_batch(
                     {
-                        "id": rows.slice(at, len(some)),
+                        "id": batch.column("id")[part],
                         "n_tokens": n,
                         "ids_crc32": pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.int64()),
                         "decoded_chars": pa.array(list(map(len, back)), pa.int64()),
                         "same": [b.encode() == t for b, t in zip(back, some, strict=True)],
                     }
                 )
-                at += len(some)
 
     rows = renamed(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_crc32 long, decoded_chars long, same boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, n_tokens long, ids_crc32 long, decoded_chars long, same boolean").withColumnRenamed("id", id_col)
 
 
 def op4_sentencepiece(spark, sf_dir):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .storage import new_path, renamed
-from .tokens import as_bytes, slices
+from .tokens import released, text_chunks
 from .word_ids import WordIds
 
 END_ID = 2
@@ -87,16 +87,13 @@ def _writer(spec: str, end_id: int, segment_ids: int):
 
         total = 0
         for batch in batches:
-            texts, ids = as_bytes(batch.column("text")), batch.column("id").to_pylist()
-            at = 0
-            for some in slices(map(len, texts)):
-                flat, n = bpe.encode(texts[some])
+            for part_of, texts in text_chunks(batch.column("text")):
+                flat, n = bpe.encode(texts)
                 ends = np.cumsum(n)
                 flat = np.insert(flat, ends, end_id)  # an end after each document
-                docs += ids[at : at + len(n)]
+                docs += batch.column("id")[part_of].to_pylist()
                 sizes += (n + 1).tolist()
                 held.append(flat)
-                at += len(n)
                 total += len(flat)
                 if total >= segment_ids:
                     yield segment()
@@ -117,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None,
         spec = f.read()
     rows = renamed(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(1, rows.rdd.getNumPartitions())
-    rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(_writer(spec, end_id, segment_ids), SCHEMA).write.parquet(path)
+    rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(released(_writer(spec, end_id, segment_ids)), SCHEMA).write.parquet(path)
 
 
 def _reader(n_ids: int):
@@ -144,7 +141,7 @@ def read_tokens(spark: SparkSession, path: str, tokenizer_file: str | None = Non
     """Documents of a table of tokens: part, seq (segment), doc_id, before (ids before it in the segment), n_tokens, ids."""
     with open(tokenizer_file or default_tokenizer(), encoding="utf-8") as f:
         n_ids = _of(f.read()).size_of_vocabulary
-    return spark.read.schema(SCHEMA).parquet(path).mapInArrow(_reader(n_ids), "part int, seq int, doc_id long, before long, n_tokens long, ids array<int>")
+    return spark.read.schema(SCHEMA).parquet(path).mapInArrow(released(_reader(n_ids)), "part int, seq int, doc_id long, before long, n_tokens long, ids array<int>")
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -167,5 +164,5 @@ def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op8_token_binary(spark, sf_dir):
     path = new_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    rows = read_tokens(spark, path).mapInArrow(_crcs, "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    rows = read_tokens(spark, path).mapInArrow(released(_crcs), "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return rows.join(segment_starts(spark, path), ["part", "seq"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -7,7 +7,8 @@ spans in it with a 64-bit hash each.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,7 +47,7 @@ class _Powers:
 
     def to(self, n: int) -> None:
         if len(self.up) < n:
-            size = 1 << max(n - 1, 1).bit_length()
+            size = n + n // 8
             self.up = np.multiply.accumulate(np.concatenate(([U64(1)], np.full(size - 1, self.base))))
             self.down = np.multiply.accumulate(np.concatenate(([U64(1)], np.full(size - 1, self.inverse))))
 
@@ -118,13 +119,26 @@ def as_bytes(column: pa.ChunkedArray | pa.Array, lower: bool = False) -> list[by
     return pc.cast(column, pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def slices(sizes: Iterable[int], most: int = 1 << 21) -> Iterator[slice]:
-    """Consecutive runs of texts of about ``most`` bytes; a longer text has a run of its own."""
+def text_chunks(column: pa.Array, most: int = 1 << 20, count: int = 2000, lower: bool = False) -> Iterator[tuple[slice, list[bytes]]]:
+    """Runs of a text column, of about ``most`` bytes and at most ``count`` texts, as UTF-8; a longer text is a run of its own, null is empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = total = 0
-    for i, size in enumerate(sizes):
-        if total and total + size > most:
-            yield slice(start, i)
+    for i, size in enumerate([*sizes, None]):
+        if size is None or (i > start and (total + size > most or i - start == count)):
+            if i > start:
+                yield slice(start, i), as_bytes(column.slice(start, i - start), lower)
             start, total = i, 0
-        total += size
-    if total or start == 0:
-        yield slice(start, None)
+        total += size or 0
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving freed memory back to the system when its task ends: Spark keeps the worker for later tasks."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return inner

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import renamed
-from .tokens import U64, Chunk, as_bytes, mixed, slices
+from .tokens import U64, Chunk, mixed, released, text_chunks
 
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 12, 4, 8, 6
@@ -298,10 +298,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def _scorer(net: BiGRU):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = as_bytes(batch.column("text")), batch.column("id").to_pylist()
-            for part in slices(map(len, texts), 1 << 20):
-                score = net.score_texts(texts[part])
-                some = ids[part]
+            for part, texts in text_chunks(batch.column("text")):
+                score = net.score_texts(texts)
+                some = batch.column("id")[part].to_pylist()
                 yield pa.record_batch({"id": pa.array(some, pa.int64()), "held_out": _held(some), "score": score, "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
     return run
@@ -314,7 +313,7 @@ def score_toxicity(docs: DataFrame, net: BiGRU, id_col: str = "doc_id", text_col
     score alike; an empty table gives no rows; other columns are ignored.
     """
     rows = renamed(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(_scorer(net), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(_scorer(net)), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def op9_toxicity(spark, sf_dir):

@@ -11,7 +11,7 @@ import numpy as np
 from .tokens import span_hashes
 
 #: Distinct words that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 
 
 class WordIds:
