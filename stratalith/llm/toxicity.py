@@ -70,7 +70,7 @@ class BiGRU:
         d = WORD_DIM + CHAR_DIM
         f = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
         self.p = {
-            "word": f(WORD_ROWS, WORD_DIM, s=0.1),
+            "word": np.zeros((WORD_ROWS, WORD_DIM), dtype=np.float32),
             "char": f(CHAR_ROWS, CHAR_DIM, s=0.3),
             "wx": f(2, d, 3 * HIDDEN, s=0.4),
             "bias": np.zeros((2, 3 * HIDDEN), dtype=np.float32),
@@ -240,6 +240,10 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, passes: int =
     x = inputs_of(texts)
     clean = np.flatnonzero(~toxic[x.doc])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
+    # A word of one or two texts tells those apart, not toxic from clean ones: its vector stays 0.
+    flat = x.windows.ravel()
+    rows_of = np.unique(np.repeat(x.doc, WINDOW)[flat >= 0] * np.int64(WORD_ROWS) + x.word_rows[flat[flat >= 0]]) % WORD_ROWS
+    rare = np.bincount(rows_of, minlength=WORD_ROWS) < 3
     step = 0
     score = _suspicion(x, toxic)
     for _ in range(rounds):
@@ -259,6 +263,7 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, passes: int =
                 logit, kept = net.forward(words, wins, keep=True)
                 d = ((_sigmoid(logit) - y[pick]) / len(pick)).astype(np.float32)
                 g = net.backward(local, words, wins, kept, d)
+                g["word"][rare] = 0
                 step += 1
                 for k, v in net.p.items():
                     m = moments[k]
