@@ -129,11 +129,12 @@ def threshold_sweep(rows: DataFrame, score: str, later_a: str, thresholds=(0.0,
 
 
 # ---- spreading ----
-def harmonic(pairs: DataFrame, labels: DataFrame, lam: float = 0.02, prior: DataFrame | None = None, cnt: str = "cnt", tolerance: float = 1e-6, rounds: int = 2000, check_every: int = 10, shrink_isolated: bool = False) -> DataFrame:
+def harmonic(pairs: DataFrame, labels: DataFrame, lam: float = 0.02, prior: DataFrame | None = None, cnt: str = "cnt", tolerance: float = 1e-6, rounds: int = 2000, check_every: int = 10, shrink_isolated: bool = False, dense_up_to: int = 2000) -> DataFrame:
     """node, x, labelled: labels spread along pairs, x = (mean of neighbours by ln(1 + count) + lam * prior) / (1 + lam).
 
     ``labels``: node, y. ``prior``: node, prior (else the mean label). Jacobi steps, a contraction by 1 / (1 + lam); each is a
-    join and a sum, and the lineage is cut every ``check_every`` steps, when convergence is looked at too. A node without
+    join and a sum, and the lineage is cut every ``check_every`` steps, when convergence is looked at too. A graph of at most
+    ``dense_up_to`` nodes is one dense system, solved exactly in one task instead. A node without
     neighbours takes its prior (``shrink_isolated``: lam * prior / (1 + lam), as the unnormalised system would give).
     """
     mean = labels.agg(F.avg("y").alias("__mean"))
@@ -145,6 +146,8 @@ def harmonic(pairs: DataFrame, labels: DataFrame, lam: float = 0.02, prior: Data
     else:
         base = base.withColumn("prior", F.col("__mean"))
     base = staged(base.select("node", "y", "prior"))
+    if base.count() <= dense_up_to:
+        return _dense(weights, base, lam, shrink_isolated)
     x = base.select("node", F.coalesce("y", "prior").alias("x"))
     for step in range(1, rounds + 1):
         near = weights.join(x.select(F.col("node").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("node")).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
@@ -160,6 +163,23 @@ def harmonic(pairs: DataFrame, labels: DataFrame, lam: float = 0.02, prior: Data
     return base.join(x, "node").select("node", "x", F.col("y").isNotNull().alias("labelled"))
 
 
+def _dense(weights: DataFrame, base: DataFrame, lam: float, shrink_isolated: bool) -> DataFrame:
+    """The system of harmonic() as one group."""
+    def run(_, w: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("node").reset_index(drop=True)
+        y, prior = b["y"].to_numpy(dtype=float), b["prior"].to_numpy(dtype=float)
+        half = w[w["src"] < w["dst"]]
+        x = _solve(b["node"].tolist(), half["src"], half["dst"], half["w"], y, prior, lam)
+        if shrink_isolated:
+            alone = np.isnan(y) & ~b["node"].isin(set(w["src"])).to_numpy()
+            x = np.where(alone, lam * prior / (1 + lam), x)
+        return pd.DataFrame({"node": b["node"], "x": x, "labelled": ~np.isnan(y)})
+
+    one = lambda df: df.withColumn("one", F.lit(1)).groupBy("one")
+    slim = base.select("node", F.col("y").cast("double").alias("y"), F.col("prior").cast("double").alias("prior"))
+    return one(weights).cogroup(one(slim)).applyInPandas(run, f"node {dict(base.dtypes)['node']}, x double, labelled boolean")
+
+
 def _solve(nodes_, a, b, w, y, prior, lam):
     at = {n: i for i, n in enumerate(nodes_)}
     W = np.zeros((len(nodes_), len(nodes_)))

@@ -124,8 +124,9 @@ def _path(spark):
 
 def test_harmonic_path(spark):
     pairs, labels = _path(spark)
-    got = {r.node: r.x for r in graph.harmonic(pairs, labels, lam=1e-9).collect()}
-    assert got["b"] == pytest.approx(50, abs=1e-3)
+    for dense in (0, 2000):
+        got = {r.node: r.x for r in graph.harmonic(pairs, labels, lam=1e-9, dense_up_to=dense).collect()}
+        assert got["b"] == pytest.approx(50, abs=1e-3)
     grouped = graph.harmonic_by_group(pairs.withColumn("grp", F.lit("g")), labels.withColumn("grp", F.lit("g")), lam=1e-9)
     assert {r.node: r.x for r in grouped.collect()}["b"] == pytest.approx(50, abs=1e-3)
 
@@ -134,8 +135,17 @@ def test_harmonic_isolated_node_takes_its_prior(spark):
     pairs, labels = _path(spark)
     prior = spark.createDataFrame([("z", 500.0)], "node string, prior double")
     labels = labels.unionByName(spark.createDataFrame([("z", None)], "node string, y double"))
-    assert {r.node: r.x for r in graph.harmonic(pairs, labels, 0.05, prior).collect()}["z"] == 500.0
-    assert {r.node: r.x for r in graph.harmonic(pairs, labels, 0.05, prior, shrink_isolated=True).collect()}["z"] == pytest.approx(500 * 0.05 / 1.05)
+    for dense in (0, 2000):
+        assert {r.node: r.x for r in graph.harmonic(pairs, labels, 0.05, prior, dense_up_to=dense).collect()}["z"] == 500.0
+        assert {r.node: r.x for r in graph.harmonic(pairs, labels, 0.05, prior, shrink_isolated=True, dense_up_to=dense).collect()}["z"] == pytest.approx(500 * 0.05 / 1.05)
+
+
+def test_harmonic_steps_reach_the_dense_solution(spark):
+    r = random.Random(8)
+    pairs = spark.createDataFrame([(a, b, r.randrange(1, 9)) for a in range(12) for b in range(a + 1, 12) if r.random() < 0.3], "a long, b long, cnt int")
+    labels = spark.createDataFrame([(0, 0.0), (5, 50.0), (11, 90.0)], "node long, y double")
+    steps, dense = ({x.node: x.x for x in graph.harmonic(pairs, labels, 0.5, dense_up_to=n).collect()} for n in (0, 2000))
+    assert steps.keys() == dense.keys() and all(steps[n] == pytest.approx(dense[n], abs=1e-4) for n in dense)
 
 
 def test_components_and_forest(spark):
