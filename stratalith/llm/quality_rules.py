@@ -147,7 +147,7 @@ class LineCRF:
         return label
 
 
-def train_crf(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> LineCRF:
+def train_crf(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> LineCRF:
     """Maximum likelihood of the labels (0 / 1 by line) by forward-backward and Adam; long texts are cut into runs of 64 lines for the fit."""
     runs = [(x[i : i + 64], y[i : i + 64]) for x, y in sequences for i in range(0, len(y), 64)]
     runs.sort(key=lambda r: -len(r[1]))
@@ -158,8 +158,8 @@ def train_crf(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150,
     for j, (fx, fy) in enumerate(runs):
         x[: len(fy), j], y[: len(fy), j], on[: len(fy), j] = fx, fy, True
     total = on.sum()
-    balance = np.where(y == 1, 0.5 / max((y[on] == 1).mean(), 1e-3), 0.5 / max((y[on] == 0).mean(), 1e-3)) * on
-    weight = balance.sum(0) / np.maximum(on.sum(0), 1)  # of a run, so that the two labels count alike
+    balance = np.where(y == 1, 0.75 / max((y[on] == 1).mean(), 1e-3), 0.25 / max((y[on] == 0).mean(), 1e-3)) * on
+    weight = balance.sum(0) / np.maximum(on.sum(0), 1)  # of a run; content counts three times as much as boilerplate, however many lines each has
     theta, m, v = np.zeros(len(FEATURES) + 4), 0.0, 0.0
     for step in range(1, rounds + 1):
         w, t = theta[:-4], theta[-4:].reshape(2, 2)
