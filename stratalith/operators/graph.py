@@ -265,8 +265,33 @@ def components(pairs: DataFrame, extra_nodes: DataFrame | None = None) -> DataFr
             return now
 
 
-def spanning_forest(pairs: DataFrame, cnt: str = "cnt") -> DataFrame:
-    """a, b, cnt: the maximum spanning forest, by Boruvka rounds. Among equal counts the smaller (a, b) goes first, so it is unique."""
+def _kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for row in pdf.sort_values(["cnt", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
+        x, y = find(row.a), find(row.b)
+        if x != y:
+            parent[x] = y
+            kept.append((row.a, row.b, row.cnt))
+    return pd.DataFrame(kept, columns=["a", "b", "cnt"])
+
+
+def spanning_forest(pairs: DataFrame, cnt: str = "cnt", one_task_up_to: int = 200_000) -> DataFrame:
+    """a, b, cnt: the maximum spanning forest. Among equal counts the smaller (a, b) goes first, so it is unique.
+
+    At most ``one_task_up_to`` pairs are sorted and joined up in one task; more go through Boruvka rounds of joins.
+    """
+    slim = pairs.select("a", "b", F.col(cnt).alias("cnt"))
+    if slim.limit(one_task_up_to + 1).count() <= one_task_up_to:
+        kinds = ", ".join(f"{c} {k}" for c, k in slim.dtypes)
+        return slim.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: _kruskal(pdf), kinds)
     left = staged(pairs.select("a", "b", F.col(cnt).alias("cnt")))
     label = staged(nodes(left).select("node", F.col("node").alias("part")))
     picked = None

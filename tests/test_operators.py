@@ -165,7 +165,8 @@ def test_components_and_forest(spark):
             parent[max(find(a), find(b))] = min(find(a), find(b))
             want_forest.add((a, b, c))
     assert {(x.node, x.component) for x in graph.components(df).collect()} == {(n, find(n)) for n in parent}
-    assert {tuple(x) for x in graph.spanning_forest(df).collect()} == want_forest
+    for bound in (0, 100):
+        assert {tuple(x) for x in graph.spanning_forest(df, one_task_up_to=bound).collect()} == want_forest
 
 
 def test_bounds_stop_on_a_cycle(spark):
