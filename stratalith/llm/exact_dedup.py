@@ -65,7 +65,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = exact_duplicates(docs, id_col, text_col, keep).where(F.col(id_col).isNotNull())
     ids = staged(found.groupBy(F.col(id_col).alias("__dedup_id")).agg(F.max("kept").alias("__dedup_kept"), F.count(F.lit(1)).alias("__dedup_n")), "exact-ids")
     here = docs[f"`{id_col}`"] == F.col("__dedup_id")
-    stays = docs.join(ids.where("NOT __dedup_kept").select("__dedup_id"), here, "left_anti")
+    # How many ids go has no bound: they are merged, never broadcast.
+    stays = docs.join(ids.where("NOT __dedup_kept").select("__dedup_id").hint("merge"), here, "left_anti")
     again = ids.where("__dedup_n > 1").select("__dedup_id")
     if again.isEmpty():
         return stays

@@ -132,7 +132,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents of no words are never taken. Rows that share one id are taken alike.
     """
     taken = taken_words(mix(docs, id_col, text_col, source_col, **how), id_col)
-    times = taken.where("size > 0").groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("__mix_times")).where("__mix_times > 0")
+    times = taken.where("size > 0").groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("__mix_times")).where("__mix_times > 0").hint("merge")
     return docs.join(times, docs[f"`{id_col}`"].eqNullSafe(times["__mix_id"])).withColumn("__mix_time", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).drop("__mix_id", "__mix_times", "__mix_time")
 
 
