@@ -44,8 +44,9 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def _corr(x: str, y: str) -> Column:
-    """Pearson correlation; null where a side does not vary."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    """Pearson correlation of the rows that have both; null where a side does not vary, where ``corr`` itself divides by zero."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y))))
 
 
 def pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
