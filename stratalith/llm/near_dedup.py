@@ -7,14 +7,16 @@ and the frequent shingles, at most (all shingles / floor) of them, make a table
 
 1. Frequent shingles: a fixed table of counters over all documents names the candidates, an exact count follows.
 2. Each document gets 36 samples in 12 bands of 3, and its shingle vector.
-3. Documents that share a band are compared with the band's least and largest ids (stars, never all pairs). Those that
-   the comparison sends away are banded again with two more samples, until nobody is left with company.
+3. Documents that share a band are compared with the band's least and largest ids. Where a bucket's documents are not
+   one class by then, the rest is compared with each other: with a few of them first, then all pairs of unlike classes.
+   Such a pair goes to the vectors only if its samples agree as often as those of near-duplicates do.
 4. A pair whose vectors reach the weighted Jaccard similarity is a link; classes are the connected components.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -33,6 +35,10 @@ SAMPLES = BANDS * ROWS
 #: Counters of the sketch, and the pieces in which they are summed.
 COUNTERS, PIECES = 1 << 21, 64
 _TABLE = 4096
+#: Documents of a bucket that a task compares with as many others, and those that come first.
+BLOCK, FIRST = 4096, 32
+#: Chance that too few samples agree of a pair right at the threshold.
+MISSED = 1e-7
 
 
 def _quantiles_of_gamma2() -> np.ndarray:
@@ -212,10 +218,87 @@ def _banded(samples: DataFrame) -> DataFrame:
     return samples.select("id", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
-def _finer(members: DataFrame, samples: DataFrame, round_no: int) -> DataFrame:
-    """Members with two more samples in their keys: those after the band's, and so on round."""
-    more = [F.element_at("samples", (F.col("band") * ROWS + ROWS + 2 * (round_no - 1) + j) % SAMPLES + 1) for j in range(2)]
-    return members.join(samples, "id").select("id", "band", F.xxhash64("key", *more).alias("key"))
+def least_alike(threshold: float) -> int:
+    """So many samples agree, but for a chance of MISSED, where the similarity is ``threshold`` or more."""
+    below, k = 0.0, 0
+    while k < SAMPLES and (below := below + math.comb(SAMPLES, k) * threshold**k * (1 - threshold) ** (SAMPLES - k)) <= MISSED:
+        k += 1
+    return k
+
+
+def _open(rest: DataFrame, links: DataFrame) -> DataFrame:
+    """id, band, key, c, n: members of buckets that hold more than one class c so far, and the bucket's size."""
+    labels = components(links.select("a", "b"))
+    rest = rest.select("id", "band", "key").join(labels, F.col("id") == F.col("v"), "left").select("id", "band", "key", F.coalesce("c", "id").alias("c"))
+    buckets = rest.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    return staged(rest.join(buckets.select("band", "key", "n"), ["band", "key"]), "open")
+
+
+def _alike(first: int, least: int):
+    def pairs(ids: np.ndarray, c: np.ndarray, block: np.ndarray, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if (c == c[0]).all():
+            return
+        # The first ones of either block meet all of the other block; in a tile of one block each meets those after it.
+        one = np.flatnonzero(block == block.min())
+        other = np.flatnonzero(block == block.max())
+        turns = [(p, one[k + 1 :]) for k, p in enumerate(one[:first])] if block.min() == block.max() else [(p, other) for p in one[:first]] + [(q, one[first:]) for q in other[:first]]
+        for p, whom in turns:
+            whom = whom[c[whom] != c[p]]
+            if len(whom):
+                found = whom[(s[whom] == s[p]).sum(axis=1) >= least]
+                yield np.full(len(found), ids[p]), ids[found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+        waiting = 0
+
+        def tiles(last: bool):
+            nonlocal held
+            tile, ids, c, block, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            cuts = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1), [True])))
+            for i, j in zip(cuts if last else cuts[:-1], cuts[1:] if last else cuts[1:-1], strict=False):
+                own = tile[i, 2] == tile[i, 3]
+                sides = block[i:j]
+                if own or (sides != sides[0]).any():
+                    yield from pairs(ids[i:j], c[i:j], sides, s[i:j])
+            at = cuts[-2]
+            held = [] if last else [(tile[at:], ids[at:], c[at:], block[at:], s[at:])]
+
+        def flushed():
+            nonlocal out
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            out = []
+            return pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None:
+                tile = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("band", "key", "i", "j")], axis=1)
+                samples = batch.column("samples").flatten().to_numpy().reshape(-1, SAMPLES)
+                held.append((tile, *(batch.column(x).to_numpy() for x in ("id", "c", "block")), samples))
+            if held:
+                for found in tiles(batch is None):
+                    out.append(found)
+                    waiting += len(found[0])
+                    if waiting >= 100_000:
+                        yield flushed()
+                        waiting = 0
+        if out:
+            yield flushed()
+
+    return run
+
+
+def _across(rest: DataFrame, samples: DataFrame, first: int, block: int, least: int) -> DataFrame:
+    """Pairs (a, b) of unlike classes in a bucket whose samples agree. A bucket is cut in blocks, and each two of them meet in a tile."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rest.join(samples, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    rows = rows.withColumn("tile", F.explode(tiles)).select("band", "key", "tile.i", "tile.j", "id", "c", "block", "samples")
+    rows = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    return rows.mapInArrow(released(_alike(first, least)), "a long, b long").distinct()
 
 
 def _verify(base: float):
@@ -228,31 +311,34 @@ def _verify(base: float):
     return run
 
 
-def similar_pairs(samples: DataFrame, vectors: DataFrame, base: float, threshold: float) -> DataFrame | None:
-    """Links (a, b, similarity) among the documents of ``samples`` (id, samples); ``vectors`` (id, vector) may have more."""
-    members, company, tried, links = _banded(samples), None, None, None
-    for round_no in range(1, (SAMPLES - ROWS) // 2 + 2):
-        # Some buckets hold a third of all documents: their ends are found by partial sums, their members meet only the ends.
-        ends = members.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-        members = staged(members.join(ends, ["band", "key"]), "buckets")
-        if members.isEmpty():
+def similar_pairs(samples: DataFrame, vectors: DataFrame, base: float, threshold: float, first: int = FIRST, block: int = BLOCK) -> DataFrame | None:
+    """Links (a, b, similarity) among the documents of ``samples`` (id, samples); ``vectors`` (id, vector) may have more.
+
+    Documents of a bucket that are linked by way of some of its documents are in one class; not each such pair is a link.
+    """
+    members = _banded(samples)
+    # Some buckets hold a third of all documents: their ends are found by partial sums.
+    ends = members.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    members = staged(members.join(ends, ["band", "key"]), "buckets")
+    if members.isEmpty():
+        return None
+    # Of most documents no vector is needed; how many are has no bound, so nothing is broadcast.
+    company = staged(vectors.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "company-vectors")
+
+    def judged(wanted: DataFrame) -> DataFrame:
+        both = staged(wanted, "wanted").join(company.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(company.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
+        return staged(both.mapInArrow(released(_verify(base)), "a long, b long, similarity double"), "judged")
+
+    tried = judged(members.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # The ends have met everybody. Linked members stay: others may be like them, and like neither end.
+    rest = members.where("id <> low AND id <> high")
+    for most in (first, 2**62):
+        rest = _open(rest, tried.where(F.col("similarity") >= threshold))
+        if rest.isEmpty():
             break
-        if company is None:  # of most documents no vector is needed; how many are has no bound, so nothing is broadcast
-            company = staged(vectors.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "company-vectors")
-        wanted = members.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            wanted = wanted.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        wanted = staged(wanted, "wanted")
-        judged = wanted.join(company.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(company.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
-        judged = staged(judged.mapInArrow(released(_verify(base)), "a long, b long, similarity double"), "judged")
-        tried = judged if tried is None else tried.unionByName(judged)
-        links = tried.where(F.col("similarity") >= threshold)
-        # Members that neither end of their bucket is like look for company among themselves.
-        ends_of = [members.where(f"id <> {end}").select("id", "band", "key", F.least("id", end).alias("a"), F.greatest("id", end).alias("b")) for end in ("low", "high")]
-        linked = ends_of[0].unionByName(ends_of[1]).join(links.select("a", "b"), ["a", "b"], "left_semi").select("id", "band", "key")
-        alone = members.where("id <> low AND id <> high").select("id", "band", "key").join(linked.distinct(), ["id", "band", "key"], "left_anti")
-        members = _finer(staged(alone, "alone"), samples, round_no)
-    return links
+        wanted = _across(rest, samples, most, block, least_alike(threshold))
+        tried = tried.unionByName(judged(wanted.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
+    return tried.where(F.col("similarity") >= threshold)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

@@ -155,6 +155,50 @@ def test_a_large_group_of_copies_is_one_class(spark):
     assert sum(r.kept for r in got) == 1
 
 
+def crowd(spark, sets):
+    """Documents that share all their bands: samples, and vectors of weight 1."""
+    import numpy as np
+
+    samples = spark.createDataFrame([(i, [7] * near_dedup.SAMPLES) for i in sets], "id long, samples array<int>")
+    vectors = [(i, near_dedup.packed(np.array(sorted(v), dtype=np.uint32), np.ones(len(v)), 1.0)) for i, v in sets.items()]
+    return samples, spark.createDataFrame([(i, bytearray(v)) for i, v in vectors], "id long, vector binary")
+
+
+def classes(ids, links):
+    of = {i: i for i in ids}
+
+    def find(x):
+        return x if of[x] == x else find(of[x])
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        of[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_near_finds_those_like_a_linked_member_only(spark):
+    # Each version is like the next alone; 2 is like the end 1, 4 like the end 5, and 3 only like 2 and 4.
+    sets = {i: set(range(10 * i, 10 * i + 100)) for i in range(1, 6)}
+    got = near_dedup.similar_pairs(*crowd(spark, sets), 1.0, 0.8).collect()
+    assert set(classes(sets, [(r.a, r.b) for r in got]).values()) == {1}
+
+
+@pytest.mark.parametrize("how", [{}, {"first": 2, "block": 16}])
+def test_near_classes_of_a_crowded_bucket(spark, how):
+    r = random.Random(11)
+    sets = {0: set(range(100)), 999: set(range(5000, 5100))}  # ends that nobody is like
+    for i in range(1, 160):  # pairs of drifting versions, and some alone
+        start = 200 * (i % 40) + 8 * r.randrange(8)
+        sets[i] = set(range(start, start + 100))
+    want = classes(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    got = near_dedup.similar_pairs(*crowd(spark, sets), 1.0, 0.8, **how).collect()
+    assert all(r.similarity >= 0.8 for r in got) and classes(sets, [(r.a, r.b) for r in got]) == want
+
+
+def test_samples_of_similar_documents_agree_often_enough():
+    assert near_dedup.least_alike(0.8) == 15 and near_dedup.least_alike(1.0) == near_dedup.SAMPLES
+
+
 def test_samples_estimate_weighted_jaccard():
     import numpy as np
 
