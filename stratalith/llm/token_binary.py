@@ -34,6 +34,7 @@ class ByteLevelBPE(WordIds):
     """Encodes texts with the tokenizers library, each distinct word once.
 
     The tokenizer's own pattern never joins a character with white space after it; a word begins at such white space.
+    So an added token in a text (it has no white space) is whole in a word, and gets its own id as the library gives it.
     """
 
     def __init__(self, spec: str):
@@ -41,7 +42,6 @@ class ByteLevelBPE(WordIds):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.size_of_vocabulary = self.tokenizer.get_vocab_size()
 
     def begins(self, buf: np.ndarray) -> np.ndarray:

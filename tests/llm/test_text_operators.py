@@ -253,6 +253,19 @@ def test_token_table(spark, tmp_path):
     assert token_binary.read_tokens(spark, path + "-none").count() == 0
 
 
+def test_token_table_has_the_library_s_added_token(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [*ODD, end, f"one{end}two", f"one  {end} two", f"a {end}{end}\n b", f"\n{end}\u0085{end} é", "<|endoftext", f"x {end[:-1]} {end}"]
+    path = f"file://{tmp_path}/tokens"
+    token_binary.write_tokens(frame(spark, texts), path)
+    library = Tokenizer.from_file(token_binary.default_tokenizer())
+    got = {g.doc_id: g.ids for g in token_binary.read_tokens(spark, path).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert 50256 in got[len(ODD)]
+
+
 # ---- toxicity ----
 def test_gradients():
     rng = np.random.default_rng(1)
