@@ -46,8 +46,8 @@ def knn_tiered(spark, d):
     """Estimates from the query's own group where it has enough neighbours, else from all."""
     v = _vectors(spark, d)
     y = v.select("id", (F.col("id") % 100).cast("double").alias("y"))
-    own = M.idw(M.nearest(v.where("id < 50"), v, 5, group="grp", mode="same"), y)
-    return M.tiered(own, M.idw(M.nearest(v.where("id < 50"), v, 5), y)).withColumn("estimate", F.round("estimate", 5))
+    own = M.idw(M.nearest(v.where("id % 100 = 0"), v, 5, group="grp", mode="same"), y)
+    return M.tiered(own, M.idw(M.nearest(v.where("id % 100 = 0"), v, 5), y)).withColumn("estimate", F.round("estimate", 5))
 
 
 @query("""

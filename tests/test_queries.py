@@ -28,6 +28,11 @@ def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).columns
 
 
+def test_tiered_search_answers_every_hundredth_row(spark):
+    got = {r[0] for r in catalogue.QUERIES["knn_tiered"](spark, SF).select("query").collect()}
+    assert got == {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
+
+
 def test_entry_names():
     import __spark_entry__ as e
 
