@@ -56,11 +56,15 @@ pairs AS (SELECT x.s AS a, y.s AS b, count(*) AS cnt, sum(x.p) AS len_a, sum(y.p
 """}
 
 
-def _pairs(spark, d):
+def _all_pairs(spark, d):
     # An order has few lines, so the self-join by order multiplies each row by a handful.
     s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).agg(F.sum("l_extendedprice").alias("p"))
     x, y = s.select("o", F.col("s").alias("a"), F.col("p").alias("pa")), s.select("o", F.col("s").alias("b"), F.col("p").alias("pb"))
-    pairs = x.join(y, "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"), F.sum("pa").alias("len_a"), F.sum("pb").alias("len_b"))
+    return x.join(y, "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"), F.sum("pa").alias("len_a"), F.sum("pb").alias("len_b"))
+
+
+def _pairs(spark, d):
+    pairs = _all_pairs(spark, d)
     least = F.broadcast(pairs.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY cnt)").alias("least")))
     return staged(pairs.crossJoin(least).where("cnt >= least").drop("least"))
 
@@ -155,19 +159,19 @@ def _labels(spark, d):
 
 @query()
 def harmonic_propagation(spark, d):
-    return G.harmonic(_pairs(spark, d), _labels(spark, d), lam=0.05).withColumn("x", F.round("x", 3)).orderBy("x", "node")
+    return G.harmonic(staged(_all_pairs(spark, d)), _labels(spark, d), lam=0.05).withColumn("x", F.round("x", 3)).orderBy("x", "node")
 
 
 @query()
 def harmonic_groups(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).alias("grp"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("y"))
-    return G.harmonic_by_group(G.induced(_pairs(spark, d), s), s).withColumn("x", F.round("x", 3))
+    return G.harmonic_by_group(G.induced(staged(_all_pairs(spark, d)), s), s).withColumn("x", F.round("x", 3))
 
 
 @query()
 def harmonic_leave_one_out(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).alias("grp"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("y"))
-    return G.harmonic_by_group(G.induced(_pairs(spark, d), s), s, leave_one_out=True).withColumn("x", F.round("x", 3))
+    return G.harmonic_by_group(G.induced(staged(_all_pairs(spark, d)), s), s, leave_one_out=True).withColumn("x", F.round("x", 3))
 
 
 @query("""
@@ -197,7 +201,7 @@ def components(spark, d):
 
 @query()
 def spanning_forest(spark, d):
-    return G.spanning_forest(_pairs(spark, d))
+    return G.spanning_forest(staged(_all_pairs(spark, d)))
 
 
 @query("""

@@ -33,6 +33,26 @@ def test_tiered_search_answers_every_hundredth_row(spark):
     assert got == {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
 
 
+@pytest.mark.parametrize("name", ["spanning_forest", "harmonic_propagation", "harmonic_groups", "harmonic_leave_one_out"])
+def test_graph_queries_without_sql_take_all_pairs(spark, con, name):
+    s = "(SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem)"
+    pairs = con.sql(f"SELECT x.s, y.s, count(*) FROM {s} x JOIN {s} y ON x.o = y.o AND x.s < y.s GROUP BY 1, 2").fetchall()
+    got = catalogue.QUERIES[name](spark, SF).toPandas()
+    if name == "spanning_forest":
+        part = {i: i for p in pairs for i in p[:2]}
+        want = set()
+        for a, b, n in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+            if part[a] != part[b]:
+                want.add((a, b, n))
+                part = {i: part[b] if c == part[a] else c for i, c in part.items()}
+        assert set(got.itertuples(index=False, name=None)) == want
+    elif name == "harmonic_propagation":
+        y = dict(con.sql("SELECT s_suppkey, s_acctbal::DOUBLE FROM supplier WHERE s_suppkey % 3 <> 0").fetchall())
+        assert {i for p in pairs for i in p[:2]} | set(y) <= set(got["node"])
+    else:
+        assert got["x"].notna().any()
+
+
 def test_entry_names():
     import __spark_entry__ as e
 
