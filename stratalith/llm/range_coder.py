@@ -1,14 +1,17 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks that know nothing of each other. In a block each id is coded in at most two steps of a range
-coder. First a yes or no: is it the id that the last two ids (order 2) or the last id (order 1) were followed by
-before? The two contexts' adaptive confidences are mixed by weights that learn from every answer. If no, the id
-itself by order 0: a fixed slowly falling prior plus the counts of the block so far, taken anew after 64, 128, 256 ...
-ids. All blocks of a segment are coded in step, as lanes of arrays, with whole numbers only, so a block decodes alike
-in any company.
-
-A segment: "RCS1", the number of blocks, then for each block its ids, its bytes and the crc32 of its ids, then the
-blocks, all as little-endian 32-bit numbers.
+Ids are cut into blocks that know nothing of each other. In a block the distribution of each id is a mixture of three
+predictions: what followed the last two ids before (order 2), what followed the last id before (order 1), and the counts
+of the block so far (order 0). Orders 1 and 2 learn from every id. The counts, and the weights of the three by what
+orders 1 and 2 have in store (nothing, a guess, a confirmed guess), are taken anew at ids 64, 128, 256 ... Order 0
+keeps room for fresh ids, as much as there are ids seen once. The fresh ids of a block are a list of their own before
+it, coded by a fixed slowly falling prior, so that the coder of the block only says when the next of them comes.
+
+The blocks of a segment are coded in step, as lanes of arrays. Only whole numbers below 2^53 and basic arithmetic take
+part (exact in any floating-point unit), so a block decodes alike in any company.
+
+A segment: "RCS2", the number of blocks, then for each block its ids, its fresh ids, the bytes of the list, the bytes
+of the block and the crc32 of its ids, then lists and blocks by turns; all as little-endian 32-bit numbers.
 """
 
 from __future__ import annotations
@@ -17,24 +20,32 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"RCS1"
-BLOCK = 2048
-_MASK, _TOP, _BOT = np.uint64((1 << 48) - 1), np.uint64(32), np.uint64(1 << 32)
-_NONE = 0xFFFFFF
-ORDER1, ORDER2, CONF = 1024, 2048, 16
-FIRST_COUNT, COUNT_WEIGHT = 64, 24
-
-_stretch = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int64)
-_squash = np.clip(np.round(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 64, 65536 - 64).astype(np.int64)
+MAGIC, HEAD = b"RCS2", 5
+BLOCK, LANES = 2048, 2048
+#: The range lies between 2^32 and 2^48; words of 16 bits leave it.
+TOP, WORD = 2.0**48, 2.0**16
+BOTTOM = TOP / WORD
+ID_BITS = 17
+_ID = (1 << ID_BITS) - 1
+SLOTS1, SLOTS2 = 256, 256
+#: What an order has in store: 0 nothing, 1 a guess, 2 a guess that was right the last time. A kind: order 1's + 4 * order 2's.
+KINDS = 16
+#: Tries and hits that the weights start from, by what the order has in store.
+TRIES, HITS = 16.0, np.array([0.0, 1.5, 8.0, 0.0])
+FIRST_COUNT, PIECE = 64, 256
 
 
 class Prior:
-    """Cumulative whole-number prior over ids 0 .. n-1: falls with the id, never 0."""
+    """Whole-number prior over ids 0 .. n-1: falls with the id, never 0."""
 
     def __init__(self, n: int):
-        self.n = n
-        self.below = np.concatenate(([0], np.cumsum(np.maximum(1, 40_000 // (np.arange(n) + 400))))).astype(np.int64)
-        self.total = int(self.below[-1])
+        if n >= _ID:
+            raise ValueError(f"{n} ids are too many")
+        sizes = np.maximum(1, 40_000 // (np.arange(max(n, 1)) + 400))
+        self.size = sizes.astype(np.float64)
+        self.start = np.cumsum(self.size) - self.size
+        self.total = float(self.size.sum())
+        self.id_at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
 _priors: dict[int, Prior] = {}
@@ -50,224 +61,334 @@ class _Contexts:
     """What orders 1 and 2 foresee, by lane."""
 
     def __init__(self, lanes: int):
-        self.t1 = np.full(lanes * ORDER1, _NONE, dtype=np.int64)  # id, and confidence from bit 24 on
-        self.t2 = np.full(lanes * ORDER2, _NONE, dtype=np.int64)
-        self.p1, self.p2 = (np.tile(np.minimum(60_000, 8_000 + 4_000 * np.arange(CONF)), lanes).astype(np.int64) for _ in range(2))
-        self.w = np.full((2, lanes), 40_000, dtype=np.int64)
-        self.base = np.arange(lanes, dtype=np.int64)
-        self.last = np.zeros((2, lanes), dtype=np.int64)
-
-    def foresee(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate of each of the first n lanes, and the chance of it, of 65536."""
-        a, b, base = self.last[0, :n], self.last[1, :n], self.base[:n]
-        self.i1 = base * ORDER1 + (a * 40503 >> 4 & ORDER1 - 1)
-        self.i2 = base * ORDER2 + ((a * 40503 + b * 30011) >> 3 & ORDER2 - 1)
-        e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        self.g1, self.g2 = e1 & _NONE, e2 & _NONE
-        self.c1, self.c2 = e1 >> 24, e2 >> 24
-        self.j1, self.j2 = base * CONF + self.c1, base * CONF + self.c2
-        self.has2 = self.g2 != _NONE
-        self.guess = np.where(self.has2, self.g2, self.g1)
-        self.s1 = np.where(self.g1 == self.guess, _stretch[self.p1[self.j1] >> 4], 0)
-        self.s2 = np.where(self.has2, _stretch[self.p2[self.j2] >> 4], 0)
-        self.w1, self.w2 = self.w[0, :n], self.w[1, :n]
-        self.chance = _squash[np.clip((self.w1 * self.s1 + self.w2 * self.s2) >> 16, -2047, 2047) + 2048]
-        self.chance[self.guess == _NONE] = 64
-        return self.guess, self.chance
-
-    def learn(self, ids: np.ndarray) -> None:
-        n = len(ids)
-        gap = np.where(ids == self.guess, 65536, 0) - self.chance
-        self.w1 += gap * self.s1 >> 14
-        self.w2 += gap * self.s2 >> 14
-        for t, i, p, j, g, c in ((self.t1, self.i1, self.p1, self.j1, self.g1, self.c1), (self.t2, self.i2, self.p2, self.j2, self.g2, self.c2)):
-            hit = g == ids
-            old = p[j]
-            p[j] = old + ((np.where(hit, 65_000, 500) - old) >> 4)
-            t[i] = np.where(hit, ids | np.minimum(c + 1, CONF - 1) << 24, np.where(c > 1, g | c >> 1 << 24, ids))
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
-
-
-class _Counts:
-    """Order 0: ids of each lane so far, sorted, lane after lane."""
+        # Entries: the id that followed, and what is in store: from bit ID_BITS on for order 1, from bit ID_BITS + 2 on for order 2.
+        self.t1, self.t2 = np.full(lanes * SLOTS1, _ID, dtype=np.int32), np.full(lanes * SLOTS2, _ID, dtype=np.int32)
+        lane = np.arange(lanes, dtype=np.int32)
+        self.base1, self.base2 = lane * np.int32(SLOTS1), lane * np.int32(SLOTS2)
+        same = lambda v: np.full(lanes, v, dtype=np.int32)  # noqa: E731  (arrays: numpy is slower with numbers)
+        self.id, self.m1, self.m2, self.spread, self.bits, self.once1, self.once2 = map(same, (_ID, SLOTS1 - 1, SLOTS2 - 1, 23, ID_BITS, 1 << ID_BITS, 4 << ID_BITS))
+        self.i1, self.i2, self.before = self.base1, self.base2, same(0)
+
+    def foresee(self) -> np.ndarray:
+        """Kind of each lane; g1 and g2 are the guesses."""
+        e1, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.g1, self.g2 = e1 & self.id, e2 & self.id
+        return (e1 | e2) >> self.bits
+
+    def learn(self, ids: np.ndarray, is1: np.ndarray, is2: np.ndarray) -> None:
+        """is1, is2: whether the guesses were right."""
+        self.t1[self.i1] = ids + self.once1 + is1 * self.once1
+        self.t2[self.i2] = ids + self.once2 + is2 * self.once2
+        self.i1 = (ids & self.m1) + self.base1
+        self.i2 = ((ids ^ self.before) & self.m2) + self.base2
+        self.before = ids * self.spread
+
+
+class _Weights:
+    """Weights of orders 2 and 1 beside order 0, by lane and kind, from the hits and tries so far."""
 
-    def __init__(self, n: int):
-        self.prior = prior(n)
-        self.seen = 0
-
-    def take(self, ids: np.ndarray) -> None:
-        """ids: (lanes, seen)."""
-        lanes, self.seen = ids.shape
-        ids = np.sort(ids, axis=1)
-        self.flat = (ids + (np.arange(lanes, dtype=np.int64)[:, None] << 20)).ravel()
-        starts = self.prior.below[ids] + COUNT_WEIGHT * np.arange(self.seen)
-        place = np.arange(self.seen, dtype=np.int32)[None, :]
-        new = np.ones((lanes, self.seen), dtype=bool)
-        new[:, 1:] = ids[:, 1:] != ids[:, :-1]
-        last = np.roll(new, -1, axis=1)
-        self.first = np.maximum.accumulate(np.where(new, place, 0), axis=1).ravel()  # place of the first equal id
-        self.after = (np.minimum.accumulate(np.where(last, place, self.seen)[:, ::-1], axis=1)[:, ::-1] + 1).ravel()
-        self.starts = (starts + (np.arange(lanes, dtype=np.int64)[:, None] << 20)).ravel()
-
-    @property
-    def total(self) -> int:
-        return self.prior.total + COUNT_WEIGHT * self.seen
-
-    def of(self, ids: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the ids' intervals."""
-        start, size = self.prior.below[ids], self.prior.below[ids + 1] - self.prior.below[ids]
-        if self.seen:
-            low = np.searchsorted(self.flat, ids + (lane << 20), "left")
-            high = np.searchsorted(self.flat, ids + (lane << 20), "right")
-            start = start + COUNT_WEIGHT * (low - lane * self.seen)
-            size = size + COUNT_WEIGHT * (high - low)
-        return start, size
-
-    def at(self, value: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids whose intervals hold the values, and the intervals' starts and sizes."""
-        below = self.prior.below
-        if not self.seen:
-            ids = np.searchsorted(below, value, "right") - 1
-            return ids, below[ids], below[ids + 1] - below[ids]
-        at = lane * self.seen
-        r = np.searchsorted(self.starts, value + (lane << 20), "right") - at
-        before = at + np.maximum(r - 1, 0)
-        near = self.flat[before] & (1 << 20) - 1
-        inside = (r > 0) & (value < below[near + 1] + COUNT_WEIGHT * r)
-        ids = near
-        out = np.flatnonzero(~inside)
-        if len(out):
-            ids[out] = np.searchsorted(below, value[out] - COUNT_WEIGHT * r[out], "right") - 1
-        low = np.where(inside, self.first[before], r)
-        high = np.where(inside, self.after[before], r)
-        return ids, below[ids] + COUNT_WEIGHT * low, below[ids + 1] - below[ids] + COUNT_WEIGHT * (high - low)
+    def __init__(self, lanes: int):
+        k = np.arange(KINDS)
+        self.hits2, self.hits1 = np.tile(HITS[k >> 2], (lanes, 1)), np.tile(HITS[k & 3] * np.where(k >> 2 == 2, 0.2, 0.6), (lanes, 1))
+        self.some2, self.some1 = k >> 2 > 0, k & 3 > 0
+        self.tries = np.full((lanes, KINDS), TRIES)
+        self.lane = np.arange(lanes, dtype=np.int32) * np.int32(KINDS)
+        self.take(np.full(lanes, 16.0))
+
+    def count(self, kinds: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """kinds (with the lane), hits: (steps, lanes)."""
+        at = kinds.ravel()
+        for total, some in ((self.tries, at), (self.hits2, at[hit2.ravel()]), (self.hits1, at[hit1.ravel()])):
+            total += np.bincount(some, minlength=total.size).reshape(total.shape)
+
+    def take(self, order0: np.ndarray) -> None:
+        """order0: its weight in each lane, at most 2^12. All together stay below 2^16."""
+        self.order0 = order0
+        rest = self.tries + 1.0 - self.hits2 - self.hits1
+        unit = np.minimum(order0[:, None] / rest, 30_000.0 / (self.tries + 1.0))
+        w2 = np.maximum(np.floor(self.hits2 * unit), 1.0) * self.some2
+        w1 = np.maximum(np.floor(self.hits1 * unit), 1.0) * self.some1
+        self.upto2, self.upto1 = (w2 + order0[:, None]).ravel(), (w2 + w1 + order0[:, None]).ravel()
+
+
+def _moments(steps: int) -> list[int]:
+    """Where the counts are taken anew, from 0 on, and the end."""
+    out, at = [0], FIRST_COUNT
+    while at < steps:
+        out.append(at)
+        at *= 2
+    return [*out, steps]
 
 
 def _sizes(n: int, block: int) -> np.ndarray:
     return np.full(n // block, block) if n % block == 0 else np.append(np.full(n // block, block), n % block)
 
 
-def encode(ids: np.ndarray, n_ids: int, block: int = BLOCK) -> bytes:
-    """Segment of ids, all below ``n_ids``."""
-    ids = np.asarray(ids, dtype=np.int64)
-    sizes = _sizes(len(ids), block)
-    lanes = len(sizes)
-    head = MAGIC + np.array([lanes], dtype="<u4").tobytes()
-    if not lanes:
-        return head
-    sheet = np.zeros((lanes, block), dtype=np.int64)
-    sheet.ravel()[: len(ids)] = ids
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _MASK, dtype=np.uint64)
-    out, used = np.zeros((lanes, 2 * block + 8), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
-    contexts, counts = _Contexts(lanes), _Counts(n_ids)
-    all_lanes = np.arange(lanes)
-
-    def narrow(which, start, size, total):
-        r = span[which] // np.uint64(total)
-        low[which] += r * start.astype(np.uint64)
-        span[which] = r * size.astype(np.uint64)
-        while True:
-            a, b = low[which], span[which]
-            ready = (((a ^ (a + b - np.uint64(1))) >> _TOP) == 0) | (b < _BOT)
-            if not ready.any():
-                return
-            at = all_lanes[which][ready]
-            a, b = low[at], span[at]
-            settled = ((a ^ (a + b - np.uint64(1))) >> _TOP) == 0
-            b = np.where(settled, b, (~a + np.uint64(1)) & (_BOT - np.uint64(1)))
-            out[at, used[at]] = (a >> _TOP).astype(np.uint16)
-            used[at] += 1
-            low[at], span[at] = (a << np.uint64(16)) & _MASK, b << np.uint64(16)
-
-    begin, until = 0, FIRST_COUNT
-    steps = int(sizes[0])
-    while begin < steps:
-        if begin and begin & (begin - 1) == 0:
-            counts.take(sheet[:, :begin])
-        width = min(until, steps, begin + 2 * FIRST_COUNT) - begin  # a few steps' intervals at a time
-        part = sheet[:, begin : begin + width]
-        starts, widths = (x.reshape(lanes, width) for x in counts.of(part.ravel(), np.repeat(np.arange(lanes), width)))
-        for t in range(width):
-            n = lanes if begin + t < sizes[-1] else lanes - 1
-            now = part[:n, t]
-            guess, chance = contexts.foresee(n)
-            hit = guess == now
-            narrow(slice(0, n), np.where(hit, 0, chance), np.where(hit, chance, 65536 - chance), 65536)
-            if not hit.all():
-                miss = np.flatnonzero(~hit)
-                narrow(miss, starts[miss, t], widths[miss, t], counts.total)
-            contexts.learn(now)
-        begin += width
-        until = 2 * until if begin == until else until
-    for shift in (32, 16, 0):
-        out[all_lanes, used] = (low >> np.uint64(shift)).astype(np.uint16)
-        used += 1
-    crcs = [zlib.crc32(sheet[i, :n].astype("<u4").tobytes()) for i, n in enumerate(sizes.tolist())]
-    table = np.stack([sizes, 2 * used, np.array(crcs)], axis=1).astype("<u4")
-    return head + table.tobytes() + b"".join(out[i, : used[i]].tobytes() for i in range(lanes))
-
-
-def decode(segment: bytes, n_ids: int, blocks: slice = slice(None), block: int = BLOCK) -> np.ndarray:
-    """Ids of a segment, or of some of its blocks; raises ValueError where a checksum fails."""
+class _Output:
+    """Low ends of the lanes' ranges, and the words that left them."""
+
+    def __init__(self, lanes: int, most: int):
+        self.low, self.span = np.zeros(lanes), np.full(lanes, TOP)
+        self.words = np.zeros(lanes * most, dtype=np.uint16)
+        self.begin = np.arange(lanes) * most
+        self.at = self.begin.copy()
+
+    def carry(self, n: int) -> None:
+        over = np.flatnonzero(self.low[:n] >= TOP)
+        self.low[over] -= TOP
+        at = self.at[over] - 1
+        while len(at):
+            self.words[at] += 1
+            at = at[self.words[at] == 0] - 1
+
+    def narrow(self, n: int, total, start, width, rounds: int = 1) -> None:
+        """Narrow the ranges of the first n lanes, and move words out of those that have become small."""
+        low, at = self.low[:n], self.at[:n]
+        unit = np.floor(self.span[:n] / total)
+        low += unit * start
+        span = unit * width
+        if low.max() >= TOP:
+            self.carry(n)
+        for _ in range(rounds):
+            small = span < BOTTOM
+            word = np.floor(low * (1 / BOTTOM))
+            self.words[at] = word  # where the range is not small the next word takes this one's place
+            low -= word * (small * BOTTOM)
+            shift = small * (WORD - 1) + 1
+            low *= shift
+            span *= shift
+            at += small
+        self.span[:n] = span
+
+    def finished(self) -> list[bytes]:
+        """The words of each lane."""
+        for _ in range(3):
+            word = np.floor(self.low * (1 / BOTTOM))
+            self.words[self.at] = word
+            self.low = (self.low - word * BOTTOM) * WORD
+            self.at += 1
+        return [self.words[i:j].astype("<u2").tobytes() for i, j in zip(self.begin.tolist(), self.at.tolist(), strict=True)]
+
+
+class _Input:
+    """Words of the lanes, how far the code is above the low end of the range, and the range."""
+
+    def __init__(self, coded: list[bytes]):
+        n = [len(c) // 2 for c in coded]
+        self.words = np.concatenate([np.frombuffer(b"".join(coded), dtype="<u2"), np.zeros(1, dtype=np.uint16)])
+        self.next = np.cumsum(n) - n
+        w = [self.words.take(self.next + k, mode="clip").astype(np.float64) for k in range(3)]
+        self.next += 3
+        self.code, self.span = (w[0] * WORD + w[1]) * WORD + w[2], np.full(len(n), TOP)
+
+    def narrow(self, n: int, start, width, rounds: int = 1) -> None:
+        """start, width: of the interval that holds the code."""
+        code, span, at = self.code[:n] - start, width, self.next[:n]
+        for _ in range(rounds):
+            small = span < BOTTOM
+            shift = small * (WORD - 1) + 1
+            code = code * shift + self.words.take(at, mode="clip") * small
+            span = span * shift
+            at += small
+        self.code[:n], self.span[:n] = code, span
+
+
+def _live(counts: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Lanes by falling count, and how many of them have a step 0, 1, 2 ..."""
+    order = np.argsort(-counts, kind="stable")
+    return order, (len(counts) - np.searchsorted(counts[order[::-1]], np.arange(counts.max()), "right")).tolist() if len(counts) else []
+
+
+def _list_encoded(ids: np.ndarray, counts: np.ndarray, fixed: Prior) -> list[bytes]:
+    """Fresh ids of all lanes, one lane after the other, as words of each lane."""
+    order, live = _live(counts)
+    out = _Output(len(counts), 2 * int(counts.max()) + 8)
+    first = (np.cumsum(counts) - counts)[order]
+    for t, n in enumerate(live):
+        now = ids.take(first[:n] + t)
+        out.narrow(n, fixed.total, fixed.start.take(now), fixed.size.take(now), rounds=2)
+    coded = out.finished()
+    return [coded[k] for k in np.argsort(order).tolist()]
+
+
+def _list_decoded(coded: list[bytes], counts: np.ndarray, fixed: Prior) -> np.ndarray:
+    order, live = _live(counts)
+    come = _Input([coded[k] for k in order.tolist()])
+    first = (np.cumsum(counts) - counts)[order]
+    ids = np.zeros(int(counts.sum()) + 1, dtype=np.int32)
+    for t, n in enumerate(live):
+        unit = np.floor(come.span[:n] / fixed.total)
+        now = fixed.id_at.take(np.floor(come.code[:n] / unit).astype(np.int64), mode="clip")
+        come.narrow(n, unit * fixed.start.take(now), unit * fixed.size.take(now), rounds=2)
+        ids[first[:n] + t] = now
+    return ids
+
+
+def _order0(sheet: np.ndarray, moments: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of the sheet (steps, lanes): ids counted below its id, and of it, when the counts were last taken; and, by moment and lane, ids counted once."""
+    steps, lanes = sheet.shape
+    rows = np.ascontiguousarray(sheet.T)
+    if rows.max(initial=0) < 1 << 16:
+        rows = rows.astype(np.uint16)  # sorted by digits
+    order = np.argsort(rows, axis=1, kind="stable")
+    ids = np.take_along_axis(rows, order, axis=1)
+    # Places in that order, lane after lane: an id's places go by step, so those of one stretch between moments stand together.
+    stretch = (np.searchsorted(moments, np.arange(steps), "right") - 1).astype(np.int16).take(order).ravel()
+    place = np.arange(lanes * steps, dtype=np.int32)
+    new = np.ones(rows.shape, dtype=bool)
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+    new = new.ravel()
+    head = np.maximum.accumulate(np.where(new, place, 0))
+    turn = new.copy()
+    turn[1:] |= stretch[1:] != stretch[:-1]
+    count = np.maximum.accumulate(np.where(turn, place, 0)) - head
+    below, upto = np.zeros(len(place), dtype=np.int32), np.zeros(len(place) + 1, dtype=np.int32)
+    for k in range(1, len(moments) - 1):
+        np.cumsum(stretch < k, dtype=np.int32, out=upto[1:])
+        here = np.flatnonzero(stretch == k)
+        below[here] = upto.take(head.take(here)) - here // steps * np.int32(moments[k])
+    # Counted once at a moment: the first place of an id is before it, a second one is not.
+    ones = np.zeros((len(moments), lanes), dtype=np.int64)
+    for places, sign in ((np.flatnonzero(new), 1), (np.flatnonzero(place == head + np.int32(1)), -1)):
+        ones[1:] += sign * np.cumsum(np.bincount(stretch[places] * lanes + places // steps, minlength=lanes * (len(moments) - 1)).reshape(-1, lanes), axis=0)
+    out = []
+    for x in (below, count):
+        back = np.empty(rows.shape, dtype=np.int32)
+        np.put_along_axis(back, order, x.reshape(rows.shape), axis=1)
+        out.append(np.ascontiguousarray(back.T))
+    return out[0], out[1], ones
+
+
+def _encoded(sheet: np.ndarray, short: int, fixed: Prior) -> tuple[list[bytes], np.ndarray, list[bytes]]:
+    """Words of each lane's list, its fresh ids, and words of its block; ``sheet``: (steps, lanes), the last lane has ``short`` ids."""
+    steps, lanes = sheet.shape
+    moments = _moments(steps)
+    below, counts, singles = _order0(sheet, moments)
+    contexts, weights, out = _Contexts(lanes), _Weights(lanes), _Output(lanes, steps + 8)
+    all_fresh = np.empty(sheet.shape, dtype=bool)
+    for k, (begin, end) in enumerate(zip(moments, moments[1:], strict=False)):
+        ones = singles[k] + 1.0 if begin else np.full(lanes, 16.0)
+        weights.take(ones + begin)
+        for i in range(begin, end, PIECE):
+            j = min(end, i + PIECE)
+            # Where the interval of each id begins and how large it is.
+            now = sheet[i:j]
+            kinds, is2, is1 = np.empty(now.shape, dtype=np.int32), np.empty(now.shape, dtype=bool), np.empty(now.shape, dtype=bool)
+            for t in range(j - i):
+                kinds[t] = contexts.foresee()
+                np.equal(contexts.g2, now[t], out=is2[t])
+                np.equal(contexts.g1, now[t], out=is1[t])
+                contexts.learn(now[t], is1[t], is2[t])
+            kinds += weights.lane
+            upto2, total = weights.upto2.take(kinds), weights.upto1.take(kinds)
+            is1 &= ~is2
+            hit = np.flatnonzero(is2 | is1)
+            fresh = all_fresh[i:j]
+            np.equal(counts[i:j], 0, out=fresh)
+            fresh.ravel()[hit] = False
+            start, width = np.where(fresh, begin, below[i:j]).astype(np.float64), np.where(fresh, ones, counts[i:j])
+            two, middle, order0 = is2.ravel()[hit], upto2.ravel()[hit], weights.order0[hit % lanes]
+            start.ravel()[hit] = np.where(two, order0, middle)
+            width.ravel()[hit] = np.where(two, middle - order0, total.ravel()[hit] - middle)
+            for t in range(j - i):
+                n = lanes if i + t < short else lanes - 1
+                out.narrow(n, total[t, :n], start[t, :n], width[t, :n])
+            weights.count(kinds, is2, is1)
+    all_fresh[short:, -1] = False
+    fresh = np.ascontiguousarray(all_fresh.T)
+    listed = fresh.sum(axis=1)
+    return _list_encoded(np.ascontiguousarray(sheet.T)[fresh], listed, fixed), listed, out.finished()
+
+
+def encode(ids: np.ndarray, n_ids: int, block: int = BLOCK, lanes: int = LANES) -> bytes:
+    """Segment of ids, all below ``n_ids``; ``lanes`` blocks go in step. A block has at most 2048 ids."""
+    if block > BLOCK:
+        raise ValueError("longer blocks would overflow the weights")
+    ids = np.asarray(ids, dtype=np.int32)
+    sizes, table, coded = _sizes(len(ids), block), [], []
+    for i in range(0, len(sizes), lanes):
+        some = sizes[i : i + lanes]
+        part = ids[i * block : i * block + int(some.sum())]
+        sheet = np.zeros((len(some), int(some[0])), dtype=np.int32)
+        sheet.ravel()[: len(part)] = part
+        lists, counts, blocks = _encoded(np.ascontiguousarray(sheet.T), int(some[-1]), prior(n_ids))
+        for k, (n, fresh) in enumerate(zip(some.tolist(), counts.tolist(), strict=True)):
+            table.append((n, fresh, len(lists[k]), len(blocks[k]), zlib.crc32(sheet[k, :n].astype("<u4").tobytes())))
+            coded += (lists[k], blocks[k])
+    return MAGIC + np.array([len(sizes)], dtype="<u4").tobytes() + np.array(table, dtype="<u4").tobytes() + b"".join(coded)
+
+
+def _decoded(lists: list[bytes], counts: np.ndarray, coded: list[bytes], sizes: np.ndarray, fixed: Prior) -> np.ndarray:
+    """Ids as (steps, lanes)."""
+    lanes, steps, short = len(sizes), int(sizes[0]), int(sizes[-1])
+    listed = _list_decoded(lists, counts, fixed)
+    next_fresh = np.cumsum(counts) - counts
+    sheet = np.zeros((steps, lanes), dtype=np.int32)
+    contexts, weights, come = _Contexts(lanes), _Weights(lanes), _Input(coded)
+    every = np.arange(lanes)
+    seen, ones = np.zeros(lanes, dtype=np.int64), np.full(lanes, 16.0)
+    moments = _moments(steps)
+    for begin, end in zip(moments, moments[1:], strict=False):
+        if begin:
+            rows = sheet[:begin].T
+            rows = np.sort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, axis=1, kind="stable")
+            new = np.ones((lanes, begin), dtype=bool)
+            np.not_equal(rows[:, 1:], rows[:, :-1], out=new[:, 1:])
+            head = np.flatnonzero(new)
+            size = np.diff(np.append(head, lanes * begin))
+            ones = np.bincount(head[size == 1] // begin, minlength=lanes) + 1.0
+            # The id at each place of the counts, the first place of that id, and how many it has.
+            seen = np.repeat(rows.ravel()[head] + (head % begin << ID_BITS) + (size << ID_BITS + 12), size)
+            weights.take(ones + begin)
+        order0, row, most = weights.order0, every * max(begin, 1), np.full(lanes, float(max(begin - 1, 0)))
+        low12, here, zero = np.full(lanes, 0xFFF), np.full(lanes, float(begin)), np.zeros(lanes)
+        for i in range(begin, end, PIECE):
+            j = min(end, i + PIECE)
+            kinds, hits2, hits1 = np.empty((j - i, lanes), dtype=np.int32), np.empty((j - i, lanes), dtype=bool), np.empty((j - i, lanes), dtype=bool)
+            for t in range(j - i):
+                kind = np.add(contexts.foresee(), weights.lane, out=kinds[t])
+                upto2, total = weights.upto2.take(kind), weights.upto1.take(kind)
+                unit = np.floor(come.span / total)
+                value = np.floor(come.code / unit)
+                hit, fresh = value >= order0, value >= here
+                hit2 = hit & (value < upto2)
+                found = seen.take(row + np.maximum(np.minimum(value, most), zero).astype(np.int64))
+                start = np.where(fresh, here, found >> ID_BITS & low12)
+                width = np.where(fresh, ones, found >> ID_BITS + 12)
+                now = np.where(fresh, listed.take(next_fresh, mode="clip"), found & _ID).astype(np.int32)
+                which = np.flatnonzero(hit)
+                if len(which):
+                    two, upper = hit2[which], upto2[which]
+                    start[which] = np.where(two, order0[which], upper)
+                    width[which] = np.where(two, upper - order0[which], total[which] - upper)
+                    now[which] = np.where(two, contexts.g2[which], contexts.g1[which])
+                next_fresh += fresh & ~hit
+                n = lanes if i + t < short else lanes - 1
+                come.narrow(n, (unit * start)[:n], (unit * width)[:n])
+                sheet[i + t] = now
+                is2, is1 = contexts.g2 == now, contexts.g1 == now
+                hits2[t], hits1[t] = is2, is1 & ~is2
+                contexts.learn(now, is1, is2)
+            weights.count(kinds, hits2, hits1)
+    return sheet
+
+
+def decode(segment: bytes, n_ids: int, blocks: slice = slice(None), lanes: int = LANES) -> np.ndarray:
+    """Ids of a segment, or of some of its blocks; raises ValueError where it is no segment or a checksum fails."""
     if segment[:4] != MAGIC:
         raise ValueError("no segment")
-    lanes = int(np.frombuffer(segment, dtype="<u4", count=1, offset=4)[0])
-    table = np.frombuffer(segment, dtype="<u4", count=3 * lanes, offset=8).reshape(lanes, 3).astype(np.int64)
-    ends = 8 + 12 * lanes + np.cumsum(table[:, 1])
-    table, begins = table[blocks], (ends - table[:, 1])[blocks]
-    lanes, sizes = len(table), table[:, 0]
-    if not lanes:
-        return np.zeros(0, dtype=np.uint32)
-    words = np.zeros((lanes, int(table[:, 1].max()) // 2 + 8), dtype="<u2")
-    for i in range(lanes):
-        words[i, : table[i, 1] // 2] = np.frombuffer(segment, dtype="<u2", count=table[i, 1] // 2, offset=int(begins[i]))
-    steps = int(sizes[0])
-    sheet = np.zeros((lanes, steps), dtype=np.int64)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _MASK, dtype=np.uint64)
-    code = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64) << np.uint64(16) | words[:, 2].astype(np.uint64)
-    used, all_lanes = np.full(lanes, 3, dtype=np.int64), np.arange(lanes)
-    contexts, counts = _Contexts(lanes), _Counts(n_ids)
-
-    def narrow(which, r, start, size):
-        low[which] += r * start.astype(np.uint64)
-        span[which] = r * size.astype(np.uint64)
-        while True:
-            a, b = low[which], span[which]
-            ready = (((a ^ (a + b - np.uint64(1))) >> _TOP) == 0) | (b < _BOT)
-            if not ready.any():
-                return
-            at = all_lanes[which][ready]
-            a, b = low[at], span[at]
-            settled = ((a ^ (a + b - np.uint64(1))) >> _TOP) == 0
-            b = np.where(settled, b, (~a + np.uint64(1)) & (_BOT - np.uint64(1)))
-            code[at] = (code[at] << np.uint64(16)) & _MASK | words[at, np.minimum(used[at], words.shape[1] - 1)].astype(np.uint64)
-            used[at] += 1
-            low[at], span[at] = (a << np.uint64(16)) & _MASK, b << np.uint64(16)
-
-    begin, until = 0, FIRST_COUNT
-    while begin < steps:
-        if begin:
-            counts.take(sheet[:, :begin])
-        for t in range(begin, min(until, steps)):
-            n = lanes if t < sizes[-1] else lanes - 1
-            which = slice(0, n)
-            guess, chance = contexts.foresee(n)
-            r = span[which] >> np.uint64(16)
-            value = ((code[which] - low[which]) // r).astype(np.int64)
-            hit = value < chance
-            narrow(which, r, np.where(hit, 0, chance), np.where(hit, chance, 65536 - chance))
-            now = guess.copy()
-            if not hit.all():
-                miss = np.flatnonzero(~hit)
-                r = span[miss] // np.uint64(counts.total)
-                value = np.minimum(((code[miss] - low[miss]) // r).astype(np.int64), counts.total - 1)
-                now[miss], start, size = counts.at(value, miss)
-                narrow(miss, r, start, size)
-            sheet[:n, t] = now
-            contexts.learn(now)
-        begin, until = until, 2 * until
-    for i, (n, _, crc) in enumerate(table.tolist()):
-        if zlib.crc32(sheet[i, :n].astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {i} is damaged")
-    return np.concatenate([sheet[i, :n] for i, n in enumerate(sizes.tolist())]).astype(np.uint32)
+    whole = int(np.frombuffer(segment, dtype="<u4", count=1, offset=4)[0])
+    table = np.frombuffer(segment, dtype="<u4", count=HEAD * whole, offset=8).reshape(whole, HEAD).astype(np.int64)
+    ends = (8 + 4 * HEAD * whole + np.cumsum(table[:, 2] + table[:, 3]))[blocks]
+    table, out = table[blocks], []
+    for i in range(0, len(table), lanes):
+        some = table[i : i + lanes]
+        cuts = list(zip(ends[i : i + lanes].tolist(), some[:, 2].tolist(), some[:, 3].tolist(), strict=True))
+        lists, coded = [segment[e - n - m : e - n] for e, m, n in cuts], [segment[e - n : e] for e, _, n in cuts]
+        with np.errstate(all="ignore"):  # what a damaged block says is caught by its checksum
+            sheet = np.ascontiguousarray(_decoded(lists, some[:, 1], coded, some[:, 0], prior(n_ids)).T)
+        for k, (n, *_, crc) in enumerate(some.tolist()):
+            if zlib.crc32(sheet[k, :n].astype("<u4").tobytes()) != crc:
+                raise ValueError(f"block {i + k} is damaged")
+            out.append(sheet[k, :n])
+    return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, dtype=np.uint32)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import renamed
-from .tokens import released, text_chunks
+from .tokens import released
 from .word_ids import WordIds
 
 MARK = "▁"
@@ -104,7 +104,7 @@ class Pieces:
     def pair(self, a: int, b: int) -> bool:
         known = self.pairs.get(a << 24 | b)
         if known is None:
-            if len(self.pairs) > 300_000:
+            if len(self.pairs) > 1 << 17:
                 self.pairs.clear()
             known = self.pairs[a << 24 | b] = self.merged(self.texts[a] + self.texts[b]) == [a, b]
         return known
@@ -194,13 +194,14 @@ class Encoder(WordIds):
         blank, line = buf == 0x20, buf == 0x0A
         return (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
 
-    def tokenised(self, words: list[bytes]) -> list[list[int]]:
+    def tokenised(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         marked = [w.decode().replace(" ", MARK) for w in words]
         order = sorted(range(len(marked)), key=marked.__getitem__)
         found: list = [None] * len(marked)
         for k, ids in zip(order, self.pieces.encode_sorted([marked[k] for k in order]), strict=True):
             found[k] = ids
-        return found
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(n.sum())), n
 
 
 _encoders: dict[int, Encoder] = {}
@@ -225,8 +226,7 @@ def encoded(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for batch in batches:
-            for part, some in text_chunks(batch.column("text")):
-                ids, n = encoder.encode(some)
+            for part, _, ids, n in encoder.encode_column(batch.column("text")):
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 yield pa.record_batch({"id": batch.column("id")[part], "n_tokens": n, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))})
 
@@ -256,8 +256,7 @@ def round_trip(docs: DataFrame, model_file: str | None = None, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for batch in batches:
-            for part, some in text_chunks(batch.column("text")):
-                ids, n = encoder.encode(some)
+            for part, some, ids, n in encoder.encode_column(batch.column("text")):
                 cuts = np.concatenate(([0], np.cumsum(n))).tolist()
                 raw, listed = ids.astype("<u4").tobytes(), ids.tolist()
                 back = [encoder.pieces.decode(listed[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .storage import new_path, renamed
-from .tokens import released, text_chunks
+from .tokens import released
 from .word_ids import WordIds
 
 END_ID = 2
@@ -38,11 +38,14 @@ class ByteLevelBPE(WordIds):
     """
 
     def __init__(self, spec: str):
-        super().__init__()
+        super().__init__(remembered=1 << 20)
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.size_of_vocabulary = self.tokenizer.get_vocab_size()
+        # Each character of a token stands for a byte; of an added token the text itself is meant.
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.token_bytes = np.array([len(added[i].content.encode() if i in added else self.tokenizer.id_to_token(i) or "") for i in range(self.size_of_vocabulary)])
 
     def begins(self, buf: np.ndarray) -> np.ndarray:
         white = (buf == 0x20) | ((buf >= 0x09) & (buf <= 0x0D))
@@ -53,8 +56,34 @@ class ByteLevelBPE(WordIds):
         odd[2:] |= (buf[:-3] >= 0xE1) & (buf[:-3] <= 0xE3)
         return after & ~odd
 
-    def tokenised(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def tokenised(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that begin with white space, so that they are words in any company, go as one text; its ids are dealt out by their bytes."""
+        joint = np.array([w[0] == 0x20 or 0x09 <= w[0] <= 0x0D for w in words], dtype=bool)
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        while True:
+            which = np.flatnonzero(joint)
+            text = b"".join([words[i] for i in which.tolist()])
+            ends = np.cumsum(length[which])
+            # A word such as one of white space alone would melt into the one after it.
+            clean = self.begins(np.frombuffer(text + b" ", dtype=np.uint8))[ends - 1] if len(which) else np.ones(0, dtype=bool)
+            if clean.all():
+                break
+            joint[which[~clean]] = False
+        flat = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        upto = np.cumsum(self.token_bytes[flat])
+        last = np.searchsorted(upto, ends)
+        if len(which) and (upto[-1] != ends[-1] or (upto[np.minimum(last, len(upto) - 1)] != ends).any()):
+            raise ValueError("a token goes beyond a word")
+        n = np.zeros(len(words), dtype=np.int64)
+        n[which] = np.diff(last + 1, prepend=0)
+        alone = np.flatnonzero(~joint)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in alone.tolist()], add_special_tokens=False)]
+        n[alone] = [len(ids) for ids in found]
+        out = np.zeros(int(n.sum()), dtype=np.uint32)
+        of_joint = np.repeat(joint, n)
+        out[of_joint] = flat
+        out[~of_joint] = [i for ids in found for i in ids]
+        return out, n
 
 
 _bpe: dict[int, ByteLevelBPE] = {}
@@ -87,8 +116,7 @@ def _writer(spec: str, end_id: int, segment_ids: int):
 
         total = 0
         for batch in batches:
-            for part_of, texts in text_chunks(batch.column("text")):
-                flat, n = bpe.encode(texts)
+            for part_of, _, flat, n in bpe.encode_column(batch.column("text")):
                 ends = np.cumsum(n)
                 flat = np.insert(flat, ends, end_id)  # an end after each document
                 docs += batch.column("id")[part_of].to_pylist()
@@ -104,11 +132,11 @@ def _writer(spec: str, end_id: int, segment_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 22) -> None:
     """Write the token ids of ``docs``, by ascending id (null first; rows of one id by text), an end id after each.
 
     Null text is empty. An empty table writes an empty one; other columns are ignored. ``segment_ids`` is about what
-    a task holds at a time.
+    a task holds at a time; a longer document is a segment of its own (4 bytes an id; it is tokenised and coded in runs).
     """
     with open(tokenizer_file or default_tokenizer(), encoding="utf-8") as f:
         spec = f.read()

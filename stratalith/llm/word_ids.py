@@ -1,28 +1,83 @@
 """Token ids of texts by way of their distinct words.
 
-Where a tokenizer works on each word of a text by itself, only the distinct words need it: a worker remembers the ids
-of the words it has met, as sorted hashes beside spans of one array, and texts are put together from those.
+Where a tokenizer works on each word of a text by itself, only the distinct words need it: a worker remembers the words
+it has met, by sorted hashes, with their bytes and ids, and texts are put together from those. A word counts as met
+only if its bytes are the same too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+
+from .tokens import span_hashes, text_chunks
+
+#: Longest run of bytes that is taken at a time; longer texts are cut where a word begins.
+RUN = 1 << 22
+
+
+class _Grown:
+    """An array that grows at its end."""
 
-from .tokens import span_hashes
+    def __init__(self, dtype):
+        self.held, self.n = np.zeros(1024, dtype=dtype), 0
 
-#: Distinct words that a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+    def append(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n > len(self.held):
+            held = np.zeros(n + n // 2, dtype=self.held.dtype)
+            held[: self.n] = self.held[: self.n]
+            self.held = held
+        self.held[self.n : n] = more
+        self.n = n
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0] .. begin[0] + size[0] - 1, begin[1] ..."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 class WordIds:
-    """prepared(), begins() and tokenised() say what a word is and what its ids are."""
+    """prepared(), begins() and tokenised() say what a word is and what its ids are; about ``remembered`` words, of 32 bytes on average, are kept."""
 
-    def __init__(self):
+    hashes_of = staticmethod(span_hashes)
+
+    def __init__(self, remembered: int = 1 << 18):
+        self.remembered = remembered
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
+        self.hashes, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.ids, self.bytes = _Grown(np.uint32), _Grown(np.uint8)
+        # Of each row: where its ids and bytes begin and how many they are; whether it was met again since the last sweep.
+        self.at, self.size, self.off, self.length, self.met = _Grown(np.int64), _Grown(np.int32), _Grown(np.int64), _Grown(np.int32), _Grown(bool)
+
+    def sweep(self) -> None:
+        """Keep the words met again since the last sweep; all go if those are too many."""
+        rows = np.flatnonzero(self.met.held[: self.met.n])
+        if 2 * len(rows) > self.remembered or self.length.held[rows].sum() > 16 * self.remembered:
+            return self.forget()
+        order = rows[np.argsort(np.argsort(self.row)[rows])]  # by hash
+        hashes = self.hashes[self.met.held[self.row]]
+        at, size, off, length = (x.held[order] for x in (self.at, self.size, self.off, self.length))
+        ids, raw = self.ids.held[_ranges(at, size)], self.bytes.held[_ranges(off, length)]
+        self.forget()
+        self._remember(hashes, ids, size, raw, length)
+        self.met.held[: self.met.n] = False
+
+    def _remember(self, hashes, ids, size, raw, length) -> None:
+        where = np.searchsorted(self.hashes, hashes)
+        self.row = np.insert(self.row, where, np.arange(self.at.n, self.at.n + len(hashes), dtype=np.int32))
+        self.hashes = np.insert(self.hashes, where, hashes)
+        self.at.append(self.ids.n + np.cumsum(size) - size)
+        self.off.append(self.bytes.n + np.cumsum(length) - length)
+        self.size.append(size)
+        self.length.append(length)
+        self.ids.append(ids)
+        self.bytes.append(raw)
+        self.met.append(np.zeros(len(hashes), dtype=bool))
 
     def prepared(self, text: bytes) -> bytes:
         return text
@@ -31,22 +86,15 @@ class WordIds:
         """Whether a word begins at each byte but the first."""
         raise NotImplementedError
 
-    def tokenised(self, words: list[bytes]) -> list[list[int]]:
+    def tokenised(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many are each word's."""
         raise NotImplementedError
 
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Encode words of new hashes (sorted)."""
-        found = self.tokenised(words)
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(size.sum()))
-        where = np.searchsorted(self.hashes, hashes)
-        at = len(self.flat) + np.cumsum(size) - size
-        self.hashes, self.at, self.size = np.insert(self.hashes, where, hashes), np.insert(self.at, where, at), np.insert(self.size, where, size)
-        self.flat = np.concatenate([self.flat, flat])
-
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many are each text's."""
-        texts = [self.prepared(t) for t in texts]
+        return self._encoded([self.prepared(t) for t in texts])
+
+    def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         raw = b"".join(texts)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         buf = np.frombuffer(raw, dtype=np.uint8)
@@ -57,20 +105,57 @@ class WordIds:
         ends = np.cumsum(sizes)
         begin[ends[:-1][ends[:-1] < len(buf)]] = True
         starts = np.flatnonzero(begin)
-        stops = np.append(starts[1:], len(buf))
-        distinct, first, inverse = np.unique(span_hashes(buf, starts, stops), return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
-            self.forget()
+        lengths = np.diff(np.append(starts, len(buf)))
+        distinct, first, inverse = np.unique(self.hashes_of(buf, starts, starts + lengths), return_index=True, return_inverse=True)
+        if len(self.hashes) > self.remembered or self.bytes.n > 32 * self.remembered:
+            self.sweep()
         place = np.searchsorted(self.hashes, distinct)
         inside = place < len(self.hashes)
         new = np.ones(len(distinct), dtype=bool)
         new[inside] = self.hashes[place[inside]] != distinct[inside]
         if new.any():
             some = first[new]
-            self.learn(distinct[new], [raw[i:j] for i, j in zip(starts[some].tolist(), stops[some].tolist(), strict=True)])
+            flat, n = self.tokenised([raw[i : i + m] for i, m in zip(starts[some].tolist(), lengths[some].tolist(), strict=True)])
+            self._remember(distinct[new], flat, n, buf[_ranges(starts[some], lengths[some])], lengths[some])
             place = np.searchsorted(self.hashes, distinct)
-        place = place[inverse]
-        each = self.size[place]
-        ids = self.flat[np.arange(int(each.sum())) + np.repeat(self.at[place] - (np.cumsum(each) - each), each)]
+        row = self.row[place]
+        self.met.held[row[~new]] = True  # met again
+        row = row[inverse]
+        if (self.length.held[row] == lengths).all() and (self.bytes.held[_ranges(self.off.held[row], lengths)] == buf).all():
+            each = self.size.held[row].astype(np.int64)
+            ids = self.ids.held[_ranges(self.at.held[row], each)]
+        else:  # two words share a hash: take this run's words by their bytes
+            words = [raw[i : i + m] for i, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
+            number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            flat, n = self.tokenised(list(number))
+            which = np.fromiter((number[w] for w in words), dtype=np.int64, count=len(words))
+            each = n[which].astype(np.int64)
+            ids = flat[_ranges((np.cumsum(n) - n)[which], each)]
         doc = np.searchsorted(ends, starts, "right")
         return ids, np.bincount(doc, weights=each, minlength=len(texts)).astype(np.int64)
+
+    def runs(self, text: bytes, most: int = RUN) -> Iterator[bytes]:
+        """A prepared text cut where words begin, in runs of about ``most`` bytes (more only where a word is longer)."""
+        begin = 0
+        while len(text) - begin > most:
+            for reach in (1 << 12, most, len(text)):
+                buf = np.frombuffer(text, dtype=np.uint8, offset=begin, count=min(len(text) - begin, most + reach))
+                low = most - min(reach, most)
+                cuts = np.flatnonzero(self.begins(buf[low:]))
+                if len(cuts):
+                    break
+            else:
+                break
+            cut = begin + low + 1 + int(cuts[len(cuts) // 2])
+            yield text[begin:cut]
+            begin = cut
+        yield text[begin:]
+
+    def encode_column(self, column: pa.Array, most: int = RUN) -> Iterator[tuple[slice, list[bytes], np.ndarray, np.ndarray]]:
+        """Runs of a text column: their rows, texts, ids, and how many ids are each text's."""
+        for part, texts in text_chunks(column):
+            if len(texts) == 1 and len(texts[0]) > most:
+                ids = [self._encoded([run])[0] for run in self.runs(self.prepared(texts[0]), most)]
+                yield part, texts, np.concatenate(ids), np.array([sum(map(len, ids))])
+            else:
+                yield part, texts, *self.encode(texts)

@@ -225,17 +225,61 @@ def test_unigram_viterbi_is_the_library_s():
 
 def test_range_coder_round_trip_and_checksums():
     rng = np.random.default_rng(3)
-    for a in ([], [7], rng.integers(0, 50257, 3000), [5] * 5000, np.tile(rng.integers(0, 50257, 300), 9), [50256] * 10):
+    some = [[], [7], [0], rng.integers(0, 50257, 3000), [5] * 5000, np.tile(rng.integers(0, 50257, 300), 9), [50256] * 10, rng.zipf(1.3, 20_000) % 50257, np.arange(4096), np.repeat(np.arange(700), 3)]
+    for a in some:
         a = np.array(a, dtype=int)
-        coded = range_coder.encode(a, 50257, 256)
-        assert (range_coder.decode(coded, 50257, block=256) == a).all()
+        for block, lanes in ((256, 4096), (2048, 3), (100, 7)):
+            coded = range_coder.encode(a, 50257, block, lanes)
+            assert (range_coder.decode(coded, 50257) == a).all() and (range_coder.decode(coded, 50257, lanes=2) == a).all()
+    many = rng.integers(0, 120_000, 9000)
+    assert (range_coder.decode(range_coder.encode(many, 120_000), 120_000) == many).all()
     a = np.arange(5000) % 3000
     coded = range_coder.encode(a, 50257, 256)
     assert (range_coder.decode(coded, 50257, slice(3, 5)) == a[768:1280]).all()
-    damaged = bytearray(coded)
-    damaged[-50] ^= 1
-    with pytest.raises(ValueError):
-        range_coder.decode(bytes(damaged), 50257)
+    for where in (-50, -3000, 300, 3):
+        damaged = bytearray(coded)
+        damaged[where] ^= 1
+        with pytest.raises(ValueError):
+            range_coder.decode(bytes(damaged), 50257)
+
+
+def test_range_coder_learns():
+    rng = np.random.default_rng(4)
+    phrases = [rng.integers(0, 50257, 40) for _ in range(3)]
+    a = np.concatenate([phrases[i] for i in rng.integers(0, 3, 400)])
+    assert 8 * len(range_coder.encode(a, 50257)) < 4 * len(a)
+    assert 8 * len(range_coder.encode(rng.zipf(1.5, 50_000) % 50257, 50257)) < 10 * 50_000
+
+
+def test_words_that_share_a_hash_keep_their_ids():
+    from stratalith.llm.word_ids import WordIds
+
+    class Sizes(WordIds):
+        hashes_of = staticmethod(lambda buf, a, b: (b - a).astype(np.uint64) % np.uint64(3))
+
+        def begins(self, buf):
+            return buf[1:] == 0x20
+
+        def tokenised(self, words):
+            n = np.array([len(w) for w in words])
+            return np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.uint32), n
+
+    for remembered in (1, 5, 1000):
+        s = Sizes(remembered)
+        for texts in ([b"abc abc def de", b"", b"xyz"], [b"abc", b"abd abc"], [b"longer words and more of them"]):
+            ids, n = s.encode(texts)
+            assert bytes(ids.astype(np.uint8)) == b"".join(texts) and n.tolist() == list(map(len, texts))
+
+
+def test_long_texts_are_cut_where_words_begin():
+    bpe = token_binary._of(open(token_binary.default_tokenizer()).read())
+    r = random.Random(12)
+    for text in (" ".join("".join(r.choice("abcé ") for _ in range(r.randrange(9))) for _ in range(4000)), "x" * 30_000, "a\u00a0 \n b<|endoftext|> " * 900):
+        raw = text.encode()
+        runs = list(bpe.runs(raw, 700))
+        assert b"".join(runs) == raw
+        ids = [i for run in runs for i in bpe.encode([run])[0].tolist()]
+        assert ids == bpe.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_token_table(spark, tmp_path):
@@ -249,6 +293,10 @@ def test_token_table(spark, tmp_path):
         want = library.encode(ODD[g.doc_id] or "", add_special_tokens=False).ids + [2]
         assert g.ids == want and g.n_tokens == len(want) and starts[g.part, g.seq] + g.before == at
         at += len(want)
+    twice = df.unionByName(df.where("doc_id = 1")).unionByName(df.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
+    token_binary.write_tokens(twice, path + "-twice", segment_ids=200)
+    got = token_binary.read_tokens(spark, path + "-twice").select("doc_id", "ids").collect()
+    assert len(got) == len(ODD) + 4 and all(g.ids == library.encode(ODD[g.doc_id] or "", add_special_tokens=False).ids + [2] for g in got if g.doc_id is not None)
     token_binary.write_tokens(df.limit(0), path + "-none")
     assert token_binary.read_tokens(spark, path + "-none").count() == 0
 
