@@ -3,13 +3,13 @@
 A window is 13 consecutive words of one document. A word goes when a window over it also starts in a document
 with a smaller id; windows are judged on the input.
 
-1. Documents are dealt to batches by ranges of ids, so that a smaller batch only has smaller ids.
-2. Recurring passages are confirmed: each batch sends the 64-bit hashes of its distinct windows to buckets (dealt
-   by a second, independent hash), and a bucket answers with one bit for each: whether a smaller batch has it.
-   A window that is in a third of all documents is sent once by a batch.
-3. Each batch compiles an Aho-Corasick automaton of its confirmed passages' anchor phrases (the 5-word phrase of
-   least hash in a window, over a word alphabet of the batch), streams its documents through it, and checks the
-   windows around every hit.
+1. Documents are dealt to shards by ranges of ids, so that a smaller shard only has smaller ids.
+2. Recurring passages are confirmed: each shard sends the 64-bit hashes of its distinct windows to buckets (dealt
+   by a second, independent hash), and a bucket answers with one bit for each: whether a smaller shard has it.
+   A window that is in a third of all documents is sent once by a shard.
+3. Each shard compiles an Aho-Corasick automaton of its confirmed passages, window by window, over an alphabet of
+   words (equal symbols stand for words of equal bytes), each with the smallest document that has it. All documents of
+   the shard stream through it: every word that goes is found by a hit of the automaton, and by nothing else.
 """
 
 from __future__ import annotations
@@ -17,33 +17,40 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import renamed
-from .tokens import U64, Chunk, as_bytes, mixed, windows, within
-
-ANCHOR = 5
-#: Code points for words: all but 0 and the surrogates.
-_ALPHABET = 0x10F000
-KNOTS = 64
-
-
-def id_ranges(docs: DataFrame, n: int, id_col: str = "id"):
-    """Column of 0..n-1 that never falls as the id grows, of about equal counts; null ids get 0."""
-    steps = [i / KNOTS for i in range(KNOTS + 1)]
-    found = docs.approxQuantile(id_col, steps, 0.002)
-    if not found or n <= 1 or found[0] == found[-1]:
-        return F.lit(0)
-    places = dict(zip(found, steps, strict=True))  # of equal knots the last
-    knots, at = list(places), list(places.values())
-    at[0] = 0.0
-    value = F.col(id_col).cast("double")
-    k = F.greatest(F.lit(1), F.least(F.lit(len(knots) - 1), F.size(F.filter(F.array(*map(F.lit, knots)), lambda x: x <= value))))
-    lo, hi = (F.element_at(F.array(*map(F.lit, knots)), i) for i in (k, k + 1))
-    p, q = (F.element_at(F.array(*map(F.lit, at)), i) for i in (k, k + 1))
+from .tokens import U64, Chunk, as_bytes, windows, within
+
+#: Code points for words: all but 0 and the surrogates. Where they do not do, a word is two of them.
+_ALPHABET, _LOW = 0x10F000, 0xD000
+KNOTS = 256
+
+
+def id_ranges(docs: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """Column of shards that never falls as the id grows, of about ``shard_bytes`` of text each, and all bytes.
+
+    The knots are quantiles of the ids; the bytes between them are counted, and inside they are taken as evenly spread.
+    Rows without an id take part in nothing and go to any shard.
+    """
+    found = sorted(set(docs.approxQuantile("id", [i / KNOTS for i in range(KNOTS + 1)], 0.001)))
+    value, knots = F.col("id").cast("double"), F.array(*map(F.lit, found or [0.0]))
+    k = F.greatest(F.lit(1), F.least(F.lit(max(1, len(found) - 1)), F.size(F.filter(knots, lambda x: x <= value))))
+    sums = {r.k: r.n for r in docs.groupBy(F.when(F.col("id").isNotNull(), k).alias("k")).agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    size = sum(sums.values())
+    upto = [0]
+    for i in range(1, max(1, len(found) - 1) + 1):
+        upto.append(upto[-1] + sums.get(i, 0))
+    n = max(1, -(-upto[-1] // shard_bytes))
+    anywhere = F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
+    if len(found) < 2:
+        return F.when(F.col("id").isNull(), anywhere).otherwise(F.lit(0)), size
+    lo, hi = (F.element_at(knots, i) for i in (k, k + 1))
+    p, q = (F.element_at(F.array(*[F.lit(float(u)) for u in upto]), i) for i in (k, k + 1))
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - lo) / (hi - lo)))
-    return F.coalesce(F.least(F.lit(n - 1), F.floor((p + part * (q - p)) * n)), F.lit(0)).cast("int")
+    shard = F.least(F.lit(n - 1), F.floor((p + part * (q - p)) * (n / max(upto[-1], 1)))).cast("int")
+    return F.when(F.col("id").isNull(), anywhere).otherwise(shard), size
 
 
 class _Batch:
@@ -101,21 +108,34 @@ FOUND = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa
 FOUND_SQL = "id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 
 
-def _anchor_hits(b: _Batch, confirmed: np.ndarray, k: int) -> np.ndarray:
-    """First words of every occurrence of the confirmed windows' anchors, found by the automaton."""
-    starts = b.pos[b.first[confirmed]]
-    phrases = mixed(windows(b.h, ANCHOR))
-    around = starts[:, None] + np.arange(k - ANCHOR + 1)
-    at = starts + np.argmin(phrases[around], axis=1)
-    at = at[np.unique(phrases[at], return_index=True)[1]]
-    code = np.unique(b.h, return_inverse=True)[1] % _ALPHABET + 1
-    code[code >= 0xD800] += 0x800
-    text = code.astype("<u4").tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for i in at.tolist():
-        automaton.add_word(text[i : i + ANCHOR])
+def _spelled(c: Chunk, h: np.ndarray) -> tuple[str, int]:
+    """The words of the chunk as a string over an alphabet of words, and the symbols a word has. Words of equal symbols have equal bytes."""
+    first, code = np.unique(h, return_index=True, return_inverse=True)[1:]
+    size = c.w_ends - c.w_starts
+    own = first[code]
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    same = (size[own] == size).all() and (c.buf[at + np.repeat(c.w_starts[own], size)] == c.buf[at + np.repeat(c.w_starts, size)]).all()
+    if not same:  # two words share a hash
+        words = c.words()
+        number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        code = np.fromiter((number[w] for w in words), dtype=np.int64, count=len(words))
+    if len(code) == 0 or int(code.max()) + 1 < _ALPHABET:
+        code = code + 1
+        code[code >= 0xD800] += 0x800
+        return code.astype("<u4").tobytes().decode("utf-32-le"), 1
+    # The two halves have symbols of their own, so that no half stands for the other.
+    both = np.stack([0x10000 + code // _LOW, 1 + code % _LOW], axis=1)
+    return both.astype("<u4").tobytes().decode("utf-32-le"), 2
+
+
+def _occurrences(text: str, symbols: int, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows that begin at ``starts`` occur in the text, by automaton: numbers of windows, and first words of their occurrences."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for number, i in enumerate((starts * symbols).tolist()):
+        automaton.add_word(text[i : i + k * symbols], number)
     automaton.make_automaton()
-    return np.fromiter((end for end, _ in automaton.iter(text)), dtype=np.int64) - (ANCHOR - 1)
+    found = np.fromiter((x for hit in automaton.iter(text) for x in hit), dtype=np.int64).reshape(-1, 2)
+    return found[:, 1], (found[:, 0] + 1) // symbols - k
 
 
 def _remover(k: int, n_buckets: int):
@@ -129,23 +149,21 @@ def _remover(k: int, n_buckets: int):
         for bucket, i, j in zip(b.buckets.tolist(), b.cuts, b.cuts[1:], strict=False):
             outside[b.order[i:j]] = np.unpackbits(np.frombuffer(told[bucket], dtype=np.uint8), count=j - i).astype(bool)
         ids = np.array([i or 0 for i in b.ids], dtype=np.int64)
-        of = ids[c.w_doc[b.pos]]
-        goes = outside[b.inverse] | (of > of[b.first][b.inverse])
-        window = np.zeros(n + 1, dtype=bool)
-        window[b.pos[goes]] = True
+        own = ids[c.w_doc[b.pos[b.first]]]  # the smallest document of the shard that has the window
+        confirmed = outside.copy()
+        confirmed[b.inverse[ids[c.w_doc[b.pos]] > own[b.inverse]]] = True
         covered = np.zeros(n, dtype=bool)
-        if goes.any():
-            confirmed = np.zeros(len(b.distinct), dtype=bool)
-            confirmed[b.inverse[goes]] = True
-            hits = _anchor_hits(b, np.flatnonzero(confirmed), k)
-            near = (hits[:, None] - np.arange(k - ANCHOR + 1)).ravel()
-            near = near[near >= 0]
-            near = near[window[near]]
+        if confirmed.any():
+            passages = np.flatnonzero(confirmed)
+            text, symbols = _spelled(c, b.h)
+            which, at = _occurrences(text, symbols, b.pos[b.first[passages]], k)
+            doc = c.w_doc[at]
+            named = np.array([i is not None for i in b.ids], dtype=bool)
+            goes = (doc == c.w_doc[at + k - 1]) & named[doc] & (outside[passages[which]] | (own[passages[which]] < ids[doc]))
             edge = np.zeros(n + 1, dtype=np.int32)
-            begun = np.zeros(n + 1, dtype=bool)
-            begun[near] = True
-            edge[np.flatnonzero(begun)] += 1
-            edge[np.flatnonzero(begun) + k] -= 1
+            begun = np.unique(at[goes])
+            edge[begun] += 1
+            edge[begun + k] -= 1
             covered = np.cumsum(edge[:n]) > 0
         # Kept words, each with one space after it, cut from the bytes.
         out = c.buf.copy()
@@ -183,15 +201,15 @@ def _remover(k: int, n_buckets: int):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 13, batch_bytes: int = 3_000_000, bucket_windows: int = 1_500_000) -> DataFrame:
     """One row per input row: id_col, n_words, n_removed, removed (word spans), kept_text.
 
-    ``batch_bytes`` of text and ``bucket_windows`` hashes are what one task holds at a time; both grow with the
-    executors, not with the input. Null text has no words; a row with a null id keeps all its words and takes none
+    About ``batch_bytes`` of text (a longer document is a shard of its own) and ``bucket_windows`` hashes are what one
+    task holds at a time; both grow with the executors, not with the input. Null text has no words; a row with a null id keeps all its words and takes none
     from others; rows that share an id take none from each other. An empty table gives no rows; other columns are
-    ignored. ``words`` is at least 5.
+    ignored.
     """
     rows = renamed(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches, n_buckets = max(1, -(-size // batch_bytes)), max(1, -(-size // (6 * bucket_windows)))
-    dealt = rows.withColumn("batch", id_ranges(rows, n_batches)).select("batch", "id", "text")
+    shard, size = id_ranges(rows, batch_bytes)
+    n_buckets = max(1, -(-size // (6 * bucket_windows)))
+    dealt = rows.withColumn("batch", shard).select("batch", "id", "text")
     sent = dealt.groupBy("batch").applyInArrow(_sender(words, n_buckets), "bucket int, batch int, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "batch int, bucket int, bits binary")
     found = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_remover(words, n_buckets), FOUND_SQL)

@@ -98,6 +98,29 @@ def test_passages_equal_brute_force(spark, texts, how):
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
 
 
+def test_removal_is_what_the_automaton_finds(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(13)
+    shared = prose(r, 30)
+    rows = [(i, f"{prose(r, 20)} {shared if i % 2 else ''} {prose(r, 9)}") for i in range(8)]
+    docs = pa.table({"batch": pa.array([0] * 8, pa.int32()), "id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    answers = substring_dedup._answer(substring_dedup._sender(13, 3)(docs))
+    remove = lambda: substring_dedup._remover(13, 3)(docs, answers).column("n_removed").to_pylist()
+    want = [n for _, _, n, _ in brute_passages(rows)]
+    assert remove() == want and sum(want) == 90
+    monkeypatch.setattr(substring_dedup, "_ALPHABET", 4)  # words of two symbols
+    assert remove() == want
+    found = substring_dedup._occurrences
+    monkeypatch.setattr(substring_dedup, "_occurrences", lambda text, symbols, starts, k: tuple(x[:0] for x in found(text, symbols, starts, k)))
+    assert sum(remove()) == 0
+    monkeypatch.undo()
+    c = substring_dedup.Chunk([b"one two one", b"two three"])
+    spelled, symbols = substring_dedup._spelled(c, np.zeros(5, dtype=np.uint64))  # all hashes the same
+    assert symbols == 1 and spelled[0] == spelled[2] and spelled[1] == spelled[3] and len(set(spelled)) == 3
+
+
 def test_passages_of_an_empty_table(spark):
     assert substring_dedup.repeated_passages(frame(spark, [])).count() == 0
 
