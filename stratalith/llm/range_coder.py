@@ -224,8 +224,8 @@ def _list_decoded(coded: list[bytes], counts: np.ndarray, fixed: Prior) -> np.nd
     return ids
 
 
-def _order0(sheet: np.ndarray, moments: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place of the sheet (steps, lanes): ids counted below its id, and of it, when the counts were last taken; and, by moment and lane, ids counted once."""
+def _order0(sheet: np.ndarray, moments: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the sheet (steps, lanes), as one number: ids counted below its id (from bit 12 on), and of it, when the counts were last taken; and, by moment and lane, ids counted once."""
     steps, lanes = sheet.shape
     rows = np.ascontiguousarray(sheet.T)
     if rows.max(initial=0) < 1 << 16:
@@ -234,36 +234,38 @@ def _order0(sheet: np.ndarray, moments: list[int]) -> tuple[np.ndarray, np.ndarr
     ids = np.take_along_axis(rows, order, axis=1)
     # Places in that order, lane after lane: an id's places go by step, so those of one stretch between moments stand together.
     stretch = (np.searchsorted(moments, np.arange(steps), "right") - 1).astype(np.int16).take(order).ravel()
-    place = np.arange(lanes * steps, dtype=np.int32)
     new = np.ones(rows.shape, dtype=bool)
     np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
     new = new.ravel()
-    head = np.maximum.accumulate(np.where(new, place, 0))
     turn = new.copy()
     turn[1:] |= stretch[1:] != stretch[:-1]
-    count = np.maximum.accumulate(np.where(turn, place, 0)) - head
-    below, upto = np.zeros(len(place), dtype=np.int32), np.zeros(len(place) + 1, dtype=np.int32)
+
+    def begun(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The marked places, and for each place the last of them."""
+        at = np.flatnonzero(marks).astype(np.int32)
+        return at, np.repeat(at, np.diff(np.append(at, np.int32(len(marks)))))
+
+    (heads, head), (_, run) = begun(new), begun(turn)
+    out, upto = run - head, np.zeros(len(new) + 1, dtype=np.int32)
     for k in range(1, len(moments) - 1):
         np.cumsum(stretch < k, dtype=np.int32, out=upto[1:])
         here = np.flatnonzero(stretch == k)
-        below[here] = upto.take(head.take(here)) - here // steps * np.int32(moments[k])
+        out[here] += (upto.take(head.take(here)) - here // steps * np.int32(moments[k])) << 12
     # Counted once at a moment: the first place of an id is before it, a second one is not.
     ones = np.zeros((len(moments), lanes), dtype=np.int64)
-    for places, sign in ((np.flatnonzero(new), 1), (np.flatnonzero(place == head + np.int32(1)), -1)):
-        ones[1:] += sign * np.cumsum(np.bincount(stretch[places] * lanes + places // steps, minlength=lanes * (len(moments) - 1)).reshape(-1, lanes), axis=0)
-    out = []
-    for x in (below, count):
-        back = np.empty(rows.shape, dtype=np.int32)
-        np.put_along_axis(back, order, x.reshape(rows.shape), axis=1)
-        out.append(np.ascontiguousarray(back.T))
-    return out[0], out[1], ones
+    seconds = heads + 1
+    for places, sign in ((heads, 1), (seconds[(seconds < len(new)) & ~new.take(seconds, mode="clip")], -1)):
+        ones[1:] += sign * np.cumsum(np.bincount(stretch[places] * np.int64(lanes) + places // steps, minlength=lanes * (len(moments) - 1)).reshape(-1, lanes), axis=0)
+    back = np.empty(rows.shape, dtype=np.int32)
+    np.put_along_axis(back, order, out.reshape(rows.shape), axis=1)
+    return np.ascontiguousarray(back.T), ones
 
 
 def _encoded(sheet: np.ndarray, short: int, fixed: Prior) -> tuple[list[bytes], np.ndarray, list[bytes]]:
     """Words of each lane's list, its fresh ids, and words of its block; ``sheet``: (steps, lanes), the last lane has ``short`` ids."""
     steps, lanes = sheet.shape
     moments = _moments(steps)
-    below, counts, singles = _order0(sheet, moments)
+    counted, singles = _order0(sheet, moments)
     contexts, weights, out = _Contexts(lanes), _Weights(lanes), _Output(lanes, steps + 8)
     all_fresh = np.empty(sheet.shape, dtype=bool)
     for k, (begin, end) in enumerate(zip(moments, moments[1:], strict=False)):
@@ -283,10 +285,10 @@ def _encoded(sheet: np.ndarray, short: int, fixed: Prior) -> tuple[list[bytes],
             upto2, total = weights.upto2.take(kinds), weights.upto1.take(kinds)
             is1 &= ~is2
             hit = np.flatnonzero(is2 | is1)
-            fresh = all_fresh[i:j]
-            np.equal(counts[i:j], 0, out=fresh)
+            fresh, times = all_fresh[i:j], counted[i:j] & 0xFFF
+            np.equal(times, 0, out=fresh)
             fresh.ravel()[hit] = False
-            start, width = np.where(fresh, begin, below[i:j]).astype(np.float64), np.where(fresh, ones, counts[i:j])
+            start, width = np.where(fresh, float(begin), counted[i:j] >> 12), np.where(fresh, ones, times)
             two, middle, order0 = is2.ravel()[hit], upto2.ravel()[hit], weights.order0[hit % lanes]
             start.ravel()[hit] = np.where(two, order0, middle)
             width.ravel()[hit] = np.where(two, middle - order0, total.ravel()[hit] - middle)

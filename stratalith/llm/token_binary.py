@@ -6,6 +6,7 @@ order is the order of documents), the ids and token counts of the segment's docu
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,10 @@ from .tokens import released
 from .word_ids import WordIds
 
 END_ID = 2
+_WHITE, _LETTER, _MARK = np.zeros((3, 256), dtype=bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[list(b".,;:!?")] = True
 SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<long>, coded binary"
 
 
@@ -33,8 +38,9 @@ def default_tokenizer() -> str:
 class ByteLevelBPE(WordIds):
     """Encodes texts with the tokenizers library, each distinct word once.
 
-    The tokenizer's own pattern never joins a character with white space after it; a word begins at such white space.
-    So an added token in a text (it has no white space) is whole in a word, and gets its own id as the library gives it.
+    The tokenizer's own pattern never joins a character with white space after it, nor a letter with a mark such as a full
+    stop after it; a word begins at such white space and at such marks. An added token in a text has neither in it (or marks
+    are not looked at), so it is whole in a word, and gets its own id as the library gives it.
     """
 
     def __init__(self, spec: str):
@@ -45,20 +51,24 @@ class ByteLevelBPE(WordIds):
         self.size_of_vocabulary = self.tokenizer.get_vocab_size()
         # Each character of a token stands for a byte; of an added token the text itself is meant.
         added = self.tokenizer.get_added_tokens_decoder()
+        self.marks_apart = not any(re.search(rb"[A-Za-z][.,;:!?]", t.content.encode()) for t in added.values())
         self.token_bytes = np.array([len(added[i].content.encode() if i in added else self.tokenizer.id_to_token(i) or "") for i in range(self.size_of_vocabulary)])
 
     def begins(self, buf: np.ndarray) -> np.ndarray:
-        white = (buf == 0x20) | ((buf >= 0x09) & (buf <= 0x0D))
+        white = _WHITE.take(buf)
         after = white[1:] & ~white[:-1]
         # Characters beyond ASCII that may be white space: U+0085, U+00A0 and those of three bytes from 0xE1 to 0xE3; and the separators 0x1C to 0x1F.
         odd = (buf[:-1] >= 0x1C) & (buf[:-1] <= 0x1F)
         odd[1:] |= (buf[:-2] == 0xC2) & ((buf[1:-1] == 0x85) | (buf[1:-1] == 0xA0))
         odd[2:] |= (buf[:-3] >= 0xE1) & (buf[:-3] <= 0xE3)
-        return after & ~odd
+        after &= ~odd
+        if self.marks_apart:
+            after |= _LETTER.take(buf[:-1]) & _MARK.take(buf[1:])
+        return after
 
     def tokenised(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words that begin with white space, so that they are words in any company, go as one text; its ids are dealt out by their bytes."""
-        joint = np.array([w[0] == 0x20 or 0x09 <= w[0] <= 0x0D for w in words], dtype=bool)
+        joint = np.fromiter((_WHITE[w[0]] for w in words), dtype=bool, count=len(words))
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         while True:
             which = np.flatnonzero(joint)
@@ -145,31 +155,37 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None,
     rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(released(_writer(spec, end_id, segment_ids)), SCHEMA).write.parquet(path)
 
 
-def _reader(n_ids: int):
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _reader(n_ids: int, digest: bool):
+    columns = {"part": pa.int32(), "seq": pa.int32(), "doc_id": pa.int64(), "before": pa.int64(), "n_tokens": pa.int64()}
+    schema = pa.schema([*columns.items(), ("ids_crc32", pa.int64()) if digest else ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 part, seq, docs, sizes, coded = (batch.column(c)[row].as_py() for c in ("part", "seq", "doc_ids", "n_tokens", "coded"))
                 ids = range_coder.decode(coded, n_ids)
-                offsets = np.concatenate(([0], np.cumsum(sizes)))
+                offsets, raw = np.concatenate(([0], np.cumsum(sizes))), memoryview(ids.astype("<u4", copy=False)).cast("B")
                 for i in range(0, len(docs), 2000):
                     cut = offsets[i : i + 2001]
                     n = len(cut) - 1
-                    yield pa.record_batch(
-                        [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(docs[i : i + n], pa.int64()), pa.array(cut[:-1]), pa.array(np.diff(cut)), pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(ids[cut[0] : cut[-1]].astype(np.int32)))],
-                        schema=schema,
-                    )
+                    if digest:
+                        last = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.int64())
+                    else:
+                        last = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(ids[cut[0] : cut[-1]].astype(np.int32)))
+                    yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(docs[i : i + n], pa.int64()), pa.array(cut[:-1]), pa.array(np.diff(cut)), last], schema=schema)
 
     return run
 
 
-def read_tokens(spark: SparkSession, path: str, tokenizer_file: str | None = None) -> DataFrame:
-    """Documents of a table of tokens: part, seq (segment), doc_id, before (ids before it in the segment), n_tokens, ids."""
+def read_tokens(spark: SparkSession, path: str, tokenizer_file: str | None = None, digest: bool = False) -> DataFrame:
+    """Documents of a table of tokens: part, seq (segment), doc_id, before (ids before it in the segment), n_tokens, ids.
+
+    ``digest``: instead of the decoded ids only ids_crc32, of the ids as little-endian unsigned 32-bit integers.
+    """
     with open(tokenizer_file or default_tokenizer(), encoding="utf-8") as f:
         n_ids = _of(f.read()).size_of_vocabulary
-    return spark.read.schema(SCHEMA).parquet(path).mapInArrow(released(_reader(n_ids)), "part int, seq int, doc_id long, before long, n_tokens long, ids array<int>")
+    last = "ids_crc32 long" if digest else "ids array<int>"
+    return spark.read.schema(SCHEMA).parquet(path).mapInArrow(released(_reader(n_ids, digest)), f"part int, seq int, doc_id long, before long, n_tokens long, {last}")
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -181,16 +197,8 @@ def segment_starts(spark: SparkSession, path: str) -> DataFrame:
     return inside.join(parts, "part").select("part", "seq", (F.col("start") + F.col("first")).alias("start"))
 
 
-def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("ids")
-        raw, offsets = ids.flatten().to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
-        crc = pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(offsets, offsets[1:], strict=False)], pa.int64())
-        yield pa.record_batch([*(batch.column(c) for c in ("part", "seq", "doc_id", "before", "n_tokens")), crc], names=["part", "seq", "doc_id", "before", "n_tokens", "ids_crc32"])
-
-
 def op8_token_binary(spark, sf_dir):
     path = new_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    rows = read_tokens(spark, path).mapInArrow(released(_crcs), "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    rows = read_tokens(spark, path, digest=True)
     return rows.join(segment_starts(spark, path), ["part", "seq"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

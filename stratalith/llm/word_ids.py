@@ -1,7 +1,7 @@
 """Token ids of texts by way of their distinct words.
 
 Where a tokenizer works on each word of a text by itself, only the distinct words need it: a worker remembers the words
-it has met, by sorted hashes, with their bytes and ids, and texts are put together from those. A word counts as met
+it has met, in a table by hash, with their bytes and ids, and texts are put together from those. A word counts as met
 only if its bytes are the same too.
 """
 
@@ -49,35 +49,36 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        # The row of a word by its hash; a later word takes the place of an earlier one. Row 0 is no word.
+        self.table = np.zeros(1 << max(4, (2 * self.remembered - 1).bit_length()), dtype=np.int32)
         self.ids, self.bytes = _Grown(np.uint32), _Grown(np.uint8)
-        # Of each row: where its ids and bytes begin and how many they are; whether it was met again since the last sweep.
-        self.at, self.size, self.off, self.length, self.met = _Grown(np.int64), _Grown(np.int32), _Grown(np.int64), _Grown(np.int32), _Grown(bool)
+        # Of each row: its hash, where its ids and bytes begin and how many they are; whether it was met again since the last sweep.
+        self.hash, self.at, self.size, self.off, self.length, self.met = map(_Grown, (np.uint64, np.int64, np.int32, np.int64, np.int32, bool))
+        self._remember(np.zeros(1, dtype=np.uint64), self.ids.held[:0], np.zeros(1, dtype=np.int64), self.bytes.held[:0], np.full(1, -1))
 
     def sweep(self) -> None:
         """Keep the words met again since the last sweep; all go if those are too many."""
         rows = np.flatnonzero(self.met.held[: self.met.n])
+        rows = rows[self.length.held[rows] >= 0]
         if 2 * len(rows) > self.remembered or self.length.held[rows].sum() > 16 * self.remembered:
             return self.forget()
-        order = rows[np.argsort(np.argsort(self.row)[rows])]  # by hash
-        hashes = self.hashes[self.met.held[self.row]]
-        at, size, off, length = (x.held[order] for x in (self.at, self.size, self.off, self.length))
+        hashes, at, size, off, length = (x.held[rows] for x in (self.hash, self.at, self.size, self.off, self.length))
         ids, raw = self.ids.held[_ranges(at, size)], self.bytes.held[_ranges(off, length)]
         self.forget()
         self._remember(hashes, ids, size, raw, length)
-        self.met.held[: self.met.n] = False
 
-    def _remember(self, hashes, ids, size, raw, length) -> None:
-        where = np.searchsorted(self.hashes, hashes)
-        self.row = np.insert(self.row, where, np.arange(self.at.n, self.at.n + len(hashes), dtype=np.int32))
-        self.hashes = np.insert(self.hashes, where, hashes)
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(len(self.table) - 1)).astype(np.int64)
+
+    def _remember(self, hashes, ids, size, raw, length) -> np.ndarray:
+        """Rows of the words."""
+        rows = np.arange(self.hash.n, self.hash.n + len(hashes), dtype=np.int32)
         self.at.append(self.ids.n + np.cumsum(size) - size)
         self.off.append(self.bytes.n + np.cumsum(length) - length)
-        self.size.append(size)
-        self.length.append(length)
-        self.ids.append(ids)
-        self.bytes.append(raw)
-        self.met.append(np.zeros(len(hashes), dtype=bool))
+        for column, values in ((self.hash, hashes), (self.size, size), (self.length, length), (self.met, np.zeros(len(hashes), dtype=bool)), (self.ids, ids), (self.bytes, raw)):
+            column.append(values)
+        self.table[self._slot(hashes)] = rows
+        return rows
 
     def prepared(self, text: bytes) -> bytes:
         return text
@@ -106,21 +107,18 @@ class WordIds:
         begin[ends[:-1][ends[:-1] < len(buf)]] = True
         starts = np.flatnonzero(begin)
         lengths = np.diff(np.append(starts, len(buf)))
-        distinct, first, inverse = np.unique(self.hashes_of(buf, starts, starts + lengths), return_index=True, return_inverse=True)
-        if len(self.hashes) > self.remembered or self.bytes.n > 32 * self.remembered:
+        if self.hash.n > self.remembered or self.bytes.n > 32 * self.remembered:
             self.sweep()
-        place = np.searchsorted(self.hashes, distinct)
-        inside = place < len(self.hashes)
-        new = np.ones(len(distinct), dtype=bool)
-        new[inside] = self.hashes[place[inside]] != distinct[inside]
-        if new.any():
-            some = first[new]
+        hashes = self.hashes_of(buf, starts, starts + lengths)
+        row = self.table.take(self._slot(hashes))
+        known = (self.hash.held.take(row) == hashes) & (row > 0)
+        self.met.held[row[known]] = True
+        unknown = np.flatnonzero(~known)
+        if len(unknown):
+            distinct, first, inverse = np.unique(hashes[unknown], return_index=True, return_inverse=True)
+            some = unknown[first]
             flat, n = self.tokenised([raw[i : i + m] for i, m in zip(starts[some].tolist(), lengths[some].tolist(), strict=True)])
-            self._remember(distinct[new], flat, n, buf[_ranges(starts[some], lengths[some])], lengths[some])
-            place = np.searchsorted(self.hashes, distinct)
-        row = self.row[place]
-        self.met.held[row[~new]] = True  # met again
-        row = row[inverse]
+            row[unknown] = self._remember(distinct, flat, n, buf[_ranges(starts[some], lengths[some])], lengths[some])[inverse]
         if (self.length.held[row] == lengths).all() and (self.bytes.held[_ranges(self.off.held[row], lengths)] == buf).all():
             each = self.size.held[row].astype(np.int64)
             ids = self.ids.held[_ranges(self.at.held[row], each)]
