@@ -1,6 +1,7 @@
 """Chat formatting, mixing, quality, tokenizers and toxicity."""
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -111,6 +112,50 @@ def test_mixed_documents_keep_columns(spark):
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} <= {0, 2}
     assert mixing.mixed_documents(df.limit(0)).count() == 0
+    odd = frame(spark, [*ODD, *ODD], True)
+    odd = odd.withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 7)).unionByName(odd)
+    words = odd.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
+    got = mixing.mixed_documents(odd, block_words=3).select(F.sum(mixing.word_count(F.col("text")))).first()[0]
+    assert abs(got - 1.5 * words) <= 8
+
+
+def brute_mix(spark, rows, block, share=1.5, epochs=2, seed=7):
+    """Pieces (doc_id, text) of a mix in order; the shuffle's hashes are Spark's."""
+    df = spark.createDataFrame([(i, t, s) for i, t, s in rows], "id long, text string, source string")
+    marked = df.select("*", mixing.mark_of("id", "text").alias("mark")).withColumn("u", F.xxhash64(F.lit(seed), "mark")).collect()
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    buckets = -(-len(rows) // mixing.LAYOUT_DOCS)
+    streams = {s: sorted((r for r in marked if r.source == s), key=lambda r: (r.u % buckets, r.u)) for s in names}
+    words = {s: [(r.id, r.text, k) for r in v for k in range(len((r.text or "").split()))] for s, v in streams.items()}
+    sizes = [len(words[s]) for s in names]
+    takes = [min(round(t), epochs * n) for t, n in zip(mixing.water_filled(sizes, mixing.cycled_weights(names), share * sum(sizes), epochs), sizes)]
+    counts = [-(-t // block) for t in takes]
+    bounds = np.cumsum(counts) / sum(counts)
+    rank, order = [0] * len(names), []
+    for slot in range(sum(counts)):
+        k = min(int(np.searchsorted(bounds, (slot + 1) * mixing.GOLDEN % 1.0, "right")), len(names) - 1)
+        if rank[k] < counts[k]:
+            order.append((k, rank[k]))
+        rank[k] += 1
+    late = [(b * len(names) + k, k, b) for k in range(len(names)) for b in range(rank[k], counts[k])]
+    order += [(k, b) for _, k, b in sorted(late)]
+    out = []
+    for k, b in order:
+        taken = [words[names[k]][i % sizes[k]] + (i // sizes[k],) for i in range(b * block, min((b + 1) * block, takes[k]))]
+        for (i, t, e), some in itertools.groupby(taken, key=lambda w: (w[0], w[1], w[3])):
+            at = [w[2] for w in some]
+            cuts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] + [len(t)]
+            out.append((i, t[0 if at[0] == 0 else cuts[at[0]] : cuts[at[-1] + 1]]))
+    return out
+
+
+@pytest.mark.parametrize("block", [5, 64])
+def test_mixed_documents_are_the_schedule_in_order(spark, block):
+    r = random.Random(21)
+    texts = [" ".join("".join(r.choice("abé") for _ in range(3)) for _ in range(r.randrange(90))) + r.choice(["", "\n", "  "]) for _ in range(60)]
+    rows = [(i, t, None if i % 4 == 0 else f"s{i % 5}") for i, t in enumerate(texts)]
+    got = [(g.doc_id, g.text) for g in mixing.mixed_documents(frame(spark, texts, True), block_words=block).collect()]
+    assert got == brute_mix(spark, rows, block)
 
 
 # ---- quality ----
@@ -293,6 +338,8 @@ def test_token_table(spark, tmp_path):
         want = library.encode(ODD[g.doc_id] or "", add_special_tokens=False).ids + [2]
         assert g.ids == want and g.n_tokens == len(want) and starts[g.part, g.seq] + g.before == at
         at += len(want)
+    crcs = {g.doc_id: g.ids_crc32 for g in token_binary.read_tokens(spark, path, digest=True).collect()}
+    assert crcs == {g.doc_id: zlib.crc32(np.array(g.ids, dtype="<u4").tobytes()) for g in token_binary.read_tokens(spark, path).collect()}
     twice = df.unionByName(df.where("doc_id = 1")).unionByName(df.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
     token_binary.write_tokens(twice, path + "-twice", segment_ids=200)
     got = token_binary.read_tokens(spark, path + "-twice").select("doc_id", "ids").collect()
