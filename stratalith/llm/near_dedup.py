@@ -1,15 +1,17 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-A shingle is five words of the lower-cased text (a shorter text is one shingle). Its weight is its count times
-1 + ln((1 + N) / (1 + max(df, floor))) / ln(1 + N): document frequencies count all N documents exactly above a floor of
-max(sqrt(N), N / 1000), and rarer shingles weigh alike. So a large group of copies does not make its own text cheap,
-and the frequent shingles, at most (all shingles / floor) of them, make a table of bounded size.
+A shingle is five words of the lower-cased text (a shorter text is one shingle). Its weight is its count times its idf,
+1 + ln(min(1000, N / df)) / (2 ln 1000): from 1 for a shingle of all N documents to 1.5 for one of a thousandth of them or
+fewer. So it depends on the share of documents alone, a large group of copies does not make its own text cheap, and the
+shingles above a thousandth, at most 1000 times those of a mean document, make a table of bounded size: with it
+every shingle has its exact weight.
 
 1. Frequent shingles: a fixed table of counters over all documents names the candidates, an exact count follows.
 2. Each document gets 36 samples in 12 bands of 3, and its shingle vector.
 3. Documents that share a band are compared with the band's least and largest ids. Where a bucket's documents are not
-   one class by then, the rest is compared with each other: with a few of them first, then all pairs of unlike classes.
-   Such a pair goes to the vectors only if its samples agree as often as those of near-duplicates do.
+   one class by then, it is cut in blocks, and every two blocks meet in a tile: pairs of unlike classes whose samples agree
+   as often as those of near-duplicates do are compared there by their vectors, each in the first band that they share.
+   A tile gives back a spanning forest of its links, so what is written grows with its documents, not with its pairs.
 4. A pair whose vectors reach the weighted Jaccard similarity is a link; classes are the connected components.
 """
 
@@ -35,8 +37,8 @@ SAMPLES = BANDS * ROWS
 #: Counters of the sketch, and the pieces in which they are summed.
 COUNTERS, PIECES = 1 << 21, 64
 _TABLE = 4096
-#: Documents of a bucket that a task compares with as many others, and those that come first.
-BLOCK, FIRST = 4096, 32
+#: Documents of a bucket that a task compares with as many others.
+BLOCK = 2048
 #: Chance that too few samples agree of a pair right at the threshold.
 MISSED = 1e-7
 
@@ -100,16 +102,21 @@ def _exact(bits: np.ndarray):
     return run
 
 
+SHARE = 1000
+
+
+def idf(n_docs: int, df):
+    return 1 + np.log(np.clip(n_docs / np.maximum(df, 1), 1, SHARE)) / (2 * math.log(SHARE))
+
+
 class Weights:
-    """Weight of a shingle by document frequency; the frequent ones in a table, all others alike."""
+    """Weight of a shingle by document frequency: those of a share above 1 / SHARE (or of several documents) in a table, all others alike."""
 
-    def __init__(self, n_docs: int, floor: float, frequent: np.ndarray, df: np.ndarray):
-        whole = math.log(1 + max(n_docs, 1))
-        self.base = 1 + math.log((1 + n_docs) / (1 + floor)) / whole if n_docs else 1.0
-        self.base = max(1.0, self.base)
+    def __init__(self, n_docs: int, frequent: np.ndarray, df: np.ndarray):
+        self.base = float(idf(n_docs, 1))
         order = np.argsort(frequent)
         self.keys = frequent[order].astype(U64)
-        self.values = np.maximum(1.0, 1 + np.log((1 + n_docs) / (1 + df[order])) / whole)
+        self.values = idf(n_docs, df[order])
         self.maybe = np.zeros(1 << 16, dtype=bool)
         self.maybe[(self.keys & U64(0xFFFF)).astype(np.int64)] = True
 
@@ -124,15 +131,15 @@ class Weights:
 
 
 def idf_weights(texts: DataFrame) -> Weights:
-    """Document frequencies over all of ``texts`` (text); exact at and above the floor."""
+    """Weights by the document frequencies over all of ``texts`` (text)."""
     n = texts.count()
-    floor = max(2.0, math.sqrt(n), n / 1000)
+    floor = max(2.0, n / SHARE)  # below it every weight is that of df 1
     pieces = texts.mapInArrow(released(_sketch), "piece int, counts binary").groupBy("piece").applyInArrow(_frequent(floor), "piece int, bits binary").collect()
     bits = dict((r.piece, r.bits) for r in pieces)
     empty = bytes(COUNTERS // PIECES // 8)
     flags = np.frombuffer(b"".join(bits.get(i, empty) for i in range(PIECES)), dtype=np.uint8)
     counted = texts.mapInArrow(released(_exact(flags)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).collect()
-    return Weights(n, floor, np.array([r.h for r in counted], dtype=np.int64), np.array([r.n for r in counted], dtype=np.float64))
+    return Weights(n, np.array([r.h for r in counted], dtype=np.int64), np.array([r.n for r in counted], dtype=np.float64))
 
 
 def samples_of(keys: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -234,71 +241,100 @@ def _open(rest: DataFrame, links: DataFrame) -> DataFrame:
     return staged(rest.join(buckets.select("band", "key", "n"), ["band", "key"]), "open")
 
 
-def _alike(first: int, least: int):
-    def pairs(ids: np.ndarray, c: np.ndarray, block: np.ndarray, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if (c == c[0]).all():
-            return
-        # The first ones of either block meet all of the other block; in a tile of one block each meets those after it.
-        one = np.flatnonzero(block == block.min())
-        other = np.flatnonzero(block == block.max())
-        turns = [(p, one[k + 1 :]) for k, p in enumerate(one[:first])] if block.min() == block.max() else [(p, other) for p in one[:first]] + [(q, one[first:]) for q in other[:first]]
-        for p, whom in turns:
-            whom = whom[c[whom] != c[p]]
-            if len(whom):
-                found = whom[(s[whom] == s[p]).sum(axis=1) >= least]
-                yield np.full(len(found), ids[p]), ids[found]
+def _tiles(rest: DataFrame, more: DataFrame, block: int) -> DataFrame:
+    """A row per tile that a document is in: tile (band, key, i, j), id, c, block and the columns of ``more`` (by id)."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rest.join(more, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    return rows.withColumn("tile", F.explode(tiles)).select("band", "key", "tile.i", "tile.j", "id", "c", "n", "block", "samples", *[c for c in more.columns if c not in ("id", "samples")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[tuple] = []
-        waiting = 0
+
+def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the rows of one tile after the other: it gets a dictionary of arrays, and gives arrays of the schema's columns."""
+    names = [c for c in rows.columns if c != "samples"]
+    out = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        done: list[tuple] = []
 
         def tiles(last: bool):
             nonlocal held
-            tile, ids, c, block, s = (np.concatenate(x) for x in zip(*held, strict=True))
-            cuts = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1), [True])))
-            for i, j in zip(cuts if last else cuts[:-1], cuts[1:] if last else cuts[1:-1], strict=False):
-                own = tile[i, 2] == tile[i, 3]
-                sides = block[i:j]
-                if own or (sides != sides[0]).any():
-                    yield from pairs(ids[i:j], c[i:j], sides, s[i:j])
-            at = cuts[-2]
-            held = [] if last else [(tile[at:], ids[at:], c[at:], block[at:], s[at:])]
-
-        def flushed():
-            nonlocal out
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            out = []
-            return pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None and not batch.num_rows:
+            whole = {c: np.concatenate(x) for c, x in held.items()}
+            tile = np.stack([whole[c].astype(np.int64) for c in ("band", "key", "i", "j")], axis=1)
+            cuts = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1), [True]))).tolist()
+            for i, j in itertools.pairwise(cuts if last else cuts[:-1]):
+                found = run({c: x[i:j] for c, x in whole.items()})
+                if len(found[0]):
+                    done.append(found)
+            held = {} if last else {c: [x[cuts[-2] :]] for c, x in whole.items()}
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if batch is not None:
-                tile = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("band", "key", "i", "j")], axis=1)
-                samples = batch.column("samples").flatten().to_numpy().reshape(-1, SAMPLES)
-                held.append((tile, *(batch.column(x).to_numpy() for x in ("id", "c", "block")), samples))
-            if held:
-                for found in tiles(batch is None):
-                    out.append(found)
-                    waiting += len(found[0])
-                    if waiting >= 100_000:
-                        yield flushed()
-                        waiting = 0
-        if out:
-            yield flushed()
+            for c in names:
+                held.setdefault(c, []).append(np.array(batch.column(c).to_pylist(), dtype=object) if c == "vector" else batch.column(c).to_numpy())
+            held.setdefault("samples", []).append(batch.column("samples").flatten().to_numpy().reshape(-1, SAMPLES))
+            tiles(False)
+            if done:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], names=out)
+                done = []
+        if held:
+            tiles(True)
+        if done:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], names=out)
+
+    return rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInArrow(released(stream), schema)
+
+
+def _company(t: dict, p: int, least: int) -> np.ndarray:
+    """Places in the tile after p that p has to be compared with there: of another class, in the other block where the tile has
+    two, alike by samples, and not together in an earlier band."""
+    whom = np.arange(p + 1, len(t["id"]))
+    whom = whom[(t["c"][whom] != t["c"][p]) & ((t["block"][whom] != t["block"][p]) | (t["i"][0] == t["j"][0]))]
+    same = t["samples"][whom] == t["samples"][p]
+    whom, same = whom[same.sum(axis=1) >= least], same[same.sum(axis=1) >= least]
+    first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+    return whom[first == t["band"][0]]
+
+
+def _wanted(least: int):
+    """Documents of a tile that have somebody to be compared with."""
+
+    def run(t: dict) -> tuple:
+        if (t["c"] == t["c"][0]).all():
+            return (t["id"][:0],) * 5
+        wanted = np.zeros(len(t["id"]), dtype=bool)
+        for p in range(len(wanted) - 1):
+            whom = _company(t, p, least)
+            if len(whom):
+                wanted[p] = wanted[whom] = True
+        return tuple(t[c][wanted] for c in ("band", "key", "i", "j", "id"))
 
     return run
 
 
-def _across(rest: DataFrame, samples: DataFrame, first: int, block: int, least: int) -> DataFrame:
-    """Pairs (a, b) of unlike classes in a bucket whose samples agree. A bucket is cut in blocks, and each two of them meet in a tile."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = rest.join(samples, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    rows = rows.withColumn("tile", F.explode(tiles)).select("band", "key", "tile.i", "tile.j", "id", "c", "block", "samples")
-    rows = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return rows.mapInArrow(released(_alike(first, least)), "a long, b long").distinct()
+def _linked(least: int, threshold: float, base: float):
+    """Links of a tile, as many as join what they join."""
+
+    def run(t: dict) -> tuple:
+        vectors = [unpacked(v, base) for v in t["vector"]]
+        weight = np.array([w.sum() for _, w in vectors])
+        of = np.arange(len(vectors))
+        a, b, found = [], [], []
+        for p in range(len(vectors) - 1):
+            for q in _company(t, p, least).tolist():
+                if of[p] == of[q] or min(weight[p], weight[q]) < threshold * max(weight[p], weight[q]):
+                    continue
+                similarity = weighted_jaccard(vectors[p], vectors[q])
+                if similarity >= threshold:
+                    of[of == of[q]] = of[p]
+                    a.append(min(t["id"][p], t["id"][q]))
+                    b.append(max(t["id"][p], t["id"][q]))
+                    found.append(similarity)
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(found, dtype=np.float64)
+
+    return run
 
 
 def _verify(base: float):
@@ -311,10 +347,10 @@ def _verify(base: float):
     return run
 
 
-def similar_pairs(samples: DataFrame, vectors: DataFrame, base: float, threshold: float, first: int = FIRST, block: int = BLOCK) -> DataFrame | None:
+def similar_pairs(samples: DataFrame, vectors: DataFrame, base: float, threshold: float, block: int = BLOCK) -> DataFrame | None:
     """Links (a, b, similarity) among the documents of ``samples`` (id, samples); ``vectors`` (id, vector) may have more.
 
-    Documents of a bucket that are linked by way of some of its documents are in one class; not each such pair is a link.
+    Documents that are linked by way of others are in one class; not each such pair is a link.
     """
     members = _banded(samples)
     # Some buckets hold a third of all documents: their ends are found by partial sums.
@@ -324,21 +360,17 @@ def similar_pairs(samples: DataFrame, vectors: DataFrame, base: float, threshold
         return None
     # Of most documents no vector is needed; how many are has no bound, so nothing is broadcast.
     company = staged(vectors.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "company-vectors")
-
-    def judged(wanted: DataFrame) -> DataFrame:
-        both = staged(wanted, "wanted").join(company.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(company.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
-        return staged(both.mapInArrow(released(_verify(base)), "a long, b long, similarity double"), "judged")
-
-    tried = judged(members.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = members.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = staged(wanted, "wanted").join(company.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(company.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
+    links = staged(both.mapInArrow(released(_verify(base)), "a long, b long, similarity double"), "judged").where(F.col("similarity") >= threshold)
     # The ends have met everybody. Linked members stay: others may be like them, and like neither end.
-    rest = members.where("id <> low AND id <> high")
-    for most in (first, 2**62):
-        rest = _open(rest, tried.where(F.col("similarity") >= threshold))
-        if rest.isEmpty():
-            break
-        wanted = _across(rest, samples, most, block, least_alike(threshold))
-        tried = tried.unionByName(judged(wanted.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
-    return tried.where(F.col("similarity") >= threshold)
+    rest, least = _open(members.where("id <> low AND id <> high"), links), least_alike(threshold)
+    if rest.isEmpty():
+        return links
+    tiles = _tiles(rest, samples, block)
+    some = staged(_by_tile(tiles, _wanted(least), "band int, key long, i int, j int, id long"), "to-compare")
+    full = tiles.join(some, ["band", "key", "i", "j", "id"]).join(company, "id")
+    return links.unionByName(staged(_by_tile(full, _linked(least, threshold, base), "a long, b long, similarity double"), "linked"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

@@ -135,9 +135,8 @@ def test_near_classes_equal_brute_force(spark, texts):
     n = len(texts)
     import math
 
-    floor = max(2.0, math.sqrt(n), n / 1000)
-    assert len(weights.keys) == sum(v >= floor for v in df.values())
-    weight = {g: max(1.0, 1 + math.log((1 + n) / (1 + max(v, floor))) / math.log(1 + n)) for g, v in df.items()}
+    assert len(weights.keys) == sum(v >= 2 for v in df.values())
+    weight = {g: 1 + math.log(min(1000, n / v)) / (2 * math.log(1000)) for g, v in df.items()}
     parent = {i: i for i in grams}
 
     def find(x):
@@ -178,6 +177,29 @@ def test_a_large_group_of_copies_is_one_class(spark):
     assert sum(r.kept for r in got) == 1
 
 
+def test_recall_on_the_documents(spark):
+    """Classes of the smallest tables against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    grams, owners = {}, collections.defaultdict(list)
+    for r in rows:
+        w = (r.text or "").lower().encode().split()
+        grams[r.doc_id] = collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+        for g in grams[r.doc_id]:
+            owners[g].append(r.doc_id)
+    weight = {g: float(near_dedup.idf(len(rows), len(v))) for g, v in owners.items()}
+    common = collections.Counter()
+    for g, v in owners.items():
+        for a, b in itertools.combinations(sorted(v), 2):
+            common[a, b] += min(grams[a][g], grams[b][g]) * weight[g]
+    total = {i: sum(k * weight[g] for g, k in c.items()) for i, c in grams.items()}
+    links = [p for p, x in common.items() if x >= 0.8 * (total[p[0]] + total[p[1]] - x)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(links) > 50 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    want = classes(grams, links)
+    assert all(want[i] == want[got[i]] for i in got)
+
+
 def crowd(spark, sets):
     """Documents that share all their bands: samples, and vectors of weight 1."""
     import numpy as np
@@ -206,7 +228,7 @@ def test_near_finds_those_like_a_linked_member_only(spark):
     assert set(classes(sets, [(r.a, r.b) for r in got]).values()) == {1}
 
 
-@pytest.mark.parametrize("how", [{}, {"first": 2, "block": 16}])
+@pytest.mark.parametrize("how", [{}, {"block": 16}])
 def test_near_classes_of_a_crowded_bucket(spark, how):
     r = random.Random(11)
     sets = {0: set(range(100)), 999: set(range(5000, 5100))}  # ends that nobody is like
