@@ -67,11 +67,20 @@ def _stripped(word: Column, edges: str) -> Column:
     return F.lower(F.call_function("btrim", word, F.lit(edges)))
 
 
+def pieces(text: Column) -> Column:
+    """Array of what white space parts; null is empty."""
+    return F.split(F.coalesce(text, F.lit("")), r"\s+")
+
+
+def word(piece: Column, alphabet: str = TRANSLIT, edges: str = EDGES) -> Column:
+    """The lower-cased piece without edge punctuation, where it is of the alphabet alone, with a letter; else null."""
+    bare = _stripped(piece, edges)
+    return F.when(bare.rlike(f"^[{alphabet}]*[{''.join(c for c in alphabet if c.isalpha())}][{alphabet}]*$"), bare)
+
+
 def words(text: Column, alphabet: str = TRANSLIT, edges: str = EDGES) -> Column:
     """Array of lower-cased words of the alphabet alone, with a letter in each; edge punctuation goes first."""
-    inside = "^[" + alphabet + "]+$"
-    has_letter = "[" + "".join(c for c in alphabet if c.isalpha()) + "]"
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: _stripped(w, edges)), lambda w: w.rlike(inside) & w.rlike(has_letter))
+    return F.filter(F.transform(pieces(text), lambda p: word(p, alphabet, edges)), lambda w: w.isNotNull())
 
 
 def plain_words(text: Column, edges: str = EDGES_PLAIN) -> Column:

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import spread, staged
+
 
-def term_counts(rows: DataFrame, doc: str, terms: Column) -> DataFrame:
-    """doc, term, cnt of an array of terms by row; counted in each task before the shuffle."""
-    return rows.select(F.col(doc).alias("doc"), F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("cnt"))
+def term_counts(rows: DataFrame, doc: str, terms: Column, clean: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc, term, cnt of an array of terms by row; counted in each task before the shuffle.
+
+    ``clean`` makes a term of each element, null for none: as a row of its own an element stays in compiled code.
+    """
+    each = spread(rows.select(F.col(doc).alias("doc"), terms.alias("terms"))).select("doc", F.explode("terms").alias("term"))
+    if clean:
+        each = each.select("doc", clean(F.col("term")).alias("term")).where("term IS NOT NULL")
+    return each.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def document_frequency(counts: DataFrame, least: int = 1, most_share: float = 1.0) -> DataFrame:
@@ -30,6 +40,7 @@ def tf_idf(counts: DataFrame, terms: DataFrame | None = None, smooth: bool = Tru
 
     idf = ln((N + 1) / (df + 1)), or ln(N / df) unsmoothed. ``terms`` (term, df) narrows the vocabulary; totals still count all terms.
     """
+    counts = staged(counts)
     totals = counts.groupBy("doc").agg(F.sum("cnt").alias("__total"))
     n = F.broadcast(totals.agg(F.count(F.lit(1)).alias("__n")))
     df = terms if terms is not None else document_frequency(counts)

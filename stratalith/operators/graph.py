@@ -129,108 +129,84 @@ def threshold_sweep(rows: DataFrame, score: str, later_a: str, thresholds=(0.0,
 
 
 # ---- spreading ----
-def harmonic(pairs: DataFrame, labels: DataFrame, lam: float = 0.02, prior: DataFrame | None = None, cnt: str = "cnt", tolerance: float = 1e-6, rounds: int = 2000, check_every: int = 10, shrink_isolated: bool = False, dense_up_to: int = 2000) -> DataFrame:
+def harmonic(pairs: DataFrame, labels: DataFrame, lam: float = 0.02, prior: DataFrame | None = None, cnt: str = "cnt", tolerance: float = 1e-7, rounds: int = 500, shrink_isolated: bool = False) -> DataFrame:
     """node, x, labelled: labels spread along pairs, x = (mean of neighbours by ln(1 + count) + lam * prior) / (1 + lam).
 
-    ``labels``: node, y. ``prior``: node, prior (else the mean label). Jacobi steps, a contraction by 1 / (1 + lam); each is a
-    join and a sum, and the lineage is cut every ``check_every`` steps, when convergence is looked at too. A graph of at most
-    ``dense_up_to`` nodes is one dense system, solved exactly in one task instead. A node without
-    neighbours takes its prior (``shrink_isolated``: lam * prior / (1 + lam), as the unnormalised system would give).
+    ``labels``: node, y. ``prior``: node, prior (else the mean label). The system is symmetric once each row is multiplied
+    by the node's weight, so it is solved by conjugate gradients at every size: a step is a join and a sum, staged, and two
+    sums over what was staged. It ends when no row is off by more than ``tolerance`` * lam, so no x by more than
+    ``tolerance`` (lam counts as at least 0.001 there). A node without neighbours takes its prior (``shrink_isolated``:
+    lam * prior / (1 + lam), as the unnormalised system would give). A labelled node keeps its label.
     """
     mean = labels.agg(F.avg("y").alias("__mean"))
-    weights = staged(both_ways(pairs, cnt).withColumn("w", F.log1p(cnt)).select("src", "dst", "w"))
+    weights = staged(both_ways(pairs, cnt).groupBy("src", "dst").agg(F.sum(F.log1p(cnt)).alias("w")))
     all_ = nodes(pairs).union(labels.select("node")).distinct()
-    base = all_.join(labels.select("node", "y"), "node", "left").join(F.broadcast(mean))
+    base = all_.join(labels.select("node", F.col("y").cast("double").alias("y")), "node", "left").join(F.broadcast(mean))  # one row
     if prior is not None:
         base = base.join(prior.select("node", "prior"), "node", "left").withColumn("prior", F.coalesce("prior", "__mean"))
     else:
         base = base.withColumn("prior", F.col("__mean"))
-    base = staged(base.select("node", "y", "prior"))
-    if base.count() <= dense_up_to:
-        return _dense(weights, base, lam, shrink_isolated)
-    x = base.select("node", F.coalesce("y", "prior").alias("x"))
-    for step in range(1, rounds + 1):
-        near = weights.join(x.select(F.col("node").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("node")).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-        alone = lam * F.col("prior") / (1 + lam) if shrink_isolated else F.col("prior")
-        after = base.join(near, "node", "left").select("node", F.when(F.col("y").isNotNull(), F.col("y")).when(F.col("m").isNull(), alone).otherwise((F.col("m") + lam * F.col("prior")) / (1 + lam)).alias("x"))
-        if step % check_every == 0:
-            moved = staged(after.join(x.withColumnRenamed("x", "old"), "node"))
-            x = moved.select("node", "x")
-            if moved.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] is None or moved.where(F.abs(F.col("x") - F.col("old")) > tolerance).isEmpty():
-                break
-        else:
-            x = after
-    return base.join(x, "node").select("node", "x", F.col("y").isNotNull().alias("labelled"))
-
-
-def _dense(weights: DataFrame, base: DataFrame, lam: float, shrink_isolated: bool) -> DataFrame:
-    """The system of harmonic() as one group."""
-    def run(_, w: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("node").reset_index(drop=True)
-        y, prior = b["y"].to_numpy(dtype=float), b["prior"].to_numpy(dtype=float)
-        half = w[w["src"] < w["dst"]]
-        x = _solve(b["node"].tolist(), half["src"], half["dst"], half["w"], y, prior, lam)
-        if shrink_isolated:
-            alone = np.isnan(y) & ~b["node"].isin(set(w["src"])).to_numpy()
-            x = np.where(alone, lam * prior / (1 + lam), x)
-        return pd.DataFrame({"node": b["node"], "x": x, "labelled": ~np.isnan(y)})
-
-    one = lambda df: df.withColumn("one", F.lit(1)).groupBy("one")
-    slim = base.select("node", F.col("y").cast("double").alias("y"), F.col("prior").cast("double").alias("prior"))
-    return one(weights).cogroup(one(slim)).applyInPandas(run, f"node {dict(base.dtypes)['node']}, x double, labelled boolean")
-
-
-def _solve(nodes_, a, b, w, y, prior, lam):
-    at = {n: i for i, n in enumerate(nodes_)}
-    W = np.zeros((len(nodes_), len(nodes_)))
-    for i, j, v in zip(a, b, w, strict=True):
-        W[at[i], at[j]] += v
-        W[at[j], at[i]] += v
-    deg = W.sum(1)
-    P = np.divide(W, deg[:, None], out=np.zeros_like(W), where=deg[:, None] > 0)
-    x = np.where(np.isnan(y), prior, y)
-    free = np.isnan(y) & (deg > 0)
-    if free.any():
-        rhs = P[np.ix_(free, ~free)] @ x[~free] + lam * prior[free]
-        x[free] = np.linalg.solve((1 + lam) * np.eye(int(free.sum())) - P[np.ix_(free, free)], rhs)
-    return x
-
-
-def harmonic_by_group(pairs: DataFrame, labels: DataFrame, lam: float = 0.05, cnt: str = "cnt", max_nodes: int = 4000, leave_one_out: bool = False) -> DataFrame:
-    """grp, node, x, labelled: the harmonic system solved exactly within each group, towards the group's median label.
+    # Of each node its weight, and what its labelled neighbours say.
+    near = weights.join(base.select(F.col("node").alias("dst"), F.col("y").alias("yn")), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"), F.sum(F.col("w") * F.coalesce("yn", F.lit(0.0))).alias("said"))
+    base = staged(base.join(near, "node", "left").select("node", "y", F.col("prior").cast("double").alias("prior"), "d", "said"))
+    free = base.where("y IS NULL AND d > 0").select("node", "d", "prior", "said")
+    ends = free.select(F.col("node").alias("dst")), free.select(F.col("node").alias("src"))
+    weights = staged(weights.join(ends[0], "dst", "left_semi").join(ends[1], "src", "left_semi"))
+
+    def applied(rows: DataFrame, p: Column) -> DataFrame:
+        """rows with p and ap, the system applied to p."""
+        rows = rows.withColumn("p", p)
+        heard = weights.join(rows.select(F.col("node").alias("dst"), "p"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("p")).alias("heard"))
+        return staged(rows.join(heard, "node", "left").withColumn("ap", (1 + lam) * F.col("d") * F.col("p") - F.coalesce("heard", F.lit(0.0))).drop("heard"))
+
+    first = applied(free.withColumn("x", F.col("prior")), F.col("prior"))
+    now = first.select("node", "d", "x", (F.col("said") + lam * F.col("d") * F.col("prior") - F.col("ap")).alias("r"), F.lit(0.0).alias("p"))
+    beta, size = 0.0, now.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
+    for _ in range(rounds if size else 0):
+        step = applied(now, F.col("r") / F.col("d") + F.lit(beta) * F.col("p"))
+        alpha = size / step.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        now = step.select("node", "d", (F.col("x") + F.lit(alpha) * F.col("p")).alias("x"), (F.col("r") - F.lit(alpha) * F.col("ap")).alias("r"), "p")
+        after, off = now.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.max(F.abs(F.col("r") / F.col("d")))).first()
+        beta, size = after / size, after
+        if off <= tolerance * max(lam, 1e-3):
+            break
+    alone = lam * F.col("prior") / (1 + lam) if shrink_isolated else F.col("prior")
+    return base.join(now.select("node", "x"), "node", "left").select("node", F.coalesce("y", "x", alone).alias("x"), F.col("y").isNotNull().alias("labelled"))
 
-    ``pairs``: grp, a, b, cnt; ``labels``: grp, node, y (null: none; a group's nodes that have no pair may stand there).
-    A group is one dense system in one task: groups are named collections of at most ``max_nodes`` nodes, larger ones are an
-    error (use harmonic()). ``leave_one_out`` gives for each labelled node what its group would say without its label.
-    """
 
-    def run(key, own_pairs: pd.DataFrame, own_labels: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*own_pairs["a"], *own_pairs["b"], *own_labels["node"]})
-        if len(names) > max_nodes:
-            raise ValueError(f"group {key[0]} has {len(names)} nodes")
-        y = own_labels.dropna(subset=["y"]).groupby("node")["y"].first().reindex(names).to_numpy(dtype=float)
-        w = np.log1p(own_pairs["cnt"].to_numpy(dtype=float))
-
-        def solved(y):
-            if np.isnan(y).all():
-                return np.full(len(names), np.nan)
-            return _solve(names, own_pairs["a"], own_pairs["b"], w, y, np.full(len(names), np.nanmedian(y)), lam)
-
-        if leave_one_out:
-            rows = []
-            for i in np.flatnonzero(~np.isnan(y)):
-                held = y.copy()
-                held[i] = np.nan
-                rows.append((key[0], names[i], solved(held)[i], True))
-            out = pd.DataFrame(rows, columns=["grp", "node", "x", "labelled"])
-        else:
-            out = pd.DataFrame({"grp": key[0], "node": names, "x": solved(y), "labelled": ~np.isnan(y)})
-        out["x"] = out["x"].astype(object).where(out["x"].notna(), None)
-        return out
+def harmonic_by_group(pairs: DataFrame, labels: DataFrame, lam: float = 0.05, cnt: str = "cnt", leave_one_out: bool = False, **how) -> DataFrame:
+    """grp, node, x, labelled: harmonic() within each group, towards the group's median label.
 
+    ``pairs``: grp, a, b, cnt; ``labels``: grp, node, y (null: none; a group's nodes that have no pair may stand there).
+    A group without a label has null x. All groups go through the same joins, whatever their sizes. ``leave_one_out``
+    gives for each labelled node what its group would say without its label, towards the median of the other labels:
+    the pairs of a group are there once for each of its labels.
+    """
     kind = dict(pairs.dtypes)
-    slim = pairs.select("grp", "a", "b", F.col(cnt).cast("double").alias("cnt"))
-    return slim.groupBy("grp").cogroup(labels.select("grp", "node", F.col("y").cast("double").alias("y")).groupBy("grp")).applyInPandas(run, f"grp {kind['grp']}, node {kind['a']}, x double, labelled boolean")
+    node = lambda c: F.struct("held", "grp", F.col(c).alias("node"))
+    known = labels.where("y IS NOT NULL").select("grp", "node", F.col("y").cast("double").alias("y"))
+    if leave_one_out:
+        held = known.select("grp", F.col("node").alias("held"))
+        pairs, each = pairs.join(held, "grp"), labels.join(held, "grp")
+    else:
+        none = F.lit(None).cast(kind["a"]).alias("held")
+        pairs, each = pairs.select("*", none), labels.select("*", none)
+    each = staged(each.select("held", "grp", "node", F.when(F.col("held").isNull() | (F.col("held") != F.col("node")), F.col("y").cast("double")).alias("y")))
+    middle = each.groupBy("held", "grp").agg(F.median("y").alias("prior"))
+    ends = pairs.select("held", "grp", F.explode(F.array("a", "b")).alias("node")).union(each.select("held", "grp", "node")).distinct()
+    prior = ends.join(middle, ends["grp"].eqNullSafe(middle["grp"]) & ends["held"].eqNullSafe(middle["held"]), "left").where("prior IS NOT NULL").select(F.struct(ends["held"], ends["grp"], "node").alias("node"), "prior")
+    prior = staged(prior)
+    rows = pairs.select(node("a").alias("a"), node("b").alias("b"), F.col(cnt).cast("double").alias("cnt"))
+    # A group that has no label takes no part; its nodes are given back without an x.
+    rows = rows.join(prior.select(F.col("node").alias("a")), "a", "left_semi")
+    own = each.where("y IS NOT NULL").select(node("node").alias("node"), "y")
+    unlabelled = prior.join(own.select("node"), "node", "left_anti").select("node", F.lit(None).cast("double").alias("y"))
+    out = harmonic(rows, own.unionByName(unlabelled), lam, prior, **how).select("node.held", "node.grp", "node.node", "x", "labelled")
+    if leave_one_out:
+        return out.where("held = node").select("grp", "node", "x", F.lit(True).alias("labelled"))
+    out = out.select("grp", "node", "x", "labelled")
+    rest = ends.select("grp", "node").join(out.select("grp", "node"), ["grp", "node"], "left_anti")
+    return out.unionByName(rest.select("grp", "node", F.lit(None).cast("double").alias("x"), F.lit(False).alias("labelled")))
 
 
 def bounds(edges: DataFrame, known: DataFrame, low: float = -500.0, high: float = 1900.0, sweeps: int = 40, tolerance: float = 1e-6) -> DataFrame:
@@ -265,51 +241,24 @@ def components(pairs: DataFrame, extra_nodes: DataFrame | None = None) -> DataFr
             return now
 
 
-def _kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
-    parent: dict = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for row in pdf.sort_values(["cnt", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-        x, y = find(row.a), find(row.b)
-        if x != y:
-            parent[x] = y
-            kept.append((row.a, row.b, row.cnt))
-    return pd.DataFrame(kept, columns=["a", "b", "cnt"])
-
-
-def spanning_forest(pairs: DataFrame, cnt: str = "cnt", one_task_up_to: int = 200_000) -> DataFrame:
+def spanning_forest(pairs: DataFrame, cnt: str = "cnt") -> DataFrame:
     """a, b, cnt: the maximum spanning forest. Among equal counts the smaller (a, b) goes first, so it is unique.
 
-    At most ``one_task_up_to`` pairs are sorted and joined up in one task; more go through Boruvka rounds of joins.
+    Boruvka rounds: each part takes its best pair to another part, and the parts that these join become one; parts at least
+    halve, so the rounds grow with the logarithm of the nodes. Nodes may be of any type that has an order.
     """
-    slim = pairs.select("a", "b", F.col(cnt).alias("cnt"))
-    if slim.limit(one_task_up_to + 1).count() <= one_task_up_to:
-        kinds = ", ".join(f"{c} {k}" for c, k in slim.dtypes)
-        return slim.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: _kruskal(pdf), kinds)
     left = staged(pairs.select("a", "b", F.col(cnt).alias("cnt")))
     label = staged(nodes(left).select("node", F.col("node").alias("part")))
-    picked = None
+    picked = left.limit(0)
     while True:
         a, b = (label.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in ("a", "b"))
         left = staged(left.select("a", "b", "cnt").join(a, "a").join(b, "b").where("part_a <> part_b"))
         if left.isEmpty():
-            break
-        each = left.select(F.explode(F.array("part_a", "part_b")).alias("part"), "a", "b", "cnt")
-        best = each.groupBy("part").agg(F.max_by(F.struct("a", "b", "cnt"), F.struct("cnt", _descending(F.col("a")), _descending(F.col("b")))).alias("e")).select("e.*").distinct()
-        best = staged(best)
-        picked = best if picked is None else staged(picked.union(best))
+            return picked
+        each = left.select(F.explode(F.array("part_a", "part_b")).alias("part"), F.struct((-F.col("cnt")).alias("first"), "a", "b", "cnt").alias("e"))
+        best = staged(each.groupBy("part").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.cnt").distinct())
+        picked = staged(picked.union(best))
         label = components(picked, label.select("node")).select("node", F.col("component").alias("part"))
-    return pairs.select("a", "b", F.col(cnt).alias("cnt")).limit(0) if picked is None else picked
-
-
-def _descending(c: Column) -> Column:
-    return -c
 
 
 def nearest_graph(vectors: DataFrame, k: int = 15) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,15 @@ MAX_QUERIES = 50_000
 def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", id_col: str = "id", v: str = "v", group: str | None = None, mode: str | None = None) -> DataFrame:
     """query, id, distance, rank: the k nearest rows of each query, exactly; never itself.
 
-    The queries are a stated set of at most MAX_QUERIES, sent to every task; the rows are streamed past them in blocks, each
-    task keeps its k best of each query, and the best of those follow. ``group`` with mode "same" or "other" keeps rows of the
+    The queries are a stated set; about MAX_QUERIES at a time are sent to every task, the rows are streamed past them in
+    blocks, each task keeps its k best of each query, and the best of those follow. ``group`` with mode "same" or "other" keeps rows of the
     query's own group, or of others. Metrics: euclidean, cosine, delta (mean absolute difference). Ties go by id.
     """
-    own = queries.select(F.col(id_col).alias("id"), F.col(v).alias("v"), (F.col(group) if group else F.lit(None).cast("string")).alias("g")).limit(MAX_QUERIES + 1).collect()
-    if len(own) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    own = [r for r in own if r.v is not None]
+    shares = -(-queries.count() // MAX_QUERIES)
+    if shares > 1:
+        parts = [nearest(queries.where(F.pmod(F.xxhash64(id_col), F.lit(2 * shares)) == i), rows, k, metric, id_col, v, group, mode) for i in range(2 * shares)]
+        return reduce(DataFrame.unionByName, parts)
+    own = queries.select(F.col(id_col).alias("id"), F.col(v).alias("v"), (F.col(group) if group else F.lit(None).cast("string")).alias("g")).where("v IS NOT NULL").collect()
     q_ids, q_groups = [r.id for r in own], np.array([r.g for r in own], dtype=object)
     q = np.array([list(r.v) for r in own], dtype=float)
     kind = dict(rows.dtypes)[id_col]
@@ -168,7 +170,7 @@ def perceptron(train: DataFrame, features: list[str], label: str, hidden=(128, 3
 
     best, kept, wait, t = np.inf, None, 0, 0
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(tx)), max(1, len(tx) // 200)):
+        for part in np.array_split(rng.permutation(len(tx)), max(1, len(tx) // 200, min(16, len(tx) // 16))):
             acts = forward(tx[part])
             g = (acts[-1] - ty[part, None]) / len(part)
             grads_w, grads_b = [], []

@@ -85,3 +85,14 @@ def anchored(works: DataFrame, metadata: DataFrame, anchors: DataFrame, work_col
         F.greatest(nb, na).cast("double").alias("hi"),
         F.when(F.col("__nb").isNotNull(), "metadata").when(F.col("__anb").isNotNull(), "prefix").otherwise("inferred").alias("source"),
     )
+
+
+def disjoint(queries: DataFrame, rows: DataFrame, block: int = 4096) -> DataFrame:
+    """Rows of ``queries`` (x, xl, xh) beside those of ``rows`` (y, yl, yh), another key, whose interval does not meet theirs.
+
+    A stated query set against all rows, in blocks: a task holds pairs of one block of either side. Unknown ends meet nothing.
+    """
+    n, m = (max(1, -(-df.count() // block)) for df in (queries, rows))
+    a = queries.withColumn("__i", F.pmod(F.xxhash64("x"), F.lit(n))).withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    b = rows.withColumn("__j", F.pmod(F.xxhash64("y"), F.lit(m))).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return a.join(b, ["__i", "__j"]).where("x <> y AND (xh < yl OR yh < xl)").drop("__i", "__j")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import features_queries, graph_queries, model_queries, resolve_queries, sequence_queries, stats_queries
+from . import features_queries, graph_queries, model_queries, resolve_queries, sequence_queries, source_queries, stats_queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
-_MODULES = (features_queries, graph_queries, model_queries, resolve_queries, sequence_queries, stats_queries)
+_MODULES = (features_queries, graph_queries, model_queries, resolve_queries, sequence_queries, source_queries, stats_queries)
 
 
 def flagship(spark, sf_dir):

@@ -17,7 +17,7 @@ c AS (SELECT doc, term, count(*) AS cnt FROM t WHERE regexp_full_match(term, '[a
 
 
 def _counts(spark, d):
-    return X.term_counts(table(spark, d, "documents"), "doc_id", T.words(F.col("text"), _ALPHABET))
+    return X.term_counts(table(spark, d, "documents"), "doc_id", T.pieces(F.col("text")), lambda p: T.word(p, _ALPHABET))
 
 
 @query("WITH " + _TOKENS + "SELECT doc, term, cnt FROM c")

@@ -24,14 +24,17 @@ def node_counts(spark, d):
 
 
 @query("""
-WITH e AS (SELECT l_suppkey % 7 AS src, l_partkey % 11 AS dst, l_quantity AS q FROM lineitem) SELECT src, dst, count(*) AS cnt, sum(q) AS qty FROM e WHERE src <> dst GROUP BY 1, 2
+WITH e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_quantity AS q FROM lineitem),
+m AS (SELECT 's' || s_suppkey AS node, 'nation' || s_nationkey AS work FROM supplier UNION ALL SELECT 'p' || p_partkey, p_brand FROM part WHERE p_size % 3 > 0)
+SELECT coalesce(x.work, src) AS src, coalesce(y.work, dst) AS dst, count(*) AS cnt, sum(q) AS qty FROM e LEFT JOIN m x ON x.node = src LEFT JOIN m y ON y.node = dst WHERE coalesce(x.work, src) <> coalesce(y.work, dst) GROUP BY 1, 2
 """)
 def edge_rollup(spark, d):
-    raw = G.edges(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", {"qty": F.col("l_quantity")}, keep_self=True)
-    # Suppliers and parts have keys of their own; roll each side up to its own class.
-    named = raw.select((F.col("src") % 7).alias("src"), (F.col("dst") % 11).alias("dst"), "cnt", "qty")
-    none = spark.createDataFrame([], "node long, work long")
-    return G.rolled_up(named, none, ["cnt", "qty"])
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
+    lines = table(spark, d, "lineitem").select(name("s", "l_suppkey").alias("a"), name("p", "l_partkey").alias("b"), "l_quantity")
+    raw = G.edges(lines, "a", "b", {"qty": F.col("l_quantity")}, keep_self=True)
+    # Suppliers belong to nations and most parts to brands; the other parts stand for themselves.
+    works = table(spark, d, "supplier").select(name("s", "s_suppkey").alias("node"), name("nation", "s_nationkey").alias("work"))
+    return G.rolled_up(raw, works.union(table(spark, d, "part").where("p_size % 3 > 0").select(name("p", "p_partkey"), "p_brand")), ["cnt", "qty"])
 
 
 _STEPS = "SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, event_type AS dst, value FROM events"
@@ -49,27 +52,21 @@ def edge_fold_undirected(spark, d):
     return G.undirected(_event_pairs(spark, d), ["cnt", "total"]).withColumn("total", F.round("total", 4))
 
 
-#: Pairs of suppliers that share at least so many orders, with summed prices of either.
-_LEAST = {"sql": """
-s AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s, sum(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2),
-pairs AS (SELECT x.s AS a, y.s AS b, count(*) AS cnt, sum(x.p) AS len_a, sum(y.p) AS len_b FROM s x JOIN s y ON x.o = y.o AND x.s < y.s GROUP BY 1, 2 HAVING count(*) >= (SELECT quantile_disc(c, 0.9) FROM (SELECT count(*) AS c FROM s x JOIN s y ON x.o = y.o AND x.s < y.s GROUP BY x.s, y.s)))
-"""}
+#: Pairs of suppliers that share an order, with summed prices of either.
+_PAIRS = """
+s AS (SELECT l_orderkey AS o, l_suppkey AS s, sum(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2),
+pairs AS (SELECT x.s AS a, y.s AS b, count(*) AS cnt, sum(x.p) AS len_a, sum(y.p) AS len_b FROM s x JOIN s y ON x.o = y.o AND x.s < y.s GROUP BY 1, 2)
+"""
 
 
-def _all_pairs(spark, d):
+def _pairs(spark, d):
     # An order has few lines, so the self-join by order multiplies each row by a handful.
     s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).agg(F.sum("l_extendedprice").alias("p"))
     x, y = s.select("o", F.col("s").alias("a"), F.col("p").alias("pa")), s.select("o", F.col("s").alias("b"), F.col("p").alias("pb"))
-    return x.join(y, "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"), F.sum("pa").alias("len_a"), F.sum("pb").alias("len_b"))
+    return staged(x.join(y, "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"), F.sum("pa").alias("len_a"), F.sum("pb").alias("len_b")))
 
 
-def _pairs(spark, d):
-    pairs = _all_pairs(spark, d)
-    least = F.broadcast(pairs.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY cnt)").alias("least")))
-    return staged(pairs.crossJoin(least).where("cnt >= least").drop("least"))
-
-
-_BREADTH = _LEAST["sql"] + ", two AS (SELECT a AS node, b AS other, cnt FROM pairs UNION ALL SELECT b, a, cnt FROM pairs), br AS (SELECT node, count(*) AS breadth FROM two GROUP BY 1)"
+_BREADTH = _PAIRS + ", two AS (SELECT a AS node, b AS other, cnt FROM pairs UNION ALL SELECT b, a, cnt FROM pairs), br AS (SELECT node, count(*) AS breadth FROM two GROUP BY 1)"
 
 
 @query("WITH " + _BREADTH + " SELECT node, breadth FROM br")
@@ -110,7 +107,7 @@ def orient_sweep(spark, d):
 
 
 @query("WITH " + _SCORED + """, r AS (SELECT later_a, unnest([{'rule': 'expansion', 's': CASE WHEN abs(e) >= 0.05 THEN e > 0 END}, {'rule': 'breadth', 's': CASE WHEN abs(br) >= 0.05 THEN br > 0 END}]) AS r FROM sc)
- SELECT r.rule AS rule, count(r.s) AS decided, sum((r.s = later_a)::INT)::BIGINT AS correct, round(sum((r.s = later_a)::INT) / nullif(count(r.s), 0), 6) AS accuracy FROM r GROUP BY 1
+ SELECT r.rule AS rule, count(r.s) AS decided, coalesce(sum((r.s = later_a)::INT), 0)::BIGINT AS correct, round(sum((r.s = later_a)::INT) / nullif(count(r.s), 0), 6) AS accuracy FROM r GROUP BY 1
 """)
 def orient_rules(spark, d):
     rows = _scored(spark, d)
@@ -147,7 +144,7 @@ def known_neighbours(spark, d):
     return G.known_neighbours(_pairs(spark, d), _dated(spark, d))
 
 
-@query("WITH " + _LEAST["sql"] + " SELECT a, b, p.s_nationkey AS grp FROM pairs JOIN supplier p ON a = p.s_suppkey JOIN supplier q ON b = q.s_suppkey WHERE p.s_nationkey = q.s_nationkey")
+@query("WITH " + _PAIRS + " SELECT a, b, p.s_nationkey AS grp FROM pairs JOIN supplier p ON a = p.s_suppkey JOIN supplier q ON b = q.s_suppkey WHERE p.s_nationkey = q.s_nationkey")
 def induced_pairs(spark, d):
     m = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("grp"))
     return G.induced(_pairs(spark, d), m).select("a", "b", "grp")
@@ -157,21 +154,47 @@ def _labels(spark, d):
     return table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("y"))
 
 
-@query()
+#: The fixed point of spreading by plain steps. cell (h, node, y, prior) and two (h, a, b, w) are to stand before it: the systems h.
+_SPREAD = """
+dg AS (SELECT h, a AS node, sum(w) AS d FROM two GROUP BY 1, 2),
+kn AS (SELECT two.h, two.a AS node, sum(w * y) AS s FROM two JOIN cell c ON c.h = two.h AND c.node = two.b WHERE c.y IS NOT NULL GROUP BY 1, 2),
+fr AS (SELECT c.h, c.node, prior, coalesce(d, 0) AS d, coalesce(s, 0) AS s FROM cell c LEFT JOIN dg ON dg.h = c.h AND dg.node = c.node LEFT JOIN kn ON kn.h = c.h AND kn.node = c.node WHERE y IS NULL),
+ed AS (SELECT two.h, a, b, w FROM two JOIN fr x ON x.h = two.h AND x.node = a JOIN fr z ON z.h = two.h AND z.node = b UNION ALL SELECT h, node, node, 0.0 FROM fr),
+it(k, h, node, x) AS (SELECT 0, h, node, prior::DOUBLE FROM fr UNION ALL
+ SELECT any_value(it.k) + 1, fr.h, fr.node, (CASE WHEN any_value(fr.d) > 0 THEN (sum(ed.w * it.x) + any_value(fr.s)) / any_value(fr.d) ELSE any_value(fr.prior) END + 0.05 * any_value(fr.prior)) / 1.05
+ FROM it JOIN ed ON ed.h = it.h AND ed.b = it.node JOIN fr ON fr.h = ed.h AND fr.node = ed.a WHERE it.k < 700 GROUP BY fr.h, fr.node),
+spread AS (SELECT h, node, x, false AS labelled FROM it WHERE k = 700 UNION ALL SELECT h, node, y, true FROM cell WHERE y IS NOT NULL)
+"""
+_LABELLED = "sup AS (SELECT s_suppkey AS node, s_suppkey // 50 AS grp, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS y FROM supplier)"
+_IN_GROUPS = "own AS (SELECT a, b, ln(1 + cnt) AS w, a // 50 AS grp FROM pairs JOIN sup p ON p.node = a JOIN sup q ON q.node = b WHERE a // 50 = b // 50), twice AS (SELECT grp, a, b, w FROM own UNION ALL SELECT grp, b, a, w FROM own)"
+
+
+@query("WITH RECURSIVE " + _PAIRS + "," + _LABELLED + """,
+two AS (SELECT 0 AS h, a, b, ln(1 + cnt) AS w FROM pairs UNION ALL SELECT 0, b, a, ln(1 + cnt) FROM pairs),
+cell AS (SELECT 0 AS h, n.node, y, (SELECT avg(y) FROM sup) AS prior FROM (SELECT a AS node FROM pairs UNION SELECT b FROM pairs UNION SELECT node FROM sup WHERE y IS NOT NULL) n LEFT JOIN sup USING (node)),
+""" + _SPREAD + "SELECT node, round(x, 3) AS x, labelled FROM spread")
 def harmonic_propagation(spark, d):
-    return G.harmonic(staged(_all_pairs(spark, d)), _labels(spark, d), lam=0.05).withColumn("x", F.round("x", 3)).orderBy("x", "node")
+    return G.harmonic(_pairs(spark, d), _labels(spark, d), lam=0.05).withColumn("x", F.round("x", 3)).orderBy("x", "node")
 
 
-@query()
+def _grouped(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.floor(F.col("s_suppkey") / 50).alias("grp"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("y"))
+    return G.induced(_pairs(spark, d), s), s
+
+
+@query("WITH RECURSIVE " + _PAIRS + "," + _LABELLED + "," + _IN_GROUPS + """,
+two AS (SELECT grp AS h, a, b, w FROM twice), cell AS (SELECT grp AS h, node, y, median(y) OVER (PARTITION BY grp) AS prior FROM sup),
+""" + _SPREAD + "SELECT h AS grp, node, round(x, 3) AS x, labelled FROM spread")
 def harmonic_groups(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).alias("grp"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("y"))
-    return G.harmonic_by_group(G.induced(staged(_all_pairs(spark, d)), s), s).withColumn("x", F.round("x", 3))
+    return G.harmonic_by_group(*_grouped(spark, d)).withColumn("x", F.round("x", 3))
 
 
-@query()
+@query("WITH RECURSIVE " + _PAIRS + "," + _LABELLED + "," + _IN_GROUPS + """,
+held AS (SELECT node AS h, grp FROM sup WHERE y IS NOT NULL), two AS (SELECT h, a, b, w FROM twice JOIN held USING (grp)),
+sys AS (SELECT h, node, CASE WHEN node <> h THEN y END AS y FROM sup JOIN held USING (grp)), cell AS (SELECT h, node, y, median(y) OVER (PARTITION BY h) AS prior FROM sys),
+""" + _SPREAD + "SELECT h // 50 AS grp, node, round(x, 3) AS x, true AS labelled FROM spread WHERE h = node")
 def harmonic_leave_one_out(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).alias("grp"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("y"))
-    return G.harmonic_by_group(G.induced(staged(_all_pairs(spark, d)), s), s, leave_one_out=True).withColumn("x", F.round("x", 3))
+    return G.harmonic_by_group(*_grouped(spark, d), leave_one_out=True).withColumn("x", F.round("x", 3))
 
 
 @query("""
@@ -201,7 +224,7 @@ def components(spark, d):
 
 @query()
 def spanning_forest(spark, d):
-    return G.spanning_forest(staged(_all_pairs(spark, d)))
+    return G.spanning_forest(_pairs(spark, d))
 
 
 @query("""

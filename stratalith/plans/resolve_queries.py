@@ -87,15 +87,14 @@ def coalesce_anchor(spark, d):
 
 
 @query("""
-WITH c AS (SELECT o_custkey AS k, min(epoch(o_orderdate)) AS lo, max(epoch(o_orderdate)) AS hi FROM orders WHERE o_custkey < 200 GROUP BY 1)
-SELECT a.k AS x, b.k AS y, CASE WHEN a.hi < b.lo THEN 'x_older' ELSE 'y_older' END AS told FROM c a JOIN c b ON a.k < b.k AND (a.hi < b.lo OR b.hi < a.lo)
+WITH c AS (SELECT o_custkey AS k, min(epoch(o_orderdate)) AS lo, max(epoch(o_orderdate)) AS hi FROM orders GROUP BY 1)
+SELECT a.k AS x, b.k AS y, CASE WHEN a.hi < b.lo THEN 'x_older' ELSE 'y_older' END AS told FROM c a JOIN c b ON a.k <> b.k AND (a.hi < b.lo OR b.hi < a.lo) WHERE a.k % 100 = 0
 """)
 def disjoint_intervals(spark, d):
-    # The pairs of a stated set of anchors, as in a gold set of known orders.
-    c = table(spark, d, "orders").where("o_custkey < 200").groupBy(F.col("o_custkey").alias("k")).agg(F.min(F.unix_timestamp("o_orderdate")).alias("lo"), F.max(F.unix_timestamp("o_orderdate")).alias("hi"))
-    a, b = c.select(F.col("k").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh")), c.select(F.col("k").alias("y"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
-    told = Y.order_of(F.col("xl"), F.col("xh"), F.col("yl"), F.col("yh"))
-    return a.join(F.broadcast(b), F.col("x") < F.col("y")).withColumn("told", told).where("told IS NOT NULL").select("x", "y", "told")
+    # A stated query set, customers divisible by 100, against all: those that end before it, and those that begin after it.
+    c = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min(F.unix_timestamp("o_orderdate")).alias("lo"), F.max(F.unix_timestamp("o_orderdate")).alias("hi"))
+    a, b = c.where("k % 100 = 0").select(F.col("k").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh")), c.select(F.col("k").alias("y"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
+    return R.disjoint(a, b).withColumn("told", Y.order_of(F.col("xl"), F.col("xh"), F.col("yl"), F.col("yh"))).select("x", "y", "told")
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,9 +126,7 @@ def _path(spark):
 
 def test_harmonic_path(spark):
     pairs, labels = _path(spark)
-    for dense in (0, 2000):
-        got = {r.node: r.x for r in graph.harmonic(pairs, labels, lam=1e-9, dense_up_to=dense).collect()}
-        assert got["b"] == pytest.approx(50, abs=1e-3)
+    assert {r.node: r.x for r in graph.harmonic(pairs, labels, lam=1e-9).collect()}["b"] == pytest.approx(50, abs=1e-3)
     grouped = graph.harmonic_by_group(pairs.withColumn("grp", F.lit("g")), labels.withColumn("grp", F.lit("g")), lam=1e-9)
     assert {r.node: r.x for r in grouped.collect()}["b"] == pytest.approx(50, abs=1e-3)
 
@@ -135,17 +135,52 @@ def test_harmonic_isolated_node_takes_its_prior(spark):
     pairs, labels = _path(spark)
     prior = spark.createDataFrame([("z", 500.0)], "node string, prior double")
     labels = labels.unionByName(spark.createDataFrame([("z", None)], "node string, y double"))
-    for dense in (0, 2000):
-        assert {r.node: r.x for r in graph.harmonic(pairs, labels, 0.05, prior, dense_up_to=dense).collect()}["z"] == 500.0
-        assert {r.node: r.x for r in graph.harmonic(pairs, labels, 0.05, prior, shrink_isolated=True, dense_up_to=dense).collect()}["z"] == pytest.approx(500 * 0.05 / 1.05)
-
-
-def test_harmonic_steps_reach_the_dense_solution(spark):
+    assert {r.node: r.x for r in graph.harmonic(pairs, labels, 0.05, prior).collect()}["z"] == pytest.approx(500)
+    assert {r.node: r.x for r in graph.harmonic(pairs, labels, 0.05, prior, shrink_isolated=True).collect()}["z"] == pytest.approx(500 * 0.05 / 1.05)
+
+
+def dense_harmonic(pairs, y, lam, prior):
+    """x by node of the system solved whole."""
+    names = sorted({n for a, b, _ in pairs for n in (a, b)} | set(y))
+    at = {n: i for i, n in enumerate(names)}
+    w = np.zeros((len(names),) * 2)
+    for a, b, n in pairs:
+        w[at[a], at[b]] += np.log1p(n)
+        w[at[b], at[a]] += np.log1p(n)
+    known = {n for n in names if y.get(n) is not None}
+    m, c = np.eye(len(names)), np.zeros(len(names))
+    for n in names:
+        i = at[n]
+        if n in known or not w[i].any():
+            c[i] = y[n] if n in known else prior
+        else:
+            m[i] = (1 + lam) * m[i] - w[i] / w[i].sum()
+            c[i] = lam * prior
+    return dict(zip(names, np.linalg.solve(m, c), strict=True))
+
+
+@pytest.mark.parametrize("name", [lambda i: i, lambda i: f"n{i:02d}"])
+def test_harmonic_is_the_dense_solution(spark, name):
     r = random.Random(8)
-    pairs = spark.createDataFrame([(a, b, r.randrange(1, 9)) for a in range(12) for b in range(a + 1, 12) if r.random() < 0.3], "a long, b long, cnt int")
-    labels = spark.createDataFrame([(0, 0.0), (5, 50.0), (11, 90.0)], "node long, y double")
-    steps, dense = ({x.node: x.x for x in graph.harmonic(pairs, labels, 0.5, dense_up_to=n).collect()} for n in (0, 2000))
-    assert steps.keys() == dense.keys() and all(steps[n] == pytest.approx(dense[n], abs=1e-4) for n in dense)
+    kind = "string" if isinstance(name(0), str) else "long"
+    pairs = [(name(a), name(b), r.randrange(1, 9)) for a in range(30) for b in range(a + 1, 30) if r.random() < 0.12]
+    labels = {name(0): 0.0, name(5): 50.0, name(11): 90.0, name(29): 10.0}
+    df, known = spark.createDataFrame(pairs, f"a {kind}, b {kind}, cnt int"), spark.createDataFrame(list(labels.items()), f"node {kind}, y double")
+    for lam in (0.5, 0.02):
+        got = {x.node: x.x for x in graph.harmonic(df, known, lam).collect()}
+        assert got == pytest.approx(dense_harmonic(pairs, labels, lam, np.mean(list(labels.values()))), abs=1e-5)
+    group = {name(i): f"g{i % 3}" for i in range(30)}
+    inside = [p for p in pairs if group[p[0]] == group[p[1]]]
+    y = {name(i): float(r.randrange(100)) if i % 3 < 2 and i % 2 else None for i in range(30)}  # no label in g2
+    rows = spark.createDataFrame([(group[a], a, b, n) for a, b, n in inside], f"grp string, a {kind}, b {kind}, cnt int")
+    members = spark.createDataFrame([(group[n], n, v) for n, v in y.items()], f"grp string, node {kind}, y double")
+    of = lambda g, ys: dense_harmonic([p for p in inside if group[p[0]] == g], {n: v for n, v in ys.items() if group[n] == g}, 0.05, np.median([v for n, v in ys.items() if v is not None and group[n] == g]))
+    want = {n: v for g in ("g0", "g1") for n, v in of(g, y).items()}
+    got = {x.node: x for x in graph.harmonic_by_group(rows, members).collect()}
+    assert set(got) == set(group) and all(got[n].grp == group[n] and got[n].labelled == (y[n] is not None) for n in got)
+    assert {n: x.x for n, x in got.items() if x.x is not None} == pytest.approx(want, abs=1e-5) and all(got[n].x is None for n in got if group[n] == "g2")
+    out = {x.node: x.x for x in graph.harmonic_by_group(rows, members, leave_one_out=True).collect()}
+    assert out == pytest.approx({n: of(group[n], {**y, n: None})[n] for n, v in y.items() if v is not None}, abs=1e-5)
 
 
 def test_components_and_forest(spark):
@@ -165,8 +200,54 @@ def test_components_and_forest(spark):
             parent[max(find(a), find(b))] = min(find(a), find(b))
             want_forest.add((a, b, c))
     assert {(x.node, x.component) for x in graph.components(df).collect()} == {(n, find(n)) for n in parent}
-    for bound in (0, 100):
-        assert {tuple(x) for x in graph.spanning_forest(df, one_task_up_to=bound).collect()} == want_forest
+    assert {tuple(x) for x in graph.spanning_forest(df).collect()} == want_forest
+    named = df.select(F.format_string("n%02d", "a").alias("a"), F.format_string("n%02d", "b").alias("b"), "cnt")
+    assert {tuple(x) for x in graph.spanning_forest(named).collect()} == {(f"n{a:02d}", f"n{b:02d}", c) for a, b, c in want_forest}
+    assert graph.spanning_forest(df.limit(0)).count() == 0
+
+
+def works_frame(rows):
+    w = pd.DataFrame(rows, columns=["m", "lo", "hi", "n_chunks", "not_before", "not_after"])
+    w["mid"], w["f"] = (w["lo"] + w["hi"]) / 2, np.sqrt(1 + 4 / w["n_chunks"])
+    w["p_anchor"] = (1 / np.maximum((w["hi"] - w["lo"]) / 3.3, 25) ** 2).fillna(0)
+    return w.fillna({"not_before": -np.inf, "not_after": np.inf})
+
+
+def test_sampler_has_the_closed_form_s_moments():
+    nan = np.nan
+    w = works_frame([(300, nan, nan, 1, nan, nan), (300, 100, 200, 4, nan, nan), (800, nan, nan, 9, nan, nan)])
+    mu, var, noise = 500.0, 100.0**2, 150.0**2
+    got = gibbs.chain(w, np.zeros((0, 2), dtype=int), 6000, 500, 1, 3, fixed=(mu, var, noise))
+    own = 1 / (noise * w["f"] ** 2)
+    precision = own + 1 / var + w["p_anchor"]
+    mean = (w["m"] * own + mu / var + (w["mid"] * w["p_anchor"]).fillna(0)) / precision
+    assert got.mean(0) == pytest.approx(mean.to_numpy(), abs=5) and got.std(0) == pytest.approx((precision**-0.5).to_numpy(), rel=0.05)
+
+
+def test_sampler_under_constraints_is_rejection_sampling_s():
+    nan = np.nan
+    w = works_frame([(450, nan, nan, 3, nan, nan), (400, nan, nan, 3, nan, nan), (300, nan, nan, 3, 350, nan), (900, nan, nan, 3, nan, 200)])
+    mu, var, noise = 420.0, 80.0**2, 120.0**2
+    got = gibbs.chain(w, np.array([[0, 1], [2, 1]]), 40_000, 1000, 1, 5, fixed=(mu, var, noise))
+    own = (1 / (noise * w["f"] ** 2)).to_numpy()
+    precision = own + 1 / var
+    free = np.random.default_rng(1).normal((w["m"].to_numpy() * own + mu / var) / precision, precision**-0.5, (400_000, 4))[:, :3]
+    want = free[(free[:, 0] < free[:, 1]) & (free[:, 2] < free[:, 1]) & (free[:, 2] > 350)]
+    assert (got[:, 0] <= got[:, 1]).all() and (got[:, 2] <= got[:, 1]).all() and (got[:, 2] >= 350).all() and (got[:, 3] <= 200).all()
+    assert got[:, :3].mean(0) == pytest.approx(want.mean(0), abs=4) and got[:, :3].std(0) == pytest.approx(want.std(0), rel=0.06)
+    # Far out in a tail the draws stay close to the bound, by the normal's own tail.
+    far = gibbs.chain(works_frame([(900, nan, nan, 3, nan, -4000)]), np.zeros((0, 2), dtype=int), 4000, 200, 1, 5, fixed=(mu, var, noise))
+    sd = precision[3] ** -0.5
+    z = (4000 + (900 * own[3] + mu / var) / precision[3]) / sd
+    assert (-4000 - far.mean()) == pytest.approx(sd / z, rel=0.15)
+
+
+def test_sampler_ends_where_orders_contradict():
+    w = works_frame([(100, np.nan, np.nan, 1, np.nan, np.nan)] * 3)
+    edges = np.array([[0, 1], [1, 2], [2, 0]])
+    got = gibbs.chain(w, edges, 200, 50, 1, 1)
+    assert got.shape == (150, 3) and np.isfinite(got).all()
+    assert len(set(gibbs.colours(3, edges).tolist())) == 3 and gibbs.colours(4, np.array([[0, 1], [2, 2]])).tolist()[2:] == [0, 0]
 
 
 def test_bounds_stop_on_a_cycle(spark):
