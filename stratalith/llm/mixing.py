@@ -173,7 +173,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pieces = mixture.pieces.groupBy(F.col(id_col).alias("__mix_id"), F.col("mark").alias("__mix_mark")).agg(F.collect_list(F.struct("slot", "offset", "first_word", "n_words")).alias("__pieces")).hint("merge")
     own = docs.withColumn("__mark", mark_of(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
     # Rows that repeat id and text stand for one another: the pieces of all of them are cut from one.
-    own = own.dropDuplicates([id_col, "__mark"])
+    if not mixture.layout.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        own = own.dropDuplicates([id_col, "__mark"])
     names = docs.columns
     both = own.join(pieces, own[f"`{id_col}`"].eqNullSafe(pieces["__mix_id"]) & (own["__mark"] == pieces["__mix_mark"])).select(*[own[f"`{c}`"] for c in names], "__pieces")
     cut = both.mapInArrow(released(_cut(names, text_col)), StructType([*docs.schema.fields, StructField("__slot", LongType()), StructField("__offset", LongType())]))
