@@ -1,9 +1,10 @@
 """Quality classifier by co-training of two views.
 
 The text view sees hashed character 3-grams and shares of symbols, capitals, repeats and so on; the metadata view
-sees source, language and length. Over some rounds each view labels the unlabelled documents it is sure of and hands
-them to the other. Both views are then calibrated on labelled documents that neither was fitted on, combined there,
-and the combination scores every document.
+sees source, language and length. In each round both views score all documents, and each hands the documents it is sure
+of to the other, as sums over them: a view is a least-squares discriminant, so the sums of its features and of their
+products by label are all that it learns from. Both views are calibrated on labelled documents that neither was fitted
+on, combined there, and the combination scores every document.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,41 +115,48 @@ class CoTrained:
         return _sigmoid(a), _sigmoid(b), _sigmoid(a * self.mix[0] + b * self.mix[1] + self.bias)
 
 
-def co_train(xt, xm, y, ut, um, rounds: int = 4, sure: float = 0.98, each: int = 400) -> CoTrained:
-    """``y``: labels 0 / 1 of the rows of xt and xm; ut, um: unlabelled rows. Every fourth labelled row is kept for calibration."""
+def products(x: np.ndarray) -> np.ndarray:
+    """Sum over rows of the products of all features and a constant 1; its last cell is the number of rows."""
+    x = np.concatenate([x, np.ones((len(x), 1), dtype=x.dtype)], axis=1)
+    return (x.T @ x).astype(np.float64)
+
+
+def discriminant(labelled: list[np.ndarray], given: list[np.ndarray], share: float = 0.5, ridge: float = 1e-3) -> View:
+    """Least squares of -1 and 1 on products() of each label. Given documents of a label weigh together at most ``share`` of the labelled ones."""
+    a, b = 0.0, 0.0
+    for sign, own, more in zip((-1, 1), labelled, given, strict=True):
+        whole = own + more * (share * min(1.0, own[-1, -1] / max(more[-1, -1], 1.0)))
+        whole = whole / max(whole[-1, -1], 1.0)  # both labels weigh alike
+        a, b = a + whole, b + sign * whole[-1]
+    theta = np.linalg.solve(a + ridge * np.eye(len(a)), b)
+    return View(theta[:-1].astype(np.float32), float(theta[-1]))
+
+
+def sure_rows(views: dict[str, View], xt: np.ndarray, xm: np.ndarray, sure: float) -> dict[str, list[np.ndarray]]:
+    """For each view that is to learn, the rows that the other is sure of, by label."""
+    p, q = _sigmoid(views["text"].logit(xt)), _sigmoid(views["meta"].logit(xm))
+    return {"meta": [p <= 1 - sure, p >= sure], "text": [q <= 1 - sure, q >= sure]}
+
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, exchange, rounds: int = 3, sure: float = 0.98) -> CoTrained:
+    """``y``: labels 0 / 1 of the rows of xt and xm; every fourth row is kept for calibration.
+
+    ``exchange(views, sure)``: for each view the products() of the documents given to it, by label.
+    """
     hold = np.arange(len(y)) % 4 == 3
-    views, given = {}, {"text": ([], []), "meta": ([], [])}  # pseudo-labels that a view got: rows, labels
-    free = {"text": np.ones(len(ut), dtype=bool), "meta": np.ones(len(ut), dtype=bool)}
-    data, pool, exchanged = {"text": xt, "meta": xm}, {"text": ut, "meta": um}, []
-
-    def fit(name):
-        rows, labels = given[name]
-        x = np.concatenate([data[name][~hold], pool[name][rows]]) if rows else data[name][~hold]
-        weight = np.concatenate([np.ones((~hold).sum()), np.full(len(rows), 0.5)])
-        views[name] = View(*logistic(x, np.concatenate([y[~hold], labels]), weight))
-        views[name].calibrate(data[name][hold], y[hold])
-
-    for name in data:
-        fit(name)
-    for _ in range(rounds):
-        told = []
-        for giver, taker in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(views[giver].logit(pool[giver])) if len(ut) else np.zeros(0)
-            picked = []
-            for label, confidence in ((1, p), (0, 1 - p)):
-                ready = np.flatnonzero(free[taker] & (confidence >= sure))
-                best = ready[np.argsort(-confidence[ready], kind="stable")[:each]]
-                picked += [(int(i), label) for i in best]
-            for i, label in picked:
-                given[taker][0].append(i)
-                given[taker][1].append(label)
-                free[taker][i] = False
-            told.append(len(picked))
-        exchanged.append(tuple(told))
-        if not any(told):
+    data, views, exchanged = {"text": xt, "meta": xm}, {}, []
+    labelled = {name: [products(x[~hold & (y == label)]) for label in (0, 1)] for name, x in data.items()}
+    given = {name: [np.zeros_like(g) for g in labelled[name]] for name in data}
+    for turn in range(rounds + 1):
+        for name, x in data.items():
+            views[name] = discriminant(labelled[name], given[name])
+            views[name].calibrate(x[hold], y[hold])
+        if turn == rounds:
+            break
+        before, given = given, exchange(views, sure)
+        exchanged.append(tuple(int(sum(g[-1, -1] for g in given[taker])) for taker in ("meta", "text")))
+        if all(np.array_equal(a, b) for name in given for a, b in zip(given[name], before[name], strict=True)):
             break
-        for name in data:
-            fit(name)
     both = np.stack([views["text"].logit(xt[hold]), views["meta"].logit(xm[hold])], axis=1).astype(np.float32)
     mix, bias = logistic(both, y[hold], ridge=1e-3, steps=300)
     return CoTrained(views["text"], views["meta"], np.maximum(mix, 0), bias, exchanged)
@@ -169,25 +178,68 @@ def _rows(docs: DataFrame, id_col, text_col, lang_col, source_col, n_chars_col)
     return rows.select(F.col("id").cast("long").alias("id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", n_chars_col: str = "n_chars", label_col: str = "quality", max_labelled: int = 3_000, max_unlabelled: int = 2_000, **how) -> CoTrained | None:
-    """Classifier fitted on at most ``max_labelled`` labelled and ``max_unlabelled`` other documents, the first by hash of the id.
-
-    Rows with a null id or label are left out; None where there are not two labels to learn.
+#: Sums go to the driver in pieces, each summed up in two steps so that no group has a row for every task.
+PIECES, TASKS = 16, 256
+
+
+def _exchange(rows: DataFrame, labelled: set[int]):
+    """exchange() of co_train() over all of ``rows`` but the labelled ids (at most those of the fit)."""
+
+    def given(views: dict[str, View], sure: float) -> dict[str, list[np.ndarray]]:
+        sizes = {"text": TEXT_SIZE + 1, "meta": META_SIZE + 1}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = {(name, label): np.zeros((n, n)) for name, n in sizes.items() for label in (0, 1)}
+            for batch in batches:
+                for part, texts in text_chunks(batch.column("text")):
+                    free = np.array([i not in labelled for i in batch.column("id")[part].to_pylist()], dtype=bool)
+                    x = {"text": text_view(texts), "meta": meta_view(*(batch.column(c)[part].to_pylist() for c in ("lang", "source", "n_chars")))}
+                    for name, by_label in sure_rows(views, x["text"], x["meta"], sure).items():
+                        for label, which in enumerate(by_label):
+                            if (which & free).any():
+                                sums[name, label] += products(x[name][which & free])
+            salt = TaskContext.get().partitionId() // TASKS
+            for (name, label), total in sums.items():
+                if total[-1, -1]:
+                    for k, piece in enumerate(np.array_split(total.ravel(), PIECES)):
+                        yield pa.record_batch({"view": [name], "label": pa.array([label], pa.int32()), "piece": pa.array([k], pa.int32()), "salt": pa.array([salt], pa.int32()), "sums": pa.array([piece.tobytes()], pa.binary())})
+
+        def summed(table: pa.Table) -> pa.Table:
+            total = np.sum([np.frombuffer(b, dtype=np.float64) for b in table.column("sums").to_pylist()], axis=0)
+            return table.slice(0, 1).set_column(table.schema.get_field_index("sums"), "sums", pa.array([total.tobytes()], pa.binary()))
+
+        schema = "view string, label int, piece int, salt int, sums binary"
+        found = rows.select("id", "text", "lang", "source", "n_chars").mapInArrow(released(run), schema)
+        for keys in (["view", "label", "piece", "salt"], ["view", "label", "piece"]):
+            found = found.groupBy(*keys).applyInArrow(summed, schema)
+        out = {name: [np.zeros((n, n)), np.zeros((n, n))] for name, n in sizes.items()}
+        pieces: dict = {}
+        for r in found.collect():
+            pieces.setdefault((r["view"], r.label), {})[r.piece] = np.frombuffer(r.sums, dtype=np.float64)
+        for (name, label), some in pieces.items():
+            out[name][label] = np.concatenate([some[k] for k in range(PIECES)]).reshape(sizes[name], sizes[name])
+        return out
+
+    return given
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", n_chars_col: str = "n_chars", label_col: str = "quality", max_labelled: int = 3_000, **how) -> CoTrained | None:
+    """Classifier fitted on at most ``max_labelled`` labelled documents, the first by hash of the id, and all other documents.
+
+    Rows with a null id or label are left out of the labelled ones; None where there are not two labels to learn. The
+    sums of a round depend on the order of tasks in their last digits only.
     """
     rows = _rows(docs, id_col, text_col, lang_col, source_col, n_chars_col)
     known = renamed(labels, id=id_col, label=label_col).where("id IS NOT NULL AND label IN (0, 1)").select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    others = rows.select("id").where("id IS NOT NULL").join(known.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(max_unlabelled).withColumn("label", F.lit(None).cast("int"))
-    wanted = rows.join(F.broadcast(chosen.unionByName(others)), "id")
-    got = wanted.mapInArrow(released(_features), "id long, label int, xt binary, xm binary").collect()
+    got = rows.join(F.broadcast(chosen), "id").mapInArrow(released(_features), "id long, label int, xt binary, xm binary").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.xt))
     xt = np.frombuffer(b"".join(r.xt for r in got), dtype="<f2").astype(np.float32).reshape(len(got), TEXT_SIZE)
     xm = np.unpackbits(np.frombuffer(b"".join(r.xm for r in got), dtype=np.uint8)).astype(np.float32).reshape(len(got), META_SIZE)
-    labelled = np.array([r.label is not None for r in got], dtype=bool)
-    y = np.array([r.label for r in got if r.label is not None], dtype=float)
-    if labelled.sum() < 8 or len(set(y[np.arange(len(y)) % 4 == 3])) < 2 or len(set(y[np.arange(len(y)) % 4 != 3])) < 2:
+    y = np.array([r.label for r in got], dtype=float)
+    if len(y) < 8 or len(set(y[np.arange(len(y)) % 4 == 3])) < 2 or len(set(y[np.arange(len(y)) % 4 != 3])) < 2:
         return None
-    return co_train(xt[labelled], xm[labelled], y, xt[~labelled], xm[~labelled], **how)
+    return co_train(xt, xm, y, _exchange(rows, {r.id for r in got}), **how)
 
 
 def _scorer(model: CoTrained | None, threshold: float):

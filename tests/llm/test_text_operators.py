@@ -232,6 +232,52 @@ def test_co_training_learns_and_keeps_columns(spark):
     assert all(r.kept for r in quality_classifier.score_quality(odd, None).collect())
 
 
+def test_quality_on_rows_it_was_not_fitted_on(spark):
+    """The fit in Spark is that of all rows at once, and rows that were kept back are told apart."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality_classifier.fit_quality(docs, labels.where(~held))
+    got = {r.doc_id: r for r in quality_classifier.score_quality(docs, model).collect()}
+    back = labels.where(held & F.col("quality").isNotNull()).collect()
+    good = np.array([r.quality for r in back]) == 1
+    said = np.array([got[r.doc_id].kept for r in back])
+    assert (said == good).mean() >= 0.97 > max(good.mean(), 1 - good.mean()) + 0.05 and said[good].mean() >= 0.98
+    rows = docs.collect()
+    text = quality_classifier.text_view([(r.text or "").encode() for r in rows])
+    meta = quality_classifier.meta_view([r.lang for r in rows], [r.source for r in rows], [r.n_chars for r in rows])
+    views, some = {"text": model.text, "meta": model.meta}, {r.doc_id for r in back}
+    free = np.array([r.doc_id not in some for r in rows])
+    slim = quality_classifier._rows(docs, "doc_id", "text", "lang", "source", "n_chars")
+    found = quality_classifier._exchange(slim, some)(views, 0.9)
+    want = quality_classifier.sure_rows(views, text, meta, 0.9)
+    assert sum(w.sum() for v in want.values() for w in v) > 100
+    for name, x in (("text", text), ("meta", meta)):
+        for label in (0, 1):
+            assert np.allclose(found[name][label], quality_classifier.products(x[want[name][label] & free]), rtol=1e-3, atol=1e-2)
+
+
+def test_quality_of_odd_tables(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    odd = frame(spark, ODD, True).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id") % 2))
+    model = quality_classifier.fit_quality(docs.unionByName(odd.select(docs.columns)), labels)
+    assert quality_classifier.score_quality(odd, model).count() == len(ODD) and quality_classifier.score_quality(odd.limit(0), model).count() == 0
+    crf = quality_rules.fit_line_crf(docs, labels)
+    assert quality_rules.quality_rules(odd, crf).count() == len(ODD) and quality_rules.quality_rules(odd.limit(0), crf).count() == 0
+    net = toxicity.fit_toxicity(odd, labels.limit(0))
+    assert toxicity.score_toxicity(odd, net).count() == len(ODD) and toxicity.score_toxicity(odd.limit(0), net).count() == 0
+
+
+def test_line_rules_on_rows_they_were_not_fitted_on(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    crf = quality_rules.fit_line_crf(docs, labels.where(~held))
+    got = quality_rules.quality_rules(docs, crf).join(labels.where(held), "doc_id").select((F.col("content_share") >= 0.5).cast("int").alias("said"), "quality").collect()
+    good = np.mean([r.quality for r in got])
+    assert np.mean([r.said == r.quality for r in got]) >= 0.95 > good + 0.05
+
+
 # ---- tokenizers ----
 def test_sentencepiece_ids_are_the_library_s(spark):
     import sentencepiece
