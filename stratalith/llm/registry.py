@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-#: query -> module; each module has a function of that name, and NAME_SQL where SQL can express it.
+#: query -> module; each module has a function of that name, and OPN_SQL where SQL can express it.
 MODULES = {
     "op1_chat_formatting": "chat_format",
     "op2_quality_classifier": "quality_classifier",
@@ -19,15 +19,26 @@ MODULES = {
 }
 
 
-def _modules():
-    for name, module in MODULES.items():
-        yield name, import_module(f".{module}", __package__)
+#: Queries that have SQL: a module that lacks a library must not take the others with it, so only these are imported for it.
+WITH_SQL = ("op1_chat_formatting", "op5_exact_dedup")
+
+
+def _module(name: str):
+    return import_module(f".{MODULES[name]}", __package__)
+
+
+def _query(name: str):
+    def run(spark, sf_dir):
+        return getattr(_module(name), name)(spark, sf_dir)
+
+    run.__name__ = name
+    return run
 
 
 def queries():
-    return {name: getattr(module, name) for name, module in _modules()}
+    """Each module is imported when its query runs."""
+    return {name: _query(name) for name in MODULES}
 
 
 def oracle_sql():
-    found = {name: getattr(module, f"{name.split('_')[0].upper()}_SQL", None) for name, module in _modules()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: getattr(_module(name), f"{name.split('_')[0].upper()}_SQL") for name in WITH_SQL}

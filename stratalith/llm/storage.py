@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a local one is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="stratalith-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from ..operators.staging import shared_folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/stratalith/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stratalith/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -36,15 +22,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a staged table through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Keep only the named columns, under private names, so that no other column can clash."""
-    from pyspark.sql import functions as F
-
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
