@@ -21,7 +21,7 @@ from .storage import renamed
 from .tokens import U64, Chunk, mixed, released, text_chunks
 
 WINDOW, STRIDE = 32, 24
-WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 12, 4, 8, 6
+WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 16, 1 << 12, 4, 8, 6
 
 
 def _sigmoid(x):
