@@ -7,9 +7,10 @@ with a smaller id; windows are judged on the input.
 2. Recurring passages are confirmed: each shard sends the 64-bit hashes of its distinct windows to buckets (dealt
    by a second, independent hash), and a bucket answers with one bit for each: whether a smaller shard has it.
    A window that is in a third of all documents is sent once by a shard.
-3. Each shard compiles an Aho-Corasick automaton of its confirmed passages, window by window, over an alphabet of
-   words (equal symbols stand for words of equal bytes), each with the smallest document that has it. All documents of
-   the shard stream through it: every word that goes is found by a hit of the automaton, and by nothing else.
+3. Each shard compiles an Aho-Corasick automaton of its confirmed passages, over an alphabet of words (equal symbols
+   stand for words of equal bytes). The passages go in as phrases of 7 words side by side; a window of 13 holds one of
+   them whole, at a place of its own. All documents of the shard stream through the automaton. A window is located where
+   its phrase is hit at its place and the words around it are the window's: every word that goes is found by such a hit.
 """
 
 from __future__ import annotations
@@ -128,14 +129,33 @@ def _spelled(c: Chunk, h: np.ndarray) -> tuple[str, int]:
     return both.astype("<u4").tobytes().decode("utf-32-le"), 2
 
 
-def _occurrences(text: str, symbols: int, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the windows that begin at ``starts`` occur in the text, by automaton: numbers of windows, and first words of their occurrences."""
+def _occurrences(text: str, symbols: int, starts: np.ndarray, passages: np.ndarray, window_at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ``passages`` (windows, with a first word each in ``starts``) occur in the text: windows, and first words of their occurrences.
+
+    ``window_at``: the window that each word begins by its hash, -1: none.
+    """
+    size = (k + 1) // 2
+    # The phrases begin at words divisible by their size; the first of them in a window is whole in it.
+    place = -starts % size
+    number: dict[str, int] = {}
+    of_window = np.full((2, int(window_at.max(initial=-1)) + 1), -1, dtype=np.int64)
+    of_window[0, passages] = place
+    of_window[1, passages] = [number.setdefault(text[i : i + size * symbols], len(number)) for i in ((starts + place) * symbols).tolist()]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for number, i in enumerate((starts * symbols).tolist()):
-        automaton.add_word(text[i : i + k * symbols], number)
+    for phrase, n in number.items():
+        automaton.add_word(phrase, n)
     automaton.make_automaton()
     found = np.fromiter((x for hit in automaton.iter(text) for x in hit), dtype=np.int64).reshape(-1, 2)
-    return found[:, 1], (found[:, 0] + 1) // symbols - k
+    at, hit = (found[:, 0] + 1) // symbols - size, found[:, 1]
+    which, where = [], []
+    for j in range(size):
+        start = at - j
+        window = np.where(start >= 0, window_at.take(start, mode="clip"), -1)
+        good = np.flatnonzero(window >= 0)
+        good = good[(of_window[0, window[good]] == j) & (of_window[1, window[good]] == hit[good])]
+        which.append(window[good])
+        where.append(start[good])
+    return np.concatenate(which), np.concatenate(where)
 
 
 def _remover(k: int, n_buckets: int):
@@ -156,10 +176,11 @@ def _remover(k: int, n_buckets: int):
         if confirmed.any():
             passages = np.flatnonzero(confirmed)
             text, symbols = _spelled(c, b.h)
-            which, at = _occurrences(text, symbols, b.pos[b.first[passages]], k)
+            window_at = np.full(n, -1, dtype=np.int64)
+            window_at[b.pos] = b.inverse
+            which, at = _occurrences(text, symbols, b.pos[b.first[passages]], passages, window_at, k)
             doc = c.w_doc[at]
-            named = np.array([i is not None for i in b.ids], dtype=bool)
-            goes = (doc == c.w_doc[at + k - 1]) & named[doc] & (outside[passages[which]] | (own[passages[which]] < ids[doc]))
+            goes = outside[which] | (own[which] < ids[doc])
             edge = np.zeros(n + 1, dtype=np.int32)
             begun = np.unique(at[goes])
             edge[begun] += 1

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratalith.llm import chat_format, mixing, quality_classifier, quality_rules, range_coder, sentencepiece_codec, token_binary, tokens, toxicity
 from tests.compare import rows, tables
+from tests.llm.test_dedup import brute_links, classes
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -468,15 +469,20 @@ def test_pipeline_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    good = {r.doc_id: r.text for r in quality_classifier.score_quality(docs, quality_classifier.fit_quality(docs, labels)).join(docs, "doc_id").where("kept").select("doc_id", "text").collect()}
+    scored = quality_classifier.score_quality(docs, quality_classifier.fit_quality(docs, labels)).where("kept").select("doc_id")
+    good = {r.doc_id: r for r in docs.join(scored, "doc_id").collect()}
     first = {}
     for i in sorted(good):
-        first.setdefault(ascii_key(good[i]), i)
-    assert {r.doc_id for r in out} <= set(first.values())
+        first.setdefault(ascii_key(good[i].text), i)
+    left = sorted(first.values())
+    near = classes(left, brute_links([(i, good[i].text) for i in left]))
+    stay = [i for i in left if near[i] == i]
+    assert len(docs.collect()) > len(good) > len(left) > len(stay)
+    pieces = brute_mix(spark, [(i, good[i].text, good[i].source) for i in stay], 1024)
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
-    assert all(r.ids == library.encode(good[r.doc_id]) for r in out)
+    assert sorted((r.doc_id, r.ids) for r in out) == sorted((i, library.encode(t)) for i, t in pieces)
 
 
 def ascii_key(t):
