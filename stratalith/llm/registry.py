@@ -16,11 +16,14 @@ MODULES = {
     "op8_token_binary": "token_binary",
     "op9_toxicity": "toxicity",
     "op10_mixing": "mixing",
+    "op11_topk_search": "topk_search",
+    "op12_phrase_collocations": "collocations",
+    "op13_source_divergence": "source_divergence",
 }
 
 
 #: Queries that have SQL: a module that lacks a library must not take the others with it, so only these are imported for it.
-WITH_SQL = ("op1_chat_formatting", "op5_exact_dedup")
+WITH_SQL = ("op1_chat_formatting", "op5_exact_dedup", "op11_topk_search", "op12_phrase_collocations", "op13_source_divergence")
 
 
 def _module(name: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.staging import shared_folder
@@ -25,3 +25,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Keep only the named columns, under private names, so that no other column can clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+def numbered(df: DataFrame, out: str, label: str) -> DataFrame:
+    """``df``, staged, with ``out`` = 0, 1, 2 ... in the order of its partitions and of the rows in them."""
+    rows = staged(df.withColumn("__at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row per partition
+    return rows.join(F.broadcast(before), part == F.col("__part")).withColumn(out, F.col("__at").bitwiseAND(F.lit(2**33 - 1)) + F.col("__before")).drop("__at", "__part", "__before")
