@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,55 +244,54 @@ def components(pairs: DataFrame, extra_nodes: DataFrame | None = None) -> DataFr
 def spanning_forest(pairs: DataFrame, cnt: str = "cnt") -> DataFrame:
     """a, b, cnt: the maximum spanning forest. Among equal counts the smaller (a, b) goes first, so it is unique.
 
-    Boruvka rounds: each part takes its best pair to another part, and the parts that these join become one; parts at least
-    halve, so the rounds grow with the logarithm of the nodes. Nodes may be of any type that has an order.
+    Boruvka rounds over a graph that contracts: each part takes its best edge and hooks onto the part beyond it; pointers
+    jump to the roots of these hooks; then of all edges between two parts only the best is kept. Parts at least halve, so the
+    rounds grow with the logarithm of the nodes. Nodes may be of any type that has an order; pairs of a node with itself go.
     """
-    left = staged(pairs.select("a", "b", F.col(cnt).alias("cnt")))
-    label = staged(nodes(left).select("node", F.col("node").alias("part")))
-    picked = left.limit(0)
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ordered = pairs.where("a <> b").groupBy(*ends).agg(F.max(cnt).alias("cnt"))
+    order = F.desc("cnt"), "a", "b"
+    # One sort gives every edge its place; from then on the best edge is a least number.
+    ordered = staged(ordered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    left, chosen = ordered.select(F.col("a").alias("p"), F.col("b").alias("q"), "place"), []
     while True:
-        a, b = (label.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in ("a", "b"))
-        left = staged(left.select("a", "b", "cnt").join(a, "a").join(b, "b").where("part_a <> part_b"))
-        if left.isEmpty():
-            return picked
-        each = left.select(F.explode(F.array("part_a", "part_b")).alias("part"), F.struct((-F.col("cnt")).alias("first"), "a", "b", "cnt").alias("e"))
-        best = staged(each.groupBy("part").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.cnt").distinct())
-        picked = staged(picked.union(best))
-        label = components(picked, label.select("node")).select("node", F.col("component").alias("part"))
+        each = left.select("p", "place").union(left.select("q", "place"))
+        best = each.groupBy("p").agg(F.min("place").alias("place"))
+        both = left.select(F.col("p").alias("x"), F.col("q").alias("y"), "place")
+        # Each part hooks onto the part at the other end of its best edge.
+        hooks = staged(best.join(both, "place").select("p", F.when(F.col("x") == F.col("p"), F.col("y")).otherwise(F.col("x")).alias("q"), "place"))
+        if hooks.isEmpty():
+            break
+        chosen.append(hooks.select("place"))
+        back = hooks.select(F.col("p").alias("q"), F.col("q").alias("back"))
+        # Of two parts that chose each other the lesser is the root of its tree.
+        root = hooks.join(back, "q").select("p", F.when((F.col("back") == F.col("p")) & (F.col("p") < F.col("q")), F.col("p")).otherwise(F.col("q")).alias("up"))
+        while True:
+            root = staged(_jumped(_jumped(root.select("p", "up"))).withColumn("far", F.col("up") != F.col("was")))
+            if root.where("far").isEmpty():
+                break
+        to_p, to_q = root.select("p", F.col("up").alias("up_p")), root.select(F.col("p").alias("q"), F.col("up").alias("up_q"))
+        moved = left.join(to_p, "p").join(to_q, "q").where("up_p <> up_q")
+        left = staged(moved.groupBy(F.least("up_p", "up_q").alias("p"), F.greatest("up_p", "up_q").alias("q")).agg(F.min("place").alias("place")))
+    if not chosen:
+        return ordered.select("a", "b", "cnt")
+    return ordered.join(reduce(DataFrame.union, chosen).distinct(), "place").select("a", "b", "cnt")
+
+
+def _jumped(root: DataFrame) -> DataFrame:
+    """p, up, was: each pointer moved on to where the one it points at points."""
+    on = root.select(F.col("p").alias("up"), F.col("up").alias("next"))
+    return root.select("p", "up").join(on, "up").select("p", F.col("next").alias("up"), F.col("up").alias("was"))
 
 
 def nearest_graph(vectors: DataFrame, k: int = 15) -> DataFrame:
     """a, b, affinity: the k nearest by cosine distance of each vector (id, unit vector v), averaged with the reverse; exp(-d / mean d).
 
-    Every vector is a query here, in blocks against all: for tables of labelled works, not for corpora.
+    Every vector is a query here.
     """
-    from .model import nearest
+    from .neighbours import nearest
 
     near = nearest(vectors, vectors, k, "cosine").where("query <> id")
     pairs = near.groupBy(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).agg((F.sum("distance") / 2).alias("d"))
     mean = pairs.agg(F.avg("d").alias("mean"))
     return pairs.join(F.broadcast(mean)).select("a", "b", F.exp(-F.col("d") / F.col("mean")).alias("affinity"))
-
-
-def fiedler(pairs: DataFrame, weight: str = "affinity", max_nodes: int = 4000) -> DataFrame:
-    """node, fiedler (second eigenvector of the normalised Laplacian), signed so that the least node is not positive.
-
-    One dense matrix in one task; more than ``max_nodes`` nodes are an error.
-    """
-    kind = dict(pairs.dtypes)["a"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*pdf["a"], *pdf["b"]})
-        if len(names) > max_nodes:
-            raise ValueError(f"{len(names)} nodes")
-        at = {n: i for i, n in enumerate(names)}
-        W = np.zeros((len(names), len(names)))
-        for i, j, v in zip(pdf["a"], pdf["b"], pdf["w"], strict=True):
-            W[at[i], at[j]] += v
-            W[at[j], at[i]] += v
-        d = 1 / np.sqrt(np.maximum(W.sum(1), 1e-12))
-        _, vectors = np.linalg.eigh(np.eye(len(names)) - d[:, None] * W * d[None, :])
-        f = vectors[:, 1] * d
-        return pd.DataFrame({"node": names, "fiedler": f if f[0] <= 0 else -f})
-
-    return pairs.select("a", "b", F.col(weight).cast("double").alias("w")).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, f"node {kind}, fiedler double")

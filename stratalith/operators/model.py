@@ -1,67 +1,14 @@
-"""Neighbours, folds, regressions."""
+"""Estimates from neighbours, folds, regressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a query set that a task holds; the set is a stated, small table (checked), the other side is streamed.
-MAX_QUERIES = 50_000
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", id_col: str = "id", v: str = "v", group: str | None = None, mode: str | None = None) -> DataFrame:
-    """query, id, distance, rank: the k nearest rows of each query, exactly; never itself.
-
-    The queries are a stated set; about MAX_QUERIES at a time are sent to every task, the rows are streamed past them in
-    blocks, each task keeps its k best of each query, and the best of those follow. ``group`` with mode "same" or "other" keeps rows of the
-    query's own group, or of others. Metrics: euclidean, cosine, delta (mean absolute difference). Ties go by id.
-    """
-    shares = -(-queries.count() // MAX_QUERIES)
-    if shares > 1:
-        parts = [nearest(queries.where(F.pmod(F.xxhash64(id_col), F.lit(2 * shares)) == i), rows, k, metric, id_col, v, group, mode) for i in range(2 * shares)]
-        return reduce(DataFrame.unionByName, parts)
-    own = queries.select(F.col(id_col).alias("id"), F.col(v).alias("v"), (F.col(group) if group else F.lit(None).cast("string")).alias("g")).where("v IS NOT NULL").collect()
-    q_ids, q_groups = [r.id for r in own], np.array([r.g for r in own], dtype=object)
-    q = np.array([list(r.v) for r in own], dtype=float)
-    kind = dict(rows.dtypes)[id_col]
-
-    def distances(x):
-        if metric == "cosine":
-            n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-            return 1 - (q @ x.T) / np.where(n > 0, n, np.inf)
-        if metric == "delta":
-            return np.stack([np.abs(x - one).mean(1) for one in q])
-        return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[batch["v"].notna()]
-            for start in range(0, len(batch) if own else 0, 2000):
-                part = batch.iloc[start : start + 2000].sort_values("id")
-                d = distances(np.array(part["v"].tolist(), dtype=float))
-                ids, groups = part["id"].to_numpy(), part["g"].to_numpy(dtype=object)
-                bar = np.array(q_ids, dtype=object)[:, None] == ids[None, :]
-                if mode:
-                    same = q_groups[:, None] == groups[None, :]
-                    bar |= ~same if mode == "same" else same
-                d = np.where(bar, np.inf, d)
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, best, 1)
-                keep = np.isfinite(near)
-                where = np.nonzero(keep)
-                yield pd.DataFrame({"query": [q_ids[i] for i in where[0]], "id": ids[best[keep]], "distance": near[keep]})
-
-    slim = rows.select(F.col(id_col).alias("id"), F.col(v).alias("v"), (F.col(group) if group else F.lit(None).cast("string")).alias("g"))
-    found = slim.mapInPandas(run, f"query {kind}, id {kind}, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def idw(near: DataFrame, values: DataFrame, value: str = "y", id_col: str = "id") -> DataFrame:
     """query, estimate, n: mean of the neighbours' values by 1 / (distance + 1e-6)."""
     known = values.where(F.col(value).isNotNull()).select(F.col(id_col).alias("id"), F.col(value).alias("__y"))

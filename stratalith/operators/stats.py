@@ -5,11 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, at: tuple[float, ...], bins: int = 1024, most: int = 10_000) -> DataFrame:
+    """by, n, min, max and q (array, in the order of ``at``): exact interpolated quantiles of groups of any size.
+
+    Selection by histograms that refine: the interval that holds a wanted rank is cut into bins, whose counts, least and greatest
+    values come from partial sums; the bin with the rank is the next interval. At most ``most`` values, or equal ones, end it,
+    so no task ever holds a group. Nulls are left out; NaN counts as the greatest. Groups by null keys are groups.
+    """
+    x = F.col("x")
+    base = staged(rows.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("__all"), *by).alias("k"), F.col(value).cast("double").alias("x")))
+    groups = staged(base.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max")))
+    places = [F.lit(float(p)) * (F.col("n") - 1) for p in at]
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
+    now = groups.select("k", F.explode(ranks).alias("r"), F.col("min").alias("lo"), F.col("max").alias("hi"), F.lit(0).cast("long").alias("before"), F.col("n").alias("size"))
+    ready = now.limit(0)
+    while True:
+        now = staged(now)
+        wide = now.where((F.col("lo") < F.col("hi")) & (F.col("size") > most))
+        ready = ready.union(now.where((F.col("lo") >= F.col("hi")) | (F.col("size") <= most)))
+        if wide.isEmpty():
+            break
+        cut = wide.select("k", "lo", "hi").distinct()
+        # The ends have bins of their own, so every pass gets on, whatever lies between them. Halves cannot overflow.
+        share = (x / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        middle = F.when((F.col("hi") < float("inf")) & (F.col("lo") > float("-inf")), 1 + F.floor(share * (bins - 2))).otherwise(F.lit(1))
+        inside = base.join(cut, "k").where((x >= F.col("lo")) & (x <= F.col("hi"))).withColumn("bin", F.when(x == F.col("lo"), 0).when(x == F.col("hi"), bins).otherwise(middle).cast("int"))
+        counted = inside.groupBy("k", "lo", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("b_lo"), F.max("x").alias("b_hi"))
+        below = F.sum("c").over(Window.partitionBy("k", "lo").orderBy("bin")) - F.col("c")  # a row per bin
+        found = wide.join(counted.withColumn("below", below), ["k", "lo"]).where((F.col("r") >= F.col("before") + F.col("below")) & (F.col("r") < F.col("before") + F.col("below") + F.col("c")))
+        now = found.select("k", "r", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), (F.col("before") + F.col("below")).alias("before"), F.col("c").alias("size"))
+    narrow = ready.where("lo < hi")
+    held = base.join(narrow.select("k", "lo", "hi").distinct(), "k").where((x >= F.col("lo")) & (x <= F.col("hi"))).groupBy("k", "lo").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    values = narrow.join(held, ["k", "lo"]).select("k", "r", F.element_at("xs", (F.col("r") - F.col("before") + 1).cast("int")).alias("x"))
+    values = values.union(ready.where("lo >= hi").select("k", "r", "lo"))
+    out = groups.join(values.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("v")), "k")
+
+    def between(p):
+        lo, hi = F.floor(p).cast("long"), F.ceil(p).cast("long")
+        return F.when(lo == hi, F.col("v")[lo]).otherwise((hi - p) * F.col("v")[lo] + (p - lo) * F.col("v")[hi])
+
+    return out.select(*[F.col(f"k.`{c}`").alias(c) for c in by], "n", "min", "max", F.array(*map(between, places)).alias("q"))
+
 
 def five_numbers(rows: DataFrame, by: list[str], value: str, at=(0.025, 0.25, 0.5, 0.75, 0.975)) -> DataFrame:
-    """by, n, min, p<per mille of each quantile>, max."""
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.percentile(value, F.array(*map(F.lit, at))).alias("__q"), F.max(value).alias("max"))
-    return out.select(*by, "n", "min", *[F.col("__q")[i].alias(f"p{round(1000 * q)}") for i, q in enumerate(at)], "max")
+    """by, n, min, p<per mille of each quantile>, max. A group without values has n = 0 and nulls."""
+    all_ = rows.select(*by).distinct() if by else rows.agg(F.lit(0).alias("__one")).select()
+    got = quantiles(rows, by, value, at)
+    names = [f"p{round(1000 * q)}" for q in at]
+    got = got.select(*[F.col(c).alias(f"__by_{c}") for c in by], "n", "min", *[F.col("q")[i].alias(name) for i, name in enumerate(names)], "max")
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by] or [F.lit(True)]
+    return all_.join(got, same, "left").select(*by, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "min", *names, "max")
 
 
 def group_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -17,11 +65,14 @@ def group_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def robust_z(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Rows with z = (x - median) / (1.4826 * median |x - median| + 1e-9) of their group. Two sums by group and two joins: no group is sorted in one task for them."""
-    mid = rows.groupBy(*by).agg(F.median(value).alias("__med"))
-    off = rows.join(mid, by).withColumn("__off", F.abs(F.col(value) - F.col("__med")))
-    mad = off.groupBy(*by).agg((1.4826 * F.median("__off") + 1e-9).alias("__mad"))
-    return off.join(mad, by).withColumn("z", (F.col(value) - F.col("__med")) / F.col("__mad")).drop("__med", "__off", "__mad")
+    """Rows with z = (x - median) / (1.4826 * median |x - median| + 1e-9) of their group. Medians by selection: no group is held or sorted in one task."""
+
+    def with_median(df: DataFrame, of: str, name: str) -> DataFrame:
+        med = quantiles(df, by, of, (0.5,)).select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("q")[0].alias(name))
+        return df.join(med, [F.col(c) == F.col(f"__by_{c}") for c in by]).drop(*[f"__by_{c}" for c in by])
+
+    off = with_median(rows, value, "__med").withColumn("__off", F.abs(F.col(value) - F.col("__med")))
+    return with_median(off, "__off", "__mad").withColumn("z", (F.col(value) - F.col("__med")) / (1.4826 * F.col("__mad") + 1e-9)).drop("__med", "__off", "__mad")
 
 
 def average_ranks(rows: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import spectral
 from ..operators.staging import shared_folder, staged
 from ..streaming import edges as E
 from .registry import query, table
@@ -227,6 +228,12 @@ def spanning_forest(spark, d):
     return G.spanning_forest(_pairs(spark, d))
 
 
+@query()
+def fiedler_suppliers(spark, d):
+    """Suppliers in the order of the second eigenvector of the graph of suppliers that share an order."""
+    return spectral.fiedler(_pairs(spark, d), "cnt").withColumn("fiedler", F.round("fiedler", 6))
+
+
 @query("""
 WITH m AS (SELECT max(ts) AS m FROM events) SELECT date_trunc('hour', ts) AS start, user_id AS src, event_type AS dst, count(*) AS cnt, round(sum(value), 4) AS total FROM events, m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= m - INTERVAL 10 MINUTE GROUP BY 1, 2, 3
 """)

@@ -8,7 +8,9 @@ from ..functions import vectors as V
 from ..operators import gibbs
 from ..operators import graph as G
 from ..operators import model as M
+from ..operators import neighbours as N
 from ..operators import features as X
+from ..operators import spectral
 from .registry import query, table
 
 
@@ -25,20 +27,20 @@ p AS (SELECT query, vec_id AS id, ql, label, round(sqrt(list_sum([(x[1]::DOUBLE
 @query("WITH " + _KNN.format(where="") + "SELECT query, id, round(dist, 5) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, id) <= 5")
 def knn(spark, d):
     v = _vectors(spark, d)
-    return M.nearest(v.where("id % 100 = 0"), v, 5).select("query", "id", F.round("distance", 5).alias("distance"))
+    return N.nearest(v.where("id % 100 = 0"), v, 5).select("query", "id", F.round("distance", 5).alias("distance"))
 
 
 @query("WITH " + _KNN.format(where="") + "SELECT query, round(sum(label / (dist + 1e-6)) / sum(1 / (dist + 1e-6)), 5) AS estimate, count(*) AS n FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, id) <= 5) GROUP BY 1")
 def knn_idw(spark, d):
     v = _vectors(spark, d)
-    near = M.nearest(v.where("id % 100 = 0"), v, 5)
+    near = N.nearest(v.where("id % 100 = 0"), v, 5)
     return M.idw(near, v.select("id", F.col("grp").cast("double").alias("y"))).withColumn("estimate", F.round("estimate", 5))
 
 
 @query("WITH " + _KNN.format(where="WHERE ql <> label") + "SELECT query, id, round(dist, 5) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, id) <= 3")
 def knn_cross_group(spark, d):
     v = _vectors(spark, d)
-    return M.nearest(v.where("id % 100 = 0"), v, 3, group="grp", mode="other").select("query", "id", F.round("distance", 5).alias("distance"))
+    return N.nearest(v.where("id % 100 = 0"), v, 3, group="grp", mode="other").select("query", "id", F.round("distance", 5).alias("distance"))
 
 
 _TIER = "SELECT query, sum(y / (dist + 1e-6)) / sum(1 / (dist + 1e-6)) AS e, count(*) AS n FROM (SELECT * FROM p {where} QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, id) <= 5) JOIN y USING (id) GROUP BY 1"
@@ -51,8 +53,8 @@ def knn_tiered(spark, d):
     """Estimates from the query's own group where it has enough neighbours, else from all."""
     v = _vectors(spark, d)
     y = v.select("id", (F.col("id") % 100).cast("double").alias("y"))
-    own = M.idw(M.nearest(v.where("id % 100 = 0"), v, 5, group="grp", mode="same"), y)
-    return M.tiered(own, M.idw(M.nearest(v.where("id % 100 = 0"), v, 5), y)).withColumn("estimate", F.round("estimate", 5))
+    own = M.idw(N.nearest(v.where("id % 100 = 0"), v, 5, group="grp", mode="same"), y)
+    return M.tiered(own, M.idw(N.nearest(v.where("id % 100 = 0"), v, 5), y)).withColumn("estimate", F.round("estimate", 5))
 
 
 @query("""
@@ -133,7 +135,7 @@ def fiedler_order(spark, d):
     """Seriation of the groups of vectors, by the second eigenvector of the neighbour graph of their means."""
     each = _vectors(spark, d).select("grp", F.posexplode("v").alias("pos", "x")).groupBy("grp", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = each.groupBy(F.col("grp").alias("id")).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")).select("id", V.unit(F.col("v.x")).alias("v"))
-    return G.fiedler(G.nearest_graph(mean, 10)).withColumn("fiedler", F.round("fiedler", 6))
+    return spectral.fiedler(G.nearest_graph(mean, 10)).withColumn("fiedler", F.round("fiedler", 6))
 
 
 def _works(spark, d):
@@ -155,7 +157,7 @@ def _works(spark, d):
 def gibbs_posterior(spark, d):
     """Posterior dates of works under anchors, termini and orders."""
     edges = table(spark, d, "nation").where("n_nationkey % 6 = 0").select(F.col("n_nationkey").cast("string").alias("src"), (F.col("n_nationkey") + 1).cast("string").alias("dst"))
-    out = gibbs.posterior(gibbs.draws(_works(spark, d), edges, chains=2, iterations=400, burn=100))
+    out = gibbs.posterior(gibbs.draws(_works(spark, d), edges, chains=40, iterations=14, burn=6, thin=1))
     return out.select("work", *[F.round(c, 1).alias(c) for c in ("median", "lo95", "hi95")], "n")
 
 

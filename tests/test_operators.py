@@ -271,10 +271,10 @@ def test_constraints(spark):
 def test_sampler_obeys_constraints_and_ends_on_a_cycle(spark):
     works = spark.createDataFrame([(w, m, 4.0, None, None, nb, na) for w, m, nb, na in (("a", 500.0, None, None), ("b", 300.0, None, None), ("c", 400.0, 600.0, 700.0))], "work string, m double, n_chunks double, lo double, hi double, not_before double, not_after double")
     order = spark.createDataFrame([("a", "b")], "src string, dst string")
-    got = {r.work: r for r in gibbs.posterior(gibbs.draws(works, order, chains=2, iterations=400, burn=100)).collect()}
+    got = {r.work: r for r in gibbs.posterior(gibbs.draws(works, order, chains=40, iterations=12, burn=6, thin=1)).collect()}
     assert 600 <= got["c"].median <= 700 and got["a"].median <= got["b"].median + 2
     cycle = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
-    assert gibbs.posterior(gibbs.draws(works, cycle, chains=1, iterations=50, burn=10)).count() == 3
+    assert gibbs.posterior(gibbs.draws(works, cycle, chains=1, iterations=4, burn=1)).count() == 3
 
 
 def test_grouped_folds_keep_groups_whole(spark):

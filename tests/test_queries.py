@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 #: Queries without SQL, each with a test of its own here or in test_operators.
-ELSEWHERE = {"spanning_forest", "grouped_folds", "gbt_cv", "ridge_fit", "mlp_fit", "feature_ablation", "feature_importance", "pca_scores", "svd_lengths", "fiedler_order", "gibbs_posterior"}
+ELSEWHERE = {"spanning_forest", "grouped_folds", "gbt_cv", "ridge_fit", "mlp_fit", "feature_ablation", "feature_importance", "pca_scores", "svd_lengths", "fiedler_order", "fiedler_suppliers", "gibbs_posterior"}
 
 
 def test_every_query_has_sql_or_a_test():
