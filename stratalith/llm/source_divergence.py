@@ -22,7 +22,7 @@ from .storage import numbered, renamed, staged
 from .tokens import released, text_chunks
 
 #: Bytes of text that a task counts before it gives its counts on; terms of a range; sources of a seat; rounds of a task.
-SHARD_BYTES, RANGE, TEAM, LAP = 24 << 20, 1 << 16, 8, 8
+SHARD_BYTES, RANGE, TEAM, LAP = 12 << 20, 1 << 16, 8, 8
 SCALE = 1_000_000_000
 #: Letters stay (A-Z as a-z), as do bytes of other than ASCII characters; all else is blank.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -40,7 +40,7 @@ def _counted(shard_bytes: int):
         def rows() -> Iterator[pa.RecordBatch]:
             nonlocal size
             n, of, doc = sum(map(len, group_of)), np.concatenate(group_of), np.concatenate(docs)
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths), dtype=np.int64)))
             words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(data))]).dictionary_encode()
             each, cnt = np.unique(words.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
             key, at, df = np.unique(each // n * len(groups) + of[each % n], return_inverse=True, return_counts=True)
@@ -61,9 +61,9 @@ def _counted(shard_bytes: int):
                 inside = np.concatenate(([False], buf != 32))
                 edge = np.flatnonzero(inside[1:] != inside[:-1])
                 ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-                docs.append(np.searchsorted(ends, edge[::2], "right") + sum(map(len, group_of)))
+                docs.append((np.searchsorted(ends, edge[::2], "right") + sum(map(len, group_of))).astype(np.int32))
                 data.append(buf[inside[1:]])
-                lengths.append(edge[1::2] - edge[::2])
+                lengths.append((edge[1::2] - edge[::2]).astype(np.int32))
                 group_of.append(np.array([groups.setdefault(g, len(groups)) for g in zip(langs[part], sources[part], strict=True)], np.int64))
                 size += len(buf)
                 if size >= shard_bytes:
