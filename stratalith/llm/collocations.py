@@ -2,8 +2,8 @@
 
 Documents are coded shard by shard as word ids; counts of words are merged over all shards, and words too rare to be in a
 phrase become breaks. A shard sorts its suffixes by numpy prefix doubling; runs of neighbours that share their first m words
-(LCP intervals) are the m-grams with their counts, and counts are merged by key over all shards. Pairs are merged first; a
-shard then goes on only where every pair of neighbouring words is frequent, as longer phrases are no more frequent than theirs.
+(LCP intervals) are the m-grams with their counts, and counts are merged by key over all shards. Lengths are merged
+one after the other; a shard goes on only where all phrases a word shorter are frequent, as longer phrases are no more frequent than theirs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from .storage import numbered, renamed, staged
 from .tokens import released, text_chunks
 
 #: Bytes of text of a shard.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
+#: Frequent phrases of a length that are sent to every task; more are asked for by join.
+HELD = 2_000_000
 BREAK, BLANK = 10, 32
 #: A-Z to a-z, marks that end a piece to a line feed, tab to blank.
 _BYTES = bytes(BREAK if chr(b) in ".,;:!?\n\x0b\x0c\r" else BLANK if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -62,16 +64,21 @@ class _Shard:
         lengths, langs, heads = np.concatenate(self.lengths), np.concatenate(self.langs), np.concatenate(self.heads)
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(self.bytes))]).dictionary_encode()
-        n = int(langs.max()) + 1 if len(langs) else 1
+        n = int(langs.max(initial=0)) + 1
         key = words.indices.to_numpy().astype(np.int64) * n + langs
-        kinds, key, counts = np.unique(key, return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(1, len(order) + 1)
-        ids = np.zeros(len(key) + heads.sum(), np.int64)
+        size, labels = len(words.dictionary) * n, None
+        if size > 8 * len(key) + 1024:  # many languages: only the pairs that occur
+            labels, key = np.unique(key, return_inverse=True)
+            size = len(labels)
+        table = np.bincount(key, minlength=size)
+        kinds = np.flatnonzero(table)
+        kinds = kinds[np.argsort(-table[kinds], kind="stable")]
+        counts, rank = table[kinds], np.zeros(size, np.int32)
+        rank[kinds] = np.arange(1, len(kinds) + 1)
+        ids = np.zeros(len(key) + heads.sum(), np.int32)
         ids[np.arange(len(key)) + np.cumsum(heads)] = rank[key]
-        kinds = kinds[order]
-        return ids, words.dictionary.take(pa.array(kinds // n)).cast(pa.large_string()).cast(pa.string()), kinds % n, counts[order]
+        kinds = kinds if labels is None else labels[kinds]
+        return ids, words.dictionary.take(pa.array(kinds // n)).cast(pa.large_string()).cast(pa.string()), kinds % n, counts
 
 
 def _coding(shard_bytes: int):
@@ -115,20 +122,19 @@ def links_left(linked: np.ndarray) -> np.ndarray:
 def suffixes(ids: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in order of their first ``depth`` words, and how many of these each shares with the one before.
 
-    ``left``: words from a position to where its run ends; a suffix ends there. Prefix doubling: ranks by h words, then by
+    ``ids`` below 2^31; ``left``: words from a position to where its run ends; a suffix ends there. Prefix doubling: ranks by h words, then by
     the rank of h words and that of the h that follow.
     """
-    n = len(ids)
-    _, first = np.unique(ids, return_inverse=True)
-    ranks, h, rank = {1: first + 1}, 1, first + 1
-    order = np.argsort(rank, kind="stable") if depth == 1 else None
+    n, h, rank = len(ids), 1, ids.astype(np.int64)
+    ranks = {1: rank}
+    order = np.argsort(rank) if depth == 1 else None
     while h < depth:
         step = max(s for s in ranks if s <= min(h, depth - h))
         after = np.zeros(n, np.int64)
         on = left > h
         after[on] = ranks[step][np.flatnonzero(on) + h]
         key = rank * (int(ranks[step].max(initial=0)) + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))[:n] + 1
         rank = np.empty(n, np.int64)
         rank[order] = new
@@ -161,11 +167,34 @@ def _gram_rows(ids: np.ndarray, left: np.ndarray, sizes: list[int], longest: int
             yield [*(pa.array(np.ascontiguousarray(wide[i : i + (1 << 16), k])) for k in range(longest)), pa.array(counts[i : i + (1 << 16)])]
 
 
+def _key_order(columns: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
+    """Sorted keys of phrases of m words: the number of the first m - 1 in the table of such phrases, then the last word."""
+    head = columns[0].astype(np.int64)
+    for table, word in zip(tables, columns[1:], strict=False):
+        head = np.searchsorted(table, head << 32 | word) + 1
+    return np.sort(head << 32 | columns[-1])
+
+
+def runs_left(ids: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """Words to the end of the run in which every phrase of len(tables) + 1 words is in the tables; 0 outside of such runs."""
+    n, head, m = len(ids), ids.astype(np.int64), len(tables) + 1
+    for j, table in enumerate(tables, 1):
+        key = np.zeros(n, np.int64)
+        key[: max(n - j, 0)] = np.where((head[: max(n - j, 0)] > 0) & (ids[j:] > 0), head[: max(n - j, 0)] << 32 | ids[j:], 0)
+        at = np.minimum(np.searchsorted(table, key), max(len(table) - 1, 0))
+        head = np.where(table[at] == key, at + 1, 0) if len(table) else np.zeros(n, np.int64)
+    if not n:
+        return head
+    at = np.arange(n)
+    ends = np.where(head > 0, at + links_left(np.append((head[:-1] > 0) & (head[1:] > 0), False)) + m - 1, 0)
+    return np.maximum(np.maximum.accumulate(ends) - at, 0)
+
+
 def _pairs_of(ids: np.ndarray) -> np.ndarray:
     return ids[:-1].astype(np.int64) << 32 | ids[1:]
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, shard_bytes: int = SHARD_BYTES, held: int = HELD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of 2 to ``longest`` words.
 
     a, l, r: how often the phrase, its first and its second part at its weakest cut stand in the language; n: words of the
@@ -225,11 +254,33 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         return pa.Table.from_batches(found, schema=schema)
 
     grams = two.select(F.array("w1", "w2").alias("g"), "f")
-    if longest > 2:
-        asked = local.join(two.select("w1", "w2"), ["w1", "w2"], "left_semi").select(F.col("shard").alias("to"), "w1", "w2")
-        more = coded.groupBy("shard").cogroup(asked.groupBy("to")).applyInArrow(longer, ", ".join(f"{w} int" for w in names) + ", cnt long")
-        more = staged(more.groupBy(*names).agg(F.sum("cnt").alias("f")).where(F.col("f") >= least), "phrase-longer")
-        grams = grams.unionByName(more.select(F.filter(F.array(*names), lambda w: w > 0).alias("g"), "f"))
+    if longest == 2:
+        return _scored(grams, words, totals, top)
+    spark, schema = docs.sparkSession, ", ".join(f"{w} int" for w in names) + ", cnt long"
+    spelled = F.filter(F.array(*names), lambda w: w > 0).alias("g")
+    found, tables = two, []
+    for m in range(3, longest + 1):
+        if found.count() > held:
+            # Too many to send to every task: each shard is told which of its own pairs are frequent.
+            asked = local.join(two.select("w1", "w2"), ["w1", "w2"], "left_semi").select(F.col("shard").alias("to"), "w1", "w2")
+            more = coded.groupBy("shard").cogroup(asked.groupBy("to")).applyInArrow(longer, schema)
+            more = staged(more.groupBy(*names).agg(F.sum("cnt").alias("f")).where(F.col("f") >= least), "phrase-longer")
+            return _scored(two.select(F.array("w1", "w2").alias("g"), "f").unionByName(more.select(spelled, "f")), words, totals, top)
+        rows = found.select(*names[: m - 1]).toArrow()
+        tables.append(_key_order([rows.column(k).to_numpy() for k in range(m - 1)], tables))
+        sent = spark.sparkContext.broadcast(list(tables))  # 8 bytes for each of at most ``held`` phrases a length
+
+        def level(batches: Iterator[pa.RecordBatch], m=m, sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ids = _unzip(row["coded"])
+                    left = runs_left(ids, sent.value)
+                    for columns in _gram_rows(ids[left > 0].astype(np.int64), left[left > 0], [m], longest):
+                        yield pa.record_batch(columns, names=[*names, "cnt"])
+
+        more = coded.mapInArrow(released(level), schema).groupBy(*names).agg(F.sum("cnt").alias("f"))
+        found = staged(more.where(F.col("f") >= least), "phrase-longer")
+        grams = grams.unionByName(found.select(spelled, "f"))
     return _scored(grams, words, totals, top)
 
 

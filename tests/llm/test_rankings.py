@@ -139,10 +139,10 @@ def prose():
     return docs
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 10, 1 << 24])
-def test_collocations_are_brute_force(spark, prose, shard_bytes):
+@pytest.mark.parametrize("shard_bytes, held", [(1 << 10, 10**6), (1 << 24, 10**6), (1 << 12, 0), (1 << 12, 15)])
+def test_collocations_are_brute_force(spark, prose, shard_bytes, held):
     df = spark.createDataFrame([(t, x, 1, 2) for x, t in prose], "text string, lang string, n long, word long").repartition(3)
-    got = co.collocations(df, least=4, longest=5, top=30, shard_bytes=shard_bytes)
+    got = co.collocations(df, least=4, longest=5, top=30, shard_bytes=shard_bytes, held=held)
     assert sorted(tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == phrases(prose, 4, 5, 30)
 
 
