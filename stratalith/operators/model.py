@@ -92,62 +92,136 @@ def ridge(train: DataFrame, features: list[str], label: str, penalties=tuple(10
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), cv]).fit(train)
 
 
-def perceptron(train: DataFrame, features: list[str], label: str, hidden=(128, 32), epochs: int = 200, alpha: float = 1.0, rate: float = 1e-3, seed: int = 0, max_rows: int = 50_000) -> Callable[[DataFrame], DataFrame]:
-    """Function that adds ``prediction``: a small network with early stopping, fitted in numpy on at most ``max_rows`` rows (the first by hash of the row)."""
-    rows = train.select(*[F.col(c).cast("double") for c in features], F.col(label).cast("double").alias("__y")).na.drop()
-    pdf = rows.orderBy(F.xxhash64(*features), *features).limit(max_rows).toPandas()
-    x, y = pdf[features].to_numpy(), pdf["__y"].to_numpy()
-    xm, xs, ym, ys = x.mean(0), x.std(0) + 1e-9, y.mean(), y.std() + 1e-9
-    x, y = (x - xm) / xs, (y - ym) / ys
-    rng = np.random.default_rng(seed)
+def perceptron(train: DataFrame, features: list[str], label: str, hidden=(128, 32), epochs: int = 200, alpha: float = 1.0, patience: int = 10, seed: int = 0) -> Callable[[DataFrame], DataFrame]:
+    """Function that adds ``prediction``: a small network fitted on all rows, by limited-memory BFGS.
+
+    An epoch is a pass over the staged rows in which each task sums its rows' gradients; the sums are added in groups of
+    tasks, so the driver sees some square root of them, each as large as the network. A tenth of the rows, by a hash of
+    their values, is kept back: the weights of the least error there stay, and after ``patience`` epochs without a better
+    one fitting ends. Rows with a null or NaN in features or label are not fitted on; they, and all rows where none are
+    left to fit on, get a null prediction.
+    """
+    from .staging import staged
+
+    rows = train.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)], F.col(label).cast("double").alias("y"))
+    names = rows.columns
+    rows = staged(rows.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in names)).withColumn("held", F.pmod(F.xxhash64(*names), F.lit(10)) == 9))
+    at = rows.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.avg, F.stddev_pop)], F.sum((~F.col("held")).cast("long")).alias("n")).first()
+    n = at["n"] or 0
+    mean = np.array([at[f"avg_{c}"] or 0.0 for c in names])
+    scale = np.array([at[f"stddev_pop_{c}"] or 0.0 for c in names]) + 1e-9
     sizes = [len(features), *hidden, 1]
-    ws = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:], strict=False)]
-    bs = [np.zeros(b) for b in sizes[1:]]
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in ws + bs]
-    hold = np.arange(len(x)) % 10 == 9
-    tx, ty, vx, vy = x[~hold], y[~hold], x[hold], y[hold]
-
-    def forward(x):
-        acts = [x]
-        for i, (w, b) in enumerate(zip(ws, bs, strict=True)):
-            x = x @ w + b
-            x = np.maximum(x, 0) if i < len(ws) - 1 else x
-            acts.append(x)
-        return acts
-
-    best, kept, wait, t = np.inf, None, 0, 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(tx)), max(1, len(tx) // 200, min(16, len(tx) // 16))):
-            acts = forward(tx[part])
-            g = (acts[-1] - ty[part, None]) / len(part)
-            grads_w, grads_b = [], []
-            for i in range(len(ws) - 1, -1, -1):
-                grads_w.insert(0, acts[i].T @ g + alpha / len(tx) * ws[i])
-                grads_b.insert(0, g.sum(0))
-                g = (g @ ws[i].T) * (acts[i] > 0)
-            t += 1
-            for p, d, s in zip(ws + bs, grads_w + grads_b, state, strict=True):
-                s[0] = 0.9 * s[0] + 0.1 * d
-                s[1] = 0.999 * s[1] + 0.001 * d * d
-                p -= rate * (s[0] / (1 - 0.9**t)) / (np.sqrt(s[1] / (1 - 0.999**t)) + 1e-8)
-        error = ((forward(vx)[-1][:, 0] - vy) ** 2).mean() if len(vx) else 0.0
-        if error < best - 1e-4:
-            best, kept, wait = error, ([w.copy() for w in ws], [b.copy() for b in bs]), 0
-        else:
-            wait += 1
-            if wait >= 10:
+    shapes = [s for a, b in zip(sizes, sizes[1:], strict=False) for s in ((a, b), (b,))]
+    rng = np.random.default_rng(seed)
+    flat = np.concatenate([(rng.normal(0, np.sqrt(2 / s[0]), s) if len(s) == 2 else np.zeros(s)).ravel() for s in shapes])
+    inner = np.concatenate([np.full(int(np.prod(s)), float(len(s) == 2)) for s in shapes])  # the penalty spares the offsets
+
+    def error(p: np.ndarray) -> tuple[float, np.ndarray, float | None]:
+        """Mean loss and gradient on the rows fitted on, mean squared error on those kept back."""
+
+        def task(batches):
+            total = np.zeros(3 + len(p))
+            for b in batches:
+                z = (b[names].to_numpy() - mean) / scale
+                held = b["held"].to_numpy()
+                acts = _forward(p, shapes, z[:, :-1])
+                g = (acts[-1][:, 0] - z[:, -1])[:, None]
+                total[:3] += ((g[~held] ** 2).sum() / 2, (g[held] ** 2).sum(), held.sum())
+                total[3:] += _gradient(p, shapes, [a[~held] for a in acts], g[~held])
+            yield pd.DataFrame({"s": [total]})
+
+        t = _added(rows.mapInPandas(task, "s array<double>"))
+        return t[0] / n + alpha / 2 / n * (inner * p**2).sum(), t[3:] / n + alpha / n * inner * p, t[1] / t[2] if t[2] else None
+
+    best = (np.inf, flat)
+    if n:
+        loss, grad, kept_back = error(flat)
+        pairs, wait, passes = [], 0, 1
+        while passes < epochs and wait < patience and np.abs(grad).max() > 1e-6:
+            move, size = _direction(grad, pairs), 1.0 if pairs else min(1.0, 1 / np.abs(grad).sum())
+            while passes < epochs:
+                got = error(flat + size * move)
+                passes += 1
+                if got[0] <= loss + 1e-4 * size * grad @ move:
+                    break
+                size /= 4
+            else:
                 break
-    if kept:
-        ws, bs = kept
+            if (got[1] - grad) @ move > 0:
+                pairs = [*pairs[-9:], (size * move, got[1] - grad)]
+            flat, (loss, grad, kept_back) = flat + size * move, got
+            now = loss if kept_back is None else kept_back
+            if now < best[0] - 1e-4:
+                best, wait = (now, flat), 0
+            else:
+                wait += 1
+        if best[0] == np.inf:
+            best = (0.0, flat)
+    weights = best[1]
 
     def predict(*columns: pd.Series) -> pd.Series:
-        out = forward((np.stack([c.to_numpy(dtype=float) for c in columns], 1) - xm) / xs)[-1][:, 0]
-        return pd.Series(out * ys + ym)
+        x = np.stack([c.to_numpy(dtype=float) for c in columns], 1)
+        out = _forward(weights, shapes, (x - mean[:-1]) / scale[:-1])[-1][:, 0] * scale[-1] + mean[-1]
+        return pd.Series(out).where(~np.isnan(x).any(1) & bool(n), None)
 
     udf = F.pandas_udf(predict, "double")
     return lambda df: df.withColumn("prediction", udf(*[F.col(c).cast("double") for c in features]))
 
 
+def _layers(p: np.ndarray, shapes: list[tuple]) -> list[np.ndarray]:
+    return [part.reshape(s) for part, s in zip(np.split(p, np.cumsum([int(np.prod(s)) for s in shapes])[:-1]), shapes, strict=True)]
+
+
+def _forward(p: np.ndarray, shapes: list[tuple], x: np.ndarray) -> list[np.ndarray]:
+    """Input and output of each layer; all but the last are rectified."""
+    acts, parts = [x], _layers(p, shapes)
+    for i in range(0, len(parts), 2):
+        x = acts[-1] @ parts[i] + parts[i + 1]
+        acts.append(np.maximum(x, 0) if i + 2 < len(parts) else x)
+    return acts
+
+
+def _gradient(p: np.ndarray, shapes: list[tuple], acts: list[np.ndarray], g: np.ndarray) -> np.ndarray:
+    """Sum over rows of the loss's gradient, ``g`` being that of the output."""
+    parts, out = _layers(p, shapes), []
+    for i in range(len(parts) // 2 - 1, -1, -1):
+        out = [(acts[i].T @ g).ravel(), g.sum(0), *out]
+        g = (g @ parts[2 * i].T) * (acts[i] > 0)
+    return np.concatenate(out)
+
+
+def _direction(grad: np.ndarray, pairs: list[tuple]) -> np.ndarray:
+    """Downhill by the last steps and changes of the gradient (two-loop recursion)."""
+    q, taken = grad.copy(), []
+    for s, y in reversed(pairs):
+        a = (s @ q) / (s @ y)
+        q -= a * y
+        taken.append(a)
+    if pairs:
+        s, y = pairs[-1]
+        q *= (s @ y) / (y @ y)
+    for (s, y), a in zip(pairs, reversed(taken), strict=True):
+        q += s * (a - (y @ q) / (s @ y))
+    return -q
+
+
+def _added(sums: DataFrame) -> np.ndarray:
+    """Sum of the arrays of ``s``, one a task: in groups of tasks first, so that the driver adds few."""
+
+    def task(batches):
+        total = None
+        for b in batches:
+            part = np.sum(np.stack(b["s"].to_numpy()), 0)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"s": [total]})
+
+    tasks = sums.rdd.getNumPartitions()
+    if tasks > 64:
+        sums = sums.repartition(int(tasks**0.5)).mapInPandas(task, "s array<double>")
+    return np.sum([r.s for r in sums.collect()], 0)
+
+
 def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame], object], k: int = 10, fold: str = "fold") -> DataFrame:
     """Rows with prediction, each by a model fitted on the other folds. ``fit``: DataFrame -> model (transform) or function."""
     out = None
