@@ -234,6 +234,20 @@ def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame], object], k: int = 10
     return out
 
 
+def held_out_cluster(rows: DataFrame, inside: Column, fit: Callable[[DataFrame], object], work: str, stratum: str) -> DataFrame:
+    """work, stratum, n, p250, p500, p750: estimates of the cluster's rows by work, by a model that saw no row of the cluster.
+
+    ``fit`` gets the rows where ``inside`` is not true. ``stats.spearman`` of stratum and p500 says whether the model tells the
+    strata's order. A work of several strata has a row in each.
+    """
+    from .stats import five_numbers
+
+    model = fit(rows.where(~F.coalesce(inside, F.lit(False))))
+    held = rows.where(inside)
+    scored = model.transform(held) if hasattr(model, "transform") else model(held)
+    return five_numbers(scored, [work, stratum], "prediction", (0.25, 0.5, 0.75)).select(work, stratum, "n", "p250", "p500", "p750")
+
+
 def ablation(rows: DataFrame, groups: dict[str, list[str]], fit: Callable[[DataFrame, list[str]], object], label: str, k: int = 5) -> DataFrame:
     """groups, mae: cross-validated error of each feature group alone, and of all."""
     out = None
@@ -263,30 +277,79 @@ def principal_components(rows: DataFrame, features: list[str], k: int = 5) -> tu
     return model.transform(x).withColumn("pc", vector_to_array("__pc")).drop("__x", "__pc", *[f"{f}_z" for f in features]), model.explainedVariance.toArray().tolist()
 
 
-def truncated_svd(weights: DataFrame, k: int = 50, max_terms: int = 20_000) -> DataFrame:
+def truncated_svd(weights: DataFrame, k: int = 50, extra: int = 10, powers: int = 2, seed: int = 0) -> DataFrame:
     """doc, v: rows of a sparse matrix (doc, term, w) in its first k left directions, times singular values; signs are arbitrary.
 
-    The Gram matrix of the terms is summed over the documents by Spark's RowMatrix; the vocabulary has at most ``max_terms``.
+    A randomised range finder: every term draws ``k + extra`` normal numbers from its own hash, so documents are summed
+    without a table of terms; ``powers`` passes to the terms and back turn the range towards the large directions. Tall tables
+    are made orthonormal by the triangular factor of their rows, stacked from task to task; only such factors, of
+    ``k + extra`` rows, meet the driver. There is no bound on documents or terms. Exact up to rounding where the matrix has
+    no more than ``k + extra`` independent rows, else as near as the singular values fall off beyond them. Cells that repeat
+    are added; null documents, terms and weights go. v is as long as the smaller of k and the rank.
     """
-    from pyspark.mllib.linalg import SparseVector
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    terms = [r.term for r in weights.select("term").distinct().orderBy("term").limit(max_terms + 1).collect()]
-    if len(terms) > max_terms:
-        raise ValueError(f"more than {max_terms} terms")
-    spark = weights.sparkSession
-    index = spark.createDataFrame(list(zip(terms, range(len(terms)), strict=True)), f"term {dict(weights.dtypes)['term']}, i int")
-    docs = weights.join(F.broadcast(index), "term").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("cells"))
-    n = len(terms)
-    k = min(k, n)
-    rows = docs.select("cells").rdd.map(lambda r: SparseVector(n, [c.i for c in r.cells], [c.w for c in r.cells]))
-    right = RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
-
-    @F.pandas_udf("array<double>")
-    def project(cells: pd.Series) -> pd.Series:
-        return pd.Series([right[[c["i"] for c in row]].T.dot([c["w"] for c in row]).tolist() for row in cells])
-
-    return docs.select("doc", project("cells").alias("v"))
+    from .staging import staged
+
+    wide = k + extra
+    cells = staged(weights.where("doc IS NOT NULL AND term IS NOT NULL AND w IS NOT NULL").groupBy("doc", "term").agg(F.sum(F.col("w").cast("double")).alias("w")))
+
+    def summed(rows: DataFrame, key: str, width: int) -> DataFrame:
+        """key, v: sum of w times the vector v."""
+        sums = rows.groupBy(key).agg(*[F.sum(F.col("w") * F.col("v")[j]).alias(f"__{j}") for j in range(width)])
+        return staged(sums.select(key, F.array(*[f"__{j}" for j in range(width)]).alias("v")))
+
+    def times(rows: DataFrame, right: np.ndarray) -> DataFrame:
+        def task(batches):
+            for b in batches:
+                yield b.assign(v=list(np.stack(b["v"].to_numpy()) @ right))
+
+        return rows.mapInPandas(task, rows.schema)
+
+    def orthonormal(rows: DataFrame) -> tuple[DataFrame, int]:
+        """Rows in an orthonormal base of their columns' range; twice, as once loses digits where columns are nearly alike."""
+        width = 0
+        for _ in range(2):
+            _, size, right = np.linalg.svd(_triangle(rows))
+            width = int((size > 1e-10 * size[0]).sum()) if len(size) and size[0] > 0 else 0
+            rows = staged(times(rows, right[:width].T / size[:width]))
+            if not width:
+                break
+        return rows, width
+
+    def normal(j: int) -> Column:
+        u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * j + i), "term"), F.lit(1 << 52)) + 0.5) / (1 << 52) for i in (0, 1)]
+        return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
+
+    draws = cells.select("term").distinct().select("term", F.array(*[normal(j) for j in range(wide)]).alias("v"))
+    base, width = orthonormal(summed(cells.join(draws, "term"), "doc", wide))
+    for _ in range(powers):
+        if not width:
+            break
+        terms, width = orthonormal(summed(cells.join(base, "doc"), "term", width))
+        base, width = orthonormal(summed(cells.join(terms, "term"), "doc", width))
+    if not width:
+        return cells.select("doc").distinct().select("doc", F.array().cast("array<double>").alias("v"))
+    small = _triangle(summed(cells.join(base, "doc"), "term", width))  # of the terms in the base: its right directions turn it
+    _, size, right = np.linalg.svd(small)
+    keep = min(k, int((size > 1e-10 * size[0]).sum()))
+    return times(base, right[:keep].T * size[:keep]).select("doc", "v")
+
+
+def _triangle(rows: DataFrame) -> np.ndarray:
+    """Triangular factor of the tall matrix whose rows are ``v``: each task's, then those of groups of tasks, then all."""
+
+    def task(batches):
+        held = None
+        for b in batches:
+            part = np.stack(b["v"].to_numpy())
+            held = np.linalg.qr(part if held is None else np.vstack([held, part]), "r")
+        if held is not None:
+            yield pd.DataFrame({"v": list(held)})
+
+    factors, tasks = rows.select("v").mapInPandas(task, "v array<double>"), rows.rdd.getNumPartitions()
+    if tasks > 64:
+        factors = factors.repartition(int(tasks**0.5)).mapInPandas(task, "v array<double>")
+    found = [r.v for r in factors.collect()]
+    return np.linalg.qr(np.array(found), "r") if found else np.zeros((0, 0))
 
 
 def anchor_weight(width: Column, least: float = 50.0) -> Column:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ..functions.years import normal_cdf
 from .staging import staged
 
 
@@ -104,10 +111,29 @@ def pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"), _corr(x, y).alias("r"))
 
 
-def mann_whitney(rows: DataFrame, by: list[str], value: str, side: Column) -> DataFrame:
-    """by, n1, n2, u, z: U of the rows where ``side`` holds against the others, and its normal score with tie and continuity correction.
+@lru_cache(4096)
+def _rank_sum_tail(few: int, many: int) -> np.ndarray:
+    """P(U >= u) for u = 0 .. few * many without ties: subsets of the ranks counted by size and sum, a rank at a time."""
+    ways = np.zeros((few + 1, few * (few + 1) // 2 + few * many + 1))
+    ways[0, 0] = 1
+    for rank in range(1, few + many + 1):
+        for k in range(min(few, rank), 0, -1):
+            ways[k, rank:] += ways[k - 1, :-rank]
+    of_u = ways[few, few * (few + 1) // 2 :]
+    return of_u[::-1].cumsum()[::-1] / math.comb(few + many, few)
+
+
+@F.pandas_udf(DoubleType())
+def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(c) else min(1.0, 2 * _rank_sum_tail(int(min(a, b)), int(max(a, b)))[round(max(c, a * b - c))]) for a, b, c in zip(n1, n2, u, strict=True)], dtype="float64")
+
+
+def mann_whitney(rows: DataFrame, by: list[str], value: str, side: Column, few: int = 8, many: int = 200) -> DataFrame:
+    """by, n1, n2, u, z, p, exact: U of the rows where ``side`` holds against the others, its normal score with tie and continuity
+    correction, and the two-sided p.
 
-    The score is that of the large-sample test; an exact small-sample p differs.
+    p is exact where no values tie, the smaller side has at most ``few`` rows and the larger at most ``many``; else it is the
+    normal tail of z. Where a side is empty, and where all values tie, p is null.
     """
     keys = by or ["__all"]
     whole = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"), side.alias("__s"))
@@ -119,9 +145,13 @@ def mann_whitney(rows: DataFrame, by: list[str], value: str, side: Column) -> Da
     sums = ranked.groupBy(*keys).agg(F.sum("__n1").alias("n1"), F.sum(F.col("__n") - F.col("__n1")).alias("n2"), F.sum(F.col("__r") * F.col("__n1")).alias("__rs"), F.sum(F.pow(F.col("__n").cast("double"), 3) - F.col("__n")).alias("__ties"))
     u = F.col("__rs") - F.col("n1") * (F.col("n1") + 1) / 2
     n = F.col("n1") + F.col("n2")
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("__ties") / (n * (n - 1))))
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("__ties") / F.nullif(n * (n - 1), F.lit(0))))
     mid = F.col("n1") * F.col("n2") / 2
-    return sums.select(*by, "n1", "n2", u.alias("u"), (F.sign(u - mid) * F.greatest(F.lit(0.0), F.abs(u - mid) - 0.5) / F.nullif(sd, F.lit(0.0))).alias("z"))
+    z = F.sign(u - mid) * F.greatest(F.lit(0.0), F.abs(u - mid) - 0.5) / F.nullif(sd, F.lit(0.0))
+    small = (F.col("__ties") == 0) & F.least("n1", "n2").between(1, few) & (F.greatest("n1", "n2") <= many)
+    scored = sums.select(*by, "n1", "n2", u.alias("u"), z.alias("z"), small.alias("exact"))
+    exact, tail = _exact_p("n1", "n2", F.when(F.col("exact"), F.col("u"))), 2 * normal_cdf(-F.abs("z"))
+    return scored.select(*by, "n1", "n2", "u", "z", F.when(F.col("exact"), exact).when(F.least("n1", "n2") > 0, tail).alias("p"), "exact")
 
 
 def eta_squared(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import gibbs
+from ..operators import boosting, gibbs
 from ..operators import graph as G
 from ..operators import model as M
 from ..operators import neighbours as N
 from ..operators import features as X
 from ..operators import spectral
+from ..operators import stats as S
 from .registry import query, table
 
 
@@ -91,6 +92,31 @@ def gbt_cv(spark, d):
     return scored.agg(F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 1).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def histogram_gbt_cv(spark, d):
+    """Cross-validated error of trees grown leaf by leaf, all folds in the same passes."""
+    scored = boosting.out_of_fold(_chunk_rows(spark, d), ["x1", "x2"], "y", 3, rounds=10, leaves=31, step=0.3)
+    return scored.agg(F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 1).alias("mae"), F.count(F.lit(1)).alias("n"))
+
+
+def _order_rows(spark, d):
+    """Orders as chunks of customers: y is what the lines sum to, the stratum is the customer's mean number of lines, rounded."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("lines"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.sum("l_extendedprice").alias("y")
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    strata = rows.groupBy("o_custkey").agg(F.round(F.avg("lines")).cast("int").alias("stratum"))
+    return rows.join(strata, "o_custkey")
+
+
+@query()
+def held_out_cluster(spark, d):
+    """One market segment's customers dated by a model of the others: rank correlation with their strata."""
+    fit = lambda t: boosting.fitted(t, ["lines", "quantity", "discount"], "y", rounds=10, leaves=31, step=0.3)
+    works = M.held_out_cluster(_order_rows(spark, d), F.col("c_mktsegment") == "BUILDING", fit, "o_custkey", "stratum")
+    return S.spearman(works, [], "stratum", "p500").select(F.round("rho", 3).alias("rho"), "n")
+
+
 @query()
 def ridge_fit(spark, d):
     rows = _chunk_rows(spark, d)

@@ -140,6 +140,41 @@ def order_violations(spark, d):
     return C.violations(e, t).withColumn("gap", F.round("gap", 4))
 
 
+def _following(spark, d):
+    """Each customer stands before the customer of the order that follows their dearest one by key."""
+    o = table(spark, d, "orders")
+    dearest = o.groupBy(F.col("o_custkey").alias("src")).agg(F.max(F.struct("o_totalprice", F.col("o_orderkey").alias("k"))).alias("m"))
+    return dearest.select("src", (F.col("m.k") + 1).alias("k")).join(o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("dst")), "k").where("src <> dst").select("src", "dst").distinct()
+
+
+_REACHED = """
+WITH RECURSIVE m AS (SELECT o_custkey AS src, o_orderkey + 1 AS k FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) = 1),
+e AS (SELECT DISTINCT src, o_custkey AS dst FROM m JOIN orders ON o_orderkey = k WHERE src <> o_custkey),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+c AS (SELECT a.src AS node, min(a.dst) AS cycle FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
+"""
+
+
+@query(_REACHED + "SELECT node, cycle FROM c")
+def order_cycles(spark, d):
+    """Customers who stand before themselves, however long the way."""
+    return C.order_cycles(_following(spark, d))
+
+
+@query(_REACHED + """, w AS (SELECT c_custkey, c_acctbal AS lo, c_acctbal + 50 AS hi, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal - c_custkey % 4 END AS not_after, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal - 2 END AS not_before FROM customer)
+SELECT c_custkey::VARCHAR AS work, NULL AS other, 'terminus before anchor' AS kind FROM w WHERE not_after < lo - 1 UNION ALL
+SELECT c_custkey::VARCHAR, NULL, 'empty bounds' FROM w WHERE not_before > not_after UNION ALL
+SELECT src::VARCHAR, dst::VARCHAR, 'order against anchors' FROM e JOIN w a ON a.c_custkey = src JOIN w b ON b.c_custkey = dst WHERE a.lo > b.hi UNION ALL
+SELECT e.src::VARCHAR, e.dst::VARCHAR, 'order both ways' FROM e JOIN e f ON e.src = f.dst AND e.dst = f.src WHERE e.src::VARCHAR < e.dst::VARCHAR UNION ALL
+SELECT node::VARCHAR, (min(node::VARCHAR) OVER (PARTITION BY cycle)), 'order cycle' FROM c QUALIFY count(*) OVER (PARTITION BY cycle) > 2
+""")
+def order_conflicts(spark, d):
+    """Every kind of contradiction among bounds and orders of customers."""
+    k, x = F.col("c_custkey"), F.col("c_acctbal")
+    works = table(spark, d, "customer").select(k.cast("string").alias("work"), x.alias("lo"), (x + 50).alias("hi"), F.when(k % 3 == 0, x - k % 4).alias("not_after"), F.when(k % 5 == 0, x - 2).alias("not_before"))
+    return C.conflicts(works, _following(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
+
+
 @query("""
 SELECT doc_id, regexp_replace(seg, ':[^:]*$', '') AS text_id, CASE WHEN contains(seg, ':') THEN try_cast(split_part(seg, ':', -1) AS INT) END AS line,
   CASE WHEN contains(w, '_') THEN split_part(w, '_', 2) ELSE w END AS coll, coalesce(nullif(regexp_extract(CASE WHEN contains(w, '_') THEN split_part(w, '_', 2) ELSE w END, '^([A-Za-z]+)', 1), ''), CASE WHEN contains(w, '_') THEN split_part(w, '_', 2) ELSE w END) AS coarse

@@ -68,6 +68,25 @@ def mann_whitney(spark, d):
     return out.select("lang", "n1", "n2", F.round("u", 4).alias("u"), F.round("z", 6).alias("z"))
 
 
+@query("""
+WITH RECURSIVE t AS (SELECT o_custkey AS g, o_totalprice AS v, o_orderstatus = 'F' AS s FROM orders WHERE o_totalprice IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0 AS rk FROM t),
+q AS (SELECT g, sum(s::INT)::BIGINT AS n1, (count(*) - sum(s::INT))::BIGINT AS n2, coalesce(sum(CASE WHEN s THEN rk END), 0) - sum(s::INT) * (sum(s::INT) + 1) / 2.0 AS u FROM r GROUP BY 1),
+ti AS (SELECT g, sum(c ** 3 - c) AS ties FROM (SELECT g, v, count(*)::DOUBLE AS c FROM t GROUP BY 1, 2) GROUP BY 1),
+ways(t, k, s, w) AS (SELECT 0, 0, 0, 1::DOUBLE UNION ALL SELECT t, k, s, sum(w) FROM
+  (SELECT t + 1 AS t, k + i AS k, s + i * (t + 1) AS s, w FROM ways, (VALUES (0), (1)) b(i) WHERE k + i <= 8 AND t < (SELECT max(n1 + n2) FROM q WHERE least(n1, n2) <= 8 AND greatest(n1, n2) <= 200)) GROUP BY 1, 2, 3),
+a AS (SELECT q.g, n1, n2, u, ties = 0 AND least(n1, n2) BETWEEN 1 AND 8 AND greatest(n1, n2) <= 200 AS exact,
+  abs(sign(u - n1 * n2 / 2.0) * greatest(0, abs(u - n1 * n2 / 2.0) - 0.5) / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 0)) AS z FROM q JOIN ti ON q.g = ti.g),
+e AS (SELECT g, least(1, 2 * sum(CASE WHEN s - k * (k + 1) / 2 >= greatest(u, n1 * n2 - u) THEN w ELSE 0 END) / sum(w)) AS p FROM a JOIN ways ON exact AND t = n1 + n2 AND k = least(n1, n2) GROUP BY 1)
+SELECT a.g AS o_custkey, n1, n2, round(u, 1) AS u, exact, round(CASE WHEN exact THEN e.p WHEN least(n1, n2) > 0 THEN 2 * (0.5 - z / 1200 * list_sum([(CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * pow(z * i / 400, 2)) FOR i IN range(401)]) / sqrt(2 * pi())) END, 7) AS p
+FROM a LEFT JOIN e ON a.g = e.g
+""")
+def mann_whitney_p(spark, d):
+    """Each customer's settled orders against the others, by price: exact p for few orders, the normal tail for many."""
+    out = S.mann_whitney(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", F.col("o_orderstatus") == "F")
+    return out.select("o_custkey", "n1", "n2", F.round("u", 1).alias("u"), "exact", F.round("p", 7).alias("p"))
+
+
 @query("""
 WITH m AS (SELECT *, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority) AS a, o_custkey - avg(o_custkey) OVER (PARTITION BY o_orderpriority) AS b FROM orders)
 SELECT round(corr(a, b), 6) AS r, count(*) AS n FROM m

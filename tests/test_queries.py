@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 #: Queries without SQL, each with a test of its own here or in test_operators.
-ELSEWHERE = {"spanning_forest", "grouped_folds", "gbt_cv", "ridge_fit", "mlp_fit", "feature_ablation", "feature_importance", "pca_scores", "svd_lengths", "fiedler_order", "fiedler_suppliers", "gibbs_posterior"}
+ELSEWHERE = {"spanning_forest", "grouped_folds", "gbt_cv", "histogram_gbt_cv", "held_out_cluster", "ridge_fit", "mlp_fit", "feature_ablation", "feature_importance", "pca_scores", "svd_lengths", "fiedler_order", "fiedler_suppliers", "gibbs_posterior"}
 
 
 def test_every_query_has_sql_or_a_test():
@@ -60,7 +60,7 @@ def chunks(spark):
     return _chunk_rows(spark, SF).select("c_custkey", "x1", "x2", "y").toPandas()
 
 
-@pytest.mark.parametrize("name", ["gbt_cv", "ridge_fit", "mlp_fit"])
+@pytest.mark.parametrize("name", ["gbt_cv", "histogram_gbt_cv", "ridge_fit", "mlp_fit"])
 def test_regressions_beat_the_mean_by_far(spark, chunks, name):
     plain = (chunks["y"] - chunks["y"].mean()).abs().mean()
     (got,) = catalogue.QUERIES[name](spark, SF).collect()
@@ -71,6 +71,17 @@ def test_regressions_beat_the_mean_by_far(spark, chunks, name):
         assert got.mae == pytest.approx(least, rel=0.1)
 
 
+def test_held_out_cluster_tells_the_order_of_its_strata(spark, con):
+    """Against least squares over the same rows outside the cluster, medians by customer and ranks in pandas."""
+    o = con.sql("SELECT o_custkey AS c, c_mktsegment = 'BUILDING' AS held, count(*) AS n, sum(l_quantity) AS q, avg(l_discount) AS d, sum(l_extendedprice) AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, o_orderkey").df()
+    x = np.column_stack([np.ones(len(o)), o["n"], o["q"], o["d"]])
+    fit = np.linalg.lstsq(x[~o["held"]], o["y"][~o["held"]], rcond=None)[0]
+    works = o.assign(p=x @ fit)[o["held"]].groupby("c").agg(n=("n", "mean"), p=("p", "median"))
+    want = np.corrcoef(works["n"].round().rank(), works["p"].rank())[0, 1]
+    (got,) = catalogue.QUERIES["held_out_cluster"](spark, SF).collect()
+    assert got.n == len(works) and want > 0.5 and abs(got.rho - want) < 0.2
+
+
 def test_features_that_say_more_count_for_more(spark, chunks):
     got = {r.feature: r.importance for r in catalogue.QUERIES["feature_importance"](spark, SF).collect()}
     assert got["x1"] > 0.6 and sum(got.values()) == pytest.approx(1, abs=1e-3)
