@@ -1,9 +1,10 @@
 """Quality classifier by co-training of two views.
 
 The text view sees hashed character 3-grams and shares of symbols, capitals, repeats and so on; the metadata view
-sees source, language and length. In each round both views score all documents, and each hands the documents it is sure
-of to the other, as sums over them: a view is a least-squares discriminant, so the sums of its features and of their
-products by label are all that it learns from. Both views are calibrated on labelled documents that neither was fitted
+sees source, language and length. In each round both views score all documents, and each hands the documents it is surest
+of, the same share of either label by rank, to the other, as sums over them: a view is a least-squares discriminant, so the
+sums of its features and of their products by label are all that it learns from. Labels handed over weigh as much as they
+beat chance on kept-back documents. Both views are calibrated on labelled documents that neither was fitted
 on, combined there, and the combination scores every document.
 """
 
@@ -89,6 +90,9 @@ class View:
     bias: float
     scale: float = 1.0
     shift: float = 0.0
+    low: float = -np.inf  # raw scores up to it are surely 0
+    high: float = np.inf  # from it on surely 1
+    trust: tuple[float, float] = (0.0, 0.0)  # how far labels 0 and 1 so given beat chance: 0 not at all, 1 always right
 
     def raw(self, x):
         return x @ self.weights + self.bias
@@ -101,6 +105,21 @@ class View:
         w, b = logistic(self.raw(x)[:, None].astype(np.float32), y, ridge=1e-3, steps=300, rate=0.05)
         self.scale, self.shift = max(0.0, float(w[0])), b
 
+    def rank(self, x, y, part):
+        """Bars that the lowest and highest ``part`` of each label's number of rows pass, and the trust in either side."""
+        raw = self.raw(x).astype(np.float64)
+        s, n = np.sort(raw), [max(1, int(part * (y == label).sum())) for label in (0, 1)]
+        edge = 1e-4 * s.std()
+        self.low, self.high = s[n[0] - 1] + edge, s[-n[1]] - edge
+        if self.low >= self.high:
+            self.low, self.high = -np.inf, np.inf
+        trust = []
+        for label, sure in enumerate((raw <= self.low, raw >= self.high)):
+            rate = (y == label).mean()
+            right = ((y[sure] == label).sum() + rate) / (sure.sum() + 1)
+            trust.append(float(max(0.0, (right - rate) / max(1 - rate, 1e-9))))
+        self.trust = tuple(trust)
+
 
 @dataclass
 class CoTrained:
@@ -121,39 +140,43 @@ def products(x: np.ndarray) -> np.ndarray:
     return (x.T @ x).astype(np.float64)
 
 
-def discriminant(labelled: list[np.ndarray], given: list[np.ndarray], share: float = 0.5, ridge: float = 1e-3) -> View:
-    """Least squares of -1 and 1 on products() of each label. Given documents of a label weigh together at most ``share`` of the labelled ones."""
+def discriminant(labelled: list[np.ndarray], given: list[np.ndarray], trust: tuple[float, float] = (1.0, 1.0), share: float = 0.5, ridge: float = 1e-3) -> View:
+    """Least squares of -1 and 1 on products() of each label. Given documents of a label weigh together at most ``share`` of the
+    labelled ones, times the trust in them."""
     a, b = 0.0, 0.0
-    for sign, own, more in zip((-1, 1), labelled, given, strict=True):
-        whole = own + more * (share * min(1.0, own[-1, -1] / max(more[-1, -1], 1.0)))
+    for sign, own, more, sure in zip((-1, 1), labelled, given, trust, strict=True):
+        whole = own + more * (sure * share * min(1.0, own[-1, -1] / max(more[-1, -1], 1.0)))
         whole = whole / max(whole[-1, -1], 1.0)  # both labels weigh alike
         a, b = a + whole, b + sign * whole[-1]
     theta = np.linalg.solve(a + ridge * np.eye(len(a)), b)
     return View(theta[:-1].astype(np.float32), float(theta[-1]))
 
 
-def sure_rows(views: dict[str, View], xt: np.ndarray, xm: np.ndarray, sure: float) -> dict[str, list[np.ndarray]]:
+def sure_rows(views: dict[str, View], xt: np.ndarray, xm: np.ndarray) -> dict[str, list[np.ndarray]]:
     """For each view that is to learn, the rows that the other is sure of, by label."""
-    p, q = _sigmoid(views["text"].logit(xt)), _sigmoid(views["meta"].logit(xm))
-    return {"meta": [p <= 1 - sure, p >= sure], "text": [q <= 1 - sure, q >= sure]}
+    p, q = views["text"].raw(xt), views["meta"].raw(xm)
+    return {"meta": [p <= views["text"].low, p >= views["text"].high], "text": [q <= views["meta"].low, q >= views["meta"].high]}
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, exchange, rounds: int = 3, sure: float = 0.98) -> CoTrained:
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, exchange, rounds: int = 3, part: float = 0.1) -> CoTrained:
     """``y``: labels 0 / 1 of the rows of xt and xm; every fourth row is kept for calibration.
 
-    ``exchange(views, sure)``: for each view the products() of the documents given to it, by label.
+    A view is sure of the rows that rank beyond ``part`` of each label's kept-back rows. ``exchange(views)``: for each view the products() of the documents given to it, by label.
     """
     hold = np.arange(len(y)) % 4 == 3
     data, views, exchanged = {"text": xt, "meta": xm}, {}, []
     labelled = {name: [products(x[~hold & (y == label)]) for label in (0, 1)] for name, x in data.items()}
     given = {name: [np.zeros_like(g) for g in labelled[name]] for name in data}
+    trust = dict.fromkeys(data, (0.0, 0.0))
     for turn in range(rounds + 1):
         for name, x in data.items():
-            views[name] = discriminant(labelled[name], given[name])
+            views[name] = discriminant(labelled[name], given[name], trust[name])
             views[name].calibrate(x[hold], y[hold])
+            views[name].rank(x[hold], y[hold], part)
         if turn == rounds:
             break
-        before, given = given, exchange(views, sure)
+        before, given = given, exchange(views)
+        trust = {"text": views["meta"].trust, "meta": views["text"].trust}
         exchanged.append(tuple(int(sum(g[-1, -1] for g in given[taker])) for taker in ("meta", "text")))
         if all(np.array_equal(a, b) for name in given for a, b in zip(given[name], before[name], strict=True)):
             break
@@ -185,7 +208,7 @@ PIECES, TASKS = 16, 256
 def _exchange(rows: DataFrame, labelled: set[int]):
     """exchange() of co_train() over all of ``rows`` but the labelled ids (at most those of the fit)."""
 
-    def given(views: dict[str, View], sure: float) -> dict[str, list[np.ndarray]]:
+    def given(views: dict[str, View]) -> dict[str, list[np.ndarray]]:
         sizes = {"text": TEXT_SIZE + 1, "meta": META_SIZE + 1}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +217,7 @@ def _exchange(rows: DataFrame, labelled: set[int]):
                 for part, texts in text_chunks(batch.column("text")):
                     free = np.array([i not in labelled for i in batch.column("id")[part].to_pylist()], dtype=bool)
                     x = {"text": text_view(texts), "meta": meta_view(*(batch.column(c)[part].to_pylist() for c in ("lang", "source", "n_chars")))}
-                    for name, by_label in sure_rows(views, x["text"], x["meta"], sure).items():
+                    for name, by_label in sure_rows(views, x["text"], x["meta"]).items():
                         for label, which in enumerate(by_label):
                             if (which & free).any():
                                 sums[name, label] += products(x[name][which & free])

@@ -250,14 +250,49 @@ def test_quality_on_rows_it_was_not_fitted_on(spark):
     views, some = {"text": model.text, "meta": model.meta}, {r.doc_id for r in back}
     free = np.array([r.doc_id not in some for r in rows])
     slim = quality_classifier._rows(docs, "doc_id", "text", "lang", "source", "n_chars")
-    found = quality_classifier._exchange(slim, some)(views, 0.9)
-    want = quality_classifier.sure_rows(views, text, meta, 0.9)
+    found = quality_classifier._exchange(slim, some)(views)
+    want = quality_classifier.sure_rows(views, text, meta)
     assert sum(w.sum() for v in want.values() for w in v) > 100
     for name, x in (("text", text), ("meta", meta)):
         for label in (0, 1):
             assert np.allclose(found[name][label], quality_classifier.products(x[want[name][label] & free]), rtol=1e-3, atol=1e-2)
 
 
+def test_views_teach_each_other():
+    """Few labels, and metadata that tells quality apart: the text view learns more with rounds than without, each time."""
+    gains = []
+    for seed in (5, 6, 7):
+        rng = np.random.default_rng(seed)
+
+        def drawn(n, rng=rng):
+            y = np.repeat([0.0, 1.0], n // 2)[rng.permutation(n)]
+            text = rng.normal(size=(n, 40)) + (0.35 * (2 * y - 1))[:, None]
+            meta = np.eye(4)[np.where(rng.random(n) < 0.95, y * 2, 2 - y * 2).astype(int) + rng.integers(0, 2, n)] + rng.normal(0, 0.01, (n, 4))
+            return text.astype(np.float32), meta.astype(np.float32), y
+
+        (xt, xm, y), (ut, um, _), (tt, _, ty) = drawn(48), drawn(4000), drawn(4000)
+
+        def exchange(views, ut=ut, um=um):
+            return {name: [quality_classifier.products((ut if name == "text" else um)[w]) for w in rows] for name, rows in quality_classifier.sure_rows(views, ut, um).items()}
+
+        alone, taught = (quality_classifier.co_train(xt, xm, y, exchange, rounds=r, part=0.2) for r in (0, 3))
+        gains.append(np.subtract(*(np.mean((m.text.raw(tt) > 0) == ty) for m in (taught, alone))))
+        assert all(a > 0 and b > 0 for a, b in taught.exchanged)
+    assert min(gains) > 0 and np.mean(gains) > 0.05
+
+
+def test_labels_no_better_than_chance_weigh_nothing():
+    rng = np.random.default_rng(6)
+    y = (np.arange(400) % 5 > 0).astype(float)
+    view = quality_classifier.View(np.ones(1, dtype=np.float32), 0.0)
+    view.rank((1 - 2 * y + rng.normal(size=400) / 9)[:, None].astype(np.float32), y, 0.1)
+    assert view.trust == (0.0, 0.0)
+    view.rank((2 * y - 1 + rng.normal(size=400) / 9)[:, None].astype(np.float32), y, 0.1)
+    assert view.trust == pytest.approx(((8 + 0.2) / 9 * 1.25 - 0.25, (32 + 0.8) / 33 * 5 - 4))  # 8 and 32 rows, all right
+    view.rank(np.zeros((400, 1), dtype=np.float32), y, 0.1)  # all alike: sure of none
+    assert view.low == -np.inf and view.high == np.inf
+
+
 def test_quality_of_odd_tables(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     odd = frame(spark, ODD, True).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id") % 2))
@@ -455,6 +490,14 @@ def test_toxicity_learns(spark):
     assert len(odd) == len(ODD) and all(0 <= g.score <= 1 for g in odd)
 
 
+def test_toxicity_of_rows_it_was_not_fitted_on(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.op9_toxicity(spark, sf).where("held_out").join(labels.where("toxic IS NOT NULL"), "doc_id").collect()
+    toxic, said = np.array([r.toxic for r in got]) == 1, np.array([r.predicted for r in got]) == 1
+    assert said[toxic].mean() > 0.5 and np.mean(said == toxic) > 1 - toxic.mean()
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 31, 32, 33, 56, 57, 100, 1000):
         x = toxicity.inputs_of([(" ".join(f"w{i}" for i in range(n))).encode()])
