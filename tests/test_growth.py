@@ -2,8 +2,9 @@
 
 import random
 
+import pytest
 
-from stratalith.operators import constraints
+from stratalith.operators import constraints, resolve
 
 
 def plan(df):
@@ -24,3 +25,14 @@ def test_level_pairs_of_one_base_are_not_grouped(spark):
         got = [tuple(x) for x in out.collect()]
         assert sorted(got) == sorted((*k, v) for k, v in want.items())
     assert plan(out).startswith("Union")  # pairs were grouped, so shuffled and spilled
+
+
+@pytest.mark.parametrize("most", [40, 1 << 26])
+def test_disjoint_sends_queries_where_they_match(spark, most):
+    r = random.Random(6)
+    ends = lambda: (r.choice([None, *range(20)]), r.choice([None, *range(15, 40)]))
+    rows, queries = [(k, *ends()) for k in range(150)] + [(900, 30, 5)], [(k, *ends()) for k in range(0, 40, 2)] + [(901, 35, 4)]
+    want = sorted((x, y) for x, xl, xh in queries for y, yl, yh in rows if x != y and ((None not in (xh, yl) and xh < yl) or (None not in (yh, xl) and yh < xl)))
+    out = resolve.disjoint(spark.createDataFrame(queries, "x long, xl long, xh long"), spark.createDataFrame(rows, "y long, yl long, yh long"), most=most)
+    assert sorted((x.x, x.y) for x in out.collect()) == want
+    assert "__i" not in plan(out)  # every block of queries met every block of rows
