@@ -2,25 +2,75 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import both_ways
 from .staging import staged
 
 _PARTS = ("x", "r", "p", "ax", "ar", "ap")
+#: Nodes of a block, edges of a row of a cell, blocks whose sums a task holds at once.
+_NODES, _EDGES, _OPEN = 4096, 1 << 17, 64
 
 
-def _blocks(batch: pa.RecordBatch, names, b: int) -> list[np.ndarray]:
-    return [batch.column(n).flatten().to_numpy().reshape(-1, b) for n in names]
+def _list(m: np.ndarray) -> pa.Array:
+    """One row that holds all of ``m``."""
+    return pa.ListArray.from_arrays(np.array([0, m.size], dtype=np.int32), pa.array(np.ascontiguousarray(m).reshape(-1)))
 
 
-def _lists(m: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(m).reshape(-1)))
+def _sums(of: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(of), pa.int32()), pa.concat_arrays([_list(m) for m in of.values()])], names=["at", "part"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges in the order of their blocks (at, to) and i as a row per cell, or several of at most about _EDGES edges."""
+
+    def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        at, to, i, j, w = (table[c].to_numpy() for c in ("at", "to", "i", "j", "w"))
+        begin = np.flatnonzero(np.r_[True, (np.diff(at) != 0) | (np.diff(to) != 0)])
+        ends = np.r_[begin, len(at)].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v, kind)) for v, kind in ((i, pa.int32()), (j, pa.int32()), (w, pa.float64()))]
+        return pa.record_batch([pa.array(at[begin], pa.int32()), pa.array(to[begin], pa.int32()), *lists], names=["at", "to", "i", "j", "w"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _EDGES:
+            yield rows(held)
+            held, n = [], 0
+    if n:
+        yield rows(held)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """at, t, r of each block of rows that come in the order of blocks."""
+    now, ts, rs = None, [], []
+    for batch in batches:
+        at, t, r = batch.column("at").to_numpy(), batch.column("t").to_numpy(), batch.column("r").flatten().to_numpy().reshape(batch.num_rows, -1)
+        begin = np.flatnonzero(np.diff(at, prepend=-1))
+        for lo, hi in zip(begin, np.r_[begin[1:], len(at)], strict=True):
+            if now is not None and at[lo] != now:
+                yield now, np.concatenate(ts), np.concatenate(rs)
+                ts, rs = [], []
+            now = int(at[lo])
+            ts.append(t[lo:hi])
+            rs.append(r[lo:hi])
+    if now is not None:
+        yield now, np.concatenate(ts), np.concatenate(rs)
+
+
+def _states(batches: Iterator[pa.RecordBatch], b: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """at, t and the parts of each block, a row a node."""
+    for batch in batches:
+        for k, at in enumerate(batch.column("at").to_pylist()):
+            yield at, batch.column("t")[k].values.to_numpy(), [batch.column(c)[k].values.to_numpy().reshape(-1, b) for c in _PARTS]
 
 
 def _products(state: DataFrame, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -28,16 +78,15 @@ def _products(state: DataFrame, b: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((6 * b + 1, 3 * b))
-        for batch in batches:
-            parts = _blocks(batch, _PARTS, b)
+        for _, t, parts in _states(batches, b):
             s, a = np.hstack(parts[:3]), np.hstack(parts[3:])
             total[: 3 * b] += s.T @ s
             total[3 * b : 6 * b] += s.T @ a
-            total[6 * b] += batch.column("t").to_numpy() @ s
-        yield pa.record_batch([_lists(total.reshape(1, -1))], names=["total"])
+            total[6 * b] += t @ s
+        yield pa.record_batch([_list(total)], names=["total"])
 
     sums = np.zeros((6 * b + 1) * 3 * b)
-    for row in state.select("t", *_PARTS).mapInArrow(run, "total array<double>").toLocalIterator():  # a row per task
+    for row in state.select("at", "t", *_PARTS).mapInArrow(run, "total array<double>").toLocalIterator():  # a row per task
         sums += np.array(row.total)
     sums = sums.reshape(6 * b + 1, 3 * b)
     return sums[: 3 * b], sums[3 * b : 6 * b], sums[6 * b]
@@ -61,57 +110,95 @@ def _best(gram: np.ndarray, inner: np.ndarray, trivial: np.ndarray, b: int) -> t
 def fiedler(pairs: DataFrame, weight: str = "affinity", block: int = 8, tolerance: float = 1e-8, rounds: int = 300) -> DataFrame:
     """node, fiedler: second eigenvector of the normalised Laplacian I - D^(-1/2) W D^(-1/2), times D^(-1/2), for any number of nodes.
 
-    LOBPCG: a block of vectors, their residuals and last steps, of which the best combinations are taken in each round. A round
-    is one join of the edges with the residuals, one sum by node, one write, and sums of products that come from each task as
-    one small matrix. The trivial vector is taken out exactly. It ends where the residual of the second eigenpair is below
+    LOBPCG: a block of vectors, their residuals and last steps, of which the best combinations are taken in each round. Nodes lie
+    in blocks, edges in cells of two blocks, written once. A round is one join of the cells with the blocks of residuals, one sum
+    by block, two writes, and sums of products that come from each task as one small matrix. The trivial vector is taken out exactly. It ends where the residual of the second eigenpair is below
     ``tolerance``. ``pairs``: a, b and a weight; repeated pairs add up, weights that are null or not positive and pairs of a
     node with itself go. Signed so that the least node is not positive. Of a graph in several parts it tells two sides apart.
     """
     from .graph import nodes
 
     rows = pairs.select("a", "b", F.col(weight).cast("double").alias("w")).where("w > 0 AND a <> b")
-    edges = both_ways(rows, "w").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    edges = staged(edges)
-    degree = staged(edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d")))
-    a, b = (degree.select(F.col("node").alias(x), F.sqrt("d").alias(f"s_{x}")) for x in ("src", "dst"))
-    edges = staged(edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("w") / (F.col("s_src") * F.col("s_dst"))).alias("w")))
+    once = staged(rows.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
+    degree = staged(both_ways(once, "w").groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d")))
     whole, n = degree.agg(F.sum("d"), F.count(F.lit(1))).first()
     if not n:
         return nodes(rows).select("node", F.lit(None).cast("double").alias("fiedler")).limit(0)
-    zero = F.array_repeat(F.lit(0.0), block)
+    # Blocks of about _NODES nodes, larger ones in sparse graphs, so that a cell of two blocks has edges enough.
+    count = min(-(-n // _NODES), max(1, math.isqrt(once.count() >> 11)))
+    place = degree.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(count)).cast("int"))
+    place = staged(place.withColumn("i", F.row_number().over(Window.partitionBy("at").orderBy("node")) - 1))
+    width = place.agg(F.max("i")).first()[0] + 1
+    a, b = (place.select(F.col("node").alias(e), F.col("at").alias(f"{e}_at"), F.col("i").alias(f"{e}_i"), F.sqrt("d").alias(f"{e}_s")) for e in "ab")
+    named = once.join(a, "a").join(b, "b").withColumn("w", F.col("w") / (F.col("a_s") * F.col("b_s")))
+    ends = ("at", "i", "to", "j")
+    each = named.select(*[F.col(c).alias(e) for c, e in zip(("a_at", "a_i", "b_at", "b_i"), ends, strict=True)], "w").union(named.select("b_at", "b_i", "a_at", "a_i", "w"))
+    cells = staged(each.repartition("at", "to").sortWithinPartitions("at", "to", "i").mapInArrow(_cells, "at int, to int, i array<int>, j array<int>, w array<double>"))
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each cell times its block of r, summed by block as long as few blocks are open."""
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, i, j, w, r in zip(batch.column("at").to_pylist(), *(batch.column(c) for c in ("i", "j", "w", "r")), strict=True):
+                i, j, w, r = (v.values.to_numpy() for v in (i, j, w, r))
+                begin = np.flatnonzero(np.diff(i, prepend=-1))
+                if at not in sums and len(sums) >= _OPEN:
+                    yield _sums(sums)
+                    sums = {}
+                total = sums.setdefault(at, np.zeros((width, block)))
+                total[i[begin]] += np.add.reduceat(w[:, None] * r.reshape(-1, block)[j], begin, axis=0)
+        if sums:
+            yield _sums(sums)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per block of rows that come in the order of blocks."""
+        now, total = None, None
+        for batch in batches:
+            for at, part in zip(batch.column("at").to_pylist(), batch.column("part"), strict=True):
+                if at != now:
+                    if now is not None:
+                        yield _sums({now: total})
+                    now, total = at, np.zeros((width, block))
+                total += part.values.to_numpy().reshape(width, block)
+        if now is not None:
+            yield _sums({now: total})
 
     def heard(state: DataFrame) -> DataFrame:
         """state with ar: what the neighbours' r sum up to."""
-        r = state.select(F.col("node").alias("dst"), *[F.col("r")[k].alias(f"r{k}") for k in range(block)])
-        sums = edges.join(r, "dst").groupBy(F.col("src").alias("node")).agg(*[F.sum(F.col("w") * F.col(f"r{k}")).alias(f"s{k}") for k in range(block)])
-        return staged(state.drop("ar").join(sums, "node").select("node", "t", *[c for c in _PARTS if c != "ar"], F.array(*[f"s{k}" for k in range(block)]).alias("ar")))
+        state = staged(state)
+        parts = cells.join(state.select(F.col("at").alias("to"), "r"), "to").select("at", "i", "j", "w", "r").mapInArrow(times, "at int, part array<double>")
+        sums = parts.repartition("at").sortWithinPartitions("at").mapInArrow(added, "at int, part array<double>")
+        return staged(state.join(sums, "at").select("at", "t", "x", "r", "p", "ax", F.slice("part", F.lit(1), F.size("r")).alias("ar"), "ap"))
+
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of nodes, in the order of blocks and places, as a row per block."""
+        for at, t, r in _runs(batches):
+            zero = np.zeros((len(t), block))
+            yield pa.record_batch([pa.array([at], pa.int32()), _list(t), _list(zero), _list(r), *[_list(zero)] * 3], names=["at", "t", "x", "r", "p", "ax", "ap"])
 
     # Values by hash of the node, so that they are the same in every attempt of a task.
     chance = F.array(*[F.xxhash64(F.lit(k), F.col("node")) / float(2**63) for k in range(block)])
-    start = degree.select("node", F.sqrt(F.col("d") / whole).alias("t"), zero.alias("x"), chance.alias("r"), zero.alias("p"), zero.alias("ax"), zero.alias("ap"))
-    state = heard(start)
-    kind = ", ".join(f"{n} {t}" for n, t in [("node", state.schema["node"].dataType.simpleString()), ("t", "double"), *((c, "array<double>") for c in ("x", "r", "p", "ax", "ap"))])
-    for _ in range(rounds):
+    kind = "at int, " + ", ".join(f"{c} array<double>" for c in ("t", "x", "r", "p", "ax", "ap"))
+    start = place.select("at", "i", F.sqrt(F.col("d") / whole).alias("t"), chance.alias("r")).repartition("at").sortWithinPartitions("at", "i")
+    state = heard(start.mapInArrow(started, kind))
+    for turn in range(rounds + 1):
         gram, inner, trivial = _products(state, block)
+        # The second eigenpair's residual is the first of r.
+        if turn and (gram[block, block] <= tolerance * tolerance or n <= 2) or turn == rounds:
+            break
         c, values = _best(gram, inner, trivial, block)
         out = trivial @ c  # what is trivial in the new vectors
 
         def stepped(batches: Iterator[pa.RecordBatch], c=c, values=values, out=out) -> Iterator[pa.RecordBatch]:
             late = c.copy()
             late[:block] = 0
-            for batch in batches:
-                parts = _blocks(batch, _PARTS, block)
-                s, a, t = np.hstack(parts[:3]), np.hstack(parts[3:]), batch.column("t").to_numpy()[:, None]
-                x, ax = s @ c - t * out, a @ c - t * out
-                made = {"x": x, "r": ax - x * values, "p": s @ late, "ax": ax, "ap": a @ late}
-                yield pa.record_batch([batch.column("node"), batch.column("t"), *map(_lists, made.values())], names=["node", "t", *made])
-
-        now = state.mapInArrow(stepped, kind)
-        off = now.agg(F.sum(F.col("r")[0] * F.col("r")[0])).first()[0]
-        if off <= tolerance * tolerance or n <= 2:
-            break
-        state = heard(now)
-    signs = degree.join(now.select("node", F.col("x")[0].alias("v")), "node").select("node", (F.col("v") / F.sqrt("d")).alias("fiedler"))
-    signs = staged(signs)
+            for at, t, parts in _states(batches, block):
+                s, a, t1 = np.hstack(parts[:3]), np.hstack(parts[3:]), t[:, None]
+                x, ax = s @ c - t1 * out, a @ c - t1 * out
+                yield pa.record_batch([pa.array([at], pa.int32()), *map(_list, (t, x, ax - x * values, s @ late, ax, a @ late))], names=["at", "t", "x", "r", "p", "ax", "ap"])
+
+        state = heard(state.mapInArrow(stepped, kind))
+    found = state.select("at", F.posexplode("x").alias("k", "v")).where(F.col("k") % block == 0).select("at", (F.col("k") / block).cast("int").alias("i"), "v")
+    signs = staged(place.join(found, ["at", "i"]).select("node", (F.col("v") / F.sqrt("d")).alias("fiedler")))
     first = signs.orderBy("node").first().fiedler
     return signs.withColumn("fiedler", F.col("fiedler") * F.lit(-1.0 if first > 0 else 1.0))

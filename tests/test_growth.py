@@ -4,13 +4,26 @@ import random
 
 import pytest
 
-from stratalith.operators import constraints, resolve
+from stratalith.operators import constraints, resolve, spectral
+from tests.test_scaled import dense_fiedler
 
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_fiedler_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "_NODES", 8)
+    monkeypatch.setattr(spectral, "_EDGES", 16)
+    monkeypatch.setattr(spectral, "_OPEN", 2)
+    monkeypatch.setattr(spectral.math, "isqrt", lambda n: 1000)
+    r = random.Random(5)
+    pairs = [(a, b, 1.0 + r.random()) for a in range(40) for b in range(a + 1, 40) if b == a + 1 or r.random() < 0.15]
+    got = {x.node: x.fiedler for x in spectral.fiedler(spark.createDataFrame(pairs, "a long, b long, affinity double")).collect()}
+    want = dense_fiedler(pairs)
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n], abs=1e-6) for n in want)
+
+
 def test_level_pairs_of_one_base_are_not_grouped(spark):
     r = random.Random(3)
     works = [(w, f"a base {r.randrange(6)}", r.choice([None, 0, 1, 2, 3])) for w in [*range(80), *range(30), *range(10)]] + [(200 + i, "of one level", 2) for i in range(5)] + [(None, "a base 1", 1), (3, "short", 1), (4, "short", 2)]
