@@ -60,11 +60,14 @@ pairs AS (SELECT x.s AS a, y.s AS b, count(*) AS cnt, sum(x.p) AS len_a, sum(y.p
 """
 
 
-def _pairs(spark, d):
-    # An order has few lines, so the self-join by order multiplies each row by a handful.
-    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).agg(F.sum("l_extendedprice").alias("p"))
-    x, y = s.select("o", F.col("s").alias("a"), F.col("p").alias("pa")), s.select("o", F.col("s").alias("b"), F.col("p").alias("pb"))
-    return staged(x.join(y, "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"), F.sum("pa").alias("len_a"), F.sum("pb").alias("len_b")))
+def _pairs(spark, d, lengths=False):
+    # An order has few lines, so the self-join by order multiplies each row by a handful. Lines are dealt out once, by order:
+    # sums and join both find them there. Prices go along only where they are asked for.
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s"), *[F.col("l_extendedprice").alias("p")] * lengths).repartition("o")
+    s = lines.groupBy("o", "s").agg(F.sum("p").alias("p")) if lengths else lines.distinct()
+    x, y = (s.select("o", F.col("s").alias(e), *[F.col("p").alias(f"p{e}")] * lengths) for e in "ab")
+    sums = [F.sum("pa").alias("len_a"), F.sum("pb").alias("len_b")] if lengths else []
+    return staged(x.hint("merge").join(y, "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"), *sums))
 
 
 _BREADTH = _PAIRS + ", two AS (SELECT a AS node, b AS other, cnt FROM pairs UNION ALL SELECT b, a, cnt FROM pairs), br AS (SELECT node, count(*) AS breadth FROM two GROUP BY 1)"
@@ -81,11 +84,11 @@ def weighted_degree(spark, d):
 
 
 def _scored(spark, d):
-    pairs = _pairs(spark, d)
-    br = G.breadth(pairs)
-    both = pairs.join(br.select(F.col("node").alias("a"), F.col("breadth").alias("ba")), "a").join(br.select(F.col("node").alias("b"), F.col("breadth").alias("bb")), "b")
-    s = table(spark, d, "supplier")
-    truth = both.join(s.select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("ta")), "a").join(s.select(F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("tb")), "b")
+    pairs = _pairs(spark, d, lengths=True)
+    # What is known of a node goes to the pairs in one join an end.
+    known = staged(G.breadth(pairs).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), "s_acctbal"), "node"))
+    a, b = (known.select(F.col("node").alias(e), F.col("breadth").alias(f"b{e}"), F.col("s_acctbal").alias(f"t{e}")) for e in "ab")
+    truth = pairs.join(a, "a").join(b, "b")
     return truth.withColumn("score", G.orientation_score(F.col("len_a"), F.col("len_b"), F.col("ba"), F.col("bb"))).withColumn("later_a", F.col("ta") > F.col("tb"))
 
 
