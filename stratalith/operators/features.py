@@ -39,17 +39,20 @@ def tf_idf(counts: DataFrame, terms: DataFrame | None = None, smooth: bool = Tru
     """doc, term, w: n / (all terms of the doc) * idf, divided by the row's length.
 
     idf = ln((N + 1) / (df + 1)), or ln(N / df) unsmoothed. ``terms`` (term, df) narrows the vocabulary; totals still count all terms.
+    ``counts`` are read more than once: with ``terms``, which are mostly made from them, the caller stages them.
     """
-    counts = staged(counts)
-    totals = counts.groupBy("doc").agg(F.sum("cnt").alias("__total"))
-    n = F.broadcast(totals.agg(F.count(F.lit(1)).alias("__n")))
+    counts = (staged(counts) if terms is None else counts).where("doc IS NOT NULL")
+    n = F.broadcast(counts.agg(F.count_distinct("doc").alias("__n")))
     df = terms if terms is not None else document_frequency(counts)
     idf = F.ln((F.col("__n") + 1) / (F.col("df") + 1)) if smooth else F.ln(F.col("__n") / F.col("df"))
-    w = counts.join(df.crossJoin(n).select("term", idf.alias("__idf")), "term").join(totals, "doc").select("doc", "term", (F.col("cnt") / F.col("__total") * F.col("__idf")).alias("w"))
+    # Totals and lengths are sums over a document's rows, which one shuffle by document brings together.
+    doc = Window.partitionBy("doc")
+    whole = counts.withColumn("__total", F.sum("cnt").over(doc))
+    w = whole.join(df.crossJoin(n).select("term", idf.alias("__idf")), "term").select("doc", "term", (F.col("cnt") / F.col("__total") * F.col("__idf")).alias("w"))
     if not normalised:
         return w
-    length = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__l"))
-    return w.join(length, "doc").select("doc", "term", F.when(F.col("__l") > 0, F.col("w") / F.col("__l")).otherwise(0.0).alias("w"))
+    length = w.withColumn("__l", F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc)))
+    return length.select("doc", "term", F.when(F.col("__l") > 0, F.col("w") / F.col("__l")).otherwise(0.0).alias("w"))
 
 
 def frequency_vectors(counts: DataFrame, terms: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import features as X
+from ..operators.staging import staged
 from .registry import query, table
 
 #: The tokenizer with a plain ASCII alphabet, so that SQL says the same.
@@ -41,7 +42,7 @@ w AS (SELECT doc, term, cnt / total * ln((n + 1) / (df + 1)) AS w FROM c JOIN f
 SELECT doc, term, round(w / l, 6) AS w FROM w JOIN l USING (doc) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY round(w / l, 6) DESC, term) <= 3
 """)
 def tfidf_top(spark, d):
-    counts = _counts(spark, d)
+    counts = staged(_counts(spark, d))
     w = X.tf_idf(counts, X.document_frequency(counts, 20)).withColumn("w", F.round("w", 6))
     return X.rank_of_groups(w, ["doc"], [F.desc("w"), F.col("term")]).where("rank <= 3").select("doc", "term", "w")
 

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from stratalith.operators import constraints, resolve, spectral
+from stratalith.operators import constraints, features, resolve, spectral
+from stratalith.plans import graph_queries
+from stratalith.sources import readers
 from tests.test_scaled import dense_fiedler
 
 
@@ -49,3 +51,29 @@ def test_disjoint_sends_queries_where_they_match(spark, most):
     out = resolve.disjoint(spark.createDataFrame(queries, "x long, xl long, xh long"), spark.createDataFrame(rows, "y long, yl long, yh long"), most=most)
     assert sorted((x.x, x.y) for x in out.collect()) == want
     assert "__i" not in plan(out)  # every block of queries met every block of rows
+
+
+def test_scored_pairs_join_once_an_end(spark):
+    assert plan(graph_queries._scored(spark, "/root/testdata/sf0.001")).count("Join Inner") == 2  # breadth and supplier joined apart
+
+
+def test_order_cycles_broadcast_nothing(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 7), (7, 6)], "src long, dst long")
+    out = constraints.order_cycles(edges)
+    assert sorted(tuple(x) for x in out.select("node", "cycle").collect()) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tf_idf_joins_terms_alone(spark):
+    counts = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "x", 1), (None, "x", 1)], "doc string, term string, cnt long")
+    out = features.tf_idf(counts, features.document_frequency(counts))
+    assert {(r.doc, r.term) for r in out.collect()} == {("a", "x"), ("a", "y"), ("b", "x")}
+    assert plan(out).count("Join Inner") + plan(out).count("Join Cross") <= 2  # sums by document were joined too
+
+
+def test_matched_segments_read_files_once(spark):
+    rows = [("f", ["a:1", "a:2"], ["b:7"], ["s", "t", "u"], []), ("f", None, ["c:3"], ["s"], ["v", "w"])]
+    m = spark.createDataFrame(rows, "file string, root_segnr array<string>, par_segnr array<string>, root_segtext array<string>, par_segtext array<string>")
+    out = readers.matched_segments(m)
+    assert sorted(tuple(x) for x in out.collect()) == [("a", 1, "s", "f", 0, 0), ("a", 2, "t", "f", 0, 1), ("c", 3, "v", "f", 1, 0)]
+    assert "Union" not in plan(out)
