@@ -19,11 +19,13 @@ def _new(spark):
 
 
 def _match_files(spark, d):
-    """Match events of lineitem as gzip JSON lines; those of every seventh order are broken off."""
+    """Match events of lineitem as gzip JSON lines; those of every seventh order are broken off.
+
+    A gzip file is one task to read, so files are kept small."""
     at = _new(spark)
     name = lambda mark, key, line: F.array(F.concat(F.lit(mark), F.col(key).cast("string"), F.lit(":"), F.col(line).cast("string")))
     event = F.to_json(F.struct(name("s", "l_suppkey", "l_orderkey").alias("root_segnr"), name("p", "l_partkey", "l_linenumber").alias("par_segnr"), F.array("l_returnflag").alias("root_segtext"), F.array("l_linestatus").alias("par_segtext"), F.col("l_quantity").alias("score"), F.col("l_linenumber").alias("root_length")))
-    table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 7 == 0, F.substring(event, 1, 20)).otherwise(event).alias("value")).write.text(at, compression="gzip")
+    table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 7 == 0, F.substring(event, 1, 20)).otherwise(event).alias("value")).write.option("maxRecordsPerFile", 100_000).text(at, compression="gzip")
     return R.matches(spark, at)
 
 

@@ -42,15 +42,21 @@ def match_endpoints(matches: DataFrame) -> DataFrame:
     )
 
 
+def _marked(side: int):
+    return lambda s, pos: F.struct(F.lit(side).alias("side"), pos.alias("pos"), s.id.alias("id"), s.text.alias("text"))
+
+
 def matched_segments(matches: DataFrame) -> DataFrame:
     """text, line, seg_text, and the place (file, side, pos) of every segment of either side; a side stops at its shorter array."""
-    sides = []
+    both = []
     for side, ids, texts in ((0, "root_segnr", "root_segtext"), (1, "par_segnr", "par_segtext")):
-        n = F.least(F.size(ids), F.size(texts))
-        zipped = F.slice(F.zip_with(ids, texts, lambda i, t: F.struct(i.alias("id"), t.alias("text"))), F.lit(1), F.greatest(n, F.lit(0)))
-        rows = matches.where(n > 0).select("file", F.lit(side).alias("side"), F.posexplode(zipped).alias("pos", "s"))
-        sides.append(rows.select(text_id(F.col("s.id")).alias("text"), line_no(F.col("s.id")).alias("line"), F.col("s.text").alias("seg_text"), "file", "side", "pos"))
-    return sides[0].unionByName(sides[1])
+        n = F.greatest(F.least(F.size(ids), F.size(texts)), F.lit(0))
+        zipped = F.slice(F.zip_with(ids, texts, lambda i, t: F.struct(i.alias("id"), t.alias("text"))), F.lit(1), n)
+        whole = F.transform(zipped, _marked(side))
+        both.append(F.coalesce(whole, F.array().cast("array<struct<side:int,pos:int,id:string,text:string>>")))
+    # Both sides come out of one row, so the files are read and parsed once.
+    rows = matches.select("file", F.explode(F.concat(*both)).alias("s"))
+    return rows.select(text_id(F.col("s.id")).alias("text"), line_no(F.col("s.id")).alias("line"), F.col("s.text").alias("seg_text"), "file", "s.side", "s.pos")
 
 
 def segments(spark: SparkSession, path: str, exclude_suffix: str = "_analyzed.json", probe: int = 80) -> DataFrame:
