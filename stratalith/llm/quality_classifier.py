@@ -203,6 +203,25 @@ def _rows(docs: DataFrame, id_col, text_col, lang_col, source_col, n_chars_col)
 
 #: Sums go to the driver in pieces, each summed up in two steps so that no group has a row for every task.
 PIECES, TASKS = 16, 256
+#: Partitions that a task sums up where there are many: what is shuffled goes with the tasks, some 8 MB each.
+JOINED = 16
+
+
+def few_tasks(rows: DataFrame) -> DataFrame:
+    """``rows``, read whole by two tasks a core, or by one for each JOINED partitions where that is more."""
+    return rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // JOINED))
+
+
+def half(sums: np.ndarray) -> np.ndarray:
+    """The upper triangle of products(), which are symmetric, end to end."""
+    return sums[np.triu_indices(len(sums))]
+
+
+def whole(flat: np.ndarray, n: int) -> np.ndarray:
+    """half() undone."""
+    out = np.zeros((n, n))
+    out[np.triu_indices(n)] = flat
+    return out + np.triu(out, 1).T
 
 
 def _exchange(rows: DataFrame, labelled: set[int]):
@@ -224,7 +243,7 @@ def _exchange(rows: DataFrame, labelled: set[int]):
             salt = TaskContext.get().partitionId() // TASKS
             for (name, label), total in sums.items():
                 if total[-1, -1]:
-                    for k, piece in enumerate(np.array_split(total.ravel(), PIECES)):
+                    for k, piece in enumerate(np.array_split(half(total), PIECES)):
                         yield pa.record_batch({"view": [name], "label": pa.array([label], pa.int32()), "piece": pa.array([k], pa.int32()), "salt": pa.array([salt], pa.int32()), "sums": pa.array([piece.tobytes()], pa.binary())})
 
         def summed(table: pa.Table) -> pa.Table:
@@ -232,7 +251,7 @@ def _exchange(rows: DataFrame, labelled: set[int]):
             return table.slice(0, 1).set_column(table.schema.get_field_index("sums"), "sums", pa.array([total.tobytes()], pa.binary()))
 
         schema = "view string, label int, piece int, salt int, sums binary"
-        found = rows.select("id", "text", "lang", "source", "n_chars").mapInArrow(released(run), schema)
+        found = few_tasks(rows.select("id", "text", "lang", "source", "n_chars")).mapInArrow(released(run), schema)
         for keys in (["view", "label", "piece", "salt"], ["view", "label", "piece"]):
             found = found.groupBy(*keys).applyInArrow(summed, schema)
         out = {name: [np.zeros((n, n)), np.zeros((n, n))] for name, n in sizes.items()}
@@ -240,7 +259,7 @@ def _exchange(rows: DataFrame, labelled: set[int]):
         for r in found.collect():
             pieces.setdefault((r["view"], r.label), {})[r.piece] = np.frombuffer(r.sums, dtype=np.float64)
         for (name, label), some in pieces.items():
-            out[name][label] = np.concatenate([some[k] for k in range(PIECES)]).reshape(sizes[name], sizes[name])
+            out[name][label] = whole(np.concatenate([some[k] for k in range(PIECES)]), sizes[name])
         return out
 
     return given
