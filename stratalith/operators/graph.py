@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,14 +177,73 @@ def harmonic(pairs: DataFrame, labels: DataFrame, lam: float = 0.02, prior: Data
     return base.join(now.select("node", "x"), "node", "left").select("node", F.coalesce("y", "x", alone).alias("x"), F.col("y").isNotNull().alias("labelled"))
 
 
-def harmonic_by_group(pairs: DataFrame, labels: DataFrame, lam: float = 0.05, cnt: str = "cnt", leave_one_out: bool = False, **how) -> DataFrame:
+def harmonic_by_group(pairs: DataFrame, labels: DataFrame, lam: float = 0.05, cnt: str = "cnt", leave_one_out: bool = False, most: int = 256, most_pairs: int = 1 << 18, **how) -> DataFrame:
     """grp, node, x, labelled: harmonic() within each group, towards the group's median label.
 
     ``pairs``: grp, a, b, cnt; ``labels``: grp, node, y (null: none; a group's nodes that have no pair may stand there).
-    A group without a label has null x. All groups go through the same joins, whatever their sizes. ``leave_one_out``
-    gives for each labelled node what its group would say without its label, towards the median of the other labels:
-    the pairs of a group are there once for each of its labels.
+    A group without a label has null x. ``leave_one_out`` gives for each labelled node what its group would say without its
+    label, towards the median of the other labels. A group of at most ``most`` nodes and ``most_pairs`` pairs is solved in a
+    task, all its labels' systems from one factor; larger ones go through the joins of harmonic() together, their pairs
+    once for each of their labels.
     """
+    pairs, labels = staged(pairs.select("grp", "a", "b", F.col(cnt).alias("cnt"))), staged(labels.select("grp", "node", "y"))
+    each = pairs.select("grp", F.explode(F.array("a", "b")).alias("node"), F.lit(1).alias("n")).unionByName(labels.select("grp", "node", F.lit(0).alias("n")))
+    by_node = each.groupBy("grp", "node").agg(F.sum("n").alias("n"))
+    sizes = staged(by_node.groupBy("grp").agg(((F.count(F.lit(1)) <= most) & (F.sum("n") <= 2 * most_pairs) & F.lit(lam > 0)).alias("small")))
+
+    def of(rows: DataFrame, small: bool) -> DataFrame:
+        those = sizes.where(F.col("small") == small).select(F.col("grp").alias("__g"))
+        return rows.join(those, F.col("grp").eqNullSafe(F.col("__g")), "left_semi")
+
+    shrink = how.get("shrink_isolated", False)
+    cells = of(labels, True).select("grp", "node", F.col("y").cast("double").alias("y")).groupBy("grp")
+    ties = of(pairs, True).select("grp", "a", "b", F.col("cnt").cast("double").alias("cnt")).groupBy("grp")
+    kinds = dict(labels.dtypes)
+    solved = ties.cogroup(cells).applyInArrow(lambda a, b: _solved(a, b, lam, leave_one_out, shrink), f"grp {kinds['grp']}, node {kinds['node']}, x double, labelled boolean")
+    if leave_one_out:
+        solved = solved.where("grp IS NOT NULL")
+    if sizes.where("NOT small").isEmpty():
+        return solved
+    return solved.unionByName(_joined_by_group(of(pairs, False), of(labels, False), lam, leave_one_out, **how))
+
+
+def _solved(pairs: pa.Table, labels: pa.Table, lam: float, leave_one_out: bool, shrink: bool) -> pa.Table:
+    """harmonic_by_group() of one small group. Left out, a label's node joins the free ones: one more row and column to their factor."""
+    both = pa.chunked_array([c for t, n in ((labels, "node"), (pairs, "a"), (pairs, "b")) for c in t[n].cast(labels["node"].type).chunks], labels["node"].type)
+    nodes = both.unique()
+    at = lambda c: pc.index_in(c.cast(nodes.type), value_set=nodes).to_numpy()
+    y = np.full(len(nodes), np.nan)
+    y[at(labels["node"])] = labels["y"].to_numpy()
+    w, ends, each = np.zeros((len(nodes), len(nodes))), (at(pairs["a"]), at(pairs["b"])), np.nan_to_num(np.log1p(pairs["cnt"].to_numpy()))
+    np.add.at(w, ends, each)
+    np.add.at(w, ends[::-1], each)
+    d, known = w.sum(1), ~np.isnan(y)
+    free, own = np.flatnonzero(~known & (d > 0)), np.flatnonzero(known)
+    k, yl = np.diag((1 + lam) * d) - w, y[own]
+    alone = lam / (1 + lam) if shrink else 1.0
+    x, out = np.where(known, y, np.nan), np.ones(len(nodes), bool)
+    if len(own) and not leave_one_out:
+        prior = np.median(yl)
+        x[~known] = alone * prior
+        x[free] = np.linalg.solve(k[np.ix_(free, free)], w[np.ix_(free, own)] @ yl + lam * d[free] * prior)
+    elif leave_one_out:
+        out = known & (known.sum() > 1)  # a single label leaves none
+        if out.any():
+            prior = np.array([np.median(np.delete(yl, i)) for i in range(len(yl))])
+            heard = w[np.ix_(free, own)]
+            a = np.linalg.solve(k[np.ix_(free, free)], np.column_stack([heard @ yl, d[free], heard]))
+            said, drawn, pulled = a[:, :1], a[:, 1:2], a[:, 2:]
+            among = w[np.ix_(own, own)]
+            right = among @ yl - np.diag(among) * yl + lam * d[own] * prior + (heard * (said - pulled * yl + lam * prior * drawn)).sum(0)
+            left = k[own, own] - (heard * pulled).sum(0)
+            x[own] = np.where(d[own] > 0, right / np.where(d[own] > 0, left, 1.0), alone * prior)
+    grp = (labels if labels.num_rows else pairs)["grp"][:1].combine_chunks().take(pa.array(np.zeros(out.sum(), int)))
+    names = nodes.filter(pa.array(out))
+    return pa.table({"grp": grp, "node": names, "x": pa.array(x[out], from_pandas=True), "labelled": pa.array(known[out])})
+
+
+def _joined_by_group(pairs: DataFrame, labels: DataFrame, lam: float, leave_one_out: bool, cnt: str = "cnt", **how) -> DataFrame:
+    """harmonic_by_group() of groups of any size."""
     kind = dict(pairs.dtypes)
     node = lambda c: F.struct("held", "grp", F.col(c).alias("node"))
     known = labels.where("y IS NOT NULL").select("grp", "node", F.col("y").cast("double").alias("y"))
@@ -205,7 +267,8 @@ def harmonic_by_group(pairs: DataFrame, labels: DataFrame, lam: float = 0.05, cn
     if leave_one_out:
         return out.where("held = node").select("grp", "node", "x", F.lit(True).alias("labelled"))
     out = out.select("grp", "node", "x", "labelled")
-    rest = ends.select("grp", "node").join(out.select("grp", "node"), ["grp", "node"], "left_anti")
+    got = out.select(F.col("grp").alias("__g"), F.col("node").alias("__n"))
+    rest = ends.select("grp", "node").join(got, F.col("grp").eqNullSafe(F.col("__g")) & F.col("node").eqNullSafe(F.col("__n")), "left_anti")
     return out.unionByName(rest.select("grp", "node", F.lit(None).cast("double").alias("x"), F.lit(False).alias("labelled")))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from stratalith.operators import constraints, features, resolve, spectral
+from stratalith.operators import constraints, features, graph, resolve, spectral, stats
 from stratalith.plans import graph_queries
 from stratalith.sources import readers
 from tests.test_scaled import dense_fiedler
@@ -77,3 +77,19 @@ def test_matched_segments_read_files_once(spark):
     out = readers.matched_segments(m)
     assert sorted(tuple(x) for x in out.collect()) == [("a", 1, "s", "f", 0, 0), ("a", 2, "t", "f", 0, 1), ("c", 3, "v", "f", 1, 0)]
     assert "Union" not in plan(out)
+
+
+@pytest.mark.parametrize("loo", [False, True])
+def test_small_groups_are_solved_alike_in_tasks(spark, monkeypatch, loo):
+    r = random.Random(4)
+    pairs = [(g, a, b, r.randrange(5)) for g in (1, 2, None) for a in range(10) for b in range(a, 10) if r.random() < 0.25] + [(4, 1, 2, 3)]
+    labels = [(g, n, r.choice([None, r.random() * 100])) for g in (1, 2, None) for n in range(12)] + [(4, 1, 7.0), (4, 3, None), (5, 1, None)]
+    p, c = spark.createDataFrame(pairs, "grp long, a long, b long, cnt long"), spark.createDataFrame(labels, "grp long, node long, y double")
+
+    def rows(**how):
+        return sorted(str((x.grp, x.node, x.x if x.x is None else round(x.x, 4), x.labelled)) for x in graph.harmonic_by_group(p, c, leave_one_out=loo, **how).collect())
+
+    want = rows(most=0)  # by joins
+    assert loo or want == rows(most=4)  # groups of both kinds
+    monkeypatch.setattr(graph, "harmonic", None)  # every group went through its joins and rounds
+    assert rows() == want
