@@ -75,7 +75,8 @@ def robust_z(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Rows with z = (x - median) / (1.4826 * median |x - median| + 1e-9) of their group. Medians by selection: no group is held or sorted in one task."""
 
     def with_median(df: DataFrame, of: str, name: str) -> DataFrame:
-        med = quantiles(df, by, of, (0.5,)).select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("q")[0].alias(name))
+        # Staged, its size is known: where it is small the rows stay where they are, and are not dealt out by group.
+        med = staged(quantiles(df, by, of, (0.5,)).select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("q")[0].alias(name)))
         return df.join(med, [F.col(c) == F.col(f"__by_{c}") for c in by]).drop(*[f"__by_{c}" for c in by])
 
     off = with_median(rows, value, "__med").withColumn("__off", F.abs(F.col(value) - F.col("__med")))

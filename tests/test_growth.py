@@ -93,3 +93,11 @@ def test_small_groups_are_solved_alike_in_tasks(spark, monkeypatch, loo):
     assert loo or want == rows(most=4)  # groups of both kinds
     monkeypatch.setattr(graph, "harmonic", None)  # every group went through its joins and rounds
     assert rows() == want
+
+
+def test_robust_z_leaves_rows_where_they_are(spark):
+    rows = spark.createDataFrame([("a", float(x * x)) for x in range(30)] + [("b", 1.0), ("b", None), (None, 2.0)], "g string, x double")
+    out = stats.robust_z(rows, ["g"], "x")
+    assert sum(r.g == "a" for r in out.collect()) == 30
+    run = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in run and "hashpartitioning" not in run  # a group's rows were sorted in one task
