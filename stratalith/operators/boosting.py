@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import spread, staged
 
 MISSING = 255
 #: Gradients and weights are whole multiples of their largest value / 2^20, so sums do not depend on the order of rows.
@@ -157,13 +157,13 @@ class Fitted:
 
 def fitted(
     train: DataFrame, features: list[str], label: str, rounds: int = 500, leaves: int = 63, step: float = 0.05, least: int = 20, bins: int = 255,
-    patience: int | None = 10, weight: str | None = None, fold: str | None = None, k: int = 1, every: int = 10,
+    patience: int | None = 10, weight: str | None = None, fold: str | None = None, k: int = 1, every: int = 1,
 ) -> Fitted:
     """Least-squares boosting: each tree grows by the leaf of the largest gain up to ``leaves``, ``least`` rows a leaf.
 
     With ``fold`` (0..k-1) the k models that each leave one fold out are fitted in the same passes. A tenth of the rows, by a
     hash of features and label, is kept back; a model stops after ``patience`` rounds without a better loss there
-    (None: no rows are kept back). Rows with a null or NaN label are left out; missing features have a bin of their own. A
+    (None: no rows are kept back). The staged scores are brought up to date after ``every`` rounds. Rows with a null or NaN label are left out; missing features have a bin of their own. A
     pass gives one row of 256 sums for each task, open leaf and feature; the driver sees a row for each open leaf.
     """
     if bins > MISSING:
@@ -182,7 +182,7 @@ def fitted(
             x = _bins([b[c].to_numpy(dtype=float) for c in names], edges)
             yield pd.DataFrame({"x": [r.tobytes() for r in x], "y": b["y"], "w": b["w"], "fold": b["fold"].fillna(-1).astype("int32"), "held": b["held"]})
 
-    rows = rows.withColumn("held", held)
+    rows = spread(rows.withColumn("held", held))  # a table of one small file was one task in every pass
     state = staged(rows.mapInPandas(stored, "x binary, y double, w double, fold int, held boolean"))
     sums = state.agg(*[F.sum(F.when(c, F.col("y") * F.col("w"))).alias(f"s{m}") for m, c in enumerate(mine)], *[F.sum(F.when(c, F.col("w"))).alias(f"w{m}") for m, c in enumerate(mine)], F.max("w").alias("top"), F.min("y").alias("lo"), F.max("y").alias("hi")).first()
     start = [sums[f"s{m}"] / sums[f"w{m}"] if sums[f"w{m}"] else None for m in models]
@@ -191,12 +191,13 @@ def fitted(
     if not live:
         return out
     top, unit = sums["top"], ((sums["hi"] - sums["lo"]) or 1.0) / STEPS
-    state = state.withColumn("score", F.array(*[F.lit(start[m] if m in live else 0.0) for m in models]))
+    scores = [f"s{m}" for m in models]  # a column each: a row is never an object of Python
+    state = state.select("*", *[F.lit(start[m] if m in live else 0.0).alias(scores[m]) for m in models])
     fresh: list[list[Tree]] = [[] for _ in models]  # trees that the staged scores do not hold yet
 
     def arrays(b: pd.DataFrame, fresh: list[list[Tree]]) -> tuple:
         x = np.frombuffer(b"".join(b["x"]), np.uint8).reshape(len(b), len(features))
-        score = np.stack(b["score"].to_numpy())
+        score = b[scores].to_numpy(copy=True)
         for m, trees in enumerate(fresh):
             for t in trees:
                 score[:, m] += t.values(x)
@@ -283,7 +284,8 @@ def fitted(
 def _rescored(state: DataFrame, arrays: Callable, fresh: list[list[Tree]]) -> DataFrame:
     def task(batches):
         for b in batches:
-            yield b.assign(score=list(arrays(b, fresh)[1]))
+            score = arrays(b, fresh)[1]
+            yield b.assign(**{f"s{m}": score[:, m] for m in range(score.shape[1])})
 
     return staged(state.mapInPandas(task, state.schema))
 

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from stratalith.operators import constraints, features, graph, resolve, spectral, stats
+from stratalith.operators import boosting, constraints, features, graph, resolve, spectral, stats
 from stratalith.plans import graph_queries
 from stratalith.sources import readers
 from tests.test_scaled import dense_fiedler
@@ -101,3 +102,14 @@ def test_robust_z_leaves_rows_where_they_are(spark):
     assert sum(r.g == "a" for r in out.collect()) == 30
     run = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in run and "hashpartitioning" not in run  # a group's rows were sorted in one task
+
+
+def test_boosting_deals_out_a_table_of_one_file(spark, monkeypatch):
+    made, write = [], boosting.staged
+    monkeypatch.setattr(boosting, "staged", lambda df: made.append((df.rdd.getNumPartitions(), df.schema)) or write(df))
+    rows = spark.range(0, 300, 1, 1).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 2).cast("int").alias("fold"))
+    rows = rows.withColumn("y", F.col("a") * 2 + F.col("b"))
+    one, two = (boosting.fitted(rows, ["a", "b"], "y", rounds=2, leaves=3, fold="fold", k=2, every=e) for e in (1, 9))
+    assert one.trees == two.trees and all(len(t) == 2 for t in one.trees)  # whichever way scores are kept
+    assert made[0][0] >= spark.sparkContext.defaultParallelism  # one task did every pass
+    assert not any(f.dataType.typeName() == "array" for _, s in made for f in s)  # rows were objects
