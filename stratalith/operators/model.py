@@ -240,8 +240,10 @@ def held_out_cluster(rows: DataFrame, inside: Column, fit: Callable[[DataFrame],
     ``fit`` gets the rows where ``inside`` is not true. ``stats.spearman`` of stratum and p500 says whether the model tells the
     strata's order. A work of several strata has a row in each.
     """
+    from .staging import staged
     from .stats import five_numbers
 
+    rows = staged(rows)  # fitting, scoring and the list of works each read them
     model = fit(rows.where(~F.coalesce(inside, F.lit(False))))
     held = rows.where(inside)
     scored = model.transform(held) if hasattr(model, "transform") else model(held)
