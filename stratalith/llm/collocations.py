@@ -22,14 +22,15 @@ from .tokens import released, text_chunks
 
 #: Bytes of text of a shard.
 SHARD_BYTES = 12 << 20
-#: Frequent phrases of a length that are sent to every task; more are asked for by join.
+#: Frequent words, and frequent phrases of a length, that are sent to every task; more are asked for by join. A word has 32 bytes on average.
 HELD = 2_000_000
 BREAK, BLANK = 10, 32
 #: A-Z to a-z, marks that end a piece to a line feed, tab to blank.
 _BYTES = bytes(BREAK if chr(b) in ".,;:!?\n\x0b\x0c\r" else BLANK if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-CODED = "shard long, coded binary, lang string, word string, lid int, cnt long"
-_CODED = pa.schema([("shard", pa.int64()), ("coded", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("lid", pa.int32()), ("cnt", pa.int64())])
+#: A row of a shard has its ids and its words in the order of their ids; a row of a word its id there and its count.
+CODED = "shard long, coded binary, spelled binary, lang string, word string, lid int, cnt long"
+_CODED = pa.schema([("shard", pa.int64()), ("coded", pa.binary()), ("spelled", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("lid", pa.int32()), ("cnt", pa.int64())])
 
 
 def _zip(ids: np.ndarray) -> bytes:
@@ -40,6 +41,22 @@ def _unzip(coded: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(coded), "<i4")
 
 
+def _keys(langs, words):
+    """One string for a language and a word, which has no blank in it."""
+    return pc.binary_join_element_wise(langs.cast(pa.large_string()), words.cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
+
+
+def _packed(langs: pa.Array, words: pa.Array) -> bytes:
+    sink, batch = pa.BufferOutputStream(), pa.record_batch([langs, words], names=["lang", "word"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed).read_next_batch()
+
+
 class _Shard:
     """Words of some texts: their bytes end to end, their lengths, and at which a piece begins."""
 
@@ -91,12 +108,12 @@ def _coding(shard_bytes: int):
             nonlocal number, shard
             ids, words, langs, counts = shard.coded()
             none = lambda k, n: pa.nulls(n, _CODED.types[k])
-            yield pa.record_batch([pa.array([number], pa.int64()), pa.array([_zip(ids)], pa.binary()), *(none(k, 1) for k in range(2, 6))], schema=_CODED)
-            spelled = pa.array(list(names), pa.string())
+            langs = pa.array(list(names), pa.string()).take(pa.array(langs))
+            yield pa.record_batch([pa.array([number], pa.int64()), pa.array([_zip(ids)], pa.binary()), pa.array([_packed(langs, words)], pa.binary()), *(none(k, 1) for k in range(3, 7))], schema=_CODED)
             for i in range(0, len(counts), 1 << 16):
                 part = slice(i, min(i + (1 << 16), len(counts)))
                 n = part.stop - part.start
-                yield pa.record_batch([pa.array(np.full(n, number)), none(1, n), spelled.take(pa.array(langs[part])), words[part], pa.array(np.arange(i + 1, part.stop + 1, dtype=np.int32)), pa.array(counts[part])], schema=_CODED)
+                yield pa.record_batch([pa.array(np.full(n, number)), none(1, n), none(2, n), langs[part], words[part], pa.array(np.arange(i + 1, part.stop + 1, dtype=np.int32)), pa.array(counts[part])], schema=_CODED)
             number, shard = number + 1, _Shard()
             names.clear()
 
@@ -205,27 +222,45 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     rows = renamed(docs, text=text_col, lang=lang_col).select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     parts = staged(rows.mapInArrow(released(_coding(shard_bytes)), CODED), "phrase-shards")
-    vocabulary = parts.where("coded IS NULL").drop("coded")
+    vocabulary = parts.where("coded IS NULL").drop("coded", "spelled")
     totals = vocabulary.groupBy("lang").agg(F.sum("cnt").alias("n"))
     frequent = vocabulary.groupBy("lang", "word").agg(F.sum("cnt").alias("f")).where(F.col("f") >= least)
     words = staged(numbered(frequent, "wid", "phrase-words").withColumn("wid", (F.col("wid") + 1).cast("int")), "phrase-words")
 
-    def mapped(left: pa.Table, right: pa.Table) -> pa.Table:
+    def mapped(coded: bytes, lids: np.ndarray, wids: np.ndarray) -> bytes:
         """The shard in ids of frequent words; other words are breaks, and words between breaks go."""
-        out = []
-        for row in left.to_pylist():
-            ids, lids = _unzip(row["coded"]), right.column("lid").to_numpy()
-            table = np.zeros(max(int(ids.max(initial=0)), int(lids.max(initial=0))) + 1, np.int32)
-            table[lids] = right.column("wid").to_numpy()
-            ids = np.concatenate(([0], table[ids], [0]))
-            ids[1:-1][(ids[:-2] == 0) & (ids[2:] == 0)] = 0
-            out.append((row["shard"], _zip(ids[np.concatenate(([True], (ids[1:] > 0) | (ids[:-1] > 0)))])))
+        ids = _unzip(coded)
+        table = np.zeros(max(int(ids.max(initial=0)), int(lids.max(initial=0))) + 1, np.int32)
+        table[lids] = wids
+        ids = np.concatenate(([0], table[ids], [0]))
+        ids[1:-1][(ids[:-2] == 0) & (ids[2:] == 0)] = 0
+        return _zip(ids[np.concatenate(([True], (ids[1:] > 0) | (ids[:-1] > 0)))])
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, wids = known.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard, ids, spelled = (column[row].as_py() for column in batch.columns)
+                own = _unpacked(spelled)
+                at = pc.index_in(_keys(own["lang"], own["word"]), value_set=keys)
+                lids = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([mapped(ids, lids + 1, wids[at.drop_null().to_numpy()])], pa.binary())], names=["shard", "coded"])
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(row["shard"], mapped(row["coded"], right.column("lid").to_numpy(), right.column("wid").to_numpy())) for row in left.to_pylist()]
         return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["shard", "coded"])
 
-    # Neither joined side is small for certain; Spark broadcasts the frequent words only where their staged size allows it.
-    answers = vocabulary.join(words.select("lang", "word", "wid"), ["lang", "word"]).select(F.col("shard").alias("to"), "lid", "wid")
-    coded = parts.where("coded IS NOT NULL").select("shard", "coded")
-    coded = staged(coded.groupBy("shard").cogroup(answers.groupBy("to")).applyInArrow(mapped, "shard long, coded binary"), "phrase-coded")
+    coded = parts.where("coded IS NOT NULL")
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("lang") + F.octet_length("word")).alias("bytes")).first()
+    if size.n <= held and (size.bytes or 0) <= 32 * held:
+        rows = words.select("lang", "word", "wid").toArrow().combine_chunks()
+        known = docs.sparkSession.sparkContext.broadcast((_keys(rows["lang"], rows["word"]).combine_chunks(), rows["wid"].to_numpy()))
+        coded = coded.select("shard", "coded", "spelled").mapInArrow(released(looked_up), "shard long, coded binary")
+    else:
+        # Too many to send to every task: each shard is told which of its own words are frequent, at most a row for each of its words.
+        answers = vocabulary.join(words.select("lang", "word", "wid"), ["lang", "word"]).select(F.col("shard").alias("to"), "lid", "wid")
+        coded = coded.select("shard", "coded").groupBy("shard").cogroup(answers.groupBy("to")).applyInArrow(answered, "shard long, coded binary")
+    coded = staged(coded, "phrase-coded")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -146,6 +146,17 @@ def test_collocations_are_brute_force(spark, prose, shard_bytes, held):
     assert sorted(tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == phrases(prose, 4, 5, 30)
 
 
+def test_shards_look_frequent_words_up_where_these_fit_a_task(spark, prose, monkeypatch):
+    """No row for each word of each shard goes from join to shard; beyond ``held`` words it does."""
+    df, asked, group = spark.createDataFrame([(t, x) for x, t in prose], "text string, lang string"), [], type(spark.range(1).groupBy("id"))
+    cogroup = group.cogroup
+    monkeypatch.setattr(group, "cogroup", lambda *a: asked.append(1) or cogroup(*a))
+    co.collocations(df, least=4, shard_bytes=1 << 12, held=10**6)
+    assert not asked
+    co.collocations(df, least=4, longest=2, shard_bytes=1 << 12, held=2)
+    assert asked
+
+
 def test_collocations_of_nothing(spark):
     df = spark.createDataFrame([(None, None), ("", "en"), (" . ", "en"), ("one", "en")], "text string, lang string")
     assert co.collocations(df, least=1).count() == 0 and co.collocations(df.limit(0)).count() == 0
