@@ -64,16 +64,27 @@ def grouped_folds(rows: DataFrame, group: str, k: int = 10, out: str = "fold", m
 
 
 # ---- regressions ----
+#: Rows of a task of boosted(): about 60 MB as the trees hold them.
+BOOSTED_ROWS = 250_000
+
+
 def boosted(train: DataFrame, features: list[str], label: str, rounds: int = 100, depth: int = 3, step: float = 0.05, subsample: float = 0.8, weight: str | None = None, seed: int = 0):
     """Fitted pipeline: gradient-boosted trees (depth 6 stands for the histogram kind with 63 leaves)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    from .staging import staged
+
+    columns = list(dict.fromkeys([*features, label, *([weight] if weight else [])]))
+    rows = staged(train.select(*columns))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BOOSTED_ROWS))
+    # Each tree reads all rows again: as many rows a task whatever the input's files are, in an order of their own for the draws.
+    rows = rows.repartition(parts).sortWithinPartitions(*columns)
     gbt = GBTRegressor(featuresCol="__x", labelCol=label, predictionCol="prediction", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed)
     if weight:
         gbt = gbt.setWeightCol(weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), gbt]).fit(train)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), gbt]).fit(rows)
 
 
 def ridge(train: DataFrame, features: list[str], label: str, penalties=tuple(10 ** (-3 + 0.25 * i) for i in range(25)), folds: int = 5, weight: str | None = None, seed: int = 0):

@@ -91,3 +91,18 @@ def test_held_out_error_is_no_worse_than_level_by_level(spark, sample):
     leafwise = error(boosting.out_of_fold(df, ["a", "b"], "y", 2, rounds=25, step=0.2, least=5, patience=None))
     level = error(model.out_of_fold(df, lambda t: model.boosted(t, ["a", "b"], "y", rounds=25, depth=6, step=0.2, subsample=1.0), 2))
     assert leafwise <= 1.05 * level
+
+
+def test_boosted_deals_the_rows_of_one_file_out(spark, tmp_path, monkeypatch):
+    """No task reads all rows, in whatever files they lie; the draws, and so the trees, are the same in a second run."""
+    monkeypatch.setattr(model, "BOOSTED_ROWS", 500, raising=False)
+    spark.range(6000).selectExpr("double(id % 97) AS a", "double(id % 11) AS b", "double(id % 97 + 3 * (id % 11)) AS y").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows, seen = spark.read.parquet(str(tmp_path / "rows")), []
+    from pyspark.ml import Pipeline
+
+    fit = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append(df) or fit(self, df))
+    first, second = (model.boosted(rows, ["a", "b"], "y", rounds=3).stages[-1].toDebugString.split("\n")[1:] for _ in range(2))
+    sizes = [len(p) for p in seen[0].rdd.glom().collect()]
+    assert sum(sizes) == 6000 and len(sizes) >= 12 and max(sizes) <= 600
+    assert first == second
