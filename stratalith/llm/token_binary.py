@@ -6,6 +6,7 @@ order is the order of documents), the ids and token counts of the segment's docu
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,11 @@ _WHITE, _LETTER, _MARK = np.zeros((3, 256), dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK[list(b".,;:!?")] = True
+#: Letters of ASCII, Latin-1 and Latin Extended-A, after a blank or none.
+_PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
+#: The characters that stand for a blank and for bytes of such letters in a byte-level vocabulary: visible ones of Latin-1 for themselves, others from U+0100 on in turn.
+_SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<long>, coded binary"
 
 
@@ -52,6 +58,11 @@ class ByteLevelBPE(WordIds):
         # Each character of a token stands for a byte; of an added token the text itself is meant.
         added = self.tokenizer.get_added_tokens_decoder()
         self.marks_apart = not any(re.search(rb"[A-Za-z][.,;:!?]", t.content.encode()) for t in added.values())
+        # Such letters alone are one piece of the pattern: the library's model takes them as they are.
+        how = json.loads(spec)
+        before, model = how.get("pre_tokenizer") or {}, how.get("model") or {}
+        self.plain_whole = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not (how.get("normalizer") or how.get("truncation") or how.get("padding"))
+        self.plain_whole = self.plain_whole and not model.get("dropout") and not any(_PLAIN.search(t.content.encode()) and re.fullmatch(r"[ \w]*", t.content) for t in added.values())
         self.token_bytes = np.array([len(added[i].content.encode() if i in added else self.tokenizer.id_to_token(i) or "") for i in range(self.size_of_vocabulary)])
 
     def begins(self, buf: np.ndarray) -> np.ndarray:
@@ -67,6 +78,18 @@ class ByteLevelBPE(WordIds):
         return after
 
     def tokenised(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((self.plain_whole and _PLAIN.fullmatch(w) is not None for w in words), dtype=bool, count=len(words))
+        if not plain.any():
+            return self.by_pattern(words)
+        model, n = self.tokenizer.model, np.zeros(len(words), dtype=np.int64)
+        found = [[t.id for t in model.tokenize(words[i].decode("latin-1").translate(_SHOWN))] for i in np.flatnonzero(plain).tolist()]
+        n[plain] = [len(ids) for ids in found]
+        rest, n[~plain] = self.by_pattern([words[i] for i in np.flatnonzero(~plain).tolist()])
+        out, of_plain = np.zeros(int(n.sum()), dtype=np.uint32), np.repeat(plain, n)
+        out[of_plain], out[~of_plain] = [i for ids in found for i in ids], rest
+        return out, n
+
+    def by_pattern(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words that begin with white space, so that they are words in any company, go as one text; its ids are dealt out by their bytes."""
         joint = np.fromiter((_WHITE[w[0]] for w in words), dtype=bool, count=len(words))
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))

@@ -16,6 +16,8 @@ from .tokens import span_hashes, text_chunks
 
 #: Longest run of bytes that is taken at a time; longer texts are cut where a word begins.
 RUN = 1 << 22
+#: Slots, one after the other, in which a word may stand.
+PROBES = 8
 
 
 class _Grown:
@@ -49,7 +51,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        # The row of a word by its hash; a later word takes the place of an earlier one. Row 0 is no word.
+        # The row of a word by its hash, in one of PROBES slots; where all are taken, a later word takes the place of an earlier one. Row 0 is no word.
         self.table = np.zeros(1 << max(4, (2 * self.remembered - 1).bit_length()), dtype=np.int32)
         self.ids, self.bytes = _Grown(np.uint32), _Grown(np.uint8)
         # Of each row: its hash, where its ids and bytes begin and how many they are; whether it was met again since the last sweep.
@@ -67,8 +69,22 @@ class WordIds:
         self.forget()
         self._remember(hashes, ids, size, raw, length)
 
-    def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes & np.uint64(len(self.table) - 1)).astype(np.int64)
+    def _slot(self, hashes: np.ndarray, probe: int = 0) -> np.ndarray:
+        return ((hashes + np.uint64(probe)) & np.uint64(len(self.table) - 1)).astype(np.int64)
+
+    def _found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each hash, and whether it is there."""
+        row = self.table.take(self._slot(hashes))
+        known = (self.hash.held.take(row) == hashes) & (row > 0)
+        left = np.flatnonzero(~known & (row > 0))
+        for probe in range(1, PROBES):
+            if not len(left):
+                break
+            there = self.table.take(self._slot(hashes[left], probe))
+            same = (self.hash.held.take(there) == hashes[left]) & (there > 0)
+            row[left[same]], known[left[same]] = there[same], True
+            left = left[~same & (there > 0)]
+        return row, known
 
     def _remember(self, hashes, ids, size, raw, length) -> np.ndarray:
         """Rows of the words."""
@@ -77,7 +93,15 @@ class WordIds:
         self.off.append(self.bytes.n + np.cumsum(length) - length)
         for column, values in ((self.hash, hashes), (self.size, size), (self.length, length), (self.met, np.zeros(len(hashes), dtype=bool)), (self.ids, ids), (self.bytes, raw)):
             column.append(values)
-        self.table[self._slot(hashes)] = rows
+        left = np.arange(len(hashes))
+        for probe in range(PROBES):
+            slots = self._slot(hashes[left], probe)
+            free = self.table[slots] == 0
+            self.table[slots[free]] = rows[left[free]]
+            left = left[self.table[slots] != rows[left]]
+            if not len(left):
+                break
+        self.table[self._slot(hashes[left])] = rows[left]
         return rows
 
     def prepared(self, text: bytes) -> bytes:
@@ -110,8 +134,7 @@ class WordIds:
         if self.hash.n > self.remembered or self.bytes.n > 32 * self.remembered:
             self.sweep()
         hashes = self.hashes_of(buf, starts, starts + lengths)
-        row = self.table.take(self._slot(hashes))
-        known = (self.hash.held.take(row) == hashes) & (row > 0)
+        row, known = self._found(hashes)
         self.met.held[row[known]] = True
         unknown = np.flatnonzero(~known)
         if len(unknown):

@@ -398,6 +398,25 @@ def test_words_that_share_a_hash_keep_their_ids():
             assert bytes(ids.astype(np.uint8)) == b"".join(texts) and n.tolist() == list(map(len, texts))
 
 
+def test_words_met_are_not_tokenised_again_and_letters_go_to_the_model_alone():
+    """A word keeps its slot beside those that would have the same one; what the model gives for letters is what the library gives."""
+    bpe = token_binary.ByteLevelBPE(open(token_binary.default_tokenizer()).read())
+    bpe.remembered = 3000
+    bpe.forget()
+    r, asked, tokenised, by_pattern = random.Random(3), [], bpe.tokenised, []
+    letters = "abcdefzABZéßñÀÖØöøÿĀſŁœ"
+    words = list(dict.fromkeys(r.choice([" ", " ", ""]) + "".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(2000)))
+    text = "\n".join(words) + " it's × ÷ ª µ a×b 12ab <|endoftext|>x \u00a0é"
+    bpe.tokenised = lambda w: asked.append(len(w)) or tokenised(w)
+    first, again = bpe.encode([text.encode()])[0], bpe.encode([text.encode()])[0]
+    assert len(asked) == 1 and first.tolist() == again.tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids
+    pattern = bpe.by_pattern
+    bpe.by_pattern = lambda w: by_pattern.extend(w) or pattern(w)
+    flat, n = tokenised([w.encode() for w in words])
+    assert not by_pattern and n.sum() == len(flat)
+    assert flat.tolist() == [i for w in words for i in bpe.tokenizer.encode(w, add_special_tokens=False).ids]
+
+
 def test_long_texts_are_cut_where_words_begin():
     bpe = token_binary._of(open(token_binary.default_tokenizer()).read())
     r = random.Random(12)
