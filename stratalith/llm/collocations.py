@@ -4,6 +4,8 @@ Documents are coded shard by shard as word ids; counts of words are merged over
 phrase become breaks. A shard sorts its suffixes by numpy prefix doubling; runs of neighbours that share their first m words
 (LCP intervals) are the m-grams with their counts, and counts are merged by key over all shards. Lengths are merged
 one after the other; a shard goes on only where all phrases a word shorter are frequent, as longer phrases are no more frequent than theirs.
+Of pairs and of phrases of three words the shards first count hashes: a phrase whose hash is rare in all shards together is
+rare itself and goes nowhere (exact: all others are counted by their words).
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import numbered, renamed, staged
-from .tokens import released, text_chunks
+from .tokens import U64, mixed, released, text_chunks
 
 #: Bytes of text of a shard.
 SHARD_BYTES = 12 << 20
 #: Frequent words, and frequent phrases of a length, that are sent to every task; more are asked for by join. A word has 32 bytes on average.
 HELD = 2_000_000
+#: Counters of hashed phrases: one for so many words, by their power of two at least and at most, in so many pieces.
+PER_COUNTER, FEWEST_BITS, MOST_BITS, PIECES = 8, 16, 29, 256
 BREAK, BLANK = 10, 32
 #: A-Z to a-z, marks that end a piece to a line feed, tab to blank.
 _BYTES = bytes(BREAK if chr(b) in ".,;:!?\n\x0b\x0c\r" else BLANK if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -200,13 +204,68 @@ def runs_left(ids: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         key[: max(n - j, 0)] = np.where((head[: max(n - j, 0)] > 0) & (ids[j:] > 0), head[: max(n - j, 0)] << 32 | ids[j:], 0)
         at = np.minimum(np.searchsorted(table, key), max(len(table) - 1, 0))
         head = np.where(table[at] == key, at + 1, 0) if len(table) else np.zeros(n, np.int64)
-    if not n:
-        return head
-    at = np.arange(n)
-    ends = np.where(head > 0, at + links_left(np.append((head[:-1] > 0) & (head[1:] > 0), False)) + m - 1, 0)
+    return _runs_of(head > 0, m)
+
+
+def _runs_of(starts: np.ndarray, m: int) -> np.ndarray:
+    """Words to the end of the run, of phrases of m words that begin at each of the marked positions; 0 outside of such runs."""
+    at = np.arange(len(starts))
+    if not len(at):
+        return at
+    ends = np.where(starts, at + links_left(np.append(starts[:-1] & starts[1:], False)) + m - 1, 0)
     return np.maximum(np.maximum.accumulate(ends) - at, 0)
 
 
+def _may_be(ids: np.ndarray, m: int, tables: list[np.ndarray]) -> np.ndarray:
+    """Words to the end of the run, in which a phrase of m words is one of words that stand together, or of frequent phrases a word shorter."""
+    if tables:
+        return runs_left(ids, tables)
+    return np.where(ids > 0, links_left(np.append((ids[:-1] > 0) & (ids[1:] > 0), False)[: len(ids)]), 0)
+
+
+def _hashed(ids: np.ndarray, at: np.ndarray, m: int, bits: int) -> np.ndarray:
+    """Counter of the phrase of m words at each of the positions."""
+    h = ids[at].astype(U64)
+    for d in range(1, m):
+        h = mixed((h << U64(32)) + (h >> U64(32)) + ids[at + d].astype(U64))
+    return (h >> U64(64 - bits)).astype(np.uint32)
+
+
+def sifted(ids: np.ndarray, left: np.ndarray, m: int, full: np.ndarray) -> np.ndarray:
+    """``left`` with only such phrases of m words as have a full counter (a bit each)."""
+    at = np.flatnonzero(left >= m)
+    place = _hashed(ids, at, m, (8 * len(full) - 1).bit_length())
+    starts = np.zeros(len(ids), bool)
+    starts[at] = full.take(place >> np.uint32(3)) << (place & np.uint32(7)).astype(np.uint8) & 0x80 > 0
+    return _runs_of(starts, m)
+
+
+def _full_counters(coded: DataFrame, m: int, sent, bits: int, least: int) -> np.ndarray:
+    """A bit for each of 2 ** bits counters: whether the phrases of m words that share it stand ``least`` times in all shards. A frequent phrase always has a full one."""
+    each = 1 << bits - (PIECES.bit_length() - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = _unzip(row["coded"])
+                place = np.sort(_hashed(ids, np.flatnonzero(_may_be(ids, m, sent.value) >= m), m, bits))
+                heads = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+                place, times = place[heads], np.minimum(np.diff(np.append(heads, len(place))), least)
+                cuts = np.searchsorted(place, np.arange(PIECES + 1, dtype=np.int64) * each).tolist()
+                found = [(k, _zip(np.diff(place[i:j] % each, prepend=0)), _zip(times[i:j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [()] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["piece", "gaps", "times"])
+
+    def full(table: pa.Table) -> pa.Table:
+        total = np.zeros(each, np.int64)
+        for gaps, times in zip(table.column("gaps").to_pylist(), table.column("times").to_pylist(), strict=True):
+            total[np.cumsum(_unzip(gaps))] += _unzip(times)
+        return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "full": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+
+    pieces = coded.select("coded").mapInArrow(released(count), "piece int, gaps binary, times binary").groupBy("piece").applyInArrow(full, "piece int, full binary")
+    known, empty = {r.piece: r.full for r in pieces.collect()}, bytes(each // 8)
+    return np.frombuffer(b"".join(known.get(k, empty) for k in range(PIECES)), np.uint8)
+
+
 def _pairs_of(ids: np.ndarray) -> np.ndarray:
     return ids[:-1].astype(np.int64) << 32 | ids[1:]
 
@@ -251,7 +310,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["shard", "coded"])
 
     coded = parts.where("coded IS NOT NULL")
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("lang") + F.octet_length("word")).alias("bytes")).first()
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("lang") + F.octet_length("word")).alias("bytes"), F.sum("f").alias("stand")).first()
     if size.n <= held and (size.bytes or 0) <= 32 * held:
         rows = words.select("lang", "word", "wid").toArrow().combine_chunks()
         known = docs.sparkSession.sparkContext.broadcast((_keys(rows["lang"], rows["word"]).combine_chunks(), rows["wid"].to_numpy()))
@@ -262,12 +321,28 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         coded = coded.select("shard", "coded").groupBy("shard").cogroup(answers.groupBy("to")).applyInArrow(answered, "shard long, coded binary")
     coded = staged(coded, "phrase-coded")
 
+    spark = docs.sparkSession
+    bits = min(max((size.stand or 0) // PER_COUNTER, 1).bit_length(), MOST_BITS)
+    bits = max(bits, FEWEST_BITS)
+    # Where even counters of rare phrases alone would be full, phrases are merged by key as they are.
+    telling = (size.stand or 0) <= least << bits - 2
+
+    def sieve(m: int, sent):
+        return spark.sparkContext.broadcast(_full_counters(coded, m, sent, bits, least) if telling else None)
+
+    def left_of(ids: np.ndarray, m: int, sent, full) -> np.ndarray:
+        left = _may_be(ids, m, sent.value)
+        return left if full is None or full.value is None else sifted(ids, left, m, full.value)
+
+    none = spark.sparkContext.broadcast([])
+    full_pairs = sieve(2, none)
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = _unzip(row["coded"])
-                linked = np.append((ids[:-1] > 0) & (ids[1:] > 0), False)[: len(ids)]
-                for w1, w2, cnt in _gram_rows(ids, np.where(ids > 0, links_left(linked), 0), [2], 2):
+                left = left_of(ids, 2, none, full_pairs)
+                for w1, w2, cnt in _gram_rows(ids[left > 0], left[left > 0], [2], 2):
                     yield pa.record_batch([pa.array(np.full(len(w1), row["shard"])), w1, w2, cnt], names=["shard", "w1", "w2", "cnt"])
 
     local = coded.mapInArrow(released(pairs), "shard long, w1 int, w2 int, cnt long")
@@ -291,7 +366,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     grams = two.select(F.array("w1", "w2").alias("g"), "f")
     if longest == 2:
         return _scored(grams, words, totals, top)
-    spark, schema = docs.sparkSession, ", ".join(f"{w} int" for w in names) + ", cnt long"
+    schema = ", ".join(f"{w} int" for w in names) + ", cnt long"
     spelled = F.filter(F.array(*names), lambda w: w > 0).alias("g")
     found, tables = two, []
     for m in range(3, longest + 1):
@@ -305,11 +380,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         tables.append(_key_order([rows.column(k).to_numpy() for k in range(m - 1)], tables))
         sent = spark.sparkContext.broadcast(list(tables))  # 8 bytes for each of at most ``held`` phrases a length
 
-        def level(batches: Iterator[pa.RecordBatch], m=m, sent=sent) -> Iterator[pa.RecordBatch]:
+        # Longer phrases are few where those of three words are.
+        full = sieve(m, sent) if m == 3 else None
+
+        def level(batches: Iterator[pa.RecordBatch], m=m, sent=sent, full=full) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     ids = _unzip(row["coded"])
-                    left = runs_left(ids, sent.value)
+                    left = left_of(ids, m, sent, full)
                     for columns in _gram_rows(ids[left > 0].astype(np.int64), left[left > 0], [m], longest):
                         yield pa.record_batch(columns, names=[*names, "cnt"])
 
