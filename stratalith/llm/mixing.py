@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -108,11 +107,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # The schedule.
     bounds = np.cumsum(counts) / max(1, n_slots)
 
-    @F.pandas_udf("int")
-    def source_at(point: pd.Series) -> pd.Series:
-        return pd.Series(np.minimum(np.searchsorted(bounds, point, "right"), len(bounds) - 1).astype("int32"))
+    def sources_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src = np.minimum(np.searchsorted(bounds, batch.column("point").to_numpy(), "right"), len(bounds) - 1)
+            yield pa.record_batch({"slot": batch.column("slot"), "src": src.astype(np.int32)})
 
-    points = spark.range(n_slots).select(F.col("id").alias("slot"), source_at(F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0))).alias("src")).withColumn("chunk", F.floor(F.col("slot") / RANK_CHUNK))
+    # By mapInArrow as all else here: another kind of function has workers of its own, beside those that are kept.
+    points = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
+    points = points.mapInArrow(released(sources_at), "slot long, src int").withColumn("chunk", F.floor(F.col("slot") / RANK_CHUNK))
     chunks = points.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n"))
     chunks = chunks.select("src", "chunk", (F.sum("n").over(Window.partitionBy("src").orderBy("chunk")) - F.col("n")).alias("before"))
     ranked = points.withColumn("rank", F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1).join(chunks, ["src", "chunk"]).select("src", (F.col("rank") + F.col("before")).cast("long").alias("block"), "slot")

@@ -14,14 +14,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/stratalith/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a reliable cut of the lineage."""
+def staged(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a reliable cut of the lineage. In at most ``files`` files, where that is given."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(spark: SparkSession, n: int, each: int) -> int:
+    """Files for ``n`` rows, ``each`` of them in a file, but not fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-n // each))
+
+
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Keep only the named columns, under private names, so that no other column can clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -13,3 +13,35 @@ def test_sums_of_products_go_with_tasks_and_by_half(spark):
     rows = spark.range(500).repartition(100)
     few = quality_classifier.few_tasks(rows)  # each partition had sums of its own
     assert few.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and few.count() == 500
+
+
+def test_near_dedup_writes_few_files_where_there_are_many_partitions(spark):
+    """Each step wrote a file for each shuffle partition that had a row."""
+    from pathlib import Path
+
+    from stratalith.llm.near_dedup import near_duplicates
+    from stratalith.operators.staging import shared_folder
+
+    words = np.random.default_rng(5).choice([f"w{k}" for k in range(300)], size=(120, 30))
+    words[60:90, 1:] = words[:30, 1:]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words.tolist())], "doc_id long, text string").repartition(40)
+    there = Path(f"{shared_folder(spark).removeprefix('file:').replace('//', '/')}/stratalith")
+    before, conf = set(there.iterdir()) if there.exists() else set(), {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert near_duplicates(docs).where("NOT kept").count() == 30
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    files = [len(list(d.glob("part-*"))) for d in set(there.iterdir()) - before]
+    assert len(files) > 8 and max(files) <= spark.sparkContext.defaultParallelism
+
+
+def test_mixing_runs_its_python_in_one_kind_of_worker(spark):
+    from stratalith.llm.mixing import mix
+
+    docs = spark.createDataFrame([(k, "a b c " * k, "xyz"[k % 3]) for k in range(50)], "doc_id long, text string, source string")
+    plan = mix(docs).pieces._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
