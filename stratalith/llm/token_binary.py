@@ -6,6 +6,7 @@ order is the order of documents), the ids and token counts of the segment's docu
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -26,12 +27,26 @@ END_ID = 2
 _WHITE, _LETTER, _MARK = np.zeros((3, 256), dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_MARK[list(b".,;:!?")] = True
+_MARKS = b".,;:!?#*$%&"
+_MARK[list(_MARKS)] = True
 #: Letters of ASCII, Latin-1 and Latin Extended-A, after a blank or none.
 _PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
-#: The characters that stand for a blank and for bytes of such letters in a byte-level vocabulary: visible ones of Latin-1 for themselves, others from U+0100 on in turn.
-_SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
-_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+#: The characters that stand for bytes in a byte-level vocabulary: visible ones of Latin-1 for themselves, others from U+0100 on in turn.
+_SHOWN = np.arange(256, dtype="<u4")
+_hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+_SHOWN[_hidden] = np.arange(256, 256 + len(_hidden))
+
+
+def _plain(buf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of the words, whose bytes stand end to end in ``buf``, _PLAIN matches from end to end."""
+    starts, after = np.cumsum(lengths) - lengths, np.append(buf[1:], np.uint8(0))
+    lead = (buf == 0xC4) | (buf == 0xC5) | (buf == 0xC3) & (after != 0x97) & (after != 0xB7)
+    good = _LETTER.take(buf) | lead
+    good[1:] |= lead[:-1]
+    good[starts[(buf[starts] == 0x20) & (lengths > 1)]] = True
+    return np.logical_and.reduceat(good, starts) if len(starts) else np.zeros(0, dtype=bool)
+
+
 SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<long>, coded binary"
 
 
@@ -57,7 +72,7 @@ class ByteLevelBPE(WordIds):
         self.size_of_vocabulary = self.tokenizer.get_vocab_size()
         # Each character of a token stands for a byte; of an added token the text itself is meant.
         added = self.tokenizer.get_added_tokens_decoder()
-        self.marks_apart = not any(re.search(rb"[A-Za-z][.,;:!?]", t.content.encode()) for t in added.values())
+        self.marks_apart = not any(re.search(rb"[A-Za-z][" + _MARKS + rb"]", t.content.encode()) for t in added.values())
         # Such letters alone are one piece of the pattern: the library's model takes them as they are.
         how = json.loads(spec)
         before, model = how.get("pre_tokenizer") or {}, how.get("model") or {}
@@ -78,15 +93,18 @@ class ByteLevelBPE(WordIds):
         return after
 
     def tokenised(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.fromiter((self.plain_whole and _PLAIN.fullmatch(w) is not None for w in words), dtype=bool, count=len(words))
+        lengths, raw = np.fromiter(map(len, words), dtype=np.int64, count=len(words)), b"".join(words)
+        plain = _plain(np.frombuffer(raw, dtype=np.uint8), lengths) if self.plain_whole else np.zeros(len(words), dtype=bool)
         if not plain.any():
             return self.by_pattern(words)
-        model, n = self.tokenizer.model, np.zeros(len(words), dtype=np.int64)
-        found = [[t.id for t in model.tokenize(words[i].decode("latin-1").translate(_SHOWN))] for i in np.flatnonzero(plain).tolist()]
+        tokenize, n = self.tokenizer.model.tokenize, np.zeros(len(words), dtype=np.int64)
+        # No plain word holds a line feed, which is shown as another character.
+        shown = _SHOWN.take(np.frombuffer(b"\n".join(itertools.compress(words, plain.tolist())), dtype=np.uint8)).tobytes().decode("utf-32-le")
+        found = [[t.id for t in tokenize(w)] for w in shown.split(chr(_SHOWN[0x0A]))]
         n[plain] = [len(ids) for ids in found]
         rest, n[~plain] = self.by_pattern([words[i] for i in np.flatnonzero(~plain).tolist()])
         out, of_plain = np.zeros(int(n.sum()), dtype=np.uint32), np.repeat(plain, n)
-        out[of_plain], out[~of_plain] = [i for ids in found for i in ids], rest
+        out[of_plain], out[~of_plain] = list(itertools.chain.from_iterable(found)), rest
         return out, n
 
     def by_pattern(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -45,3 +45,20 @@ def test_mixing_runs_its_python_in_one_kind_of_worker(spark):
     docs = spark.createDataFrame([(k, "a b c " * k, "xyz"[k % 3]) for k in range(50)], "doc_id long, text string, source string")
     plan = mix(docs).pieces._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
+def test_words_are_known_by_their_ends(spark):
+    """Hashes and comparisons went over each byte of a text; and a word before a sign such as % was not met again without it."""
+    from stratalith.llm import token_binary
+    from stratalith.llm.word_ids import end_bytes
+
+    words = [b"a", b"ab", b"abcdefgh", b"abcdefghi", b"abcdefghijklmnop", b"abcdefghijklmnopq", b"abcdefghXijklmnop"]
+    n = np.array(list(map(len, words)))
+    first, last = end_bytes(np.frombuffer(b"".join(words), np.uint8), np.cumsum(n) - n, n)
+    assert first.tolist() == [int.from_bytes(w[:8], "little") for w in words] and last.tolist() == [int.from_bytes(w[-8:], "little") for w in words]
+    bpe = token_binary.ByteLevelBPE(open(token_binary.default_tokenizer()).read())
+    text = "nding nding%%% nding, abcdefghijklmnopq abcdefghXijklmnop a$b it's* <|endoftext|> é&&& ééééééééé éééééééééé\n#tag 5% x"
+    assert bpe.encode([text.encode()])[0].tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids
+    known = bpe.hash.n
+    bpe.encode([b" nding$$$ nding&&"])
+    assert bpe.hash.n == known + 2  # the signs
