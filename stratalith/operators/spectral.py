@@ -4,201 +4,305 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import both_ways
 from .staging import staged
 
 _PARTS = ("x", "r", "p", "ax", "ar", "ap")
-#: Nodes of a block, edges of a row of a cell, blocks whose sums a task holds at once.
-_NODES, _EDGES, _OPEN = 4096, 1 << 17, 64
+#: Nodes of a block (at most _MOST, also in sparse graphs), edges of a row of a cell, blocks whose sums a task holds at once.
+_NODES, _MOST, _EDGES, _OPEN = 4096, 1 << 17, 1 << 17, 64
 
 
-def _list(m: np.ndarray) -> pa.Array:
-    """One row that holds all of ``m``."""
-    return pa.ListArray.from_arrays(np.array([0, m.size], dtype=np.int32), pa.array(np.ascontiguousarray(m).reshape(-1)))
+def _bytes(of: list[np.ndarray]) -> pa.Array:
+    """One row for each array, as bytes: these go between Spark and Python without a look at each number."""
+    return pa.array([np.ascontiguousarray(m).tobytes() for m in of], pa.binary())
 
 
-def _sums(of: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(of), pa.int32()), pa.concat_arrays([_list(m) for m in of.values()])], names=["at", "part"])
+def _floats(value: pa.Scalar, b: int) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.float64).reshape(-1, b)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges in the order of their blocks (at, to) and i as a row per cell, or several of at most about _EDGES edges."""
+def _packed(count: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b, w and their blocks g, h) as tables in bytes, one for each cell of some edges; a is of the lesser block."""
 
     def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        at, to, i, j, w = (table[c].to_numpy() for c in ("at", "to", "i", "j", "w"))
-        begin = np.flatnonzero(np.r_[True, (np.diff(at) != 0) | (np.diff(to) != 0)])
-        ends = np.r_[begin, len(at)].astype(np.int32)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v, kind)) for v, kind in ((i, pa.int32()), (j, pa.int32()), (w, pa.float64()))]
-        return pa.record_batch([pa.array(at[begin], pa.int32()), pa.array(to[begin], pa.int32()), *lists], names=["at", "to", "i", "j", "w"])
+        table = pa.Table.from_batches(held).combine_chunks()
+        g, h = (table[c].to_numpy().astype(np.int64) for c in "gh")
+        cell, turned = np.minimum(g, h) * count + np.maximum(g, h), pa.array(g > h)
+        order = np.argsort(cell, kind="stable")
+        a, b = (table[c].chunk(0) for c in "ab")
+        edges = pa.record_batch([pc.if_else(turned, b, a), pc.if_else(turned, a, b), table["w"].chunk(0)], names=["a", "b", "w"]).take(pa.array(order))
+        cell = cell[order]
+        begin = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
+        blobs = []
+        for lo, hi in zip(begin, np.r_[begin[1:], len(cell)], strict=True):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, edges.schema) as stream:
+                stream.write_batch(edges.slice(lo, hi - lo))
+            blobs.append(out.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(cell[begin]), pa.array(blobs, pa.binary())], names=["cell", "edges"])
 
     held, n = [], 0
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n >= _EDGES:
+        if n >= 8 * _EDGES:
             yield rows(held)
             held, n = [], 0
     if n:
         yield rows(held)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """at, t, r of each block of rows that come in the order of blocks."""
-    now, ts, rs = None, [], []
+def _cells(count: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places (i, j) of edges in their blocks' lists of nodes, and weights; repeated pairs add up as far as they come together."""
+
+    def rows(cell: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        i, j, w = (np.concatenate(v) for v in zip(*held, strict=True))
+        if cell // count == cell % count:  # a block with itself: the order of a and b is open
+            i, j = np.minimum(i, j), np.maximum(i, j)
+        key = i.astype(np.int64) << 32 | j
+        order = np.argsort(key)
+        key = key[order]
+        begin = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+        i, j, w = (key[begin] >> 32).astype(np.int32), key[begin].astype(np.int32), np.add.reduceat(w[order], begin)
+        for k in range(0, len(i), _EDGES):
+            yield pa.record_batch([pa.array([cell]), *[_bytes([v[k : k + _EDGES]]) for v in (i, j, w)]], names=["cell", "i", "j", "w"])
+
+    now, held, n = None, [], 0
+    for batch in batches:
+        columns = [batch.column(c) for c in ("edges", "first", "second")]
+        for cell, edges, first, second in zip(batch.column("cell").to_pylist(), *columns, strict=True):
+            if held and (cell != now or n >= 16 * _EDGES):
+                yield from rows(now, held)
+                held, n = [], 0
+            now = cell
+            edges = pa.ipc.open_stream(edges.as_buffer()).read_all().combine_chunks()
+            held.append((*[pc.index_in(edges[e].chunk(0), value_set=of.values.cast(edges[e].type)).to_numpy() for e, of in (("a", first), ("b", second))], edges["w"].to_numpy()))
+            n += len(held[-1][0])
+    if held:
+        yield from rows(now, held)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of nodes (at, node, d), in the order of blocks, as a row per block."""
+    held: list[pa.RecordBatch] = []
+
+    def row() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ends = pa.array([0, table.num_rows], pa.int32())
+        return pa.record_batch([table["at"].chunk(0)[:1], *[pa.ListArray.from_arrays(ends, table[c].chunk(0)) for c in ("node", "d")]], names=["at", "nodes", "d"])
+
     for batch in batches:
-        at, t, r = batch.column("at").to_numpy(), batch.column("t").to_numpy(), batch.column("r").flatten().to_numpy().reshape(batch.num_rows, -1)
+        at = batch.column("at").to_numpy()
         begin = np.flatnonzero(np.diff(at, prepend=-1))
         for lo, hi in zip(begin, np.r_[begin[1:], len(at)], strict=True):
-            if now is not None and at[lo] != now:
-                yield now, np.concatenate(ts), np.concatenate(rs)
-                ts, rs = [], []
-            now = int(at[lo])
-            ts.append(t[lo:hi])
-            rs.append(r[lo:hi])
-    if now is not None:
-        yield now, np.concatenate(ts), np.concatenate(rs)
-
-
-def _states(batches: Iterator[pa.RecordBatch], b: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """at, t and the parts of each block, a row a node."""
-    for batch in batches:
-        for k, at in enumerate(batch.column("at").to_pylist()):
-            yield at, batch.column("t")[k].values.to_numpy(), [batch.column(c)[k].values.to_numpy().reshape(-1, b) for c in _PARTS]
+            if held and held[0].column("at")[0].as_py() != at[lo]:
+                yield row()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield row()
 
 
-def _products(state: DataFrame, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _totals(state: DataFrame, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """S'S, S'AS and t'S of S = [x r p], summed from each task's own; t is the trivial eigenvector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((6 * b + 1, 3 * b))
-        for _, t, parts in _states(batches, b):
-            s, a = np.hstack(parts[:3]), np.hstack(parts[3:])
-            total[: 3 * b] += s.T @ s
-            total[3 * b : 6 * b] += s.T @ a
-            total[6 * b] += t @ s
-        yield pa.record_batch([_list(total)], names=["total"])
-
-    sums = np.zeros((6 * b + 1) * 3 * b)
-    for row in state.select("at", "t", *_PARTS).mapInArrow(run, "total array<double>").toLocalIterator():  # a row per task
-        sums += np.array(row.total)
-    sums = sums.reshape(6 * b + 1, 3 * b)
+    sums = np.zeros((6 * b + 1, 3 * b))
+    for row in state.where("at < 0").select("t").collect():  # a row per task
+        sums += np.frombuffer(row.t).reshape(6 * b + 1, 3 * b)
     return sums[: 3 * b], sums[3 * b : 6 * b], sums[6 * b]
 
 
-def _best(gram: np.ndarray, inner: np.ndarray, trivial: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients in S of the b leading Ritz vectors across the trivial one, and their values. Directions that rounding has made dependent go."""
+def _best(gram: np.ndarray, inner: np.ndarray, trivial: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients in S of the b leading Ritz vectors across the trivial one, their values, and coefficients of the step to them.
+
+    The basis holds all of x, then what p, then what r add across it: each is scaled first, and what rounding has made dependent
+    goes, so that nothing of x is lost where r is small. Steps are orthogonal to the new vectors and of length 1.
+    """
     gram, inner = gram - np.outer(trivial, trivial), (inner + inner.T) / 2 - np.outer(trivial, trivial)
     size = np.sqrt(np.maximum(np.diag(gram), 0))
     size = np.where(size > 1e-150, 1 / np.maximum(size, 1e-150), 0.0)
-    values, vectors = np.linalg.eigh(gram * np.outer(size, size))
-    keep = values > 1e-10 * max(values[-1], 1e-300)
-    basis = size[:, None] * vectors[:, keep] / np.sqrt(values[keep])
+    basis, old = np.zeros((3 * b, 0)), 0
+    for k in (0, 2, 1):
+        more = np.diag(size)[:, k * b : (k + 1) * b]
+        for _ in range(2):
+            more = more - basis @ (basis.T @ gram @ more)
+        values, vectors = np.linalg.eigh(more.T @ gram @ more)
+        keep = values > 1e-8
+        basis = np.hstack([basis, more @ vectors[:, keep] / np.sqrt(values[keep])])
+        old = old or basis.shape[1] if k == 0 else old
     values, vectors = np.linalg.eigh(basis.T @ inner @ basis)
-    out, found = np.zeros((len(gram), b)), np.full(b, -1.0)
     n = min(b, len(values))
-    out[:, :n], found[:n] = (basis @ vectors[:, ::-1])[:, :n], values[::-1][:n]
-    return out, found
+    best = vectors[:, ::-1][:, :n]
+    step = best.copy()
+    step[:old] = 0
+    for _ in range(2):
+        step = step - best @ (best.T @ step)
+        step = step / np.maximum(np.linalg.norm(step, axis=0), 1e-14)
+    left, sizes, _ = np.linalg.svd(step, full_matrices=False)
+    step = left[:, sizes > 1e-4]
+    out, late, found = np.zeros((3 * b, b)), np.zeros((3 * b, b)), np.full(b, -1.0)
+    out[:, :n], late[:, : step.shape[1]], found[:n] = basis @ best, basis @ step, values[::-1][:n]
+    return out, found, late
 
 
 def fiedler(pairs: DataFrame, weight: str = "affinity", block: int = 8, tolerance: float = 1e-8, rounds: int = 300) -> DataFrame:
     """node, fiedler: second eigenvector of the normalised Laplacian I - D^(-1/2) W D^(-1/2), times D^(-1/2), for any number of nodes.
 
     LOBPCG: a block of vectors, their residuals and last steps, of which the best combinations are taken in each round. Nodes lie
-    in blocks, edges in cells of two blocks, written once. A round is one join of the cells with the blocks of residuals, one sum
-    by block, two writes, and sums of products that come from each task as one small matrix. The trivial vector is taken out exactly. It ends where the residual of the second eigenpair is below
+    in blocks, edges in cells of two blocks, each edge once, dealt out by cell once and kept so on the executors. A round sends each
+    block's residuals to its cells, sums their products by block and writes blocks; sums of products come from each task as one
+    small matrix. The trivial vector is taken out exactly. It ends where the residual of the second eigenpair is below
     ``tolerance``. ``pairs``: a, b and a weight; repeated pairs add up, weights that are null or not positive and pairs of a
     node with itself go. Signed so that the least node is not positive. Of a graph in several parts it tells two sides apart.
     """
-    from .graph import nodes
-
-    rows = pairs.select("a", "b", F.col(weight).cast("double").alias("w")).where("w > 0 AND a <> b")
-    once = staged(rows.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
-    degree = staged(both_ways(once, "w").groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d")))
+    rows = staged(pairs.select("a", "b", F.col(weight).cast("double").alias("w")).where("w > 0 AND a <> b"))
+    degree = staged(both_ways(rows, "w").groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d")))
     whole, n = degree.agg(F.sum("d"), F.count(F.lit(1))).first()
     if not n:
-        return nodes(rows).select("node", F.lit(None).cast("double").alias("fiedler")).limit(0)
+        return degree.select("node", F.lit(None).cast("double").alias("fiedler"))
+    cores, edges, node = rows.sparkSession.sparkContext.defaultParallelism, rows.count(), degree.schema["node"].dataType.simpleString()
     # Blocks of about _NODES nodes, larger ones in sparse graphs, so that a cell of two blocks has edges enough.
-    count = min(-(-n // _NODES), max(1, math.isqrt(once.count() >> 11)))
-    place = degree.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(count)).cast("int"))
-    place = staged(place.withColumn("i", F.row_number().over(Window.partitionBy("at").orderBy("node")) - 1))
-    width = place.agg(F.max("i")).first()[0] + 1
-    a, b = (place.select(F.col("node").alias(e), F.col("at").alias(f"{e}_at"), F.col("i").alias(f"{e}_i"), F.sqrt("d").alias(f"{e}_s")) for e in "ab")
-    named = once.join(a, "a").join(b, "b").withColumn("w", F.col("w") / (F.col("a_s") * F.col("b_s")))
-    ends = ("at", "i", "to", "j")
-    each = named.select(*[F.col(c).alias(e) for c, e in zip(("a_at", "a_i", "b_at", "b_i"), ends, strict=True)], "w").union(named.select("b_at", "b_i", "a_at", "a_i", "w"))
-    cells = staged(each.repartition("at", "to").sortWithinPartitions("at", "to", "i").mapInArrow(_cells, "at int, to int, i array<int>, j array<int>, w array<double>"))
+    count = max(min(-(-n // _NODES), max(1, math.isqrt(edges // _EDGES))), -(-n // _MOST))
+    parts = min(count * (count + 1) // 2, max(2 * cores, edges >> 20))
+
+    def at(of: str) -> F.Column:
+        return F.pmod(F.xxhash64(of), F.lit(count)).cast("int")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "cell").sortWithinPartitions("cell")
+
+    def met(cells: DataFrame, of: DataFrame, what: str) -> DataFrame:
+        """Cells with ``what`` of their first and second block, which is sent to them; the cells stay where they are."""
+        ends = F.array_union(*[F.expr(f"transform(sequence({lo}, {hi}), k -> struct({cell} AS cell, {first} AS first))") for lo, hi, cell, first in (("at", count - 1, f"at * {count}L + k", "true"), (0, "at", f"k * {count}L + at", "false"))])
+        sent = dealt(of.select(what, F.explode(ends).alias("e")).select("e.cell", "e.first", what))
+        both = sent.groupBy("cell").agg(*[F.first(F.when(F.col("first") == side, F.col(what)), True).alias(name) for name, side in (("first", True), ("second", False))])
+        return cells.hint("merge").join(both, "cell")
+
+    blocks = staged(degree.withColumn("at", at("node")).repartition("at").sortWithinPartitions("at", "node").mapInArrow(_blocks, f"at int, nodes array<{node}>, d array<double>"))
+    each = rows.select(*[F.col(e).cast(node).alias(e) for e in "ab"], "w").select("a", "b", "w", at("a").alias("g"), at("b").alias("h"))
+    packed = dealt(each.mapInArrow(partial(_packed, count), "cell long, edges binary"))
+    cells = staged(met(packed, blocks, "nodes").select("cell", "edges", "first", "second").mapInArrow(partial(_cells, count), "cell long, i binary, j binary, w binary"))
+    cells = dealt(cells).persist(StorageLevel.DISK_ONLY)
 
     def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each cell times its block of r, summed by block as long as few blocks are open."""
+        """Each cell times its blocks of r, summed by block as long as few blocks are open."""
         sums: dict[int, np.ndarray] = {}
+
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(sums), pa.int32()), _bytes([m.T for m in sums.values()])], names=["at", "part"])
+
         for batch in batches:
-            for at, i, j, w, r in zip(batch.column("at").to_pylist(), *(batch.column(c) for c in ("i", "j", "w", "r")), strict=True):
-                i, j, w, r = (v.values.to_numpy() for v in (i, j, w, r))
-                begin = np.flatnonzero(np.diff(i, prepend=-1))
-                if at not in sums and len(sums) >= _OPEN:
-                    yield _sums(sums)
+            columns = [batch.column(c) for c in ("i", "j", "w", "first", "second")]
+            for cell, i, j, w, first, second in zip(batch.column("cell").to_pylist(), *columns, strict=True):
+                i, j = (np.frombuffer(v.as_buffer(), np.int32).astype(np.intp) for v in (i, j))
+                w, first, second = np.frombuffer(w.as_buffer()), _floats(first, block), _floats(second, block)
+                g, h = divmod(cell, count)
+                if len(sums.keys() | {g, h}) > _OPEN and sums:
+                    yield rows()
                     sums = {}
-                total = sums.setdefault(at, np.zeros((width, block)))
-                total[i[begin]] += np.add.reduceat(w[:, None] * r.reshape(-1, block)[j], begin, axis=0)
+                for at, own, other, r, size in ((g, i, j, second, len(first)), (h, j, i, first, len(second))):
+                    total, r = sums.setdefault(at, np.zeros((block, size))), np.ascontiguousarray(r.T)
+                    for k in range(block):
+                        total[k] += np.bincount(own, w * r[k][other], size)
         if sums:
-            yield _sums(sums)
+            yield rows()
+
+    kinds, root = ("t", "x", "r", "p", "ax", "ap"), math.sqrt(whole)
+    state_kind = "at int, " + ", ".join(f"{c} binary" for c in ("t", *_PARTS))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per block of rows that come in the order of blocks."""
-        now, total = None, None
+        """Blocks with ar, of rows that come in the order of blocks: the block's own, and sums of its cells. At last this task's sums of products."""
+        now, own, sums, total = None, None, 0.0, np.zeros((6 * block + 1, 3 * block))
+
+        def row() -> pa.RecordBatch:
+            t, x, r, p, ax, ap = own
+            ar = sums / (t * root)
+            s, a = np.hstack([x, r, p]), np.hstack([ax, ar, ap])
+            total[: 3 * block] += s.T @ s
+            total[3 * block : 6 * block] += s.T @ a
+            total[6 * block] += t[:, 0] @ s
+            return pa.record_batch([pa.array([now], pa.int32()), *[_bytes([m]) for m in (t, x, r, p, ax, ar, ap)]], names=["at", "t", *_PARTS])
+
         for batch in batches:
-            for at, part in zip(batch.column("at").to_pylist(), batch.column("part"), strict=True):
-                if at != now:
-                    if now is not None:
-                        yield _sums({now: total})
-                    now, total = at, np.zeros((width, block))
-                total += part.values.to_numpy().reshape(width, block)
+            columns = [batch.column(c) for c in ("part", *kinds)]
+            for at, part, *others in zip(batch.column("at").to_pylist(), *columns, strict=True):
+                if now is not None and at != now:
+                    yield row()
+                    sums = 0.0
+                now = at
+                if part.is_valid:
+                    sums = sums + _floats(part, block)
+                else:
+                    own = [_floats(v, 1 if c == "t" else block) for c, v in zip(kinds, others, strict=True)]
         if now is not None:
-            yield _sums({now: total})
-
-    def heard(state: DataFrame) -> DataFrame:
-        """state with ar: what the neighbours' r sum up to."""
-        state = staged(state)
-        parts = cells.join(state.select(F.col("at").alias("to"), "r"), "to").select("at", "i", "j", "w", "r").mapInArrow(times, "at int, part array<double>")
-        sums = parts.repartition("at").sortWithinPartitions("at").mapInArrow(added, "at int, part array<double>")
-        return staged(state.join(sums, "at").select("at", "t", "x", "r", "p", "ax", F.slice("part", F.lit(1), F.size("r")).alias("ar"), "ap"))
-
-    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of nodes, in the order of blocks and places, as a row per block."""
-        for at, t, r in _runs(batches):
-            zero = np.zeros((len(t), block))
-            yield pa.record_batch([pa.array([at], pa.int32()), _list(t), _list(zero), _list(r), *[_list(zero)] * 3], names=["at", "t", "x", "r", "p", "ax", "ap"])
+            yield row()
+            yield pa.record_batch([pa.array([-1], pa.int32()), _bytes([total]), *[pa.nulls(1, pa.binary())] * 6], names=["at", "t", *_PARTS])
+
+    def heard(new: DataFrame, r: DataFrame) -> DataFrame:
+        """``new`` with ar: what the neighbours' r, each by the root of its degree, sum up to, by the node's own root. Cells hold weights as they are."""
+        sums = met(cells, r, "r").select("cell", "i", "j", "w", "first", "second").mapInArrow(times, "at int, part binary")
+        rows = new.withColumn("part", F.lit(None).cast("binary")).unionByName(sums, allowMissingColumns=True)
+        return staged(rows.select("at", "part", *kinds).repartition("at").sortWithinPartitions("at").mapInArrow(added, state_kind))
+
+    def started(only: str | None = None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, d, chance in zip(batch.column("at"), batch.column("d"), batch.column("chance"), strict=True):
+                    t, r = np.sqrt(d.values.to_numpy())[:, None] / root, chance.values.to_numpy().reshape(block, -1).T
+                    zero = np.zeros(r.shape)
+                    found = {"t": t, "x": zero, "r": r / (t * root) if only else r, "p": zero, "ax": zero, "ap": zero}
+                    names = [only] if only else list(kinds)
+                    yield pa.record_batch([pa.array([at.as_py()], pa.int32()), *[_bytes([found[c]]) for c in names]], names=["at", *names])
+
+        return run
+
+    def both(df: DataFrame, run) -> DataFrame:
+        return heard(df.mapInArrow(run(), "at int, " + ", ".join(f"{c} binary" for c in kinds)), df.mapInArrow(run("r"), "at int, r binary"))
 
     # Values by hash of the node, so that they are the same in every attempt of a task.
-    chance = F.array(*[F.xxhash64(F.lit(k), F.col("node")) / float(2**63) for k in range(block)])
-    kind = "at int, " + ", ".join(f"{c} array<double>" for c in ("t", "x", "r", "p", "ax", "ap"))
-    start = place.select("at", "i", F.sqrt(F.col("d") / whole).alias("t"), chance.alias("r")).repartition("at").sortWithinPartitions("at", "i")
-    state = heard(start.mapInArrow(started, kind))
+    chance = F.flatten(F.array(*[F.transform("nodes", lambda v, k=k: F.xxhash64(F.lit(k), v) / float(2**63)) for k in range(block)]))
+    state = both(blocks.select("at", "d", chance.alias("chance")), started)
     for turn in range(rounds + 1):
-        gram, inner, trivial = _products(state, block)
+        gram, inner, trivial = _totals(state, block)
         # The second eigenpair's residual is the first of r.
         if turn and (gram[block, block] <= tolerance * tolerance or n <= 2) or turn == rounds:
             break
-        c, values = _best(gram, inner, trivial, block)
-        out = trivial @ c  # what is trivial in the new vectors
-
-        def stepped(batches: Iterator[pa.RecordBatch], c=c, values=values, out=out) -> Iterator[pa.RecordBatch]:
-            late = c.copy()
-            late[:block] = 0
-            for at, t, parts in _states(batches, block):
-                s, a, t1 = np.hstack(parts[:3]), np.hstack(parts[3:]), t[:, None]
-                x, ax = s @ c - t1 * out, a @ c - t1 * out
-                yield pa.record_batch([pa.array([at], pa.int32()), *map(_list, (t, x, ax - x * values, s @ late, ax, a @ late))], names=["at", "t", "x", "r", "p", "ax", "ap"])
-
-        state = heard(state.mapInArrow(stepped, kind))
-    found = state.select("at", F.posexplode("x").alias("k", "v")).where(F.col("k") % block == 0).select("at", (F.col("k") / block).cast("int").alias("i"), "v")
-    signs = staged(place.join(found, ["at", "i"]).select("node", (F.col("v") / F.sqrt("d")).alias("fiedler")))
+        c, values, late = _best(gram, inner, trivial, block)
+
+        def stepped(only: str | None = None, c=c, values=values, late=late, trivial=trivial):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for at, t, *parts in zip(batch.column("at"), *[batch.column(k) for k in ("t", *_PARTS)], strict=True):
+                        t, parts = _floats(t, 1), [_floats(v, block) for v in parts]
+                        s, a = np.hstack(parts[:3]), np.hstack(parts[3:])
+                        # What is trivial in the new vectors goes.
+                        x, ax = s @ c - t * (trivial @ c), a @ c - t * (trivial @ c)
+                        found = {"t": t, "x": x, "r": ax - x * values, "ax": ax}
+                        if only:
+                            found["r"] = found["r"] / (t * root)
+                        else:
+                            found |= {"p": s @ late - t * (trivial @ late), "ap": a @ late - t * (trivial @ late)}
+                        names = [only] if only else list(kinds)
+                        yield pa.record_batch([pa.array([at.as_py()], pa.int32()), *[_bytes([found[k]]) for k in names]], names=["at", *names])
+
+            return run
+
+        state = both(state.where("at >= 0"), stepped)
+    cells.unpersist()
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, d, x in zip(batch.column("nodes"), batch.column("d"), batch.column("x"), strict=True):
+                yield pa.record_batch([nodes.values, pa.array(_floats(x, block)[:, 0] / np.sqrt(d.values.to_numpy()))], names=["node", "fiedler"])
+
+    signs = staged(blocks.join(state.where("at >= 0").select("at", "x"), "at").select("nodes", "d", "x").mapInArrow(told, f"node {node}, fiedler double"))
     first = signs.orderBy("node").first().fiedler
     return signs.withColumn("fiedler", F.col("fiedler") * F.lit(-1.0 if first > 0 else 1.0))

@@ -27,6 +27,18 @@ def test_fiedler_in_several_blocks(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n], abs=1e-6) for n in want)
 
 
+def test_fiedler_lays_edges_once_and_writes_once_a_round(spark, monkeypatch):
+    made, turns, write, best = [], [], spectral.staged, spectral._best
+    monkeypatch.setattr(spectral, "staged", lambda df: made.append(write(df)) or made[-1])
+    monkeypatch.setattr(spectral, "_best", lambda *a: turns.append(a) or best(*a))
+    pairs = [(a, b, 1.0) for a in range(12) for b in range(a + 1, 12) if (a + b) % 3 and a // 6 == b // 6] + [(2, 3, 1.0), (3, 2, 1.0)]  # of two parts
+    got = {x.node: x.fiedler for x in spectral.fiedler(spark.createDataFrame(pairs, "a long, b long, affinity double")).collect()}
+    assert got.keys() == set(range(12)) and {len({round(got[n], 6) for n in part}) for part in (range(6), range(6, 12))} == {1} and got[0] * got[6] < 0
+    assert sum("r" in df.columns for df in made) == len(turns) + 1  # residuals were written apart in each round
+    laid = [df for df in made if {"i", "j"} <= set(df.columns)]
+    assert sum(len(x.i) // 4 for df in laid for x in df.collect()) == len({(min(a, b), max(a, b)) for a, b, _ in pairs})  # edges lay in both directions
+
+
 def test_level_pairs_of_one_base_are_not_grouped(spark):
     r = random.Random(3)
     works = [(w, f"a base {r.randrange(6)}", r.choice([None, 0, 1, 2, 3])) for w in [*range(80), *range(30), *range(10)]] + [(200 + i, "of one level", 2) for i in range(5)] + [(None, "a base 1", 1), (3, "short", 1), (4, "short", 2)]
