@@ -55,6 +55,13 @@ def test_level_pairs_of_one_base_are_not_grouped(spark):
     assert plan(out).startswith("Union")  # pairs were grouped, so shuffled and spilled
 
 
+def test_files_of_level_pairs_stay_small(spark, tmp_path):
+    works = spark.range(4000).select(F.col("id").alias("work"), F.concat(F.lit("a base "), F.col("id") % 4).alias("base"), (F.xxhash64("id") % 5).alias("level"))
+    constraints.level_pairs(works).write.parquet(f"{tmp_path}/pairs")
+    n, size = spark.read.parquet(f"{tmp_path}/pairs").count(), sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert n > 1_000_000 and size < 0.5 * n  # more than a byte a pair, as later works came in another order for each level
+
+
 @pytest.mark.parametrize("most", [40, 1 << 26])
 def test_disjoint_sends_queries_where_they_match(spark, most):
     r = random.Random(6)
