@@ -268,7 +268,7 @@ def fiedler(pairs: DataFrame, weight: str = "affinity", block: int = 8, toleranc
         return heard(df.mapInArrow(run(), "at int, " + ", ".join(f"{c} binary" for c in kinds)), df.mapInArrow(run("r"), "at int, r binary"))
 
     # Values by hash of the node, so that they are the same in every attempt of a task.
-    chance = F.flatten(F.array(*[F.transform("nodes", lambda v, k=k: F.xxhash64(F.lit(k), v) / float(2**63)) for k in range(block)]))
+    chance = F.flatten(F.array(*[F.expr(f"transform(nodes, v -> xxhash64({k}, v) / {2**63}D)") for k in range(block)]))
     state = both(blocks.select("at", "d", chance.alias("chance")), started)
     for turn in range(rounds + 1):
         gram, inner, trivial = _totals(state, block)
